@@ -1,14 +1,17 @@
 """Queries of the training-data operators, and their DuckDB SQL where SQL can express them."""
 
-from threadloom.llm import op01_quality, op04_line_dedup, op10_mixing
+from threadloom.llm import op01_quality, op04_line_dedup, op06_decontamination, op09_simhash, op10_mixing
 
 QUERIES = {
     "op1_quality": op01_quality.op1_quality,
     "op4_line_dedup": op04_line_dedup.op4_line_dedup,
+    "op6_decontamination": op06_decontamination.op6_decontamination,
+    "op9_simhash": op09_simhash.op9_simhash,
     "op10_mixing": op10_mixing.op10_mixing,
 }
 
 ORACLES = {
     "op4_line_dedup": op04_line_dedup.ORACLE_SQL,
+    "op6_decontamination": op06_decontamination.ORACLE_SQL,
     "op10_mixing": op10_mixing.ORACLE_SQL,
 }
