@@ -1,12 +1,24 @@
 """Queries of the training-data operators, and their DuckDB SQL where SQL can express them."""
 
-from threadloom.llm import op01_quality, op04_line_dedup, op05_secrets, op06_decontamination, op08_language_id, op09_simhash, op10_mixing
+from threadloom.llm import (
+    op01_quality,
+    op03_pii,
+    op04_line_dedup,
+    op05_secrets,
+    op06_decontamination,
+    op07_lm_scoring,
+    op08_language_id,
+    op09_simhash,
+    op10_mixing,
+)
 
 QUERIES = {
     "op1_quality": op01_quality.op1_quality,
+    "op3_pii": op03_pii.op3_pii,
     "op4_line_dedup": op04_line_dedup.op4_line_dedup,
     "op5_secrets": op05_secrets.op5_secrets,
     "op6_decontamination": op06_decontamination.op6_decontamination,
+    "op7_lm_scoring": op07_lm_scoring.op7_lm_scoring,
     "op8_language_id": op08_language_id.op8_language_id,
     "op9_simhash": op09_simhash.op9_simhash,
     "op10_mixing": op10_mixing.op10_mixing,
