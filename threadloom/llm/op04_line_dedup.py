@@ -26,7 +26,7 @@ WINDOW = 3
 
 
 def _trimmed(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\r\x0b\f", "    "))
+    return F.btrim(line, F.lit(" \t\r\x0b\f"))
 
 
 def _blank(line: Column) -> Column:
@@ -61,13 +61,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of docs with repeated lines taken from ``text``, and n_lines and n_removed (of lines not blank)."""
     cut = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumnRenamed("doc_id", "cut_doc")
-    joined = docs.join(cut, docs["doc_id"] == cut["cut_doc"], "left").drop("cut_doc")
-    raw = F.split(F.col("text"), "\n", -1)
+    joined = docs.join(cut, docs["doc_id"] == cut["cut_doc"], "left").drop("cut_doc").withColumn("raw_lines", F.split(F.col("text"), "\n", -1))
     # Places of the lines that are not blank, then what remains of all places: linear in the lines of a text.
-    places = F.filter(F.sequence(F.lit(0), F.size(raw) - 1), lambda i: ~_blank(F.get(raw, i)))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), F.transform(F.col("covered"), lambda k: F.get(places, k)))
-    text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(raw, i)), "\n"))
-    return joined.withColumns({"n_lines": F.size(_solid(F.col("text"))).cast("long"), "n_removed": F.coalesce(F.size("covered"), F.lit(0)).cast("long"), "text": text}).drop("covered")
+    marked = F.transform("raw_lines", lambda x, i: F.when(~_blank(x), i))
+    joined = joined.withColumn("places", F.when(F.col("covered").isNotNull(), F.filter(marked, lambda i: i.isNotNull())))
+    gone = F.transform("covered", lambda k: F.get(F.col("places"), k))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("raw_lines") - 1), gone)
+    text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("raw_lines"), i)), "\n"))
+    n_lines = F.size(F.filter("raw_lines", lambda x: ~_blank(x)))
+    columns = {"n_lines": F.coalesce(n_lines, F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("covered"), F.lit(0)).cast("long"), "text": text}
+    return joined.withColumns(columns).drop("covered", "raw_lines", "places")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +81,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH raw AS (
   SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nth FROM documents),
-marked AS (SELECT *, trim(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    ')) AS t FROM raw),
+marked AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM raw),
 solid AS (SELECT doc_id, nth, t, row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS k FROM marked WHERE t <> ''),
 win AS (
   SELECT doc_id, k, t || chr(10) || lead(t) OVER w || chr(10) || lead(t, 2) OVER w AS body FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY k)),

@@ -98,7 +98,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = scratch.table("hits", found.select("doc_id", F.struct((F.col("place") - F.col("at")).alias("start"), "words", "window").alias("hit")))
     per_doc = hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
     compared = texts.join(per_doc, "doc_id").select("doc_id", "hits", item_words(F.col("text")).alias("w"))
-    same = F.filter("hits", lambda x: F.slice(F.col("w"), x["start"] + 1, F.size(x["words"])) == x["words"])
+    same = F.filter("hits", lambda x: (x["start"] + F.size(x["words"]) <= F.size("w")) & (F.slice(F.col("w"), x["start"] + 1, F.size(x["words"])) == x["words"]))
     true = scratch.table("true", compared.select("doc_id", F.inline(same)).select("doc_id", "start", F.size("words").alias("n"), "window"))
     covered = true.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     covered = covered.select("doc_id", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))).cast("long").alias("n_hit"))
