@@ -2,6 +2,7 @@
 
 from threadloom.llm import (
     op01_quality,
+    op02_substring,
     op03_pii,
     op04_line_dedup,
     op05_secrets,
@@ -14,6 +15,7 @@ from threadloom.llm import (
 
 QUERIES = {
     "op1_quality": op01_quality.op1_quality,
+    "op2_substring": op02_substring.op2_substring,
     "op3_pii": op03_pii.op3_pii,
     "op4_line_dedup": op04_line_dedup.op4_line_dedup,
     "op5_secrets": op05_secrets.op5_secrets,
