@@ -16,8 +16,8 @@ documents times passages; a shard is bounded by the block, whose number follows
 all documents share is one row for each block. Documents without a recurring anchor skip steps 2 and 3.
 
 Defined cases: null and empty texts have no words (digest of the empty string); fewer than 20 words are never removed; rows
-that share a doc_id and a text get equal results, judged as one document; an empty table gives an empty result;
-other columns are not read.
+that share a doc_id and a text get equal results, judged as one document; a null doc_id has no place among the others, so such a
+row neither loses words nor takes any from others; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -227,7 +227,7 @@ def dedup_substrings(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
     """(doc_id, n_words, n_removed, kept_sha256, kept): kept is null where nothing can have been removed."""
     scratch = Scratch(docs.sparkSession)
     texts = text_rows(docs)
-    grams = anchor_rows(texts)
+    grams = anchor_rows(texts.filter("doc_id IS NOT NULL"))
     recurring = scratch.table("recurring", grams.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
     found = scratch.table("found", grams.join(recurring, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("anchors")))
     held_or_done = scratch.table("candidates", candidate_texts(texts, found))

@@ -12,6 +12,7 @@ one row per hash on the other side, so AQE can split it. Covered places are merg
 
 Defined cases: null text gives n_lines 0 and stays null; fewer than three lines are never removed; rows of one
 doc_id are told apart by nothing but their text, so copies of a row count as one document and each gets its result;
+rows without a doc_id keep their text and take nothing from others;
 an empty table gives an empty result; extra columns pass through ``dedup_lines``.
 """
 

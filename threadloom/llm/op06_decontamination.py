@@ -16,7 +16,7 @@ per document, go back to the texts. A text is split again there instead of its w
 Defined cases: null texts and texts without words have no words, hits or items and are not contaminated; null items
 are none; items with equal text each count; without benchmark rows
 nothing is hit; an empty documents table gives an empty result; other columns pass through ``decontaminate``. Rows that
-share a doc_id count as one document: their hits are united.
+share a doc_id count as one document: their hits are united. A row without a doc_id is not looked up and not contaminated.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ deduplicated links. Connected components need no more links than these: each lin
 inside some bucket, and in a bucket linked fingerprints share a root.
 
 Defined cases: a null, empty or blank text has fingerprint zero, linked like any other; fewer than three words make one
-shingle; rows of equal text or doc_id keep a row each; an empty table gives an empty result; other columns are not read.
+shingle; rows of equal text or doc_id keep a row each; a null doc_id takes the component of its fingerprint's other
+rows, or null; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -128,10 +129,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs."""
     scratch = Scratch(docs.sparkSession)
     own = scratch.table("fingerprints", fingerprints(docs))
-    prints = scratch.table("prints", own.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    prints = scratch.table("prints", own.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"))
     linked = components(links(prints, scratch), scratch).withColumnRenamed("node", "linked")
     classes = prints.join(linked, prints["node"] == linked["linked"], "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return own.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
