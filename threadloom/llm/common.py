@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.sources.scratch import Scratch
+
+__all__ = ["Scratch", "arrow_rows", "byte_texts", "documents", "held_out", "text_rows", "to_batch", "words"]
+
 #: Separators of the contract's words ``[^\x20\x09-\x0D]+``; bytes.split() cuts at exactly these six.
 SPACE_CLASS = "[ \\t\\n\\x0B\\f\\r]"
 
@@ -40,43 +41,6 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder
 
 
-class Scratch:
-    """Parquet tables in the shared folder named by spark.checkpoint.dir.
-
-    Reading a written table back cuts the lineage, so a lost executor costs a reread and not the job. Only where
-    the setting is absent, as in local tests, a temporary folder takes its place; a cluster without the setting
-    is an error, because executors could not see each other's files. Tables go when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            root = tempfile.gettempdir()
-        self.root = f"{root.rstrip('/')}/threadloom-{uuid.uuid4().hex}"
-        atexit.register(self.clear)
-
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        self._delete(*(f"{self.root}/{name}" for name in names))
-
-    def clear(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
-            self._delete(self.root)
-
-    def _delete(self, *paths: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for path in paths:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def arrow_rows(batches: Iterator[pa.RecordBatch], make, schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Runs ``make(batch) -> iterable of row tuples`` and yields record batches of bounded size."""
     held: list[tuple] = []
