@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from threadloom.functions import text
@@ -62,52 +61,10 @@ def scripted_status(statuses: Column, attempt: Column) -> Column:
     return F.coalesce(F.get(statuses, attempt - 1), F.lit(200))
 
 
-class _Range(InputPartition):
-    def __init__(self, start: int, end: int):
-        self.start, self.end = start, end
-
-
-class ItemSource(DataSource):
-    """``spark.read.format("items")``: item payloads by id range from a JSON-lines folder, one partition for each range.
-
-    Options: path, start, end, width (ids of a partition). Rows are (id, payload); an id without a line has payload null.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "items"
-
-    def schema(self) -> str:
-        return "id long, payload string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _ItemReader(self.options)
-
-
-class _ItemReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.start, self.end, self.width = options["path"], int(options["start"]), int(options["end"]), int(options.get("width", "1000"))
-
-    def partitions(self) -> list[_Range]:
-        return [_Range(a, min(a + self.width - 1, self.end)) for a in range(self.start, self.end + 1, self.width)]
-
-    def read(self, part: _Range):
-        import json
-        from pathlib import Path
-
-        found = {}
-        for file in sorted(Path(self.path).glob("*.json*")):
-            with file.open() as lines:
-                for line in lines:
-                    item_id = json.loads(line).get("id")
-                    if item_id is not None and part.start <= item_id <= part.end:
-                        found[item_id] = line.rstrip("\n")
-        for item_id in range(part.start, part.end + 1):
-            yield item_id, found.get(item_id)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(ItemSource)
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, payload) of a folder of JSON lines, one item a line; lines without an id are dropped. Any store Spark reads will do."""
+    lines = spark.read.text(path).select(F.get_json_object("value", "$.id").try_cast("long").alias("id"), F.col("value").alias("payload"))
+    return lines.filter("id IS NOT NULL")
 
 
 def fetched(spark: SparkSession, start: int, end: int, payloads: DataFrame) -> DataFrame:
