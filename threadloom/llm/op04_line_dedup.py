@@ -61,17 +61,19 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of docs with repeated lines taken from ``text``, and n_lines and n_removed (of lines not blank)."""
-    cut = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumnRenamed("doc_id", "cut_doc")
-    joined = docs.join(cut, docs["doc_id"] == cut["cut_doc"], "left").drop("cut_doc").withColumn("raw_lines", F.split(F.col("text"), "\n", -1))
+    cut = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    whole, raw = docs.select(F.struct(*docs.columns).alias("row")), F.col("raw")  # one name, so that no other column's can clash
+    joined = whole.join(cut, F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "covered", F.split(F.col("row.text"), "\n", -1).alias("raw"))
     # Places of the lines that are not blank, then what remains of all places: linear in the lines of a text.
-    marked = F.transform("raw_lines", lambda x, i: F.when(~_blank(x), i))
+    marked = F.transform(raw, lambda x, i: F.when(~_blank(x), i))
     joined = joined.withColumn("places", F.when(F.col("covered").isNotNull(), F.filter(marked, lambda i: i.isNotNull())))
     gone = F.transform("covered", lambda k: F.get(F.col("places"), k))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("raw_lines") - 1), gone)
-    text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("raw_lines"), i)), "\n"))
-    n_lines = F.size(F.filter("raw_lines", lambda x: ~_blank(x)))
-    columns = {"n_lines": F.coalesce(n_lines, F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("covered"), F.lit(0)).cast("long"), "text": text}
-    return joined.withColumns(columns).drop("covered", "raw_lines", "places")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), gone)
+    text = F.when(F.col("covered").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(raw, i)), "\n"))
+    n_lines = F.coalesce(F.size(F.filter(raw, lambda x: ~_blank(x))), F.lit(0)).cast("long")
+    n_removed = F.coalesce(F.size("covered"), F.lit(0)).cast("long")
+    others = (F.col(f"row.{c}") if c != "text" else text.alias("text") for c in docs.columns if c not in ("n_lines", "n_removed"))
+    return joined.select(*others, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,10 @@ def keyed_windows(distinct: DataFrame) -> DataFrame:
     return long.unionByName(short.select(first.alias("h"), F.least(F.size("words"), F.lit(GRAM)).alias("k"), F.lit(0).alias("at"), "words", "window"))
 
 
+def every_gram(k: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(gram_hash(F.col("w"), i, k).alias("h"), i.alias("place")))
+
+
 def document_grams(texts: DataFrame, short: list[int]) -> DataFrame:
     """(doc_id, h, k, place): winnowed 5-grams (k = 0), and all k-grams for each k in ``short``."""
     split = texts.select("doc_id", item_words(F.col("text")).alias("w"))
@@ -80,8 +84,7 @@ def document_grams(texts: DataFrame, short: list[int]) -> DataFrame:
     kept = hashed.select("doc_id", F.explode(chosen).alias("m"))
     grams = kept.select("doc_id", F.shiftright("m", 32).alias("h"), F.lit(0).alias("k"), place(F.col("m")).alias("place"))
     for k in short:
-        every = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i, k=k: F.struct(gram_hash(F.col("w"), i, k).alias("h"), i.alias("place")))
-        grams = grams.unionByName(split.filter(F.size("w") >= k).select("doc_id", F.inline(every)).select("doc_id", "h", F.lit(k).alias("k"), "place"))
+        grams = grams.unionByName(split.filter(F.size("w") >= k).select("doc_id", F.inline(every_gram(k))).select("doc_id", "h", F.lit(k).alias("k"), "place"))
     return grams
 
 
