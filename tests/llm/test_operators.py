@@ -209,6 +209,8 @@ def test_method_adds_spans_by_checksum_and_context(spark, odd):
     scored = op03_pii.find(spark.createDataFrame([(1, "card 4111111111111111"), (2, "tracking 4111111111111111"), (3, "DE88 3704 0044 0532 0130 00 iban"), (4, "no context 123-45-6789")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert scored[0]["card"][0]["score"] > scored[1]["card"][0]["score"]
     assert scored[2]["iban"] == [] and scored[3]["ssn"] == []
+    capitals = spark.createDataFrame([(1, "BE68 5390 0754 7034 THEN GB82 WEST 1234 5698 7654 32 AND NOW")], "doc_id long, text string")
+    assert [(x["start"], x["end"]) for x in op03_pii.find(capitals).first()["iban"]] in ([(0, 19), (25, 52)], [(0, 19)])
 
 
 # 4. Line dedup

@@ -30,7 +30,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -66,6 +66,13 @@ def mod_97(s: Column) -> Column:
     return F.aggregate(turned, F.lit(0), step) == 1
 
 
+def without_words(s: Column) -> Column:
+    """An iban without the capital words that may follow it: the longest run of the match's first groups that passes, or the match."""
+    groups = F.split(s, " ")
+    runs = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+    return F.coalesce(F.get(F.filter(runs, lambda x: (F.length(x) >= 15) & mod_97(F.replace(x, F.lit(" "), F.lit("")))), F.lit(0)), s)
+
+
 def confirmed(kind: str, s: Column) -> Column:
     n = F.length(digits_of(s))
     if kind == "ip":
@@ -105,7 +112,10 @@ def spans(kind: str, text: Column) -> Column:
         score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + raised - lowered)
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["match"])).alias("end"), score.alias("score"))
 
-    held = F.transform(F.filter(proposals(kind, text), lambda x: confirmed(kind, x["match"])), scored)
+    proposed = proposals(kind, text)
+    if kind == "iban":
+        proposed = F.transform(proposed, lambda x: F.struct(x["start"].alias("start"), without_words(x["match"]).alias("match")))
+    held = F.transform(F.filter(proposed, lambda x: confirmed(kind, x["match"])), scored)
     held = held if kind in BASE else F.filter(held, lambda x: x["score"] >= THRESHOLD)
     return F.when(text.rlike(TELLTALE[kind]), held).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
