@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
@@ -23,3 +23,21 @@ def comment_body(deleted: Column, dead: Column, body: Column) -> Column:
 
 def error_fragment(story_id: Column, message: Column) -> Column:
     return F.concat(F.lit('<div class="thread-error">Could not load story '), story_id.cast("string"), F.lit(": "), text.escape_html(message), F.lit("</div>"))
+
+
+def thread_fragments(tree: DataFrame, items: DataFrame, now: Column) -> DataFrame:
+    """(story_id, html): each story's comments, nested. Depth-first rows carry what recursion would: a deeper next row opens a list of
+    children, a shallower one closes as many as it is shallower."""
+    order = Window.partitionBy("story_id").orderBy("pos")
+    rows = tree.select("story_id", "id", "depth", "pos", F.coalesce(F.lead("depth").over(order), F.lit(1)).alias("next_depth"), F.lead("depth").over(order).isNull().alias("last"))
+    parent = (F.col("next_depth") > F.col("depth")) & ~F.col("last")
+    own = F.concat(F.lit("comment-"), F.col("id").cast("string"))
+    shown = comment_body(F.col("deleted"), F.col("dead"), F.col("text"))
+    html = F.concat(
+        F.lit('<article class="comment" id="'), own, F.lit('"><p class="comment-meta">'), text.escape_html(F.coalesce("author", F.lit("unknown"))), F.lit(" "), text.relative_age(F.col("time"), now),
+        F.lit('</p><div class="comment-text">'), shown, F.lit("</div>"),
+        F.when(parent, F.concat(F.lit('<section class="comment-children" id="'), own, F.lit('-children">'))).otherwise(F.concat(F.lit("</article>"), F.repeat(F.lit("</section></article>"), F.col("depth") - F.col("next_depth")))),
+    )
+    bodies = rows.join(items.select("id", "author", "time", "deleted", "dead", "text"), "id")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", html.alias("html"))))
+    return bodies.groupBy("story_id").agg(F.array_join(F.transform(ordered, lambda x: x["html"]), "").alias("html"))

@@ -212,3 +212,14 @@ def render_story_header(spark, sf_dir):
 @query(oracle("SELECT id, CASE WHEN " + HIDDEN + " THEN '[deleted]' ELSE coalesce(text, '[no text]') END AS body FROM fx_items WHERE type = 'comment'", "fx_items"))
 def render_comment_body(spark, sf_dir):
     return frame(spark, sf_dir, "fx_items").filter("type = 'comment'").select("id", render.comment_body(F.col("deleted"), F.col("dead"), F.col("text")).alias("body"))
+
+
+@query(oracle(TREE.format(hidden="FALSE") + """, nested AS (SELECT *, lead(depth) OVER (PARTITION BY story_id ORDER BY pos) AS nd FROM placed),
+body AS (SELECT n.story_id, n.pos, '<article class="comment" id="comment-' || n.id || '"><p class="comment-meta">' || coalesce(author, 'unknown') || ' ' || """ + AGE.format(t="time", n=NOW) + """
+  || '</p><div class="comment-text">' || CASE WHEN """ + HIDDEN + """ THEN '[deleted]' ELSE coalesce(text, '[no text]') END || '</div>'
+  || CASE WHEN nd > depth THEN '<section class="comment-children" id="comment-' || n.id || '-children">' ELSE '</article>' || repeat('</section></article>', CAST(depth - coalesce(nd, 1) AS BIGINT)) END AS html
+  FROM nested n JOIN fx_items i ON i.id = n.id)
+SELECT story_id, string_agg(html, '' ORDER BY pos) AS html FROM body GROUP BY story_id""", *VIEWS))
+def render_thread(spark, sf_dir):
+    items, kids = _data(spark, sf_dir)
+    return render.thread_fragments(threads.assemble(items, kids)[0], items, F.lit(NOW))
