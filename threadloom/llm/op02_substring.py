@@ -8,8 +8,8 @@ A window is 20 consecutive words. A word is removed if it lies in a window whose
 2. Windows with a recurring anchor are counted by a 96-bit hash; those found twice or more are the confirmed
    passages, each with its first place and the blocks of documents in which it is found.
 3. Documents are dealt into blocks by a hash of the doc_id. Each block's shard is compiled with pyahocorasick from the passages that are found in it, cut from
-   the texts that hold them first, and all documents of the block stream through it once. The automaton compares words, so
-   each occurrence it reports is exact; those that are not the first one remove their words.
+   the texts that hold them first, and all documents of the block stream through it once. It finds the passages' anchors, and the words around
+   them are compared, so each occurrence is exact; those that are not the first one remove their words.
 
 Scale: the shards together hold each passage once for each block it occurs in, so they grow with the repeated text and not with
 documents times passages; a shard is bounded by the block, whose number follows the corpus. Counts combine before the shuffle. A passage that a third of
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import Scratch, byte_texts, documents, text_rows, to_batch
 
 WINDOW, GRAM = 20, 6
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 400_000
 
 
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
@@ -162,34 +162,90 @@ def passages(held: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """The automaton of one block: each window of its passages as a sequence of word numbers, with its first place."""
+    """The automaton of one block. Its patterns are the anchors of the passages' windows, so it holds an eighth as many patterns as
+    there are windows, each a third as long; what surrounds an anchor that is found is compared word for word.
 
-    def __init__(self):
-        import ahocorasick
+    Words are written as three symbols of 128, since the automaton searches a node's children one by one.
+    """
 
-        self.numbers: dict[bytes, int] = {}
-        self.first: dict[tuple, tuple[int, int]] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        self.ready = False
+    def __init__(self):
+        self.codes: dict[bytes, str] = {}
+        self.phrases: list[tuple[int, int, list[bytes]]] = []
+        self.anchors: dict[str, list[tuple[int, int, int, int]]] = {}
+        self.tables: dict[str, dict[tuple, tuple[int, int]]] = {}
+        self.automaton = None
+
+    def code(self, word: bytes) -> str:
+        found = self.codes.get(word)
+        if found is None:
+            n = len(self.codes) + 1
+            found = self.codes[word] = chr(n >> 14) + chr(n >> 7 & 127) + chr(n & 127)
+        return found
 
     def add(self, doc_id: int, start: int, phrase: bytes) -> None:
-        numbers = self.numbers
-        seq = tuple(numbers.setdefault(w, len(numbers) + 1) for w in phrase.split())
-        for k in range(len(seq) - WINDOW + 1):
-            self.automaton.add_word(seq[k : k + WINDOW], (doc_id, start + k))
+        tokens = phrase.split()
+        at = anchors(word_hashes(tokens))[1]
+        cuts = np.flatnonzero(np.diff(at)) + 1
+        number = len(self.phrases)
+        self.phrases.append((doc_id, start, tokens))
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):  # windows low..high-1 share an anchor
+            place = int(at[low])
+            key = "".join(map(self.code, tokens[place : place + GRAM]))
+            self.anchors.setdefault(key, []).append((number, place, low, high))
+
+    def compile(self) -> None:
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for key in self.anchors:
+            self.automaton.add_word(key, key)
+        self.automaton.make_automaton()
+
+    def table(self, key: str) -> dict[tuple, tuple[int, int]]:
+        """Windows of an anchor that many passages share, by their words: one look-up in place of many comparisons."""
+        found = self.tables.get(key)
+        if found is None:
+            found = self.tables[key] = {}
+            for number, _, low, high in self.anchors[key]:
+                doc_id, start, tokens = self.phrases[number]
+                for k in range(low, high):
+                    found[tuple(tokens[k : k + WINDOW])] = (doc_id, start + k)
+        return found
+
+    def occurrences(self, tokens: list[bytes]) -> Iterator[tuple[int, int, tuple[int, int]]]:
+        """(first start, last start + 1, first place of the first start) of occurrences of passages' windows."""
+        get, n = self.codes.get, len(tokens)
+        for end, key in self.automaton.iter("".join([get(w, "\0\0\0") for w in tokens])):
+            if end % 3 != 2:
+                continue
+            place = end // 3 - GRAM + 1
+            shared = self.anchors[key]
+            if len(shared) > 8:
+                table = self.table(key)
+                for k in range(max(0, place + GRAM - WINDOW), min(place, n - WINDOW) + 1):
+                    first = table.get(tuple(tokens[k : k + WINDOW]))
+                    if first is not None:
+                        yield k, k + 1, first
+                continue
+            for number, own, low, high in shared:
+                doc_id, start, phrase = self.phrases[number]
+                shift = place - own
+                if low + shift >= 0 and tokens[low + shift : high + shift + WINDOW - 1] == phrase[low : high + WINDOW - 1]:
+                    yield low + shift, high + shift, (doc_id, start + low)
+                    continue
+                for k in range(max(low, -shift), high):
+                    if tokens[k + shift : k + shift + WINDOW] == phrase[k : k + WINDOW]:
+                        yield k + shift, k + shift + 1, (doc_id, start + k)
 
     def removed(self, doc_id: int, tokens: list[bytes]) -> np.ndarray:
         """Mask of the words inside occurrences that are not the first one."""
-        if not self.ready and len(self.automaton):
-            self.automaton.make_automaton()
-            self.ready = True
         mask = np.zeros(len(tokens), bool)
-        if self.ready:
-            get = self.numbers.get
-            for end, first in self.automaton.iter(tuple(get(w, 0) for w in tokens)):
-                start = end - WINDOW + 1
-                if first != (doc_id, start):
-                    mask[start : end + 1] = True
+        if self.anchors:
+            if self.automaton is None:
+                self.compile()
+            for low, high, first in self.occurrences(tokens):
+                if first != (doc_id, low):
+                    mask[low : high + WINDOW - 1] = True
         return mask
 
 
