@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -162,11 +163,23 @@ def test_substring_equals_brute_force(spark, docs, block_words):
     assert got == without_repeats([*docs, *extra])
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab \n\x0bé\u00a0", max_size=30), min_size=3, max_size=8), st.integers(0, 2))
+def test_words_of_a_column(texts, skip):
+    column = pa.array(texts)[skip:]
+    words, hashes = op02_substring.Words(column), {}
+    expected = [x.encode().split() for x in texts[skip:]]
+    assert [[words.data[s:e].tobytes() for s, e in zip(words.starts[a:b], words.ends[a:b], strict=True)] for a, b in zip(words.bounds, words.bounds[1:], strict=False)] == expected
+    for word, h in zip(sum(expected, []), words.hashes().tolist(), strict=True):
+        assert hashes.setdefault(word, h) == h
+    assert len(set(hashes.values())) == len(hashes)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=20, max_size=90))
 def test_equal_windows_choose_equal_anchors(numbers):
     tokens = [b"t%d" % n for n in numbers]
-    grams, at = op02_substring.anchors(op02_substring.word_hashes(tokens))
+    grams, at = op02_substring.anchors(op02_substring.Words(pa.array([b" ".join(tokens)])).hashes())
     chosen = {}
     for k, place in enumerate(at):
         assert k <= place <= k + op02_substring.WINDOW - op02_substring.GRAM
@@ -247,8 +260,6 @@ def test_secret_spans(spark, sf_dir, odd, docs, tmp_path):
 
 
 def test_index_finds_what_a_full_scan_finds(docs):
-    import pyarrow as pa
-
     texts = [t or "" for _, t in docs] + [r[1] or "" for r in ROWS] + ["xoxb-1234567890ab", "eyJhbGciOiJ9.eyJzdWIiOiIx.abcdefghij"]
     found = op05_secrets.scan_block(pa.array(texts), op05_secrets.RULES)
     for text, spans in zip(texts, found, strict=True):
@@ -382,7 +393,7 @@ def test_forward_sum_covers_all_segmentations():
     for k in range(2):
         floor = lambda p: table[p][k] if p in table else op08_language_id.FLOOR if len(p) == 1 else 0.0  # noqa: E731, B023
         total = sum(math.prod(map(floor, s)) for s in segmentations("▁abaz"))
-        assert lattice.log_likelihood("abaz")[k] == pytest.approx(math.log(total))
+        assert lattice.log_likelihoods(["b", "abaz", "a"])[1, k] == pytest.approx(math.log(total))
         weights = Counter()
         for s in segmentations("▁abaz"):
             for p in s:
@@ -391,6 +402,12 @@ def test_forward_sum_covers_all_segmentations():
         assert lattice.expected("abaz", k) == pytest.approx({p: w for p, w in weights.items() if w})
 
 
+def test_long_and_unknown_words_have_likelihoods():
+    lattice = op08_language_id.Lattice({"▁": (0.1,), "a": (0.5,)}, 1)
+    got = lattice.log_likelihoods(["a" * 150, "ж", "ж" * 64])[:, 0]
+    assert got == pytest.approx([math.log(0.1) + 150 * math.log(0.5), math.log(0.1) + math.log(op08_language_id.FLOOR), op08_language_id.IMPOSSIBLE])
+
+
 # 9. SimHash
 
 

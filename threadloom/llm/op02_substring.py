@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,34 +36,92 @@ from threadloom.llm.common import Scratch, byte_texts, documents, text_rows, to_
 
 WINDOW, GRAM = 20, 6
 BLOCK_WORDS = 400_000
+PIECE, FACTOR = 1 << 20, 0xD1342543DE82EF95
 
 
-def word_hashes(tokens: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+@cache
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """FACTOR^i and FACTOR^-i mod 2^64 for i below ``size``."""
+    ahead, back = (np.full(size, f, np.uint64) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+    ahead[0] = back[0] = 1
+    return np.multiply.accumulate(ahead), np.multiply.accumulate(back)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Finishes a hash in place, so that all bits depend on all of it."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+BYTE_VALUES = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)))
+
+
+class Words:
+    """The words of a column of texts, as byte ranges of its buffer: no object is made for a word."""
+
+    def __init__(self, column: pa.Array):
+        large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+        offsets = np.frombuffer(column.buffers()[1], np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        self.data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        self.offsets = offsets - offsets[0]
+        n, solid = len(self.data), ~SPACES[self.data]
+        first, last = np.ones(n, bool), np.ones(n, bool)
+        first[1:] = ~solid[:-1]
+        last[:-1] = ~solid[1:]
+        inner = self.offsets[(self.offsets > 0) & (self.offsets < n)]
+        first[inner], last[inner - 1] = True, True
+        self.starts, self.ends = np.flatnonzero(solid & first), np.flatnonzero(solid & last) + 1
+        #: Word bounds[i]..bounds[i + 1] - 1 are those of text i.
+        self.bounds = np.searchsorted(self.starts, self.offsets)
+        self.texts = np.repeat(np.arange(len(column)), np.diff(self.bounds))
+
+    def hashes(self) -> np.ndarray:
+        ahead, back = powers(max(1 << 20, 1 << len(self.data).bit_length()))
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[self.data] * ahead[: len(self.data)], out=sums[1:])
+        return mixed((sums[self.ends] - sums[self.starts]) * back[self.starts])
+
+    def windows(self) -> np.ndarray:
+        """Words that start a window of their text."""
+        at = np.arange(len(self.starts))
+        return at[at + WINDOW <= self.bounds[1:][self.texts]]
+
+    def between(self, first: int, last: int) -> bytes:
+        """The text from a word to another, as it stands."""
+        return self.data[self.starts[first] : self.ends[last]].tobytes()
 
 
 def rolled(hashes: np.ndarray, size: int, factor: int) -> np.ndarray:
-    """Polynomial hash, mod 2^64, of each ``size`` consecutive words, finished so that all bits depend on all words."""
-    out = np.zeros(len(hashes) - size + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            out = out * np.uint64(factor) + hashes[k : k + len(out)]
-        out ^= out >> np.uint64(32)
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
+    """Polynomial hash of each ``size`` consecutive words, by doubling."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, part, width = None, 0, hashes, 1
+    while True:
+        if size & width:
+            out = part[:n].copy() if out is None else out * np.uint64(pow(factor, width, 1 << 64)) + part[done : done + n]
+            done += width
+        if 2 * width > size:
+            return mixed(out)
+        part = part[:-width] * np.uint64(pow(factor, width, 1 << 64)) + part[width:]
+        width *= 2
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each gram, and for each window the place of its anchor."""
     grams = rolled(hashes, GRAM, 0xD6E8FEB86659FD93)
-    span = WINDOW - GRAM + 1
-    n = len(hashes) - WINDOW + 1
-    best, at = grams[:n].copy(), np.arange(n)
-    for k in range(1, span):
-        less = grams[k : k + n] < best
-        best[less] = grams[k : k + n][less]
-        at[less] = np.flatnonzero(less) + k
+    n, span = len(hashes) - WINDOW + 1, WINDOW - GRAM + 1
+    if n <= 0:
+        return grams, np.zeros(0, np.int64)
+    at, width = np.arange(len(grams)), 1
+    while width < span:  # least, leftmost of equals, of the next ``width`` grams; the last step overlaps
+        step = min(width, span - width)
+        left, right = at[:-step], at[step:]
+        at = np.where(grams[right] < grams[left], right, left)
+        width += step
     return grams, at
 
 
@@ -72,49 +131,62 @@ def window_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, second
 
 
+def pieces(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about PIECE bytes of text each, or one longer text."""
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.r_[0, 1 + np.flatnonzero(np.diff(sizes // PIECE)), len(sizes)]) if len(sizes) else []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            yield b.slice(low, high - low)
+
+
+def stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each run of set flags, and the place after its last one."""
+    edges = np.diff(np.r_[0, flags.astype(np.int8), 0])
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
 def anchor_rows(texts: DataFrame) -> DataFrame:
-    """(h, doc_id, n): anchors of each document and the number of places that have them."""
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
+    """(h, doc_id): a row for each place of an anchor."""
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hs, docs, ns = [], [], []
-            for doc_id, raw in zip(b.column(0).to_pylist(), byte_texts(b), strict=True):
-                tokens = raw.split()
-                if len(tokens) >= WINDOW:
-                    grams, at = anchors(word_hashes(tokens))
-                    h, n = np.unique(grams[np.unique(at)], return_counts=True)
-                    hs.append(h.view(np.int64))
-                    ns.append(n.astype(np.int32))
-                    docs.append(np.full(len(h), doc_id, np.int64))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, docs, ns)], schema=schema)
+        for b in pieces(batches):
+            words = Words(b.column(1))
+            grams, at = anchors(words.hashes())
+            places = np.unique(at[words.windows()])
+            doc_ids = b.column(0).to_numpy(zero_copy_only=False)[words.texts[places]]
+            yield pa.RecordBatch.from_arrays([pa.array(grams[places].view(np.int64)), pa.array(doc_ids)], schema=schema)
 
-    return texts.mapInArrow(run, "h long, doc_id long, n int")
+    return texts.mapInArrow(run, "h long, doc_id long")
 
 
 def candidate_texts(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """All documents with their digest, or their text and the starts of windows whose anchor recurs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("starts", pa.list_(pa.int32()))])
+    """All documents with their digest, or their text and the stretches (low, high, low, high, ...) of windows whose anchor recurs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("stretches", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc_id, raw, some in zip(b.column(0).to_pylist(), byte_texts(b), b.column(2), strict=True):
-                tokens = raw.split()
-                starts = None
-                if some.is_valid:
-                    grams, at = anchors(word_hashes(tokens))
-                    starts = np.flatnonzero(np.isin(grams[at], some.values.to_numpy().view(np.uint64))).astype(np.int32)
-                if starts is None or not len(starts):
-                    rows.append((doc_id, len(tokens), hashlib.sha256(b" ".join(tokens)).hexdigest(), None, None))
+        for b in pieces(batches):
+            words = Words(b.column(1))
+            grams, at = anchors(words.hashes())
+            starts, n = words.windows(), len(words.starts)
+            # Whether an anchor recurs is a fact of the corpus, so the texts' lists can be united.
+            flags, listed = np.zeros(n, bool), b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            flags[starts] = listed[words.texts[starts]] & np.isin(grams[at[starts]], np.unique(b.column(2).flatten().to_numpy(zero_copy_only=False)).view(np.uint64))
+            low, high = stretches(flags)  # never over two texts, whose last windows start 19 words before the end
+            of, rows = words.texts[low], []
+            own = np.searchsorted(of, np.arange(len(b) + 1))
+            for i, (doc_id, raw) in enumerate(zip(b.column(0).to_pylist(), byte_texts(b), strict=True)):
+                count = int(words.bounds[i + 1] - words.bounds[i])
+                if own[i] == own[i + 1]:
+                    rows.append((doc_id, count, hashlib.sha256(b" ".join(raw.split())).hexdigest(), None, None))
                 else:
-                    rows.append((doc_id, len(tokens), None, raw, starts))
-            if rows:
-                yield to_batch(rows, schema)
+                    ends = np.stack([low[own[i] : own[i + 1]], high[own[i] : own[i + 1]]], axis=1).ravel() - words.bounds[i]
+                    rows.append((doc_id, count, None, raw, ends.astype(np.int32)))
+            yield to_batch(rows, schema)
 
     joined = texts.join(found.withColumnRenamed("doc_id", "found_doc"), texts["doc_id"] == F.col("found_doc"), "left").select("doc_id", "text", "anchors")
-    return joined.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, text string, starts array<int>")
+    return joined.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, text string, stretches array<int>")
 
 
 def window_rows(held: DataFrame) -> DataFrame:
@@ -122,35 +194,46 @@ def window_rows(held: DataFrame) -> DataFrame:
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("block", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
-            for doc_id, raw, starts, block in zip(b.column(0).to_pylist(), byte_texts(b), b.column(2), b.column(3).to_pylist(), strict=True):
-                first, second = window_hashes(word_hashes(raw.split()))
-                at = starts.values.to_numpy()
-                parts.append((first[at], second[at], np.full(len(at), doc_id, np.int64), at, np.full(len(at), block, np.int32)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], schema=schema)
+        for b in pieces(batches):
+            words = Words(b.column(1))
+            first, second = window_hashes(words.hashes())
+            ends = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2) + np.repeat(words.bounds[:-1], pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False) // 2)[:, None]
+            marks = np.zeros(len(words.starts) + 1, np.int8)
+            np.add.at(marks, ends[:, 0], 1)
+            np.add.at(marks, ends[:, 1], -1)
+            at = np.flatnonzero(np.cumsum(marks[:-1], dtype=np.int8))
+            text = words.texts[at]
+            arrays = (first[at], second[at], b.column(0).to_numpy(zero_copy_only=False)[text], (at - words.bounds[text]).astype(np.int32), b.column(3).to_numpy(zero_copy_only=False)[text])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], schema=schema)
 
-    return held.select("doc_id", "text", "starts", "block").mapInArrow(run, "h1 long, h2 int, doc_id long, start int, block int")
+    return held.select("doc_id", "text", "stretches", "block").mapInArrow(run, "h1 long, h2 int, doc_id long, start int, block int")
 
 
 def passages(held: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(block, doc_id, start, phrase): for each block, the stretches of first places whose windows are found in it."""
-    schema = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("phrase", pa.string())])
+    """(block, doc_id, start, phrase, cuts): for each block, the stretches of first places whose windows are found in it.
+
+    ``cuts`` holds, for each anchor of the phrase, its place and the first of the windows that have it.
+    """
+    schema = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("phrase", pa.string()), ("cuts", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc_id, raw, places in zip(b.column(0).to_pylist(), byte_texts(b), b.column(2), strict=True):
-                tokens = raw.split()
-                by_block: dict[int, list[int]] = {}
-                for place in places.as_py():
-                    for block in place["blocks"]:
-                        by_block.setdefault(block, []).append(place["start"])
-                for block, starts in by_block.items():
-                    at = np.unique(starts)
-                    for run_of in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                        rows.append((block, doc_id, int(run_of[0]), b" ".join(tokens[run_of[0] : run_of[-1] + WINDOW])))
+        for b in pieces(batches):
+            words, rows, doc_ids = Words(b.column(1)), [], b.column(0).to_pylist()
+            at = anchors(words.hashes())[1]
+            places = b.column(2)
+            flat = places.flatten()
+            starts, blocks = flat.field("start").to_numpy(zero_copy_only=False) + np.repeat(words.bounds[:-1], pc.list_value_length(places).to_numpy(zero_copy_only=False)), flat.field("blocks")
+            starts, blocks = np.repeat(starts, pc.list_value_length(blocks).to_numpy(zero_copy_only=False)), blocks.flatten().to_numpy(zero_copy_only=False)
+            order = np.lexsort((starts, blocks))
+            starts, blocks = starts[order], blocks[order]
+            edges = np.flatnonzero((np.diff(starts) != 1) | (np.diff(blocks) != 0) | (np.diff(words.texts[starts]) != 0)) + 1
+            for low, high in zip(np.r_[0, edges].tolist() if len(starts) else [], np.r_[edges, len(starts)].tolist(), strict=False):
+                first, last = int(starts[low]), int(starts[high - 1])
+                own = at[first : last + 1]
+                turns = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
+                cuts = np.stack([own[turns] - first, turns], axis=1).ravel().astype(np.int32)
+                text = words.texts[first]
+                rows.append((int(blocks[low]), doc_ids[text], first - int(words.bounds[text]), words.between(first, last + WINDOW - 1), cuts))
                 if len(rows) > 2000:
                     yield to_batch(rows, schema)
                     rows = []
@@ -158,7 +241,7 @@ def passages(held: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield to_batch(rows, schema)
 
     joined = held.select("doc_id", "text").dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("doc_id", "text", "places")
-    return joined.mapInArrow(run, "block int, doc_id long, start int, phrase string")
+    return joined.mapInArrow(run, "block int, doc_id long, start int, phrase string, cuts array<int>")
 
 
 class Shard:
@@ -182,14 +265,11 @@ class Shard:
             found = self.codes[word] = chr(n >> 14) + chr(n >> 7 & 127) + chr(n & 127)
         return found
 
-    def add(self, doc_id: int, start: int, phrase: bytes) -> None:
+    def add(self, doc_id: int, start: int, phrase: bytes, cuts: list[int]) -> None:
         tokens = phrase.split()
-        at = anchors(word_hashes(tokens))[1]
-        cuts = np.flatnonzero(np.diff(at)) + 1
         number = len(self.phrases)
         self.phrases.append((doc_id, start, tokens))
-        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):  # windows low..high-1 share an anchor
-            place = int(at[low])
+        for place, low, high in zip(cuts[::2], cuts[1::2], [*cuts[3::2], len(tokens) - WINDOW + 1], strict=True):  # windows low..high-1 share an anchor
             key = "".join(map(self.code, tokens[place : place + GRAM]))
             self.anchors.setdefault(key, []).append((number, place, low, high))
 
@@ -260,11 +340,11 @@ def streamed(held: DataFrame, phrases: DataFrame, n_blocks: int) -> DataFrame:
         shard, current = Shard(), None
         for b in batches:
             rows = []
-            for block, is_doc, doc_id, start, raw in zip(*(b.column(i).to_pylist() for i in range(4)), byte_texts(b), strict=True):
+            for block, is_doc, doc_id, start, cuts, raw in zip(*(b.column(i).to_pylist() for i in range(5)), byte_texts(b), strict=True):
                 if block != current:
                     shard, current = Shard(), block
                 if not is_doc:
-                    shard.add(doc_id, start, raw)
+                    shard.add(doc_id, start, raw, cuts)
                     continue
                 tokens = raw.split()
                 mask = shard.removed(doc_id, tokens)
@@ -273,8 +353,8 @@ def streamed(held: DataFrame, phrases: DataFrame, n_blocks: int) -> DataFrame:
             if rows:
                 yield to_batch(rows, schema)
 
-    both = phrases.select("block", F.lit(False).alias("is_doc"), "doc_id", "start", F.col("phrase").alias("text"))
-    both = both.unionByName(held.select("block", F.lit(True).alias("is_doc"), "doc_id", F.lit(0).alias("start"), "text"))
+    both = phrases.select("block", F.lit(False).alias("is_doc"), "doc_id", "start", "cuts", F.col("phrase").alias("text"))
+    both = both.unionByName(held.select("block", F.lit(True).alias("is_doc"), "doc_id", F.lit(0).alias("start"), F.lit(None).cast("array<int>").alias("cuts"), "text"))
     dealt = both.repartition(max(n_blocks, 1), "block").sortWithinPartitions("block", "is_doc")
     return dealt.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
@@ -284,7 +364,7 @@ def dedup_substrings(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
     scratch = Scratch(docs.sparkSession)
     texts = text_rows(docs)
     grams = anchor_rows(texts.filter("doc_id IS NOT NULL"))
-    recurring = scratch.table("recurring", grams.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    recurring = scratch.table("recurring", grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     found = scratch.table("found", grams.join(recurring, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("anchors")))
     held_or_done = scratch.table("candidates", candidate_texts(texts, found))
     words = held_or_done.filter("text IS NOT NULL").agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
