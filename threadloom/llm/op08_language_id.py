@@ -12,8 +12,8 @@ Training reads a documented sample: about ``SAMPLE`` = 1500 training documents o
 there are fewer, chosen by a hash of the doc_id against the language's count. All documents are scored, on whole texts.
 
 Scale: word counts per (language, word) are combined before the shuffle; expected counts reduce to at most
-vocabulary x languages rows, the only thing the driver gathers. Scoring is one pass, with each distinct word's vector
-of likelihoods computed once per task and kept in a cache of bounded size.
+vocabulary x languages rows, the only thing the driver gathers. Scoring is one pass: a block's new words are scored side by
+side, and each distinct word's vector of likelihoods is kept in a cache of bounded size.
 
 Defined cases: null texts, texts without a letter, and any text if no training document has a language give und with score
 0; ties go to the language first by code point; a null lang is not learned; an empty table gives an empty result;
@@ -22,10 +22,10 @@ other columns (lang and source too) are never read when predicting.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,11 @@ from threadloom.llm.common import Scratch, arrow_rows, documents, held_out, to_b
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
-SAMPLE, ROUNDS, CACHE_WORDS, MAX_WORD = 1500, 3, 200_000, 64
+SAMPLE, ROUNDS, CACHE_WORDS, MAX_WORD = 1500, 3, 300_000, 64
+BLOCK = 500  # texts whose new words are scored side by side
 WORD = re.compile(r"[^\W\d_]+")
 FLOOR = 1e-9  # of a character that is in no piece
+IMPOSSIBLE = -700.0  # logarithm of what underflows
 
 
 def public_pieces(path: str = VOCABULARY) -> list[str]:
@@ -61,6 +63,9 @@ class Lattice:
         self.table, self.n = table, n
         self.longest = max(map(len, table), default=1)
         self.floor = (FLOOR,) * n
+        self.rows = np.array([*table.values(), self.floor])
+        self.sizes = np.array([*map(len, table)], np.int64)
+        self.automaton = None
 
     def arcs(self, word: str) -> list[tuple[int, int, tuple[float, ...]]]:
         """(start, end, probabilities) of each piece in the word; single characters always have an arc."""
@@ -74,22 +79,50 @@ class Lattice:
                     out.append((i, j, p))
         return out
 
-    def forward(self, word: str, arcs: list) -> list[list[float]]:
-        sums = [[0.0] * self.n for _ in range(len(word) + 1)]
-        sums[0] = [1.0] * self.n
-        for i, j, p in arcs:  # in the order of starts, so sums[i] is complete
-            a, b = sums[i], sums[j]
-            for k in range(self.n):
-                b[k] += a[k] * p[k]
-        return sums
-
-    def log_likelihood(self, word: str) -> list[float]:
-        """Natural logarithm for each language, summed over all segmentations."""
-        total = [0.0] * self.n
-        for part in pieces_of(word):
-            end = self.forward(part, self.arcs(part))[-1]
-            total = [t + math.log(x) if x > 0 else t - 700.0 for t, x in zip(total, end, strict=True)]
-        return total
+    def compile(self) -> None:
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, piece in enumerate(self.table):
+            if "\n" not in piece:
+                self.automaton.add_word(piece, k)
+        self.automaton.make_automaton()
+
+    def log_likelihoods(self, words: list[str]) -> np.ndarray:
+        """Natural logarithm for each word and language, summed over all segmentations.
+
+        All words go through the forward algorithm side by side: one automaton finds the pieces in them, and arcs are added
+        start by start and size by size, of which each word has one at most.
+        """
+        if self.automaton is None:
+            self.compile()
+        parts = [pieces_of(w) for w in words]
+        owner = np.repeat(np.arange(len(words)), [*map(len, parts)])
+        parts = list(chain.from_iterable(parts))
+        text, sizes = "\n".join(parts), np.array([*map(len, parts)], np.int64)
+        first = np.cumsum(sizes + 1) - sizes - 1
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+        last, piece = found[:, 0], found[:, 1]
+        size = self.sizes[piece]
+        alone = np.ones(len(text), bool)
+        alone[last[size == 1]] = False
+        alone[first[1:] - 1] = False
+        lone = np.flatnonzero(alone)
+        start, size, piece = np.r_[last + 1 - size, lone], np.r_[size, np.ones(len(lone), np.int64)], np.r_[piece, np.full(len(lone), len(self.table))]
+        step = ((start - np.repeat(first, sizes + 1)[start]) * (self.longest + 1) + size).astype(np.int32)
+        order = np.argsort(step, kind="stable")
+        start, size, piece, step = start[order], size[order], piece[order], step[order]
+        edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
+        sums = np.zeros((len(text) + 1, self.n))
+        sums[first] = 1.0
+        for low, high in zip(edges[:-1], edges[1:], strict=True):  # in the order of starts, so sums[start] is complete
+            s = start[low:high]
+            sums[s + size[low]] += sums[s] * self.rows[piece[low:high]]
+        end = sums[first + sizes]
+        logs = np.where(end > 0, np.log(np.where(end > 0, end, 1.0)), IMPOSSIBLE)
+        out = np.zeros((len(words), self.n))
+        np.add.at(out, owner, logs)
+        return out
 
     def expected(self, word: str, k: int) -> dict[str, float]:
         """Expected count of each piece in one language's segmentations of a word."""
@@ -171,29 +204,35 @@ def predict(docs: DataFrame, langs: list[str], table: dict[str, tuple[float, ...
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 3, 1).alias("held_out"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(shared.value, len(langs))
-        index: dict[str, int] = {}
-        vectors: list[list[float]] = []
-
-        def judge(text: str | None) -> tuple[str, float]:
-            found = WORD.findall(text.lower()) if text else []
-            if not langs or not any(c.isalpha() for w in found for c in w):
-                return "und", 0.0
+        lattice, index, vectors = Lattice(shared.value, len(langs)), {}, np.zeros((0, len(langs)))
+
+        def judge(texts: list[str | None]) -> list[tuple[str, float]]:
+            nonlocal vectors
+            found = [WORD.findall(t.lower()) if t and langs else [] for t in texts]
             if len(index) > CACHE_WORDS:
                 index.clear()
-                vectors.clear()
-            total = [0.0] * len(langs)
-            for word, times in Counter(found).items():
-                at = index.get(word)
-                if at is None:
-                    at = index[word] = len(vectors)
-                    vectors.append(lattice.log_likelihood(word))
-                total = [t + times * x for t, x in zip(total, vectors[at], strict=True)]
-            best = max(total)
-            k = total.index(best)
-            return langs[k], round(1.0 / sum(math.exp(x - best) for x in total), 6)
-
-        return arrow_rows(batches, lambda b: ((i, h, *judge(t)) for i, h, t in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)), SCHEMA)
+                vectors = vectors[:0]
+            fresh = [w for w in dict.fromkeys(chain.from_iterable(found)) if w not in index]
+            if fresh:
+                index.update(zip(fresh, range(len(index), len(index) + len(fresh)), strict=True))
+                vectors = np.concatenate([vectors, lattice.log_likelihoods(fresh)])
+            out = []
+            for own in found:
+                if not any(c.isalpha() for w in own for c in w):
+                    out.append(("und", 0.0))
+                    continue
+                total = vectors[[index[w] for w in own]].sum(axis=0)
+                k = int(np.argmax(total))
+                out.append((langs[k], round(1.0 / float(np.exp(total - total[k]).sum()), 6)))
+            return out
+
+        def judged(batch: pa.RecordBatch):
+            for at in range(0, len(batch), BLOCK):
+                part = batch.slice(at, BLOCK)
+                texts = part.column(2).to_pylist()
+                yield from ((i, h, *x) for i, h, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), judge(texts), strict=True))
+
+        return arrow_rows(batches, judged, SCHEMA)
 
     return rows.mapInArrow(run, FIELDS)
 
