@@ -63,7 +63,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of docs with repeated lines taken from ``text``, and n_lines and n_removed (of lines not blank)."""
     cut = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     whole, raw = docs.select(F.struct(*docs.columns).alias("row")), F.col("raw")  # one name, so that no other column's can clash
-    joined = whole.join(cut, F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "covered", F.split(F.col("row.text"), "\n", -1).alias("raw"))
+    # Hashing the cuts, a few numbers a document, spares a sort of whole texts.
+    joined = whole.join(cut.hint("shuffle_hash"), F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "covered", F.split(F.col("row.text"), "\n", -1).alias("raw"))
     # Places of the lines that are not blank, then what remains of all places: linear in the lines of a text.
     marked = F.transform(raw, lambda x, i: F.when(~_blank(x), i))
     joined = joined.withColumn("places", F.when(F.col("covered").isNotNull(), F.filter(marked, lambda i: i.isNotNull())))
