@@ -2,9 +2,12 @@
 
 A window is 20 consecutive words. A word is removed if it lies in a window whose word sequence also starts earlier.
 
+Copies come first: a document of 20 words or more whose whole word sequence (a 128-bit hash of it) has a smaller doc_id loses all
+words and takes part in nothing else. No first start of a window lies in such a document.
+
 1. Anchors narrow the search: of the 15 six-word grams of each window the one with the least hash, the leftmost of equals, is its anchor.
    The choice depends on the window's words alone, so equal windows have equal anchors, and windows whose anchor is found
-   once in the corpus cannot recur. About an eighth of the words start an anchor.
+   once, copies aside, cannot recur. About an eighth of the words start an anchor.
 2. Windows with a recurring anchor are counted by a 96-bit hash; those found twice or more are the confirmed
    passages, each with its first place and the blocks of documents in which it is found.
 3. Documents are dealt into blocks by a hash of the doc_id. Each block's shard is compiled with pyahocorasick from the passages that are found in it, cut from
@@ -84,6 +87,15 @@ class Words:
         np.cumsum(BYTE_VALUES[self.data] * ahead[: len(self.data)], out=sums[1:])
         return mixed((sums[self.ends] - sums[self.starts]) * back[self.starts])
 
+    def digests(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each text's whole sequence of words."""
+        ahead, back = powers(max(1 << 20, 1 << len(hashes).bit_length()))
+        out = []
+        for values in (hashes, mixed(hashes + np.uint64(FACTOR))):
+            sums = np.r_[np.uint64(0), np.cumsum(values * ahead[: len(values)], dtype=np.uint64)]
+            out.append(mixed((sums[self.bounds[1:]] - sums[self.bounds[:-1]]) * back[self.bounds[:-1]]).view(np.int64))
+        return out[0], out[1]
+
     def windows(self) -> np.ndarray:
         """Words that start a window of their text."""
         at = np.arange(len(self.starts))
@@ -146,24 +158,52 @@ def stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
+def digest_rows(texts: DataFrame) -> DataFrame:
+    """(doc_id, d1, d2, n_words) of each document that has a window."""
+    schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_words", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            words = Words(b.column(1))
+            n = np.diff(words.bounds)
+            some = np.flatnonzero(n >= WINDOW)
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (b.column(0).to_numpy(), *words.digests(words.hashes()), n)], schema=schema)
+
+    return texts.mapInArrow(run, "doc_id long, d1 long, d2 long, n_words long")
+
+
+def later_copies(texts: DataFrame) -> DataFrame:
+    """doc_id of each document whose whole sequence of words, 20 or more, is that of a smaller doc_id."""
+    rows, key = digest_rows(texts), ["d1", "d2", "n_words"]
+    first = rows.groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc").drop("last_doc")
+    return rows.join(first, key).filter("doc_id > first_doc").select("doc_id")
+
+
 def anchor_rows(texts: DataFrame) -> DataFrame:
-    """(h, doc_id): a row for each place of an anchor."""
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
+    """(h, doc_id, digest, again): anchors of each document, its digest, and whether it has the anchor in two places."""
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("again", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             words = Words(b.column(1))
-            grams, at = anchors(words.hashes())
+            hashes = words.hashes()
+            grams, at = anchors(hashes)
             places = np.unique(at[words.windows()])
-            doc_ids = b.column(0).to_numpy(zero_copy_only=False)[words.texts[places]]
-            yield pa.RecordBatch.from_arrays([pa.array(grams[places].view(np.int64)), pa.array(doc_ids)], schema=schema)
+            h, text = grams[places].view(np.int64), words.texts[places]
+            order = np.lexsort((h, text))
+            h, text = h[order], text[order]
+            same = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
+            first = np.flatnonzero(np.r_[True, ~same][: len(h)])
+            again = np.r_[same, False][first]
+            arrays = (h[first], b.column(0).to_numpy()[text[first]], words.digests(hashes)[0][text[first]], again)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], schema=schema)
 
-    return texts.mapInArrow(run, "h long, doc_id long")
+    return texts.mapInArrow(run, "h long, doc_id long, digest long, again boolean")
 
 
 def candidate_texts(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """All documents with their digest, or their text and the stretches (low, high, low, high, ...) of windows whose anchor recurs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("stretches", pa.list_(pa.int32()))])
+    """All documents with their result, or their text and the stretches (low, high, low, high, ...) of windows whose anchor recurs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("stretches", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -176,17 +216,19 @@ def candidate_texts(texts: DataFrame, found: DataFrame) -> DataFrame:
             low, high = stretches(flags)  # never over two texts, whose last windows start 19 words before the end
             of, rows = words.texts[low], []
             own = np.searchsorted(of, np.arange(len(b) + 1))
-            for i, (doc_id, raw) in enumerate(zip(b.column(0).to_pylist(), byte_texts(b), strict=True)):
+            for i, (doc_id, copy, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), byte_texts(b), strict=True)):
                 count = int(words.bounds[i + 1] - words.bounds[i])
-                if own[i] == own[i + 1]:
-                    rows.append((doc_id, count, hashlib.sha256(b" ".join(raw.split())).hexdigest(), None, None))
+                if copy:
+                    rows.append((doc_id, count, count, hashlib.sha256(b"").hexdigest(), None, None))
+                elif own[i] == own[i + 1]:
+                    rows.append((doc_id, count, 0, hashlib.sha256(b" ".join(raw.split())).hexdigest(), None, None))
                 else:
                     ends = np.stack([low[own[i] : own[i + 1]], high[own[i] : own[i + 1]]], axis=1).ravel() - words.bounds[i]
-                    rows.append((doc_id, count, None, raw, ends.astype(np.int32)))
+                    rows.append((doc_id, count, None, None, raw, ends.astype(np.int32)))
             yield to_batch(rows, schema)
 
-    joined = texts.join(found.withColumnRenamed("doc_id", "found_doc"), texts["doc_id"] == F.col("found_doc"), "left").select("doc_id", "text", "anchors")
-    return joined.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, text string, stretches array<int>")
+    joined = texts.join(found.withColumnRenamed("doc_id", "found_doc"), texts["doc_id"] == F.col("found_doc"), "left").select("doc_id", "text", "anchors", "copy")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, stretches array<int>")
 
 
 def window_rows(held: DataFrame) -> DataFrame:
@@ -363,20 +405,23 @@ def dedup_substrings(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
     """(doc_id, n_words, n_removed, kept_sha256, kept): kept is null where nothing can have been removed."""
     scratch = Scratch(docs.sparkSession)
     texts = text_rows(docs)
-    grams = anchor_rows(texts.filter("doc_id IS NOT NULL"))
-    recurring = scratch.table("recurring", grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
-    found = scratch.table("found", grams.join(recurring, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("anchors")))
+    named = texts.filter("doc_id IS NOT NULL")
+    copies = later_copies(named).select("doc_id", F.lit(None).cast("long").alias("h"), F.lit(True).alias("copy"))
+    grams = anchor_rows(named)
+    by_anchor = grams.groupBy("h").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.max("again").alias("again"))
+    recurring = scratch.table("recurring", by_anchor.filter("again OR least <> most").select("h"))
+    marks = grams.join(recurring, "h", "left_semi").select("doc_id", "h", F.lit(False).alias("copy")).unionByName(copies)
+    found = scratch.table("found", marks.groupBy("doc_id").agg(F.collect_set("h").alias("anchors"), F.max("copy").alias("copy")))
     held_or_done = scratch.table("candidates", candidate_texts(texts, found))
+    scratch.drop("recurring", "found")
     words = held_or_done.filter("text IS NOT NULL").agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     n_blocks = 1 + words // block_words
     held = held_or_done.filter("text IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
-    place = F.struct("doc_id", "start")
-    counted = window_rows(held).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.collect_set("block").alias("blocks"))
-    # A window with one place, in however many equal rows, is no repeat.
-    wanted = counted.filter("first <> last").select("first.doc_id", "first.start", "blocks")
+    counted = window_rows(held).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.collect_set("block").alias("blocks"))
+    wanted = counted.filter("n > 1").select("first.doc_id", "first.start", "blocks")
     wanted = scratch.table("wanted", wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "blocks")).alias("places")))
     phrases = scratch.table("phrases", passages(held, wanted))
-    done = held_or_done.filter("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
+    done = held_or_done.filter("text IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256", F.when(F.col("n_removed") > 0, "").alias("kept"))
     return streamed(held, phrases, int(n_blocks)).unionByName(done)
 
 
