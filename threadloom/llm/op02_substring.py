@@ -19,7 +19,8 @@ documents times passages; a shard is bounded by the block, whose number follows
 all documents share is one row for each block. Documents without a recurring anchor skip steps 2 and 3.
 
 Defined cases: null and empty texts have no words (digest of the empty string); fewer than 20 words are never removed; rows
-that share a doc_id and a text get equal results, judged as one document; a null doc_id has no place among the others, so such a
+that share a doc_id and a text get equal results, judged as one document (a doc_id names one text; rows that share it but not the text
+are not told apart); a null doc_id has no place among the others, so such a
 row neither loses words nor takes any from others; an empty table gives an empty result; other columns are not read.
 """
 
