@@ -364,6 +364,31 @@ def test_model_is_a_distribution(spark, sf_dir):
     assert (mass <= 1 + 1e-9).all()
 
 
+def test_each_word_chooses_the_class_of_most_information():
+    rng = np.random.default_rng(1)
+    n, classes = 12, 3
+    bigrams = rng.integers(0, 6, (n, n)).astype(float)
+    cls = np.r_[rng.integers(0, classes, n - 3), classes, classes, classes + 1]  # two words without a class, and the end
+    table = lambda of: np.eye(classes + 2)[of].T @ bigrams @ np.eye(classes + 2)[of]
+    member = np.eye(classes + 2)[cls]
+    got = op07_lm_scoring.best_classes(table(cls), cls[:-1], (bigrams @ member)[:-1], (bigrams.T @ member)[:-1], np.diag(bigrams)[:-1], classes)
+    for w in range(n - 1):
+        value = [op07_lm_scoring.information(table(np.r_[cls[:w], b, cls[w + 1 :]])) for b in range(classes)]
+        assert value[got[w]] == pytest.approx(max(value))
+
+
+def test_rare_words_get_their_class_by_exchange(spark):
+    rng = np.random.default_rng(2)
+    names = [[f"{side}{k}" for k in range(30)] for side in "xy"]
+    pick = lambda side: names[side][min(int(rng.exponential(6)), 29)]
+    train = table(spark, [(k, " ".join(pick(j % 2) for j in range(40)), "en", "a", 1) for k in range(60)])
+    vocabulary = Scratch(spark).table("v", op07_lm_scoring.word_counts(train))
+    m = op07_lm_scoring.train_model(train, vocabulary, head_size=1000, clustered=6, classes=2)
+    found = {w.decode(): m.classes[i] for w, i in m.index.items()}
+    sides = [{found[w] for w in own if w in found} for own in names]
+    assert len(found) > 40 and len(sides[0]) == len(sides[1]) == 1 and sides[0] != sides[1]
+
+
 # 8. Language ID
 
 

@@ -1,15 +1,18 @@
 """Operator 7: language model scores from Brown class-based bigrams.
 
-P(word | previous) = P(class | previous class) * P(word | class). Classes come from the exchange algorithm: each of the
-``CLUSTERED`` most frequent words moves to the class that most raises the mutual information of adjacent classes, in
-``SWEEPS`` sweeps. Other words of the ``HEAD`` most frequent ones share classes by frequency band, all remaining words
-one class, and the end of a text is a class of its own, also serving as the context of a first word. Transitions
-are interpolated with class unigrams (weight ``ALPHA``), emissions have one added to each count, so every text has a finite score.
-
-Scale: word counts cover all training documents and every word, combined per batch before the shuffle; the vocabulary stays a
-distributed table. Bigram counts over units (clustered words, bands, the rest, the end) also cover all training documents; their table is bounded
-by the square of the number of units, whatever the corpus, so the exchange runs on it in the driver. Scoring broadcasts
-the HEAD words, a fixed bound; the counts of all others come from a join on the word, and sums return by document.
+P(word | previous) = P(class | previous class) * P(word | class). Every training word has a class by the exchange algorithm, which
+moves a word to the class that most raises the mutual information of adjacent classes. It is seeded on the ``CLUSTERED`` most
+frequent words, one after another, in ``SWEEPS`` sweeps; then every word of the vocabulary chooses in ``ROUNDS`` rounds (all in the
+first, then each half in turn) against the class table of the round before; a round that does not raise the mutual information is not
+kept. The end of a text is a class of its own, also serving as the context of a first word. Each class keeps a count of one for words
+that training lacks; such a word has the sum of these over all classes, and what follows it has class unigrams. Transitions are
+interpolated with class unigrams (weight ``ALPHA``), emissions have one added to each count, so every text has a finite score.
+
+Scale: word counts and word bigrams cover all training documents and every word, combined per batch before the shuffle; both stay
+distributed tables. Bigrams carry words as 64-bit hashes (two words that collide would share a class, no count). A round sums each word's
+left and right class counts, broadcasts the classes x classes table, and each task chooses for its words. Frequent neighbours get their
+class from a broadcast of the HEAD words, so no join is dealt by a frequent word. Only the seed's table, (1024 + 2)^2, and class tables
+reach the driver, beside the HEAD words. In scoring the counts and classes of all other words come from a join on the word.
 
 Defined cases: null texts are empty and have the end token alone; with no training documents all counts are
 0; equal rows of a doc_id get a row each; an empty table gives an empty result; other columns are not read.
@@ -17,6 +20,7 @@ Defined cases: null texts are empty and have the end token alone; with no traini
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +33,11 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import Scratch, byte_texts, documents, held_out, text_rows, to_batch
 
-HEAD, CLUSTERED, CLASSES, BANDS, SWEEPS, ALPHA = 65_536, 1024, 48, 16, 4, 20.0
+HEAD, CLUSTERED, CLASSES, SWEEPS, ROUNDS, ALPHA = 65_536, 1024, 48, 4, 3, 20.0
 FLUSH = 150_000  # distinct words that a task gathers before it hands them on
+PARTS = 2  # of the vocabulary; see choose
+PAIRS = 1_000_000  # adjacent words that a task combines at a time
+END = 0  # stands for the hash of a text's end
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -55,62 +62,49 @@ def word_counts(train: DataFrame) -> DataFrame:
     return text_rows(train).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-@dataclass(frozen=True)
-class Head:
-    """The most frequent words, by descending count: their counts and units. Bounded by HEAD."""
-
-    index: dict[bytes, int]
-    counts: np.ndarray
-    units: np.ndarray
-    clustered: int
-
-    @property
-    def rest(self) -> int:
-        return self.clustered + BANDS
-
-    @property
-    def end(self) -> int:
-        return self.rest + 1
+def word_hash(word: bytes) -> int:
+    """What Spark's xxhash64 gives for the word, as an unsigned number."""
+    return xxhash.xxh64_intdigest(word, 42)
 
-    @property
-    def n_units(self) -> int:
-        return self.end + 1
 
+def combined(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and their counts. Pairs that share a sort key may come out in parts, whose counts add up."""
+    order = np.argsort(left * np.uint64(0x9E3779B97F4A7C15) ^ right)
+    left, right = left[order], right[order]
+    first = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+    return left[first].view(np.int64), right[first].view(np.int64), np.diff(np.r_[first, len(left)])
 
-def head_of(rows: list, clustered: int) -> Head:
-    counts = np.array([r["n"] for r in rows], np.int64)
-    clustered = min(clustered, len(rows))
-    bands = np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), BANDS - 1)
-    units = np.where(np.arange(len(rows)) < clustered, np.arange(len(rows)), clustered + bands)
-    return Head({r["word"].encode(): i for i, r in enumerate(rows)}, counts, units, clustered)
 
+def word_bigrams(train: DataFrame) -> DataFrame:
+    """(l, r, n): hashes of adjacent words and their count over all training texts, each text within two ends."""
+    schema = pa.schema([("l", pa.int64()), ("r", pa.int64()), ("n", pa.int64())])
 
-def unit_bigrams(train: DataFrame, head: Head) -> np.ndarray:
-    """Counts of adjacent units over all training texts, each text within two ends."""
-    shared, n = train.sparkSession.sparkContext.broadcast(head), head.n_units
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+    def out(held: array) -> Iterator[pa.RecordBatch]:
+        seq = np.frombuffer(held, np.uint64)
+        # One end serves as the last of a text and the first of the next.
+        found = combined(seq[:-1], seq[1:])
+        for at in range(0, len(found[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in found], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value
-        get, units = head.index.get, np.r_[head.units, head.rest]
-        total = np.zeros(n * n, np.int64)
+        held, hashes = array("Q", [END]), {}
         for b in batches:
-            pairs = []
             for raw in byte_texts(b):
-                ids = np.array([get(w, -1) for w in tokens(raw)], np.int64)
-                seq = np.r_[head.end, units[ids], head.end]
-                pairs.append(seq[:-1] * n + seq[1:])
-            at, counts = np.unique(np.concatenate(pairs), return_counts=True) if pairs else ([], [])
-            total[at] += counts
-        some = np.flatnonzero(total)
-        for at in range(0, len(some), 50_000):
-            part = some[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], schema=schema)
-
-    rows = text_rows(train).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(n * n, np.int64)
-    table[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
-    return table.reshape(n, n)
+                for w in tokens(raw):
+                    h = hashes.get(w)
+                    if h is None:
+                        h = hashes[w] = word_hash(w)
+                    held.append(h)
+                held.append(END)
+                if len(hashes) > FLUSH:
+                    hashes = {}
+                if len(held) > PAIRS:
+                    yield from out(held)
+                    held = array("Q", [END])
+        if len(held) > 1:
+            yield from out(held)
+
+    return text_rows(train).mapInArrow(run, "l long, r long, n long").groupBy("l", "r").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -161,78 +155,246 @@ def exchange(bigrams: np.ndarray, clustered: int, classes: int = CLASSES, sweeps
     return cls
 
 
+def best_classes(table: np.ndarray, cls: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, classes: int) -> np.ndarray:
+    """Class below ``classes`` of each word that most raises the mutual information, every other word staying where it is.
+
+    ``right`` and ``left`` count the classes after and before each word, ``own`` the word beside itself. Exact, and linear in the
+    number of classes that a word has beside it.
+    """
+    at, right, left = np.arange(len(cls)), right.copy(), left.copy()
+    right[at, cls] -= own
+    left[at, cls] -= own
+    gain = np.zeros((len(cls), classes))
+    inside = cls < classes
+    for cells, mine, other in ((table, right, left), (table.T, left, right)):
+        i, c = np.nonzero(mine)
+        if not len(i):
+            continue
+        n, rows, a = mine[i, c], np.arange(len(i)), cls[i]
+        base = cells[:classes, c].T.copy()  # what is left of the class pair once the word is taken out of its class
+        stays, meets = inside[i], c == a
+        base[rows[stays], a[stays]] -= n[stays]
+        base[meets] -= other[i[meets], :classes]
+        both = stays & meets
+        base[rows[both], a[both]] -= own[i[both]]
+        part = _xlogx(base + n[:, None]) - _xlogx(base)
+        part[rows[c < classes], c[c < classes]] = 0  # the diagonal follows
+        words, first = np.unique(i, return_index=True)
+        gain[words] += np.add.reduceat(part, first, axis=0)
+    for total, sign, add in (
+        (np.diag(table), 1, right[:, :classes] + left[:, :classes] + own[:, None]),
+        (table.sum(1), -1, (right.sum(1) + own)[:, None]),
+        (table.sum(0), -1, (left.sum(1) + own)[:, None]),
+    ):
+        base = np.tile(total[:classes], (len(cls), 1))
+        where = np.minimum(cls, classes - 1)
+        base[at, where] -= np.where(inside, add[at, where] if add.shape[1] > 1 else add[:, 0], 0)
+        gain += sign * (_xlogx(base + add) - _xlogx(base))
+    best = gain.argmax(1)
+    stay = inside & (gain[at, best] <= gain[at, np.minimum(cls, classes - 1)] + 1e-9)
+    return np.where(stay, cls, best)
+
+
+def information(table: np.ndarray) -> float:
+    """Mutual information of adjacent classes, but for a factor and a constant that no move changes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
+
+
+def class_contexts(bigrams: DataFrame, class_of, k: int) -> DataFrame:
+    """(h, k, n): counts of each class after (k from 0) and before (from ``k``) each word, and of the word beside itself (2 * ``k``).
+
+    ``class_of(rows)`` adds ``cls`` to rows by their hash ``o``.
+    """
+    after = bigrams.filter(F.col("l") != END).select(F.col("l").alias("h"), F.col("r").alias("o"), F.lit(0).alias("k"), "n")
+    before = bigrams.filter(F.col("r") != END).select(F.col("r").alias("h"), F.col("l").alias("o"), F.lit(k).alias("k"), "n")
+    sides = class_of(after.unionAll(before)).select("h", (F.col("k") + F.col("cls")).alias("k"), "n")
+    same = bigrams.filter((F.col("l") == F.col("r")) & (F.col("l") != END)).select(F.col("l").alias("h"), F.lit(2 * k).alias("k"), "n")
+    return sides.unionAll(same).groupBy("h", "k").agg(F.sum("n").alias("n"))
+
+
+def choose(contexts: DataFrame, table: np.ndarray, classes: int, turn: int) -> DataFrame:
+    """(h, cls): the class that each word of contexts(h, cls, ks, ns) chooses against ``table``.
+
+    Words that all move at once overshoot, so after the first turn, in which all do, one of ``PARTS`` parts moves in a turn.
+    """
+    shared, k = contexts.sparkSession.sparkContext.broadcast(table), len(table)
+    schema = pa.schema([("h", pa.int64()), ("cls", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                ks, counts = b.column(2), np.zeros((b.num_rows, 2 * k + 1))
+                counts[np.repeat(np.arange(b.num_rows), np.diff(ks.offsets.to_numpy())), ks.flatten().to_numpy()] = b.column(3).flatten().to_numpy()
+                best = best_classes(shared.value, b.column(1).to_numpy().astype(np.int64), counts[:, :k], counts[:, k : 2 * k], counts[:, 2 * k], classes)
+                if turn:
+                    best = np.where(b.column(0).to_numpy() % PARTS == turn % PARTS, best, b.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.int32())], schema=schema)
+
+    return contexts.mapInArrow(run, "h long, cls int")
+
+
+def cluster(train: DataFrame, head: pa.Table, clustered: int, classes: int, scratch: Scratch, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, int]:
+    """(h, cls) of every training word, the counts of adjacent classes, and the number of word classes; the last row is the end's.
+
+    ``head`` holds (h, n) of the most frequent words in descending order.
+    """
+    spark = train.sparkSession
+    bigrams = scratch.table("bigrams", word_bigrams(train))
+    clustered = min(clustered, len(head))
+    rest, end = clustered, clustered + 1
+    small = lambda hashes, values: F.broadcast(spark.createDataFrame(pa.table({"o": pa.array(hashes, pa.int64()), "cls": pa.array(values, pa.int32())}), "o long, cls int"))
+    hashes = head.column("h").to_numpy()
+    units = small(np.r_[hashes[:clustered], END], np.r_[np.arange(clustered), end])
+    left, right = units.toDF("l", "ul"), units.toDF("r", "ur")
+    seen = bigrams.join(F.broadcast(left), "l", "left").join(F.broadcast(right), "r", "left").groupBy(F.coalesce("ul", F.lit(rest)).alias("ul"), F.coalesce("ur", F.lit(rest)).alias("ur")).agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros((clustered + 2, clustered + 2), np.int64)
+    table[seen.column("ul").to_numpy(), seen.column("ur").to_numpy()] = seen.column("n").to_numpy()
+    seed = exchange(table, clustered, classes)
+    classes = max(1, min(classes, clustered))
+    k = classes + 2  # word classes, words without a class yet, the end
+    seeds = small(np.r_[hashes[:clustered], END], np.r_[seed[:clustered], k - 1])
+
+    def seed_of(rows: DataFrame) -> DataFrame:
+        return rows.join(seeds, "o", "left").withColumn("cls", F.coalesce("cls", F.lit(classes)))
+
+    assigned, class_of, best = None, seed_of, None
+    for turn in range(rounds + 1):
+        words = class_contexts(bigrams, class_of, k).groupBy("h").agg(F.collect_list(F.struct("k", "n")).alias("x"))
+        words = seed_of(words.withColumnRenamed("h", "o")).withColumnRenamed("o", "h") if assigned is None else words.join(assigned, "h")
+        words = scratch.table(f"contexts{turn}", words.select("h", "cls", F.col("x.k").alias("ks"), F.col("x.n").alias("ns")))
+        cells = words.select("cls", F.explode(F.arrays_zip("ks", "ns")).alias("x")).groupBy("cls", F.col("x.ks").alias("k")).agg(F.sum("x.ns").alias("n")).toArrow()
+        table = np.zeros((k, 2 * k + 1))
+        table[cells.column("cls").to_numpy(), cells.column("k").to_numpy()] = cells.column("n").to_numpy()
+        pairs = table[:, :k]
+        pairs[k - 1] = table[:, k + k - 1]  # the end before a word
+        pairs[k - 1, k - 1] = bigrams.filter((F.col("l") == END) & (F.col("r") == END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        # The seed leaves words without a class, so the first full assignment is kept whatever its value.
+        if turn and best is not None and information(pairs) <= information(best[1]):
+            break
+        if turn:
+            best = assigned, pairs
+        if turn < rounds:
+            assigned = scratch.table(f"classes{turn}", choose(words, pairs, classes, turn))
+            tops = assigned.join(F.broadcast(spark.createDataFrame(pa.table({"h": pa.array(hashes, pa.int64())}), "h long")), "h").toArrow()
+            frequent = small(np.r_[tops.column("h").to_numpy(), END], np.r_[tops.column("cls").to_numpy(), k - 1])
+
+            def class_of(rows: DataFrame, frequent=frequent, assigned=assigned) -> DataFrame:
+                other = rows.join(frequent, "o", "left_anti").join(assigned.withColumnRenamed("h", "o"), "o")
+                return rows.join(frequent, "o").unionByName(other)
+
+        scratch.drop(f"contexts{turn}")
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the round, which would add up
+    scratch.drop("bigrams")
+    used = np.r_[np.arange(classes), k - 1]
+    return best[0], best[1][np.ix_(used, used)], classes
+
+
 @dataclass(frozen=True)
 class Model:
     """What scoring needs; sizes are bounded by HEAD and the number of classes."""
 
     index: dict[bytes, int]
     log_counts: np.ndarray  # log10(count + 1) of each head word
-    classes: np.ndarray  # of each head word, then of all other words
-    emit: np.ndarray  # log10 P(word | class) of each head word, then what all other words subtract
+    classes: np.ndarray  # of each head word, then what stands for a word that training lacks
+    emit: np.ndarray  # log10 P(word | class) of each head word, then 0: steps hold all of a word that training lacks
     transit: np.ndarray  # log10 P(class | previous class)
+    steps: np.ndarray  # transit, and last: P(a word that training lacks | previous class), and what follows such a word
+    log_mass: np.ndarray  # log10 of what emissions of each class are divided by; last 0, for a word that training lacks
     end_class: int
     end_log_count: float
     n_tokens: int
     n_types: int
 
 
-def train_model(docs: DataFrame, vocabulary: DataFrame, head_size: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> Model:
-    """``vocabulary`` holds (word, n) of the training documents among docs' rows given here."""
+def train(docs: DataFrame, vocabulary: DataFrame, head_size: int, clustered: int, classes: int, scratch: Scratch) -> tuple[Model, DataFrame]:
+    """The model, and (word, c, cls) of every training word. ``vocabulary`` holds (word, n) of docs."""
     n_words, n_types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head = head_of(vocabulary.orderBy(F.desc("n"), "word").limit(head_size).collect(), clustered)
-    bigrams = unit_bigrams(docs, head)
-    ends = int(bigrams[:, head.end].sum())
-    cls = exchange(bigrams, head.clustered, classes)
-    n_classes = int(cls.max()) + 1
-    member = np.zeros((head.n_units, n_classes))
-    member[np.arange(head.n_units), cls] = 1
-    pairs = member.T @ bigrams @ member
-    prior = (pairs.sum(0) + 1) / (pairs.sum() + n_classes)
-    transit = np.log10((pairs + ALPHA * prior) / (pairs.sum(1, keepdims=True) + ALPHA))
-    word_class = cls[head.units] if len(head.units) else np.zeros(0, np.int64)
-    mass = np.bincount(word_class, head.counts, n_classes) + np.bincount(word_class, minlength=n_classes) + 1
-    rest = np.log10(n_words - head.counts.sum() + n_types - len(head.counts) + 1)
-    emit = np.log10((head.counts + 1) / mass[word_class]) if len(head.counts) else np.zeros(0)
-    return Model(head.index, np.log10(head.counts + 1), np.r_[word_class, cls[head.rest]].astype(np.int64), np.r_[emit, -rest], transit, int(cls[head.end]), float(np.log10(ends + 1)), int(n_words + ends), int(n_types + (ends > 0)))
-
-
-def score(docs: DataFrame, vocabulary: DataFrame, model: Model, is_held_out) -> DataFrame:
+    hashed = vocabulary.withColumn("h", F.xxhash64("word"))
+    head = hashed.orderBy(F.desc("n"), "word").limit(head_size).toArrow()
+    assigned, pairs, classes = cluster(docs, head, clustered, classes, scratch)
+    classed = scratch.table("classed", hashed.join(assigned, "h").select("word", F.col("n").alias("c"), "cls", "h"))
+    mass = np.ones(classes)
+    for r in classed.groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("types")).collect():
+        mass[r["cls"]] = r["n"] + r["types"] + 1
+    tops = docs.sparkSession.createDataFrame(head.select(["h"]), "h long")
+    found = classed.join(F.broadcast(tops), "h").select("word", "cls").toArrow()
+    class_of = dict(zip(found.column("word").to_pylist(), found.column("cls").to_pylist(), strict=True))
+    names, counts = head.column("word").to_pylist(), head.column("n").to_numpy().astype(np.int64)
+    word_class = np.array([class_of[w] for w in names], np.int64)
+    ends = int(pairs[:, classes].sum())
+    prior = (pairs.sum(0) + 1) / (pairs.sum() + classes + 1)
+    chance = (pairs + ALPHA * prior) / (pairs.sum(1, keepdims=True) + ALPHA)
+    after = np.vstack([chance, prior])
+    steps = np.log10(np.c_[after, (after[:, :classes] / mass).sum(1)])
+    emit = np.log10(counts + 1) - np.log10(mass)[word_class]
+    return Model(
+        {w.encode(): i for i, w in enumerate(names)}, np.log10(counts + 1), np.r_[word_class, classes + 1], np.r_[emit, 0.0], np.log10(chance), steps, np.r_[np.log10(mass), 0.0, 0.0],
+        classes, float(np.log10(ends + 1)), int(n_words + ends), int(n_types + (ends > 0)),
+    ), classed.select("word", "c", "cls")
+
+
+def train_model(docs: DataFrame, vocabulary: DataFrame, head_size: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> Model:
+    return train(docs, vocabulary, head_size, clustered, classes, Scratch(docs.sparkSession))[0]
+
+
+UNKNOWN = 255  # in a document's class sequence, a word outside the head
+
+
+def score(docs: DataFrame, classed: DataFrame, model: Model, is_held_out) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = "word string, doc_id long, tag long, held_out boolean, tf long, n_tokens long, known long, head_log double, class_log double"
-    schema = pa.schema([("word", pa.string()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("held_out", pa.bool_()), ("tf", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("head_log", pa.float64()), ("class_log", pa.float64())])
+    fields = "word string, doc_id long, tag long, held_out boolean, pos int, seq binary, known long, head_log double, emit_log double"
+    schema = pa.schema([("word", pa.string()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("held_out", pa.bool_()), ("pos", pa.int32()), ("seq", pa.binary()), ("known", pa.int64()), ("head_log", pa.float64()), ("emit_log", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         get, held = m.index.get, []
+        codes = np.r_[m.classes[:-1], UNKNOWN].astype(np.uint8)
         for b in batches:
             for doc_id, is_held, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), byte_texts(b), strict=True):
                 seq = tokens(raw)
                 ids = np.array([get(w, -1) for w in seq], np.int64)
                 known = ids[ids >= 0]
-                cls = np.r_[m.end_class, m.classes[ids], m.end_class]
+                whole = np.r_[np.uint8(m.end_class), codes[ids], np.uint8(m.end_class)].astype(np.uint8).tobytes()
                 tag = xxhash.xxh3_64_intdigest(raw) >> 1
-                class_log = float(m.transit[cls[:-1], cls[1:]].sum() + m.emit[ids].sum())
                 # The document's own row has a key that no word can equal, spread over many values.
-                held.append((f" {tag % 65_536}", doc_id, tag, is_held, None, len(seq) + 1, len(known) + (m.end_log_count > 0), float(m.log_counts[known].sum()) + m.end_log_count, class_log))
-                if len(known) < len(seq):
-                    rest = Counter(w for w, i in zip(seq, ids.tolist(), strict=True) if i < 0)
-                    held.extend((w, doc_id, tag, is_held, tf, None, None, None, None) for w, tf in rest.items())
+                held.append((f" {tag % 65_536}", doc_id, tag, is_held, None, whole, len(known) + (m.end_log_count > 0), float(m.log_counts[known].sum()) + m.end_log_count, float(m.emit[known].sum())))
+                held.extend((seq[i], doc_id, tag, is_held, i + 1, None, None, None, None) for i in np.flatnonzero(ids < 0).tolist())
                 if len(held) > 30_000:
                     yield to_batch(held, schema)
                     held = []
         if held:
             yield to_batch(held, schema)
 
-    rows = text_rows(docs).withColumn("held_out", is_held_out).mapInArrow(run, fields)
-    rows = rows.join(vocabulary.withColumnRenamed("n", "c"), "word", "left")
-    copies = F.count("n_tokens")
-    rest_log = F.coalesce(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)), F.lit(0.0))
-    rest_known = F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("tf"))), F.lit(0))
-    sums = rows.groupBy("doc_id", "tag", "held_out").agg(
-        copies.alias("copies"), (F.sum("n_tokens") / copies).cast("long").alias("n_tokens"), ((F.sum("known") + rest_known) / copies).cast("long").alias("n_known"),
-        ((F.sum("head_log") + rest_log) / copies).alias("count_log"), ((F.sum("class_log") + rest_log) / copies).alias("score"),
-    )
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            n_docs, seqs, rest = b.num_rows, b.column("seq").to_pylist(), b.column("rest")
+            lengths = np.array([len(x) for x in seqs], np.int64)
+            cls, doc = np.frombuffer(b"".join(seqs), np.uint8).astype(np.int64), np.repeat(np.arange(n_docs), lengths)
+            of = np.repeat(np.arange(n_docs), np.diff(rest.offsets.to_numpy()))
+            pos, c, own = (rest.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            # Equal rows of a document give the same entries, so each place is filled alike however often.
+            at = (np.cumsum(lengths) - lengths)[of] + pos
+            cls[at] = np.where(own < 0, m.classes[-1], own)
+            logs, seen, other = np.zeros(len(cls)), np.zeros(len(cls)), np.zeros(len(cls), bool)
+            logs[at], seen[at], other[at] = np.log10(c + 1.0), c > 0, True
+            steps = np.where(doc[:-1] == doc[1:], m.steps[cls[:-1], cls[1:]], 0.0)
+            added = lambda where, values: np.bincount(where, values, n_docs)
+            rest_log = added(doc, logs)
+            class_log = added(doc[:-1], steps) + b.column("emit_log").to_numpy() + rest_log - added(doc[other], m.log_mass[cls[other]])
+            known = b.column("known").to_numpy() + added(doc, seen).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("held_out"), b.column("copies"), pa.array(lengths - 1), pa.array(known, pa.int64()), pa.array(b.column("head_log").to_numpy() + rest_log), pa.array(class_log)],
+                names=["doc_id", "held_out", "copies", "n_tokens", "n_known", "count_log", "score"],
+            )
+
+    rows = text_rows(docs).withColumn("held_out", is_held_out).mapInArrow(run, fields).join(classed, "word", "left")
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.coalesce("cls", F.lit(-1)).cast("int").alias("cls")))
+    own = [F.max(x).alias(x) for x in ("seq", "known", "head_log", "emit_log")]  # alike in equal rows
+    gathered = rows.groupBy("doc_id", "tag", "held_out").agg(F.count("seq").alias("copies"), *own, F.collect_list(entry).alias("rest"))
+    sums = gathered.mapInArrow(finish, "doc_id long, held_out boolean, copies long, n_tokens long, n_known long, count_log double, score double")
     base = F.col("count_log") - F.col("n_tokens") * F.log10(F.lit(float(model.n_tokens + model.n_types + 1)))
     one_each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return one_each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
@@ -241,6 +403,7 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: Model, is_held_out) ->
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = documents(spark, sf_dir), Scratch(spark)
     is_held = held_out(F.col("doc_id"), 7, 2)
-    train = docs.filter(~is_held)
-    vocabulary = scratch.table("vocabulary", word_counts(train))
-    return score(docs, vocabulary, train_model(train, vocabulary), is_held)
+    known = docs.filter(~is_held)
+    vocabulary = scratch.table("vocabulary", word_counts(known))
+    model, classed = train(known, vocabulary, HEAD, CLUSTERED, CLASSES, scratch)
+    return score(docs, classed, model, is_held)
