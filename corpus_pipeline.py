@@ -1,8 +1,8 @@
-"""A training corpus from raw documents in five stages, each written as Parquet and read back by the next.
+"""A training corpus from raw documents in five stages, each but the last written as Parquet and read back by the next.
 
 Quality rules clean lines and reject documents; line dedup removes repeated three-line windows and the documents it
 empties; SimHash keeps the smallest doc_id of each near-duplicate group; decontamination drops documents with too much of a
-benchmark; mixing assigns each document its words and its training position.
+benchmark; mixing assigns each document its words and its training position and returns them in training order.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op10_mixing.mix(docs)
+    return op10_mixing.all_in_order(op10_mixing.mix(docs))
 
 
 STAGES = [
@@ -56,7 +56,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.table(name, stage(spark, docs, sf_dir))
+        made = stage(spark, docs, sf_dir)
+        # The last stage is not written and read back, which would lose its order; its rows come from tables of its own.
+        docs = made if k == len(STAGES) - 1 else scratch.table(name, made)
         if k:
             scratch.drop(STAGES[k - 1][0])
     return docs

@@ -542,3 +542,9 @@ def test_positions_follow_the_schedules(spark, sf_dir):
     assert ordered == sorted(ordered)
     again = op10_mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(7))
     assert rows_of(again, "doc_id", "taken", "position") == rows_of(mixed, "doc_id", "taken", "position")
+
+
+def test_query_returns_documents_in_training_order(spark, sf_dir):
+    place = {r["doc_id"]: r["position"] for r in op10_mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    got = [place[r["doc_id"]] for r in op10_mixing.op10_mixing(spark, sf_dir).collect()]
+    assert len(got) == len(place) and got == sorted(got, key=lambda t: (t is None, t))

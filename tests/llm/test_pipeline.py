@@ -68,3 +68,8 @@ def test_mixing_stage_and_run(stages, spark, sf_dir):
     assert {r["doc_id"] for r in stages[5]} == set(texts(stages[4]))
     assert sum(r["taken"] for r in stages[5]) == pytest.approx(sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts(stages[4]).values()), abs=20)
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, stages[5]))
+
+
+def test_run_returns_documents_in_training_order(spark, sf_dir):
+    got = [r["position"] for r in corpus_pipeline.run(spark, sf_dir).collect()]
+    assert got == sorted(got, key=lambda t: (t is None, t))

@@ -4,7 +4,7 @@ Each source has a weight schedule over training time t in [0, 1]: linear, ``weig
 integral is the source's weight, which fixes the source's share of all tokens; the normalised integral
 ``(1 - slope) * t + slope * t^2`` is the fraction of the source's tokens demanded by time t. A document at cumulative
 token y of its source's demand is assigned the t at which demand reaches y, by inverting that quadratic. Range-sorting
-documents by t yields the training order.
+documents by t yields the training order, in which the query returns them, with documents of which nothing is taken at the end.
 
 Targets stop at ``max_epochs`` times a source's size; the excess is reshared by weight until none is above.
 Documents queue in the order of md5(doc_id), so reruns agree and the order owes nothing to the input's layout. A
@@ -90,8 +90,15 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return mixed.filter("taken > 0").orderBy("position", "doc_id")
 
 
+def all_in_order(mixed: DataFrame) -> DataFrame:
+    """Every document: those that are taken in training order, the others after them."""
+    # A position is not null exactly where something is taken. The others are spread by doc_id, so no task gets them all.
+    return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """Rows in training order. The position itself is not a column, as the query has those of its SQL."""
+    return all_in_order(mix(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE_SQL = r"""
