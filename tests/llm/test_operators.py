@@ -131,6 +131,21 @@ def test_quality_line_rules():
     assert not fails("A plain sentence, with commas; and one (aside) | or so.") and not fails("It costs $5 & is 10% off.")
 
 
+def test_a_mention_of_a_phrase_fails_no_running_text(spark):
+    prose = lambda k: " ".join(f"word{k}x{j}" for j in range(k))
+    one_line = f"{prose(1000)} our privacy policy {prose(997)}"
+    paragraphs = "\n".join([prose(60), f"{prose(30)} terms of use {prose(29)}", "All rights reserved."])
+    df = table(spark, [(1, one_line, "en", "a", 1), (2, paragraphs, "en", "a", 1)])
+    assert rows_of(op01_quality.clean(df), "doc_id", "text") == [(1, one_line), (2, paragraphs.rsplit("\n", 1)[0])]
+
+
+def test_boilerplate_of_each_language():
+    fails = lambda line: op01_quality.line_fails(line.encode(), len(line.split()))
+    assert fails("Alle Rechte vorbehalten.") and fails("Datenschutzerklärung und Impressum") and fails("TOUS DROITS RÉSERVÉS")
+    assert fails("Politique de confidentialité") and fails("Todos los derechos reservados") and fails("POLÍTICA DE PRIVACIDAD") and fails("© 2024 Beispiel") and fails("Conditions d’utilisation")
+    assert not fails("Die Rechte an allen Werken.") and not fails("La politique de la ville.") and not fails("Los derechos de todos.")
+
+
 def test_clean_removes_lines_and_keeps_columns(spark):
     body = "\n".join(" ".join(f"word{k}x{j}" for j in range(12)) + "." for k in range(9))
     df = table(spark, [(1, body + "\nHome | About | Login", "en", "a", 1), (2, "short", "en", "a", 1)])

@@ -1,7 +1,8 @@
 """Operator 1: line-first quality rules.
 
 Every line of a text is judged by itself: a punctuation rule (symbols or exclamation runs crowd the words), a
-navigation rule (separators split the line into menu-like pieces) and a boilerplate rule (fixed phrases). Failing
+navigation rule (separators split the line into menu-like pieces) and a boilerplate rule (fixed phrases of four
+languages in a short line, or as a fifth of a longer one; a mention in running text fails nothing). Failing
 lines are removed; a document whose removed lines held more than ``max_lost`` of its word characters is rejected.
 The base rules (fewer than 50 words, or half of the words in repeated three-word windows) reject it as well.
 
@@ -28,11 +29,23 @@ SYMBOLS = re.compile(rb"[#*$%&|<>]")
 SYMBOL_BYTES = b"#*$%&|<>"
 NAV_MARK = re.compile(rb"(?:^|\s)(?:[|/>]|\xc2\xbb|\xe2\x80\xba|\xe2\x80\xa2|\xc2\xb7)(?=\s|$)")
 SHOUT = re.compile(rb"!{2,}")
-BOILERPLATE = re.compile(
-    rb"all rights reserved|terms of (?:service|use)|privacy policy|cookie policy|accept (?:all )?cookies|"
-    rb"licensed under the|enable javascript|sign up for our newsletter|subscribe to our newsletter|"
-    rb"click here to|skip to (?:main )?content|copyright \(c\)|\xc2\xa9 ?(?:19|20)[0-9][0-9]"
+SHORT, PHRASE_SHARE = 12, 5  # a phrase fails a line of up to 12 words, or of which phrases are at least a fifth
+PHRASES = (  # English, German, French, Spanish
+    r"all rights reserved|terms of (?:service|use)|privacy policy|cookie policy|accept (?:all )?cookies|"
+    r"licensed under the|enable javascript|sign up for our newsletter|subscribe to our newsletter|"
+    r"click here to|skip to (?:main )?content|copyright \(c\)|© ?(?:19|20)[0-9][0-9]",
+    r"alle rechte vorbehalten|nutzungsbedingungen|datenschutz(?:erklärung|richtlinie)|cookie-richtlinie|cookies akzeptieren|"
+    r"lizenziert unter de[rm]|javascript aktivieren|aktivieren sie (?:bitte )?javascript|newsletter (?:abonnieren|anmelden)|"
+    r"klicken sie hier|zum (?:haupt)?inhalt springen",
+    r"tous droits réservés|conditions (?:générales )?d(?:'|’)utilisation|politique de confidentialité|politique (?:en matière de|de|des|relative aux) cookies|"
+    r"accepter (?:tous )?les cookies|distribué sous (?:la )?licence|active[rz] javascript|(?:inscrivez|abonnez)-vous à notre (?:newsletter|lettre)|"
+    r"cliquez ici|aller au contenu",
+    r"todos los derechos reservados|(?:términos|condiciones) de (?:servicio|uso)|política de (?:cookies|privacidad)|aceptar (?:todas )?las cookies|"
+    r"bajo (?:la )?licencia|(?:active|habilite) javascript|suscríb(?:ase|ete) a nuestr[ao] (?:boletín|newsletter)|"
+    r"ha(?:ga|z) clic aquí|(?:ir|saltar) al contenido",
 )
+#: Matches bytes whose A-Z are folded; other letters match in both cases.
+BOILERPLATE = re.compile(re.sub(r"[à-ÿ]", lambda m: f"(?:{m[0]}|{m[0].upper()})", "|".join(PHRASES)).encode())
 
 
 def line_fails(line: bytes, n_words: int) -> bool:
@@ -45,7 +58,8 @@ def line_fails(line: bytes, n_words: int) -> bool:
         return True
     if line.count(b"!!") >= 2 and 2 * len(SHOUT.findall(line)) >= n_words:
         return True
-    return bool(BOILERPLATE.search(line.lower()))
+    phrases = sum(len(m.split()) for m in BOILERPLATE.findall(line.lower()))  # no group captures, so these are whole matches
+    return phrases > 0 and (n_words <= SHORT or PHRASE_SHARE * phrases >= n_words)
 
 
 def repeated_words(tokens: list[bytes]) -> int:
