@@ -371,12 +371,92 @@ def test_exchange_puts_interchangeable_words_together():
 
 
 def test_model_is_a_distribution(spark, sf_dir):
-    train = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    vocabulary = Scratch(spark).table("v", op07_lm_scoring.word_counts(train))
-    m = op07_lm_scoring.train_model(train, vocabulary, head_size=500, clustered=64, classes=8)
-    assert np.allclose((10**m.transit).sum(1), 1)
-    mass = np.bincount(m.classes[:-1], 10 ** m.emit[:-1])
-    assert (mass <= 1 + 1e-9).all()
+    train, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    vocabulary = scratch.table("v", op07_lm_scoring.word_counts(train))
+    m, classed = op07_lm_scoring.train(train, vocabulary, 500, 64, 8, scratch)
+    mass = np.bincount(m.classes[:-1], 10 ** m.emit[:-1], 8)
+    for r in classed.collect():
+        mass[r["cls"]] += (r["c"] + 1) / m.mass[r["cls"]]
+    assert np.allclose(mass, 1 - 1 / m.mass)  # the rest is that of words that training lacks
+    rng = np.random.default_rng(3)
+    for pairs in (rng.integers(0, 9, (5, 5)), np.zeros((3, 3))):
+        chance, prior = op07_lm_scoring.smoothed(pairs.astype(float))
+        assert np.allclose(chance.sum(1), 1) and np.isclose(prior.sum(), 1)
+
+
+@pytest.mark.parametrize(("head_size", "clustered"), [(40, 10), (10**6, 1024)])
+def test_scores_equal_brute_force(spark, docs, head_size, clustered):
+    """Everything after the choice of classes, from the texts alone; the classes are taken from the operator."""
+    rows = [*docs[:60], (9_000, None), (9_001, ""), (9_002, "neverseen words alone"), docs[0]]
+    df, is_held, scratch = spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 3 == 0, Scratch(spark)
+    known = df.filter(~is_held)
+    vocabulary = scratch.table("v", op07_lm_scoring.word_counts(known))
+    m, classed = op07_lm_scoring.train(known, vocabulary, head_size, clustered, 6, scratch)
+    encoded = scratch.table("e", op07_lm_scoring.encode(df, classed, m, is_held))
+    got = Counter((r["doc_id"], round(r["score"], 6)) for r in op07_lm_scoring.score(encoded, m, op07_lm_scoring.transitions(encoded, m.end_class)).collect())
+
+    of = {w.decode(): int(m.classes[i]) for w, i in m.index.items()} | {r["word"]: r["cls"] for r in classed.collect()}
+    texts = [(i, split(ascii_lower(t))) for i, t in rows]
+    counts = Counter(w for i, ws in texts if i % 3 for w in ws)
+    assert of.keys() == counts.keys()
+    end = m.end_class
+    pairs = np.zeros((end + 1, end + 1))
+    for i, ws in texts:
+        if i % 3:
+            seq = [end, *(of[w] for w in ws), end]
+            np.add.at(pairs, (seq[:-1], seq[1:]), 1)
+    chance, prior = op07_lm_scoring.smoothed(pairs)
+    mass = [1 + sum(counts[w] + 1 for w in of if of[w] == c) for c in range(end)]
+    expected = []
+    for i, ws in texts:
+        total, before = 0.0, chance[end]
+        for w in ws:
+            if w in of:
+                total += math.log10(before[of[w]] * (counts[w] + 1) / mass[of[w]])
+                before = chance[of[w]]
+            else:
+                total += math.log10(sum(before[c] / mass[c] for c in range(end)))
+                before = prior
+        expected.append((i, round(total + math.log10(before[end]), 6)))
+    assert got == Counter(expected)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(-1, 3), st.integers(1, 5)), max_size=40), st.integers(1, 9))
+def test_contexts_add_up_over_batches(rows, size):
+    rows.sort(key=lambda x: x[0])
+    parts = [tuple(np.array([r[c] for r in rows[at : at + size]], np.int64) for c in range(3)) for at in range(0, len(rows), size)]
+    got = {}
+    for b in op07_lm_scoring.gathered(iter(parts), 4, lambda keys: keys + 7):
+        for r in b.to_pylist():
+            assert r["key"] not in got and r["cls"] == r["key"] + 7
+            got[r["key"]] = dict(zip(r["codes"], r["ns"], strict=True))
+    expected = {key: {} for key, _, _ in rows}
+    for key, code, n in rows:
+        if code >= 0:
+            expected[key][code] = expected[key].get(code, 0) + n
+    assert got == expected
+
+
+def test_turns_count_every_pair_with_a_head_word(spark, docs):
+    """The class table of a turn against a count over the texts, with classes dealt by hand."""
+    df = spark.createDataFrame(docs[:40], "doc_id long, text string")
+    counts = Counter(w for _, t in docs[:40] for w in split(ascii_lower(t)))
+    head = [w.encode() for w, _ in counts.most_common(30)]
+    scratch, n_head, k = Scratch(spark), len(head), 5
+    pairs = scratch.table("pairs", op07_lm_scoring.word_pairs(df, head))
+    cls = np.r_[np.arange(n_head) % 3, k - 1]
+    tail = scratch.table("tail", op07_lm_scoring.tail_contexts(pairs, n_head, 1))
+    around = scratch.table("around", op07_lm_scoring.head_contexts(pairs, tail, cls, k))
+    table = op07_lm_scoring.class_table([(around, None), (tail, spark.sparkContext.broadcast(np.r_[cls, k + cls]))], k)
+    place, expected = {w.decode(): i for i, w in enumerate(head)}, np.zeros((k, k))
+    for _, t in docs[:40]:
+        seq = ["", *split(ascii_lower(t)), ""]
+        for a, b in zip(seq, seq[1:], strict=False):
+            if (a in place or a == "") or (b in place or b == ""):
+                c = [k - 1 if x == "" else int(cls[place[x]]) if x in place else 1 for x in (a, b)]
+                expected[c[0], c[1]] += a != "" or b != ""
+    assert (table == expected).all()
 
 
 def test_each_word_chooses_the_class_of_most_information():
@@ -392,15 +472,18 @@ def test_each_word_chooses_the_class_of_most_information():
         assert value[got[w]] == pytest.approx(max(value))
 
 
-def test_rare_words_get_their_class_by_exchange(spark):
+@pytest.mark.parametrize("head_size", [1000, 12])
+def test_rare_words_get_their_class_by_exchange(spark, head_size):
     rng = np.random.default_rng(2)
     names = [[f"{side}{k}" for k in range(30)] for side in "xy"]
     pick = lambda side: names[side][min(int(rng.exponential(6)), 29)]
-    train = table(spark, [(k, " ".join(pick(j % 2) for j in range(40)), "en", "a", 1) for k in range(60)])
-    vocabulary = Scratch(spark).table("v", op07_lm_scoring.word_counts(train))
-    m = op07_lm_scoring.train_model(train, vocabulary, head_size=1000, clustered=6, classes=2)
-    found = {w.decode(): m.classes[i] for w, i in m.index.items()}
-    sides = [{found[w] for w in own if w in found} for own in names]
+    train, scratch = table(spark, [(k, " ".join(pick(j % 2) for j in range(40)), "en", "a", 1) for k in range(60)]), Scratch(spark)
+    vocabulary = scratch.table("v", op07_lm_scoring.word_counts(train))
+    m, classed = op07_lm_scoring.train(train, vocabulary, head_size, 6, 2, scratch)
+    found = {w.decode(): m.classes[i] for w, i in m.index.items()} | {r["word"]: r["cls"] for r in classed.collect()}
+    head = {w.decode() for w in m.index}  # a word that stands beside none of these has nothing to choose by
+    beside = {w for r in train.collect() for x, y in zip(s := r["text"].split(), s[1:], strict=False) for w, o in ((x, y), (y, x)) if o in head}
+    sides = [{found[w] for w in own if w in beside} for own in names]
     assert len(found) > 40 and len(sides[0]) == len(sides[1]) == 1 and sides[0] != sides[1]
 
 

@@ -2,27 +2,28 @@
 
 P(word | previous) = P(class | previous class) * P(word | class). Every training word has a class by the exchange algorithm, which
 moves a word to the class that most raises the mutual information of adjacent classes. It is seeded on the ``CLUSTERED`` most
-frequent words, one after another, in ``SWEEPS`` sweeps; then every word of the vocabulary chooses in ``ROUNDS`` rounds (all in the
-first, then each half in turn) against the class table of the round before; a round that does not raise the mutual information is not
-kept. The end of a text is a class of its own, also serving as the context of a first word. Each class keeps a count of one for words
-that training lacks; such a word has the sum of these over all classes, and what follows it has class unigrams. Transitions are
-interpolated with class unigrams (weight ``ALPHA``), emissions have one added to each count, so every text has a finite score.
-
-Scale: word counts and word bigrams cover all training documents and every word, combined per batch before the shuffle; both stay
-distributed tables. Bigrams carry words as 64-bit hashes (two words that collide would share a class, no count). A round sums each word's
-left and right class counts, broadcasts the classes x classes table, and each task chooses for its words. Frequent neighbours get their
-class from a broadcast of the HEAD words, so no join is dealt by a frequent word. Only the seed's table, (1024 + 2)^2, and class tables
-reach the driver, beside the HEAD words. In scoring the counts and classes of all other words come from a join on the word.
+frequent words, one after another, in ``SWEEPS`` sweeps; then all words of the vocabulary choose in ``TURNS`` against the class table of
+the turn before: the head words (the most frequent, ``HEAD`` at most) all at once, then the tail words, then each half of the head, then the tail again; turns that
+do not raise the information end the exchange and are taken back. The table counts every pair of adjacent words but those of two tail words.
+The end of a text is a class of its own, also serving as the context of a first word. Each class keeps a count of one for words
+that training lacks; such a word has the sum of these over all classes, and what follows it has class unigrams. Transitions count all
+training tokens and are interpolated with class unigrams by a weight that leaving one out makes most likely; emissions have one added to each count, so
+every text has a finite score.
+
+Scale: word counts cover all training texts and are combined per batch before the shuffle. Pairs of head words stay where they are
+counted; a turn adds them up per word and class, so what is shuffled is one short row per word and task. Each tail word's neighbours are gathered once, at most
+2 * HEAD + 2 different ones for a word, so no task holds an unbounded group. The tail grows with the corpus and stays a table throughout; the
+head is found by a histogram of counts and broadcast. The driver sees the head, its classes, class tables and the seed's table, (1024 + 2)^2.
+In scoring, counts and classes of tail words come from a join on the word.
 
 Defined cases: null texts are empty and have the end token alone; with no training documents all counts are
-0; equal rows of a doc_id get a row each; an empty table gives an empty result; other columns are not read.
+0; a word with tail words alone beside it has the first class; equal rows of a doc_id get a row each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,11 +34,11 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import Scratch, byte_texts, documents, held_out, text_rows, to_batch
 
-HEAD, CLUSTERED, CLASSES, SWEEPS, ROUNDS, ALPHA = 65_536, 1024, 48, 4, 3, 20.0
+HEAD, CLUSTERED, CLASSES, SWEEPS = 65_536, 1024, 48, 4
+TURNS = ("head", "tail", "even", "odd", "tail")  # who chooses: all head words, half of them, or the tail words
 FLUSH = 150_000  # distinct words that a task gathers before it hands them on
-PARTS = 2  # of the vocabulary; see choose
-PAIRS = 1_000_000  # adjacent words that a task combines at a time
-END = 0  # stands for the hash of a text's end
+PAIRS = 2_000_000  # adjacent words that a task combines at a time
+CELLS = 40_000  # classes beside words that choose side by side
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -62,49 +63,55 @@ def word_counts(train: DataFrame) -> DataFrame:
     return text_rows(train).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_hash(word: bytes) -> int:
-    """What Spark's xxhash64 gives for the word, as an unsigned number."""
-    return xxhash.xxh64_intdigest(word, 42)
-
-
-def combined(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs and their counts. Pairs that share a sort key may come out in parts, whose counts add up."""
-    order = np.argsort(left * np.uint64(0x9E3779B97F4A7C15) ^ right)
-    left, right = left[order], right[order]
-    first = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
-    return left[first].view(np.int64), right[first].view(np.int64), np.diff(np.r_[first, len(left)])
+def split_head(vocabulary: DataFrame, size: int) -> tuple[list[bytes], np.ndarray, DataFrame]:
+    """The words above the least count that at most ``size`` words reach, their counts in descending order, and (word, n) of all others."""
+    level = F.floor(F.log2("n") * 64).cast("int")
+    low, total = 64 * 64, 0
+    for r in sorted(vocabulary.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if total + r["count"] > size:
+            break
+        low, total = r["level"], total + r["count"]
+    head = vocabulary.filter(level >= low).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return [w.encode() for w in head.column("word").to_pylist()], head.column("n").to_numpy().astype(np.int64), vocabulary.filter(level < low)
 
 
-def word_bigrams(train: DataFrame) -> DataFrame:
-    """(l, r, n): hashes of adjacent words and their count over all training texts, each text within two ends."""
-    schema = pa.schema([("l", pa.int64()), ("r", pa.int64()), ("n", pa.int64())])
+def word_pairs(train: DataFrame, head: list[bytes]) -> DataFrame:
+    """Pairs of adjacent head words (h null, l, r, n), and the neighbours (h, l, r) of each tail word's occurrences.
 
-    def out(held: array) -> Iterator[pa.RecordBatch]:
-        seq = np.frombuffer(held, np.uint64)
-        # One end serves as the last of a text and the first of the next.
-        found = combined(seq[:-1], seq[1:])
-        for at in range(0, len(found[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in found], schema=schema)
+    Words are their places in the head, the end is ``len(head)``, a tail word beside a tail word is -1; h is a tail word's xxhash64. Each text
+    stands between two ends. Counts are a task's own, so a pair may have many rows.
+    """
+    shared, end = train.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(head)}), len(head)
+    schema = pa.schema([("h", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("n", pa.int32())])
+
+    def out(seq: np.ndarray, hashes: list[int]) -> Iterator[pa.RecordBatch]:
+        l, r = seq[:-1].astype(np.int64), seq[1:].astype(np.int64)  # noqa: E741
+        both = (l >= 0) & (r >= 0)
+        pair, n = np.unique(l[both] * (end + 1) + r[both], return_counts=True)
+        of = np.flatnonzero(seq < 0)
+        rows = [(None, pair // (end + 1), pair % (end + 1), n), (np.array(hashes, np.uint64).view(np.int64), seq[of - 1], seq[of + 1], np.ones(len(of)))]
+        for h, *numbers in rows:
+            for at in range(0, len(numbers[0]), 100_000):
+                cut = slice(at, at + 100_000)
+                arrays = [pa.array(x[cut].astype(np.int32)) for x in numbers]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(arrays[0]), pa.int64()) if h is None else pa.array(h[cut]), *arrays], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hashes = array("Q", [END]), {}
+        get, parts, hashes, held = shared.value.get, [np.array([end], np.int32)], [], 0
         for b in batches:
             for raw in byte_texts(b):
-                for w in tokens(raw):
-                    h = hashes.get(w)
-                    if h is None:
-                        h = hashes[w] = word_hash(w)
-                    held.append(h)
-                held.append(END)
-                if len(hashes) > FLUSH:
-                    hashes = {}
-                if len(held) > PAIRS:
-                    yield from out(held)
-                    held = array("Q", [END])
-        if len(held) > 1:
-            yield from out(held)
-
-    return text_rows(train).mapInArrow(run, "l long, r long, n long").groupBy("l", "r").agg(F.sum("n").alias("n"))
+                words = tokens(raw)
+                ids = np.array([*(get(w, -1) for w in words), end], np.int32)
+                hashes.extend(xxhash.xxh64_intdigest(words[i], 42) for i in np.flatnonzero(ids < 0).tolist())
+                parts.append(ids)
+                held += len(ids)
+                if held > PAIRS:
+                    yield from out(np.concatenate(parts), hashes)
+                    parts, hashes, held = [np.array([end], np.int32)], [], 0
+        if held:
+            yield from out(np.concatenate(parts), hashes)
+
+    return text_rows(train).mapInArrow(run, "h long, l int, r int, n int")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -200,94 +207,214 @@ def information(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
 
 
-def class_contexts(bigrams: DataFrame, class_of, k: int) -> DataFrame:
-    """(h, k, n): counts of each class after (k from 0) and before (from ``k``) each word, and of the word beside itself (2 * ``k``).
+CONTEXTS = "key long, cls int, codes array<int>, ns array<int>"
+_CONTEXT_SCHEMA = pa.schema([("key", pa.int64()), ("cls", pa.int32()), ("codes", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32()))])
 
-    ``class_of(rows)`` adds ``cls`` to rows by their hash ``o``.
-    """
-    after = bigrams.filter(F.col("l") != END).select(F.col("l").alias("h"), F.col("r").alias("o"), F.lit(0).alias("k"), "n")
-    before = bigrams.filter(F.col("r") != END).select(F.col("r").alias("h"), F.col("l").alias("o"), F.lit(k).alias("k"), "n")
-    sides = class_of(after.unionAll(before)).select("h", (F.col("k") + F.col("cls")).alias("k"), "n")
-    same = bigrams.filter((F.col("l") == F.col("r")) & (F.col("l") != END)).select(F.col("l").alias("h"), F.lit(2 * k).alias("k"), "n")
-    return sides.unionAll(same).groupBy("h", "k").agg(F.sum("n").alias("n"))
 
+def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, class_of: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row (key, cls, codes, ns) for each key of (keys, codes below ``width``, counts), which come in order of the key; a code of -1 counts nothing."""
+
+    def rows(keys: np.ndarray, codes: np.ndarray, ns: np.ndarray) -> pa.RecordBatch:
+        own, first = np.unique(keys, return_index=True)
+        solid = codes >= 0
+        offsets = np.r_[0, np.cumsum(solid)][np.r_[first, len(keys)]].astype(np.int32)
+        lists = [pa.ListArray.from_arrays(offsets, x[solid].astype(np.int32)) for x in (codes, ns)]
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(class_of(own), pa.int32()), *lists], schema=_CONTEXT_SCHEMA)
+
+    held = [np.zeros(0, np.int64)] * 3
+    for part in parts:
+        keys, codes, ns = (np.concatenate(x) for x in zip(held, part, strict=True))
+        order = np.lexsort((codes, keys))
+        keys, codes, ns = keys[order], codes[order], ns[order]
+        first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (codes[1:] != codes[:-1])][: len(keys)])
+        keys, codes, ns = keys[first], codes[first], np.add.reduceat(ns, first) if len(first) else ns
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        if cut:
+            yield rows(keys[:cut], codes[:cut], ns[:cut])
+        held = [keys[cut:], codes[cut:], ns[cut:]]
+    if len(held[0]):
+        yield rows(*held)
+
+
+def tail_contexts(pairs: DataFrame, n_head: int, unclassed: int) -> DataFrame:
+    """(key, cls, codes, ns) of each tail word: what follows it (codes are places in the head) and precedes it (n_head + 1 more)."""
+    width = n_head + 1
+
+    def parts(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            h, l, r = (b.column(i).to_numpy().astype(np.int64) for i in range(3))  # noqa: E741
+            yield np.r_[h, h], np.r_[r, np.where(l >= 0, l + width, -1)], np.ones(2 * len(h), np.int64)
 
-def choose(contexts: DataFrame, table: np.ndarray, classes: int, turn: int) -> DataFrame:
-    """(h, cls): the class that each word of contexts(h, cls, ks, ns) chooses against ``table``.
+    rows = pairs.filter("h IS NOT NULL").select("h", "l", "r").repartition("h").sortWithinPartitions("h")
+    return rows.mapInArrow(lambda batches: gathered(parts(batches), 2 * width, lambda keys: np.full(len(keys), unclassed)), CONTEXTS)
 
-    Words that all move at once overshoot, so after the first turn, in which all do, one of ``PARTS`` parts moves in a turn.
+
+def head_contexts(pairs: DataFrame, tail: DataFrame, cls: np.ndarray, k: int) -> DataFrame:
+    """(key, cls, codes, ns) of each head word: counts of classes after it (codes from 0), before it (from ``k``), and of itself beside it (2 * ``k``).
+
+    ``cls`` holds the classes of the head and the end.
     """
-    shared, k = contexts.sparkSession.sparkContext.broadcast(table), len(table)
-    schema = pa.schema([("h", pa.int64()), ("cls", pa.int32())])
+    n_head, width, shared = len(cls) - 1, 2 * k + 1, pairs.sparkSession.sparkContext.broadcast(cls)
+    schema = pa.schema([("key", pa.int64()), ("codes", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32()))])
+
+    def counted(cells: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Cells key * width + code and counts, added up and sent as a row for each key."""
+        total, held, size = np.zeros(n_head * width, np.int64), [], 0
+        for cell, n in cells:
+            held.append((cell, n))
+            size += len(cell)
+            if size > PAIRS:
+                total += np.bincount(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), len(total)).astype(np.int64)
+                held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), len(total)).astype(np.int64)
+        cell = np.flatnonzero(total)
+        key, first = np.unique(cell // width, return_index=True)
+        ends = np.r_[first, len(cell)]
+        for at in range(0, len(key), 5000):
+            stop = min(at + 5000, len(key))
+            own = slice(ends[at], ends[stop])
+            lists = [pa.ListArray.from_arrays((ends[at : stop + 1] - ends[at]).astype(np.int32), x.astype(np.int32)) for x in (cell[own] % width, total[cell[own]])]
+            yield pa.RecordBatch.from_arrays([pa.array(key[at:stop]), *lists], schema=schema)
+
+    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+
+        def cells():
+            for b in batches:
+                l, r, n = (b.column(i).to_numpy().astype(np.int64) for i in range(3))  # noqa: E741
+                a, z, same = l < n_head, r < n_head, (l == r) & (l < n_head)
+                yield l[a] * width + of[r[a]], n[a]
+                yield r[z] * width + k + of[l[z]], n[z]
+                yield l[same] * width + 2 * k, n[same]
+
+        return counted(cells())
+
+    def of_tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells():
+            for b in batches:
+                codes = b.column("codes")
+                own = np.repeat(b.column("cls").to_numpy(), np.diff(codes.offsets.to_numpy())).astype(np.int64)
+                flat, n = codes.flatten().to_numpy().astype(np.int64), b.column("ns").flatten().to_numpy().astype(np.int64)
+                place, before = flat % (n_head + 1), flat > n_head
+                some = place < n_head
+                # What follows the tail word has it on its left, and the other way round.
+                yield (place * width + np.where(before, 0, k) + own)[some], n[some]
+
+        return counted(cells())
+
+    def parts(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            codes = b.column(1)
+            yield np.repeat(b.column(0).to_numpy(), np.diff(codes.offsets.to_numpy())), codes.flatten().to_numpy().astype(np.int64), b.column(2).flatten().to_numpy().astype(np.int64)
+
+    fields = "key long, codes array<int>, ns array<int>"
+    rows = pairs.filter("h IS NULL").select("l", "r", "n").mapInArrow(of_pairs, fields).unionAll(tail.mapInArrow(of_tail, fields))
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: gathered(parts(batches), width, lambda keys: shared.value[keys]), CONTEXTS)
+
+
+def dense(b: pa.RecordBatch, columns: np.ndarray | None, width: int) -> np.ndarray:
+    """Counts of classes beside each word of contexts; ``columns`` gives the cell of each code."""
+    codes, out = b.column("codes"), np.zeros((b.num_rows, width))
+    flat = codes.flatten().to_numpy()
+    np.add.at(out, (np.repeat(np.arange(b.num_rows), np.diff(codes.offsets.to_numpy())), flat if columns is None else columns[flat]), b.column("ns").flatten().to_numpy())
+    return out
+
+
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of contexts with about CELLS entries."""
+    sizes = np.cumsum(np.diff(b.column("codes").offsets.to_numpy()) + 1)
+    cuts = np.r_[0, 1 + np.flatnonzero(np.diff(sizes // CELLS)), b.num_rows]
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield b.slice(low, high - low)
+
+
+def class_table(contexts: list[tuple[DataFrame, object]], k: int) -> np.ndarray:
+    """Counts of adjacent classes, the last being the end's, from contexts and the broadcast cells of their codes (or None)."""
+
+    def adder(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((k, k))
+            for b in batches:
+                for part in slices(b):
+                    counts, cls = dense(part, shared and shared.value, 2 * k + 1), part.column("cls").to_numpy()
+                    np.add.at(total, cls, counts[:, :k])
+                    np.add.at(total[k - 1], cls, counts[:, 2 * k - 1])
+            cell = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total.ravel()[cell].astype(np.int64))], names=["cell", "n"])
+
+        return run
+
+    sides = [df.mapInArrow(adder(shared), "cell long, n long") for df, shared in contexts]
+    rows = sides[0]
+    for more in sides[1:]:
+        rows = rows.unionAll(more)
+    table = np.zeros(k * k)
+    found = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return table.reshape(k, k)
+
+
+def choose(contexts: DataFrame, shared, table: np.ndarray, classes: int, half: int | None = None) -> DataFrame:
+    """Contexts with the class that each word chooses against ``table``; with ``half``, only words whose key has that remainder move."""
+    k, seen = len(table), contexts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                b = whole.slice(at, 200)
-                ks, counts = b.column(2), np.zeros((b.num_rows, 2 * k + 1))
-                counts[np.repeat(np.arange(b.num_rows), np.diff(ks.offsets.to_numpy())), ks.flatten().to_numpy()] = b.column(3).flatten().to_numpy()
-                best = best_classes(shared.value, b.column(1).to_numpy().astype(np.int64), counts[:, :k], counts[:, k : 2 * k], counts[:, 2 * k], classes)
-                if turn:
-                    best = np.where(b.column(0).to_numpy() % PARTS == turn % PARTS, best, b.column(1).to_numpy())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.int32())], schema=schema)
-
-    return contexts.mapInArrow(run, "h long, cls int")
+            for b in slices(whole):
+                cls, counts = b.column("cls").to_numpy().astype(np.int64), dense(b, shared and shared.value, 2 * k + 1)
+                best = best_classes(seen.value, cls, counts[:, :k], counts[:, k : 2 * k], counts[:, 2 * k], classes)
+                if half is not None:
+                    best = np.where(b.column("key").to_numpy() % 2 == half, best, cls)
+                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(best, pa.int32()), b.column("codes"), b.column("ns")], schema=_CONTEXT_SCHEMA)
 
+    return contexts.mapInArrow(run, CONTEXTS)
 
-def cluster(train: DataFrame, head: pa.Table, clustered: int, classes: int, scratch: Scratch, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, int]:
-    """(h, cls) of every training word, the counts of adjacent classes, and the number of word classes; the last row is the end's.
 
-    ``head`` holds (h, n) of the most frequent words in descending order.
-    """
-    spark = train.sparkSession
-    bigrams = scratch.table("bigrams", word_bigrams(train))
-    clustered = min(clustered, len(head))
+def cluster(train: DataFrame, head: list[bytes], clustered: int, classes: int, scratch: Scratch, turns: tuple[str, ...] = TURNS) -> tuple[np.ndarray, DataFrame, int]:
+    """Class of each head word, (key, cls) of all others by their hash, and the number of classes."""
+    sc, n_head = train.sparkSession.sparkContext, len(head)
+    pairs = scratch.table("pairs", word_pairs(train, head))
+    clustered = min(clustered, n_head)
     rest, end = clustered, clustered + 1
-    small = lambda hashes, values: F.broadcast(spark.createDataFrame(pa.table({"o": pa.array(hashes, pa.int64()), "cls": pa.array(values, pa.int32())}), "o long, cls int"))
-    hashes = head.column("h").to_numpy()
-    units = small(np.r_[hashes[:clustered], END], np.r_[np.arange(clustered), end])
-    left, right = units.toDF("l", "ul"), units.toDF("r", "ur")
-    seen = bigrams.join(F.broadcast(left), "l", "left").join(F.broadcast(right), "r", "left").groupBy(F.coalesce("ul", F.lit(rest)).alias("ul"), F.coalesce("ur", F.lit(rest)).alias("ur")).agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((clustered + 2, clustered + 2), np.int64)
-    table[seen.column("ul").to_numpy(), seen.column("ur").to_numpy()] = seen.column("n").to_numpy()
-    seed = exchange(table, clustered, classes)
+    unit = lambda c: F.when(F.col(c) == n_head, end).otherwise(F.least(F.col(c), F.lit(rest)))
+    seen = pairs.filter("h IS NULL").groupBy(unit("l").alias("a"), unit("r").alias("b")).agg(F.sum("n").alias("n")).toArrow()
+    units = np.zeros((clustered + 2, clustered + 2), np.int64)
+    units[seen.column("a").to_numpy(), seen.column("b").to_numpy()] = seen.column("n").to_numpy()
+    seed = exchange(units, clustered, classes)
     classes = max(1, min(classes, clustered))
     k = classes + 2  # word classes, words without a class yet, the end
-    seeds = small(np.r_[hashes[:clustered], END], np.r_[seed[:clustered], k - 1])
-
-    def seed_of(rows: DataFrame) -> DataFrame:
-        return rows.join(seeds, "o", "left").withColumn("cls", F.coalesce("cls", F.lit(classes)))
-
-    assigned, class_of, best = None, seed_of, None
-    for turn in range(rounds + 1):
-        words = class_contexts(bigrams, class_of, k).groupBy("h").agg(F.collect_list(F.struct("k", "n")).alias("x"))
-        words = seed_of(words.withColumnRenamed("h", "o")).withColumnRenamed("o", "h") if assigned is None else words.join(assigned, "h")
-        words = scratch.table(f"contexts{turn}", words.select("h", "cls", F.col("x.k").alias("ks"), F.col("x.n").alias("ns")))
-        cells = words.select("cls", F.explode(F.arrays_zip("ks", "ns")).alias("x")).groupBy("cls", F.col("x.ks").alias("k")).agg(F.sum("x.ns").alias("n")).toArrow()
-        table = np.zeros((k, 2 * k + 1))
-        table[cells.column("cls").to_numpy(), cells.column("k").to_numpy()] = cells.column("n").to_numpy()
-        pairs = table[:, :k]
-        pairs[k - 1] = table[:, k + k - 1]  # the end before a word
-        pairs[k - 1, k - 1] = bigrams.filter((F.col("l") == END) & (F.col("r") == END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        # The seed leaves words without a class, so the first full assignment is kept whatever its value.
-        if turn and best is not None and information(pairs) <= information(best[1]):
-            break
-        if turn:
-            best = assigned, pairs
-        if turn < rounds:
-            assigned = scratch.table(f"classes{turn}", choose(words, pairs, classes, turn))
-            tops = assigned.join(F.broadcast(spark.createDataFrame(pa.table({"h": pa.array(hashes, pa.int64())}), "h long")), "h").toArrow()
-            frequent = small(np.r_[tops.column("h").to_numpy(), END], np.r_[tops.column("cls").to_numpy(), k - 1])
-
-            def class_of(rows: DataFrame, frequent=frequent, assigned=assigned) -> DataFrame:
-                other = rows.join(frequent, "o", "left_anti").join(assigned.withColumnRenamed("h", "o"), "o")
-                return rows.join(frequent, "o").unionByName(other)
-
-        scratch.drop(f"contexts{turn}")
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the round, which would add up
-    scratch.drop("bigrams")
-    used = np.r_[np.arange(classes), k - 1]
-    return best[0], best[1][np.ix_(used, used)], classes
+    cls = np.r_[seed[:clustered], np.full(n_head - clustered, classes), k - 1].astype(np.int64)
+    tail = scratch.table("tail", tail_contexts(pairs, n_head, classes))
+    sc._jvm.System.gc()  # lets Spark delete shuffle files that are done with, which would add up
+
+    def read(turn: int) -> tuple[DataFrame, object, np.ndarray]:
+        around = scratch.table(f"head{turn}", head_contexts(pairs, tail, cls, k))
+        columns = sc.broadcast(np.r_[cls, k + cls])
+        return around, columns, class_table([(around, None), (tail, columns)], k)
+
+    before, old = None, []
+    for turn, who in enumerate(turns):
+        around, columns, table = read(turn)
+        if before is not None and turns[turn - 1] in ("even", "odd") and information(table) <= before[0]:
+            cls = before[1]  # half of the head made it worse; what follows starts from what was
+            around, columns, table = read(turn)
+        before = information(table), cls
+        if who == "tail":
+            name = f"tail{turn}"
+            tail = scratch.table(name, choose(tail, columns, table, classes))
+            scratch.drop(*old)
+            old = [name]
+        else:
+            half = {"even": 0, "odd": 1}.get(who)
+            moved = choose(around, None, table, classes, half).select("key", "cls").toArrow()
+            cls = cls.copy()
+            cls[moved.column("key").to_numpy()] = moved.column("cls").to_numpy()
+            cls[:n_head][cls[:n_head] >= classes] = 0
+        scratch.drop(f"head{turn}")
+        sc._jvm.System.gc()
+    scratch.drop("pairs")
+    return cls[:n_head], tail.select("key", "cls"), classes
 
 
 @dataclass(frozen=True)
@@ -298,9 +425,7 @@ class Model:
     log_counts: np.ndarray  # log10(count + 1) of each head word
     classes: np.ndarray  # of each head word, then what stands for a word that training lacks
     emit: np.ndarray  # log10 P(word | class) of each head word, then 0: steps hold all of a word that training lacks
-    transit: np.ndarray  # log10 P(class | previous class)
-    steps: np.ndarray  # transit, and last: P(a word that training lacks | previous class), and what follows such a word
-    log_mass: np.ndarray  # log10 of what emissions of each class are divided by; last 0, for a word that training lacks
+    mass: np.ndarray  # what emissions of each class are divided by
     end_class: int
     end_log_count: float
     n_tokens: int
@@ -308,41 +433,26 @@ class Model:
 
 
 def train(docs: DataFrame, vocabulary: DataFrame, head_size: int, clustered: int, classes: int, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """The model, and (word, c, cls) of every training word. ``vocabulary`` holds (word, n) of docs."""
+    """The model but for its transitions, and (word, c, cls) of every tail word. ``vocabulary`` holds (word, n) of docs."""
     n_words, n_types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    hashed = vocabulary.withColumn("h", F.xxhash64("word"))
-    head = hashed.orderBy(F.desc("n"), "word").limit(head_size).toArrow()
-    assigned, pairs, classes = cluster(docs, head, clustered, classes, scratch)
-    classed = scratch.table("classed", hashed.join(assigned, "h").select("word", F.col("n").alias("c"), "cls", "h"))
-    mass = np.ones(classes)
+    head, counts, others = split_head(vocabulary, head_size)
+    cls, tail, classes = cluster(docs, head, clustered, classes, scratch)
+    classed = scratch.table("classed", others.withColumn("key", F.xxhash64("word")).join(tail, "key").select("word", F.col("n").alias("c"), "cls"))
+    mass = 1 + np.bincount(cls, counts + 1, classes)
     for r in classed.groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("types")).collect():
-        mass[r["cls"]] = r["n"] + r["types"] + 1
-    tops = docs.sparkSession.createDataFrame(head.select(["h"]), "h long")
-    found = classed.join(F.broadcast(tops), "h").select("word", "cls").toArrow()
-    class_of = dict(zip(found.column("word").to_pylist(), found.column("cls").to_pylist(), strict=True))
-    names, counts = head.column("word").to_pylist(), head.column("n").to_numpy().astype(np.int64)
-    word_class = np.array([class_of[w] for w in names], np.int64)
-    ends = int(pairs[:, classes].sum())
-    prior = (pairs.sum(0) + 1) / (pairs.sum() + classes + 1)
-    chance = (pairs + ALPHA * prior) / (pairs.sum(1, keepdims=True) + ALPHA)
-    after = np.vstack([chance, prior])
-    steps = np.log10(np.c_[after, (after[:, :classes] / mass).sum(1)])
-    emit = np.log10(counts + 1) - np.log10(mass)[word_class]
+        mass[r["cls"]] += r["n"] + r["types"]
+    ends = docs.count()
     return Model(
-        {w.encode(): i for i, w in enumerate(names)}, np.log10(counts + 1), np.r_[word_class, classes + 1], np.r_[emit, 0.0], np.log10(chance), steps, np.r_[np.log10(mass), 0.0, 0.0],
+        {w: i for i, w in enumerate(head)}, np.log10(counts + 1), np.r_[cls, classes + 1], np.r_[np.log10(counts + 1) - np.log10(mass)[cls], 0.0], mass,
         classes, float(np.log10(ends + 1)), int(n_words + ends), int(n_types + (ends > 0)),
-    ), classed.select("word", "c", "cls")
-
-
-def train_model(docs: DataFrame, vocabulary: DataFrame, head_size: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> Model:
-    return train(docs, vocabulary, head_size, clustered, classes, Scratch(docs.sparkSession))[0]
+    ), classed
 
 
 UNKNOWN = 255  # in a document's class sequence, a word outside the head
 
 
-def score(docs: DataFrame, classed: DataFrame, model: Model, is_held_out) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)."""
+def encode(docs: DataFrame, classed: DataFrame, model: Model, is_held_out) -> DataFrame:
+    """(doc_id, held_out, copies, n_tokens, n_known, count_log, emit_log, seq): each text's classes, and the sums that need no transitions."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = "word string, doc_id long, tag long, held_out boolean, pos int, seq binary, known long, head_log double, emit_log double"
     schema = pa.schema([("word", pa.string()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("held_out", pa.bool_()), ("pos", pa.int32()), ("seq", pa.binary()), ("known", pa.int64()), ("head_log", pa.float64()), ("emit_log", pa.float64())])
@@ -369,41 +479,90 @@ def score(docs: DataFrame, classed: DataFrame, model: Model, is_held_out) -> Dat
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        log_mass = np.r_[np.log10(m.mass), 0.0, 0.0]
         for b in batches:
             n_docs, seqs, rest = b.num_rows, b.column("seq").to_pylist(), b.column("rest")
             lengths = np.array([len(x) for x in seqs], np.int64)
-            cls, doc = np.frombuffer(b"".join(seqs), np.uint8).astype(np.int64), np.repeat(np.arange(n_docs), lengths)
+            cls = np.frombuffer(b"".join(seqs), np.uint8).copy()
             of = np.repeat(np.arange(n_docs), np.diff(rest.offsets.to_numpy()))
             pos, c, own = (rest.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
             # Equal rows of a document give the same entries, so each place is filled alike however often.
-            at = (np.cumsum(lengths) - lengths)[of] + pos
+            at, once = np.unique((np.cumsum(lengths) - lengths)[of] + pos, return_index=True)
+            of, c, own = of[once], c[once], own[once]
             cls[at] = np.where(own < 0, m.classes[-1], own)
-            logs, seen, other = np.zeros(len(cls)), np.zeros(len(cls)), np.zeros(len(cls), bool)
-            logs[at], seen[at], other[at] = np.log10(c + 1.0), c > 0, True
-            steps = np.where(doc[:-1] == doc[1:], m.steps[cls[:-1], cls[1:]], 0.0)
-            added = lambda where, values: np.bincount(where, values, n_docs)
-            rest_log = added(doc, logs)
-            class_log = added(doc[:-1], steps) + b.column("emit_log").to_numpy() + rest_log - added(doc[other], m.log_mass[cls[other]])
-            known = b.column("known").to_numpy() + added(doc, seen).astype(np.int64)
+            logs = np.log10(c + 1.0)
+            added = lambda values: np.bincount(of, values, n_docs)
+            rest_log, known = added(logs), b.column("known").to_numpy() + added(c > 0).astype(np.int64)
+            emit_log = b.column("emit_log").to_numpy() + rest_log - added(log_mass[cls[at]])
+            whole, ends = cls.tobytes(), np.cumsum(lengths)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), b.column("copies"), pa.array(lengths - 1), pa.array(known, pa.int64()), pa.array(b.column("head_log").to_numpy() + rest_log), pa.array(class_log)],
-                names=["doc_id", "held_out", "copies", "n_tokens", "n_known", "count_log", "score"],
+                [b.column("doc_id"), b.column("held_out"), b.column("copies"), pa.array(lengths - 1), pa.array(known, pa.int64()), pa.array(b.column("head_log").to_numpy() + rest_log), pa.array(emit_log), pa.array([whole[e - n : e] for e, n in zip(ends, lengths, strict=True)], pa.binary())],
+                names=["doc_id", "held_out", "copies", "n_tokens", "n_known", "count_log", "emit_log", "seq"],
             )
 
     rows = text_rows(docs).withColumn("held_out", is_held_out).mapInArrow(run, fields).join(classed, "word", "left")
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.coalesce("cls", F.lit(-1)).cast("int").alias("cls")))
     own = [F.max(x).alias(x) for x in ("seq", "known", "head_log", "emit_log")]  # alike in equal rows
-    gathered = rows.groupBy("doc_id", "tag", "held_out").agg(F.count("seq").alias("copies"), *own, F.collect_list(entry).alias("rest"))
-    sums = gathered.mapInArrow(finish, "doc_id long, held_out boolean, copies long, n_tokens long, n_known long, count_log double, score double")
+    by_text = rows.groupBy("doc_id", "tag", "held_out").agg(F.count("seq").alias("copies"), *own, F.collect_list(entry).alias("rest"))
+    return by_text.mapInArrow(finish, "doc_id long, held_out boolean, copies long, n_tokens long, n_known long, count_log double, emit_log double, seq binary")
+
+
+def transitions(encoded: DataFrame, classes: int) -> np.ndarray:
+    """Counts of adjacent classes over the training texts; the last class is the end's."""
+    k = classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k)
+        for b in batches:
+            for seq, copies in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                cls = np.frombuffer(seq, np.uint8).astype(np.int64)
+                total += copies * np.bincount(cls[:-1] * k + cls[1:], minlength=k * k)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell].astype(np.int64))], names=["cell", "n"])
+
+    found = encoded.filter("NOT held_out").select("seq", "copies").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(k * k)
+    table[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return table.reshape(k, k)
+
+
+def smoothed(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(class | previous class) and P(class): class unigrams are mixed in by the weight under which each pair, left out of its own count, is most likely."""
+    prior = (pairs.sum(0) + 1) / (pairs.sum() + len(pairs))
+    i, j = np.nonzero(pairs)
+    n, total = pairs[i, j], pairs.sum(1)[i]
+    chance = lambda weight: float((n * np.log((n - 1 + weight * prior[j]) / (total - 1 + weight))).sum())
+    weight = max((2.0**x for x in range(-2, 31)), key=chance)
+    return (pairs + weight * prior) / (pairs.sum(1, keepdims=True) + weight), prior
+
+
+def score(encoded: DataFrame, model: Model, pairs: np.ndarray) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity), a row for each copy."""
+    chance, prior = smoothed(pairs)
+    after = np.vstack([chance, prior])  # what follows a word that training lacks has class unigrams
+    steps = np.c_[np.log10(after), np.log10((after[:, :-1] / model.mass).sum(1))]  # the last column is such a word itself
+    shared = encoded.sparkSession.sparkContext.broadcast(steps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = [np.frombuffer(x, np.uint8) for x in b.column("seq").to_pylist()]
+            moved = np.array([shared.value[x[:-1], x[1:]].sum() for x in of])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(b.column("emit_log").to_numpy() + moved, pa.float64())], names=["doc_id", "held_out", "copies", "n_tokens", "n_known", "count_log", "score"])
+
+    sums = encoded.mapInArrow(run, "doc_id long, held_out boolean, copies long, n_tokens long, n_known long, count_log double, score double")
     base = F.col("count_log") - F.col("n_tokens") * F.log10(F.lit(float(model.n_tokens + model.n_types + 1)))
     one_each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return one_each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = documents(spark, sf_dir), Scratch(spark)
-    is_held = held_out(F.col("doc_id"), 7, 2)
-    known = docs.filter(~is_held)
+def score_by_classes(docs: DataFrame, is_held_out, head_size: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> DataFrame:
+    """Scores of all documents by a model of those that are not held out."""
+    scratch, known = Scratch(docs.sparkSession), docs.filter(~is_held_out)
     vocabulary = scratch.table("vocabulary", word_counts(known))
-    model, classed = train(known, vocabulary, HEAD, CLUSTERED, CLASSES, scratch)
-    return score(docs, classed, model, is_held)
+    model, classed = train(known, vocabulary, head_size, clustered, classes, scratch)
+    encoded = scratch.table("encoded", encode(docs, classed, model, is_held_out))
+    return score(encoded, model, transitions(encoded, model.end_class))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_by_classes(documents(spark, sf_dir), held_out(F.col("doc_id"), 7, 2))
