@@ -2,8 +2,9 @@
 
 A window is 20 consecutive words. A word is removed if it lies in a window whose word sequence also starts earlier.
 
-Copies come first: a document of 20 words or more whose whole word sequence (a 128-bit hash of it) has a smaller doc_id loses all
-words and takes part in nothing else. No first start of a window lies in such a document.
+Copies come first: a document of 20 words or more whose whole word sequence (a 128-bit hash of it) has an earlier place is a candidate copy, whose
+windows need no counting, as no first start lies in it. It is compared word for word with the first such document before it loses its words; were
+they to differ, the job would fail rather than remove them.
 
 1. Anchors narrow the search: of the 15 six-word grams of each window the one with the least hash, the leftmost of equals, is its anchor.
    The choice depends on the window's words alone, so equal windows have equal anchors, and windows whose anchor is found
@@ -14,13 +15,15 @@ words and takes part in nothing else. No first start of a window lies in such a
    the texts that hold them first, and all documents of the block stream through it once. It finds the passages' anchors, and the words around
    them are compared, so each occurrence is exact; those that are not the first one remove their words.
 
+No hash alone removes a word: each one is followed by a comparison of the words. Hashes are not polynomials, under which texts of a regular build would collide.
+
 Scale: the shards together hold each passage once for each block it occurs in, so they grow with the repeated text and not with
-documents times passages; a shard is bounded by the block, whose number follows the corpus. Counts combine before the shuffle. A passage that a third of
+documents times passages; a shard is bounded by the block, whose number follows the corpus, and a task handles about BLOCKS_A_TASK of them. Counts combine before the shuffle. A passage that a third of
 all documents share is one row for each block. Documents without a recurring anchor skip steps 2 and 3.
 
 Defined cases: null and empty texts have no words (digest of the empty string); fewer than 20 words are never removed; rows
-that share a doc_id and a text get equal results, judged as one document (a doc_id names one text; rows that share it but not the text
-are not told apart); a null doc_id has no place among the others, so such a
+that share a doc_id and a text get equal results, judged as one document; rows that share a doc_id but not the text are documents of their own, in the order of a
+hash of the text; a null doc_id has no place among the others, so such a
 row neither loses words nor takes any from others; an empty table gives an empty result; other columns are not read.
 """
 
@@ -28,11 +31,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,15 +43,9 @@ from threadloom.llm.common import Scratch, byte_texts, documents, text_rows, to_
 
 WINDOW, GRAM = 20, 6
 BLOCK_WORDS = 400_000
-PIECE, FACTOR = 1 << 20, 0xD1342543DE82EF95
-
-
-@cache
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """FACTOR^i and FACTOR^-i mod 2^64 for i below ``size``."""
-    ahead, back = (np.full(size, f, np.uint64) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
-    ahead[0] = back[0] = 1
-    return np.multiply.accumulate(ahead), np.multiply.accumulate(back)
+BLOCKS_A_TASK = 16
+PIECE = 1 << 20
+LONG_WORD = 512  # bytes; longer words are hashed one by one
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -60,7 +57,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
-BYTE_VALUES = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)))
+LANE_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Words:
@@ -83,19 +80,25 @@ class Words:
         self.texts = np.repeat(np.arange(len(column)), np.diff(self.bounds))
 
     def hashes(self) -> np.ndarray:
-        ahead, back = powers(max(1 << 20, 1 << len(self.data).bit_length()))
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[self.data] * ahead[: len(self.data)], out=sums[1:])
-        return mixed((sums[self.ends] - sums[self.starts]) * back[self.starts])
+        """A 64-bit hash of each word, eight bytes at a time; words of up to eight bytes and equal length never collide."""
+        sizes = self.ends - self.starts
+        padded = np.r_[self.data, np.zeros(8, np.uint8)]
+        lanes = np.ndarray(len(self.data) + 1, np.dtype("<u8"), padded, 0, (1,))
+        out = mixed(sizes.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+        open_, at = np.flatnonzero(sizes <= LONG_WORD), 0
+        while len(open_):
+            left = sizes[open_] - at
+            lane = lanes[self.starts[open_] + at] & LANE_MASKS[np.minimum(left, 8)]
+            out[open_] = mixed((out[open_] ^ lane) * np.uint64(0xD1342543DE82EF95))
+            open_, at = open_[left > 8], at + 8
+        for i in np.flatnonzero(sizes > LONG_WORD):
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes())
+        return out
 
     def digests(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of each text's whole sequence of words."""
-        ahead, back = powers(max(1 << 20, 1 << len(hashes).bit_length()))
-        out = []
-        for values in (hashes, mixed(hashes + np.uint64(FACTOR))):
-            sums = np.r_[np.uint64(0), np.cumsum(values * ahead[: len(values)], dtype=np.uint64)]
-            out.append(mixed((sums[self.bounds[1:]] - sums[self.bounds[:-1]]) * back[self.bounds[:-1]]).view(np.int64))
-        return out[0], out[1]
+        """Two halves of a 128-bit hash of each text's whole sequence of words."""
+        found = [xxhash.xxh3_128_intdigest(hashes[low:high].tobytes()) for low, high in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True)]
+        return tuple(np.array([x >> shift & (1 << 64) - 1 for x in found], np.uint64).view(np.int64) for shift in (64, 0))
 
     def windows(self) -> np.ndarray:
         """Words that start a window of their text."""
@@ -108,18 +111,19 @@ class Words:
 
 
 def rolled(hashes: np.ndarray, size: int, factor: int) -> np.ndarray:
-    """Polynomial hash of each ``size`` consecutive words, by doubling."""
+    """Hash of each ``size`` consecutive words, by doubling; mixed at each step, so that it is no polynomial."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out, done, part, width = None, 0, hashes, 1
+    joined = lambda left, right: mixed(left * np.uint64(factor) + right)
     while True:
         if size & width:
-            out = part[:n].copy() if out is None else out * np.uint64(pow(factor, width, 1 << 64)) + part[done : done + n]
+            out = part[:n].copy() if out is None else joined(out, part[done : done + n])
             done += width
         if 2 * width > size:
             return mixed(out)
-        part = part[:-width] * np.uint64(pow(factor, width, 1 << 64)) + part[width:]
+        part = joined(part[:-width], part[width:])
         width *= 2
 
 
@@ -159,30 +163,38 @@ def stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
+KEY = ["doc_id", "tag"]  # a document: its id, and a hash of its text to tell apart rows that share the id
+
+
+def keyed(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("tag", F.xxhash64("text"))
+
+
 def digest_rows(texts: DataFrame) -> DataFrame:
-    """(doc_id, d1, d2, n_words) of each document that has a window."""
-    schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n_words", pa.int64())])
+    """(doc_id, tag, d1, d2, n_words) of each document that has a window."""
+    names = ("doc_id", "tag", "d1", "d2", "n_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             words = Words(b.column(1))
             n = np.diff(words.bounds)
             some = np.flatnonzero(n >= WINDOW)
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (b.column(0).to_numpy(), *words.digests(words.hashes()), n)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (b.column(0).to_numpy(), b.column(2).to_numpy(), *words.digests(words.hashes()), n)], names=names)
 
-    return texts.mapInArrow(run, "doc_id long, d1 long, d2 long, n_words long")
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def later_copies(texts: DataFrame) -> DataFrame:
-    """doc_id of each document whose whole sequence of words, 20 or more, is that of a smaller doc_id."""
+    """(doc_id, tag, first): each document whose whole sequence of words, 20 or more, seems to be that of an earlier one, its first such (doc_id, tag)."""
     rows, key = digest_rows(texts), ["d1", "d2", "n_words"]
-    first = rows.groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc").drop("last_doc")
-    return rows.join(first, key).filter("doc_id > first_doc").select("doc_id")
+    place = F.struct(*KEY)
+    first = rows.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
+    return rows.join(first, key).filter(place > F.col("first")).select(*KEY, "first")
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
-    """(h, doc_id, digest, again): anchors of each document, its digest, and whether it has the anchor in two places."""
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("again", pa.bool_())])
+    """(h, doc_id, tag, digest, again): anchors of each document, its digest, and whether it has the anchor in two places."""
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("digest", pa.int64()), ("again", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -196,45 +208,47 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
             same = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
             first = np.flatnonzero(np.r_[True, ~same][: len(h)])
             again = np.r_[same, False][first]
-            arrays = (h[first], b.column(0).to_numpy()[text[first]], words.digests(hashes)[0][text[first]], again)
+            arrays = (h[first], *(b.column(c).to_numpy()[text[first]] for c in (0, 2)), words.digests(hashes)[0][text[first]], again)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], schema=schema)
 
-    return texts.mapInArrow(run, "h long, doc_id long, digest long, again boolean")
+    return texts.mapInArrow(run, "h long, doc_id long, tag long, digest long, again boolean")
 
 
 def candidate_texts(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """All documents with their result, or their text and the stretches (low, high, low, high, ...) of windows whose anchor recurs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("stretches", pa.list_(pa.int32()))])
+    """All documents with their result, or their text with what it may repeat: the stretches (low, high, low, high, ...) of windows whose anchor recurs, or its first copy."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("stretches", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            words = Words(b.column(1))
+            words = Words(b.column(2))
             grams, at = anchors(words.hashes())
             starts, n = words.windows(), len(words.starts)
             # Whether an anchor recurs is a fact of the corpus, so the texts' lists can be united.
-            flags, listed = np.zeros(n, bool), b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            flags[starts] = listed[words.texts[starts]] & np.isin(grams[at[starts]], np.unique(b.column(2).flatten().to_numpy(zero_copy_only=False)).view(np.uint64))
+            flags, listed = np.zeros(n, bool), b.column(3).is_valid().to_numpy(zero_copy_only=False)
+            flags[starts] = listed[words.texts[starts]] & np.isin(grams[at[starts]], np.unique(b.column(3).flatten().to_numpy(zero_copy_only=False)).view(np.uint64))
             low, high = stretches(flags)  # never over two texts, whose last windows start 19 words before the end
             of, rows = words.texts[low], []
             own = np.searchsorted(of, np.arange(len(b) + 1))
-            for i, (doc_id, copy, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), byte_texts(b), strict=True)):
+            for i, (doc_id, tag, first, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist(), byte_texts(b), strict=True)):
                 count = int(words.bounds[i + 1] - words.bounds[i])
-                if copy:
-                    rows.append((doc_id, count, count, hashlib.sha256(b"").hexdigest(), None, None))
+                if first is not None:
+                    rows.append((doc_id, tag, count, None, raw, None, first))
                 elif own[i] == own[i + 1]:
-                    rows.append((doc_id, count, 0, hashlib.sha256(b" ".join(raw.split())).hexdigest(), None, None))
+                    rows.append((doc_id, tag, count, hashlib.sha256(b" ".join(raw.split())).hexdigest(), None, None, None))
                 else:
                     ends = np.stack([low[own[i] : own[i + 1]], high[own[i] : own[i + 1]]], axis=1).ravel() - words.bounds[i]
-                    rows.append((doc_id, count, None, None, raw, ends.astype(np.int32)))
-            yield to_batch(rows, schema)
+                    rows.append((doc_id, tag, count, None, raw, ends.astype(np.int32), None))
+            yield to_batch(rows, schema.append(pa.field("first", b.column(4).type)))
 
-    joined = texts.join(found.withColumnRenamed("doc_id", "found_doc"), texts["doc_id"] == F.col("found_doc"), "left").select("doc_id", "text", "anchors", "copy")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, stretches array<int>")
+    fields = "doc_id long, tag long, n_words long, kept_sha256 string, text string, stretches array<int>, first struct<doc_id: long, tag: long>"
+    found = found.select(*(F.col(c).alias(f"found_{c}") for c in KEY), "anchors", "first")
+    joined = texts.join(found, (texts["doc_id"] == F.col("found_doc_id")) & (texts["tag"] == F.col("found_tag")), "left").select(*KEY, "text", "anchors", "first")
+    return joined.mapInArrow(run, fields)
 
 
 def window_rows(held: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id, start, block) of each window whose anchor recurs."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("block", pa.int32())])
+    """(h1, h2, doc_id, tag, start, block) of each window whose anchor recurs."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("block", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -246,45 +260,46 @@ def window_rows(held: DataFrame) -> DataFrame:
             np.add.at(marks, ends[:, 1], -1)
             at = np.flatnonzero(np.cumsum(marks[:-1], dtype=np.int8))
             text = words.texts[at]
-            arrays = (first[at], second[at], b.column(0).to_numpy(zero_copy_only=False)[text], (at - words.bounds[text]).astype(np.int32), b.column(3).to_numpy(zero_copy_only=False)[text])
+            doc_id, tag, block = (b.column(c).to_numpy(zero_copy_only=False)[text] for c in (0, 3, 4))
+            arrays = (first[at], second[at], doc_id, tag, (at - words.bounds[text]).astype(np.int32), block)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], schema=schema)
 
-    return held.select("doc_id", "text", "stretches", "block").mapInArrow(run, "h1 long, h2 int, doc_id long, start int, block int")
+    return held.filter("stretches IS NOT NULL").select("doc_id", "text", "stretches", "tag", "block").mapInArrow(run, "h1 long, h2 int, doc_id long, tag long, start int, block int")
 
 
 def passages(held: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(block, doc_id, start, phrase, cuts): for each block, the stretches of first places whose windows are found in it.
+    """(block, doc_id, tag, start, phrase, cuts): for each block, the stretches of first places whose windows are found in it.
 
-    ``cuts`` holds, for each anchor of the phrase, its place and the first of the windows that have it.
+    ``cuts`` holds, for each anchor of the phrase, its place and the first of the windows that have it. ``wanted`` has a row (document, block, starts) for
+    each block that a document's first places are found in; without starts the whole text is wanted, to compare copies with.
     """
-    schema = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("phrase", pa.string()), ("cuts", pa.list_(pa.int32()))])
+    schema = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("phrase", pa.string()), ("cuts", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            words, rows, doc_ids = Words(b.column(1)), [], b.column(0).to_pylist()
+            words, rows = Words(b.column(1)), []
             at = anchors(words.hashes())[1]
-            places = b.column(2)
-            flat = places.flatten()
-            starts, blocks = flat.field("start").to_numpy(zero_copy_only=False) + np.repeat(words.bounds[:-1], pc.list_value_length(places).to_numpy(zero_copy_only=False)), flat.field("blocks")
-            starts, blocks = np.repeat(starts, pc.list_value_length(blocks).to_numpy(zero_copy_only=False)), blocks.flatten().to_numpy(zero_copy_only=False)
-            order = np.lexsort((starts, blocks))
-            starts, blocks = starts[order], blocks[order]
-            edges = np.flatnonzero((np.diff(starts) != 1) | (np.diff(blocks) != 0) | (np.diff(words.texts[starts]) != 0)) + 1
-            for low, high in zip(np.r_[0, edges].tolist() if len(starts) else [], np.r_[edges, len(starts)].tolist(), strict=False):
-                first, last = int(starts[low]), int(starts[high - 1])
-                own = at[first : last + 1]
-                turns = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
-                cuts = np.stack([own[turns] - first, turns], axis=1).ravel().astype(np.int32)
-                text = words.texts[first]
-                rows.append((int(blocks[low]), doc_ids[text], first - int(words.bounds[text]), words.between(first, last + WINDOW - 1), cuts))
+            for i, (doc_id, tag, block, starts) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True)):
+                base = int(words.bounds[i])
+                if starts is None:
+                    rows.append((block, doc_id, tag, 0, words.between(base, int(words.bounds[i + 1]) - 1), None))
+                    continue
+                own = np.sort(np.array(starts, np.int64)) + base
+                edges = np.r_[0, np.flatnonzero(np.diff(own) != 1) + 1, len(own)].tolist()
+                for low, high in zip(edges[:-1], edges[1:], strict=True):
+                    first, last = int(own[low]), int(own[high - 1])
+                    places = at[first : last + 1]
+                    turns = np.r_[0, np.flatnonzero(np.diff(places)) + 1]
+                    cuts = np.stack([places[turns] - first, turns], axis=1).ravel().astype(np.int32)
+                    rows.append((block, doc_id, tag, first - base, words.between(first, last + WINDOW - 1), cuts))
                 if len(rows) > 2000:
                     yield to_batch(rows, schema)
                     rows = []
             if rows:
                 yield to_batch(rows, schema)
 
-    joined = held.select("doc_id", "text").dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("doc_id", "text", "places")
-    return joined.mapInArrow(run, "block int, doc_id long, start int, phrase string, cuts array<int>")
+    joined = held.select(*KEY, "text").dropDuplicates(KEY).join(wanted, KEY).select("doc_id", "text", "tag", "block", "starts")
+    return joined.mapInArrow(run, "block int, doc_id long, tag long, start int, phrase string, cuts array<int>")
 
 
 class Shard:
@@ -296,9 +311,10 @@ class Shard:
 
     def __init__(self):
         self.codes: dict[bytes, str] = {}
-        self.phrases: list[tuple[int, int, list[bytes]]] = []
+        self.phrases: list[tuple[tuple[int, int], int, list[bytes]]] = []
+        self.whole: dict[tuple[int, int], list[bytes]] = {}
         self.anchors: dict[str, list[tuple[int, int, int, int]]] = {}
-        self.tables: dict[str, dict[tuple, tuple[int, int]]] = {}
+        self.tables: dict[str, dict[tuple, tuple]] = {}
         self.automaton = None
 
     def code(self, word: bytes) -> str:
@@ -308,10 +324,14 @@ class Shard:
             found = self.codes[word] = chr(n >> 14) + chr(n >> 7 & 127) + chr(n & 127)
         return found
 
-    def add(self, doc_id: int, start: int, phrase: bytes, cuts: list[int]) -> None:
+    def add(self, document: tuple[int, int], start: int, phrase: bytes, cuts: list[int] | None) -> None:
+        """A passage of a document, or without ``cuts`` its whole text."""
         tokens = phrase.split()
+        if cuts is None:
+            self.whole[document] = tokens
+            return
         number = len(self.phrases)
-        self.phrases.append((doc_id, start, tokens))
+        self.phrases.append((document, start, tokens))
         for place, low, high in zip(cuts[::2], cuts[1::2], [*cuts[3::2], len(tokens) - WINDOW + 1], strict=True):  # windows low..high-1 share an anchor
             key = "".join(map(self.code, tokens[place : place + GRAM]))
             self.anchors.setdefault(key, []).append((number, place, low, high))
@@ -324,18 +344,18 @@ class Shard:
             self.automaton.add_word(key, key)
         self.automaton.make_automaton()
 
-    def table(self, key: str) -> dict[tuple, tuple[int, int]]:
+    def table(self, key: str) -> dict[tuple, tuple]:
         """Windows of an anchor that many passages share, by their words: one look-up in place of many comparisons."""
         found = self.tables.get(key)
         if found is None:
             found = self.tables[key] = {}
             for number, _, low, high in self.anchors[key]:
-                doc_id, start, tokens = self.phrases[number]
+                document, start, tokens = self.phrases[number]
                 for k in range(low, high):
-                    found[tuple(tokens[k : k + WINDOW])] = (doc_id, start + k)
+                    found[tuple(tokens[k : k + WINDOW])] = (document, start + k)
         return found
 
-    def occurrences(self, tokens: list[bytes]) -> Iterator[tuple[int, int, tuple[int, int]]]:
+    def occurrences(self, tokens: list[bytes]) -> Iterator[tuple[int, int, tuple]]:
         """(first start, last start + 1, first place of the first start) of occurrences of passages' windows."""
         get, n = self.codes.get, len(tokens)
         for end, key in self.automaton.iter("".join([get(w, "\0\0\0") for w in tokens])):
@@ -351,23 +371,27 @@ class Shard:
                         yield k, k + 1, first
                 continue
             for number, own, low, high in shared:
-                doc_id, start, phrase = self.phrases[number]
+                document, start, phrase = self.phrases[number]
                 shift = place - own
                 if low + shift >= 0 and tokens[low + shift : high + shift + WINDOW - 1] == phrase[low : high + WINDOW - 1]:
-                    yield low + shift, high + shift, (doc_id, start + low)
+                    yield low + shift, high + shift, (document, start + low)
                     continue
                 for k in range(max(low, -shift), high):
                     if tokens[k + shift : k + shift + WINDOW] == phrase[k : k + WINDOW]:
-                        yield k + shift, k + shift + 1, (doc_id, start + k)
-
-    def removed(self, doc_id: int, tokens: list[bytes]) -> np.ndarray:
-        """Mask of the words inside occurrences that are not the first one."""
+                        yield k + shift, k + shift + 1, (document, start + k)
+
+    def removed(self, document: tuple[int, int], tokens: list[bytes], first: tuple[int, int] | None) -> np.ndarray:
+        """Mask of the words inside occurrences that are not the first one; all of them in a copy of ``first``."""
+        if first is not None:
+            if self.whole[first] != tokens:
+                raise ValueError(f"documents {document[0]} and {first[0]} have equal hashes and different words")
+            return np.ones(len(tokens), bool)
         mask = np.zeros(len(tokens), bool)
         if self.anchors:
             if self.automaton is None:
                 self.compile()
-            for low, high, first in self.occurrences(tokens):
-                if first != (doc_id, low):
+            for low, high, place in self.occurrences(tokens):
+                if place != (document, low):
                     mask[low : high + WINDOW - 1] = True
         return mask
 
@@ -375,7 +399,7 @@ class Shard:
 def streamed(held: DataFrame, phrases: DataFrame, n_blocks: int) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of the documents that may hold repeats.
 
-    Rows of a block arrive in one task, its passages before its documents, and are handled as they come.
+    Rows of a block arrive in one task, its passages before its documents, and are handled as they come; a task may have many blocks.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
@@ -383,46 +407,49 @@ def streamed(held: DataFrame, phrases: DataFrame, n_blocks: int) -> DataFrame:
         shard, current = Shard(), None
         for b in batches:
             rows = []
-            for block, is_doc, doc_id, start, cuts, raw in zip(*(b.column(i).to_pylist() for i in range(5)), byte_texts(b), strict=True):
+            for block, is_doc, doc_id, tag, start, cuts, first, raw in zip(*(b.column(i).to_pylist() for i in range(7)), byte_texts(b), strict=True):
                 if block != current:
                     shard, current = Shard(), block
                 if not is_doc:
-                    shard.add(doc_id, start, raw, cuts)
+                    shard.add((doc_id, tag), start, raw, cuts)
                     continue
                 tokens = raw.split()
-                mask = shard.removed(doc_id, tokens)
+                mask = shard.removed((doc_id, tag), tokens, first and (first["doc_id"], first["tag"]))
                 kept = b" ".join(w for w, gone in zip(tokens, mask.tolist(), strict=True) if not gone)
                 rows.append((doc_id, len(tokens), int(mask.sum()), hashlib.sha256(kept).hexdigest(), kept))
             if rows:
                 yield to_batch(rows, schema)
 
-    both = phrases.select("block", F.lit(False).alias("is_doc"), "doc_id", "start", "cuts", F.col("phrase").alias("text"))
-    both = both.unionByName(held.select("block", F.lit(True).alias("is_doc"), "doc_id", F.lit(0).alias("start"), F.lit(None).cast("array<int>").alias("cuts"), "text"))
-    dealt = both.repartition(max(n_blocks, 1), "block").sortWithinPartitions("block", "is_doc")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    both = phrases.select("block", F.lit(False).alias("is_doc"), *KEY, "start", "cuts", nothing("struct<doc_id: long, tag: long>").alias("first"), F.col("phrase").alias("text"))
+    both = both.unionByName(held.select("block", F.lit(True).alias("is_doc"), *KEY, F.lit(0).alias("start"), nothing("array<int>").alias("cuts"), "first", "text"))
+    tasks = max(min(n_blocks, held.sparkSession.sparkContext.defaultParallelism), n_blocks // BLOCKS_A_TASK)
+    dealt = both.repartition(tasks, "block").sortWithinPartitions("block", "is_doc")
     return dealt.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def dedup_substrings(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept): kept is null where nothing can have been removed."""
     scratch = Scratch(docs.sparkSession)
-    texts = text_rows(docs)
+    texts = keyed(text_rows(docs))
     named = texts.filter("doc_id IS NOT NULL")
-    copies = later_copies(named).select("doc_id", F.lit(None).cast("long").alias("h"), F.lit(True).alias("copy"))
+    copies = later_copies(named).select(*KEY, F.lit(None).cast("long").alias("h"), "first")
     grams = anchor_rows(named)
     by_anchor = grams.groupBy("h").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.max("again").alias("again"))
     recurring = scratch.table("recurring", by_anchor.filter("again OR least <> most").select("h"))
-    marks = grams.join(recurring, "h", "left_semi").select("doc_id", "h", F.lit(False).alias("copy")).unionByName(copies)
-    found = scratch.table("found", marks.groupBy("doc_id").agg(F.collect_set("h").alias("anchors"), F.max("copy").alias("copy")))
+    marks = grams.join(recurring, "h", "left_semi").select(*KEY, "h", F.lit(None).cast("struct<doc_id: long, tag: long>").alias("first")).unionByName(copies)
+    found = scratch.table("found", marks.groupBy(*KEY).agg(F.collect_set("h").alias("anchors"), F.max("first").alias("first")))
     held_or_done = scratch.table("candidates", candidate_texts(texts, found))
     scratch.drop("recurring", "found")
     words = held_or_done.filter("text IS NOT NULL").agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     n_blocks = 1 + words // block_words
     held = held_or_done.filter("text IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
-    counted = window_rows(held).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.collect_set("block").alias("blocks"))
-    wanted = counted.filter("n > 1").select("first.doc_id", "first.start", "blocks")
-    wanted = scratch.table("wanted", wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "blocks")).alias("places")))
-    phrases = scratch.table("phrases", passages(held, wanted))
-    done = held_or_done.filter("text IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256", F.when(F.col("n_removed") > 0, "").alias("kept"))
+    counted = window_rows(held).groupBy("h1", "h2").agg(F.min(F.struct(*KEY, "start")).alias("at"), F.count(F.lit(1)).alias("n"), F.collect_set("block").alias("blocks"))
+    shared = counted.filter("n > 1").select("at.doc_id", "at.tag", "at.start", F.explode("blocks").alias("block"))
+    whole = held.filter("first IS NOT NULL").select("first.doc_id", "first.tag", "block", F.lit(None).cast("array<int>").alias("starts")).distinct()
+    wanted = scratch.table("wanted", shared.groupBy(*KEY, "block").agg(F.collect_list("start").alias("starts")).unionByName(whole))
+    phrases = scratch.table("phrases", passages(keyed(text_rows(docs)), wanted))
+    done = held_or_done.filter("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
     return streamed(held, phrases, int(n_blocks)).unionByName(done)
 
 
