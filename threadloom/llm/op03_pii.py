@@ -7,7 +7,9 @@ kinds (email, ip, card, phone) are reported whatever their score, as their contr
 (iban, ssn) are reported at ``THRESHOLD`` or more, so a bare ddd-dd-dddd counts only where the context supports it.
 
 Places come from the text between matches: a text split at the matches has one part more than there are matches, and
-running sums of both give starts and ends, in code points. Possessive quantifiers and the ``\G`` alternative keep the search
+running sums of both give starts and ends, in code points. The sums run inside stretches of ``STRETCH`` matches, each starting where the
+stretch before ends, and only confirmed matches are gathered, so the cost is linear in the matches (but for one number a stretch). Context stops at the
+neighbouring match of the kind, so it needs no search in the text either. Possessive quantifiers and the ``\G`` alternative keep the search
 linear on endless runs of digits or letters, with the same matches.
 
 Scale: one pass and no shuffle; a text without a kind's telltale character is never searched for that kind.
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import documents, text_rows
 
 NEAR, THRESHOLD = 40, 0.5
+STRETCH = 256
 #: Proposals. A match that may not start inside a run starts at the run's beginning or where the last match ended.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -89,33 +92,46 @@ def confirmed(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a plain expression inside a lambda function would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def proposals(kind: str, text: Column) -> Column:
-    """Array of (start, match) for each match of the kind's expression, in order."""
+    """Array of (start, match, before, after) for each confirmed match of the kind's expression, in order; before and after are the text up to the next matches."""
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    gaps = F.split(text, PATTERNS[kind], -1)
-    both = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("start"), x["m"].alias("match")))).alias("out"),
-    )
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    sides = lambda g: F.zip_with(F.slice(g, F.lit(1), F.size(g) - 1), F.slice(g, F.lit(2), F.size(g) - 1), lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+    around = let(F.split(text, PATTERNS[kind], -1), sides)
+    both = F.zip_with(found, around, lambda m, x: F.struct(m.alias("match"), x["before"].alias("before"), x["after"].alias("after")))
+    kept = lambda x: confirmed(kind, without_words(x["match"]) if kind == "iban" else x["match"])
+    length = lambda x: F.length(x["before"]) + F.length(x["match"])
+    placed = lambda at, x: F.array(F.struct((at + F.length(x["before"])).alias("start"), x["match"].alias("match"), x["before"].alias("before"), x["after"].alias("after")))
+    step = lambda acc, x: F.struct((acc["at"] + length(x)).alias("at"), F.when(kept(x), F.concat(acc["out"], placed(acc["at"], x))).otherwise(acc["out"]).alias("out"))
+    empty = F.array().cast("array<struct<start:int,match:string,before:string,after:string>>")
+    inside = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def by_stretches(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / STRETCH).cast("int")), lambda k: F.slice(x, k * STRETCH + 1, STRETCH))
+        sums = lambda ps: F.transform(ps, lambda part: F.aggregate(part, F.lit(0), lambda a, y: a + length(y)))
+        starts = lambda ps: F.aggregate(sums(ps), F.array(F.lit(0)), lambda a, y: F.concat(a, F.array(F.element_at(a, -1) + y)))
+        return let(parts, lambda ps: F.flatten(F.zip_with(ps, F.slice(starts(ps), F.lit(1), F.size(ps)), inside)))
+
+    return let(both, lambda x: F.when(F.size(x) <= STRETCH, inside(x, F.lit(0))).otherwise(by_stretches(x)))
 
 
 def spans(kind: str, text: Column) -> Column:
     """Array of (kind, start, end, score) of the confirmed spans that are reported."""
 
     def scored(x: Column) -> Column:
-        around = F.lower(F.substring(text, F.greatest(x["start"] + 1 - NEAR, F.lit(1)), F.length(x["match"]) + 2 * NEAR))
+        after = F.substring(x["after"], 1, NEAR)
+        around = F.lower(F.concat(F.substring(x["before"], -NEAR, NEAR), x["match"], after))
+        match = without_words(x["match"]) if kind == "iban" else x["match"]
         raised = F.when(around.rlike(rf"(?<![a-z])(?:{RAISING[kind]})"), 0.3).otherwise(0.0)
         lowered = F.when(around.rlike(rf"(?<![a-z])(?:{LOWERING[kind]})"), 0.3).otherwise(0.0)
         score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + raised - lowered)
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["match"])).alias("end"), score.alias("score"))
+        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(match)).alias("end"), score.alias("score"))
 
-    proposed = proposals(kind, text)
-    if kind == "iban":
-        proposed = F.transform(proposed, lambda x: F.struct(x["start"].alias("start"), without_words(x["match"]).alias("match")))
-    held = F.transform(F.filter(proposed, lambda x: confirmed(kind, x["match"])), scored)
+    held = F.transform(proposals(kind, text), scored)
     held = held if kind in BASE else F.filter(held, lambda x: x["score"] >= THRESHOLD)
     return F.when(text.rlike(TELLTALE[kind]), held).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
@@ -131,7 +147,10 @@ def joined(*kinds: str) -> Column:
     return F.array_join(F.concat(*texts), ",")
 
 
-def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(documents(spark, sf_dir))
+def op3_columns(found: DataFrame) -> DataFrame:
     counts = (F.size(k).cast("long").alias(f"n_{k}") for k in BASE)
     return found.select("doc_id", *counts, F.sha2(joined(*BASE).cast("binary"), 256).alias("base_sha256"), joined(*PATTERNS).alias("spans"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_columns(find(documents(spark, sf_dir)))
