@@ -7,13 +7,14 @@ document. Every line that a repeated window covers is removed, windows being jud
 occurrence stays, so a passage of three or more lines is left once.
 
 Scale: only window hashes and places are shuffled to find repeats, the count and the first place per hash being
-combined on the map side; places of hashes seen once never go further. The join back is on a hash that may be hot, with
-one row per hash on the other side, so AQE can split it. Covered places are merged per document.
+combined on the map side; places of hashes seen once never go further. Hashes that hold a ``HOT``-th of all windows or more are ``HOT`` at most, so
+they are broadcast and meet their windows where those are; the join of all others has no key above that share. Covered places are merged per document.
 
 Defined cases: null text gives n_lines 0 and stays null; fewer than three lines are never removed; rows of one
 doc_id are told apart by nothing but their text, so copies of a row count as one document and each gets its result;
 rows without a doc_id keep their text and take nothing from others;
-an empty table gives an empty result; extra columns pass through ``dedup_lines``.
+an empty table gives an empty result; extra columns pass through ``dedup_lines``, whose n_lines and n_removed take the place of
+columns so named.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import Scratch, documents
 
 WINDOW = 3
+HOT = 2000
 
 
 def _trimmed(line: Column) -> Column:
@@ -47,16 +49,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.size("lines") - WINDOW),
         lambda i: F.struct(F.xxhash64(*(at(i, j) for j in range(WINDOW))).alias("h"), F.xxhash64(F.lit("second"), *(at(i, j) for j in range(WINDOW))).alias("g"), i.cast("int").alias("line")),
     )
-    windows = Scratch(docs.sparkSession).table("windows", lines.select("doc_id", F.inline(keys)))
-    first = windows.groupBy("h", "g").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = windows.join(first, ["h", "g"])
-    # Inside the first document the earliest line is the kept one; elsewhere every window is a repeat.
-    other = later.filter("doc_id > first_doc").select("doc_id", "line")
-    own = later.filter("doc_id = first_doc")
-    kept = own.groupBy("h", "g").agg(F.min("line").alias("kept"))
-    again = own.join(kept, ["h", "g"]).filter("line > kept").select("doc_id", "line")
+    scratch = Scratch(docs.sparkSession)
+    windows = scratch.table("windows", lines.select("doc_id", F.inline(keys)))
+    place = F.struct("doc_id", "line")
+    first = scratch.table("first", windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    hot = first.filter(F.col("n") * HOT >= windows.count())
+    later = windows.join(F.broadcast(hot), ["h", "g"]).unionByName(windows.join(F.broadcast(hot), ["h", "g"], "left_anti").join(first, ["h", "g"]))
+    later = later.filter((F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") > F.col("first.line")))).select("doc_id", "line")
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_list("line"), lambda i: F.sequence(i, i + WINDOW - 1)))))
-    return other.unionByName(again).groupBy("doc_id").agg(covered.alias("covered"))
+    return later.groupBy("doc_id").agg(covered.alias("covered"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
