@@ -8,6 +8,9 @@ lower-cased, with the vocabulary's word-start mark; characters that are in no pi
 Piece probabilities come from expectation maximisation: forward and backward sums give each piece's expected count in the
 training words of each language, in ``ROUNDS`` rounds from uniform pieces, with add-half smoothing.
 
+Words are never cut, however long. So that long ones don't underflow, the forward sums that are still in use are brought back to 1 every ``RESCALE`` letters, their
+logarithm being kept; expected counts of long words are summed as logarithms.
+
 Training reads a documented sample: about ``SAMPLE`` = 1500 training documents of each language, all of them where
 there are fewer, chosen by a hash of the doc_id against the language's count. All documents are scored, on whole texts.
 
@@ -22,6 +25,7 @@ other columns (lang and source too) are never read when predicting.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,11 +40,10 @@ from threadloom.llm.common import Scratch, arrow_rows, documents, held_out, to_b
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
-SAMPLE, ROUNDS, CACHE_WORDS, MAX_WORD = 1500, 3, 300_000, 64
+SAMPLE, ROUNDS, CACHE_WORDS, RESCALE = 1500, 3, 300_000, 16
 BLOCK = 500  # texts whose new words are scored side by side
 WORD = re.compile(r"[^\W\d_]+")
 FLOOR = 1e-9  # of a character that is in no piece
-IMPOSSIBLE = -700.0  # logarithm of what underflows
 
 
 def public_pieces(path: str = VOCABULARY) -> list[str]:
@@ -51,9 +54,10 @@ def public_pieces(path: str = VOCABULARY) -> list[str]:
     return sorted({model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))})
 
 
-def pieces_of(word: str) -> list[str]:
-    """Words beyond MAX_WORD letters are cut into stretches, so that one endless word costs linear time."""
-    return [START + word[:MAX_WORD], *(word[i : i + MAX_WORD] for i in range(MAX_WORD, len(word), MAX_WORD))]
+def added(x: float, y: float) -> float:
+    """log(exp(x) + exp(y))"""
+    low, high = (x, y) if x < y else (y, x)
+    return high + math.log1p(math.exp(low - high)) if low > -math.inf else high
 
 
 class Lattice:
@@ -96,9 +100,7 @@ class Lattice:
         """
         if self.automaton is None:
             self.compile()
-        parts = [pieces_of(w) for w in words]
-        owner = np.repeat(np.arange(len(words)), [*map(len, parts)])
-        parts = list(chain.from_iterable(parts))
+        parts = [START + w for w in words]
         text, sizes = "\n".join(parts), np.array([*map(len, parts)], np.int64)
         first = np.cumsum(sizes + 1) - sizes - 1
         found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
@@ -109,38 +111,61 @@ class Lattice:
         alone[first[1:] - 1] = False
         lone = np.flatnonzero(alone)
         start, size, piece = np.r_[last + 1 - size, lone], np.r_[size, np.ones(len(lone), np.int64)], np.r_[piece, np.full(len(lone), len(self.table))]
-        step = ((start - np.repeat(first, sizes + 1)[start]) * (self.longest + 1) + size).astype(np.int32)
+        step = ((start - np.repeat(first, sizes + 1)[start]) * (self.longest + 1) + size)
         order = np.argsort(step, kind="stable")
         start, size, piece, step = start[order], size[order], piece[order], step[order]
         edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
         sums = np.zeros((len(text) + 1, self.n))
         sums[first] = 1.0
+        out, scaled = np.zeros((len(words), self.n)), RESCALE
         for low, high in zip(edges[:-1], edges[1:], strict=True):  # in the order of starts, so sums[start] is complete
             s = start[low:high]
+            if step[low] >= scaled * (self.longest + 1):
+                self.rescale(sums, first, sizes, scaled, out)
+                scaled += RESCALE
             sums[s + size[low]] += sums[s] * self.rows[piece[low:high]]
-        end = sums[first + sizes]
-        logs = np.where(end > 0, np.log(np.where(end > 0, end, 1.0)), IMPOSSIBLE)
-        out = np.zeros((len(words), self.n))
-        np.add.at(out, owner, logs)
-        return out
+        return out + np.log(sums[first + sizes])
+
+    def rescale(self, sums: np.ndarray, first: np.ndarray, sizes: np.ndarray, at: int, logs: np.ndarray) -> None:
+        """Divides the sums from place ``at`` on, of words that reach it, by the greatest of them and adds its logarithm to ``logs``."""
+        long = np.flatnonzero(sizes >= at)
+        reach = np.minimum(sizes[long] - at, self.longest) + 1  # no arc has passed further
+        owner, begin = np.repeat(np.arange(len(long)), reach), np.cumsum(reach) - reach
+        place = np.arange(len(owner)) - begin[owner] + (first[long] + at)[owner]
+        most = np.maximum.reduceat(sums[place], begin, axis=0)
+        sums[place] /= most[owner]
+        logs[long] += np.log(most)
 
     def expected(self, word: str, k: int) -> dict[str, float]:
         """Expected count of each piece in one language's segmentations of a word."""
+        part, out = START + word, {}
+        arcs = self.arcs(part)
+        if len(part) > RESCALE:
+            return self.expected_by_logarithms(part, arcs, k)
+        ahead, back = [0.0] * (len(part) + 1), [0.0] * (len(part) + 1)
+        ahead[0] = back[-1] = 1.0
+        for i, j, p in arcs:
+            ahead[j] += ahead[i] * p[k]
+        for i, j, p in reversed(arcs):
+            back[i] += p[k] * back[j]
+        for i, j, p in arcs:
+            if p is not self.floor:
+                piece = part[i:j]
+                out[piece] = out.get(piece, 0.0) + ahead[i] * p[k] * back[j] / ahead[-1]
+        return out
+
+    def expected_by_logarithms(self, part: str, arcs: list, k: int) -> dict[str, float]:
         out: dict[str, float] = {}
-        for part in pieces_of(word):
-            arcs = self.arcs(part)
-            ahead, back = [0.0] * (len(part) + 1), [0.0] * (len(part) + 1)
-            ahead[0] = back[-1] = 1.0
-            for i, j, p in arcs:
-                ahead[j] += ahead[i] * p[k]
-            for i, j, p in reversed(arcs):
-                back[i] += p[k] * back[j]
-            total = ahead[-1]
-            if total > 0:
-                for i, j, p in arcs:
-                    if p is not self.floor:
-                        piece = part[i:j]
-                        out[piece] = out.get(piece, 0.0) + ahead[i] * p[k] * back[j] / total
+        ahead, back = [-math.inf] * (len(part) + 1), [-math.inf] * (len(part) + 1)
+        ahead[0] = back[-1] = 0.0
+        for i, j, p in arcs:
+            ahead[j] = added(ahead[j], ahead[i] + math.log(p[k]))
+        for i, j, p in reversed(arcs):
+            back[i] = added(back[i], math.log(p[k]) + back[j])
+        for i, j, p in arcs:
+            if p is not self.floor:
+                piece = part[i:j]
+                out[piece] = out.get(piece, 0.0) + math.exp(ahead[i] + math.log(p[k]) + back[j] - ahead[-1])
         return out
 
 
