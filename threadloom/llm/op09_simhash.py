@@ -8,16 +8,17 @@ v gives the mask of positions whose vector has an even product with v. Three dif
 three dimensions, so some v is orthogonal to all of them: its mask leaves the pair's differences out, and the
 pair has equal masked values in that table. No pair within the radius is missed, whatever the data.
 
-Scale: copies reduce to one row per fingerprint first. A bucket of two is decided by one XOR. Members of a larger
-bucket meet in one task as 16-byte numbers; components there are grown breadth-first, each fingerprint being compared
+Scale: copies reduce to one row per fingerprint first. A bucket of two is decided by one XOR. A bucket of more than ``CROWD`` is
+split by masks again, over the 32 bits that its own mask leaves free, with the same guarantee; 16 bits stay free then, so that no such part
+holds more than 65,536 fingerprints, whatever the data. Members of a smaller bucket or part meet in one task as 16-byte numbers; components there are grown breadth-first, each fingerprint being compared
 only with those not reached yet, and each is linked to its component's root, so a bucket of n gives fewer
 than n links and never its pairs. Components over all buckets follow from star contraction on the
 deduplicated links. Connected components need no more links than these: each link between different fingerprints lies
 inside some bucket, and in a bucket linked fingerprints share a root.
 
 Defined cases: a null, empty or blank text has fingerprint zero, linked like any other; fewer than three words make one
-shingle; rows of equal text or doc_id keep a row each; a null doc_id takes the component of its fingerprint's other
-rows, or null; an empty table gives an empty result; other columns are not read.
+shingle; rows of equal text or doc_id keep a row each; a null doc_id takes the smallest doc_id of its component, or null
+if none has one; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,19 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import Scratch, byte_texts, documents, text_rows
 from threadloom.llm.components import components
 
 RADIUS, SHINGLE, SEED, BITS = 3, 3, 42, 64
+CROWD = 10_000
 
 
-def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
-    """The covering masks, as unsigned integers. Position i has vector i mod 2^(radius+1), each used alike."""
-    width = radius + 1
-    return [sum(1 << i for i in range(bits) if (i % 2**width & v).bit_count() % 2) for v in range(1, 2**width)]
+def masks(kept: int = 0, radius: int = RADIUS, bits: int = BITS) -> list[int]:
+    """Covering masks over the bits that ``kept`` leaves free, each with ``kept``, as unsigned integers. The i-th free position has vector i mod 2^(radius+1), each used alike."""
+    width, free = radius + 1, [i for i in range(bits) if not kept >> i & 1]
+    return [kept | sum(1 << p for i, p in enumerate(free) if (i % 2**width & v).bit_count() % 2) for v in range(1, 2**width)]
 
 
 def fingerprint(raw: bytes) -> int:
@@ -59,15 +61,15 @@ def fingerprint(raw: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp), the fingerprint's 64 bits as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, tag, fp), a hash of the text and the fingerprint's 64 bits as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([fingerprint(t) for t in byte_texts(b)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found)], schema=schema)
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, fp long")
+    return text_rows(docs).withColumn("tag", F.xxhash64("text")).mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def bucket_roots(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -89,14 +91,8 @@ def bucket_roots(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return roots
 
 
-def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that connect what is connected, from ``prints(fp, node)`` with one row per fingerprint."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks()]
-    keys = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)))
-    tables = prints.select("fp", "node", F.inline(keys))
-    buckets = scratch.table("buckets", tables.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("f1"), F.max("fp").alias("f2"), F.min("node").alias("n1"), F.max("node").alias("n2")).filter("n > 1"))
-    pairs = buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("f1").bitwiseXOR(F.col("f2"))) <= RADIUS)).select(F.col("n1").alias("a"), F.col("n2").alias("b"))
-    crowded = tables.join(buckets.filter("n > 2").select("t", "key"), ["t", "key"]).select("t", "key", "fp", "node")
+def local_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) inside each bucket of ``members(t, key, fp, node)``, a bucket in one task."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,18 +117,66 @@ def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
         if fps:
             yield flush()
 
-    local = crowded.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(run, "a long, b long")
-    return pairs.unionByName(local)
+    return members.select("t", "key", "fp", "node").repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(run, "a long, b long")
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def masked(mask_of: list[tuple[int, int]]) -> Column:
+    """Array of (t, key) for tables t and their masks."""
+    return F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in mask_of))
+
+
+def bucketed(tables: DataFrame) -> DataFrame:
+    """(t, key, n, and two members) of each bucket of at least two."""
+    ends = (f(c).alias(name) for c, names in (("fp", ("f1", "f2")), ("node", ("n1", "n2"))) for f, name in zip((F.min, F.max), names, strict=True))
+    return tables.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), *ends).filter("n > 1")
+
+
+def links(prints: DataFrame, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) that connect what is connected, from ``prints(fp, node)`` with one row per fingerprint."""
+    first = list(enumerate(masks()))
+    tables = prints.select("fp", "node", F.inline(masked(first)))
+    buckets = scratch.table("buckets", bucketed(tables))
+    again = F.coalesce(*(F.when(F.col("t") == t, masked([(len(first) * (t + 1) + i, x) for i, x in enumerate(masks(m))])) for t, m in first))
+    inside = lambda name, where: tables.join(scratch.table(name, buckets.filter(where).select("t", "key")), ["t", "key"])
+    split = scratch.table("split", inside("crowds", F.col("n") > crowd).select("fp", "node", again.alias("x")).select("fp", "node", F.inline("x")))
+    parts = scratch.table("parts", bucketed(split))
+    pairs = buckets.unionByName(parts).filter((F.col("n") == 2) & (F.bit_count(F.col("f1").bitwiseXOR(F.col("f2"))) <= RADIUS)).select(F.col("n1").alias("a"), F.col("n2").alias("b"))
+    members = inside("groups", F.col("n").between(3, crowd)).unionByName(split.join(parts.filter("n > 2").select("t", "key"), ["t", "key"]), allowMissingColumns=True)
+    return pairs.unionByName(local_links(members))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, fp, root, component_id) for each row of docs: root names the component, component_id is its smallest doc_id, null if it has none."""
+    scratch = Scratch(docs.sparkSession)
+    own = scratch.table("fingerprints", fingerprints(docs))
+    prints = scratch.table("prints", own.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    linked = components(links(prints.select("fp", F.col("fp").alias("node")), scratch), scratch)
+    rooted = scratch.table("rooted", prints.join(linked, prints["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "first_doc"))
+    smallest = scratch.table("smallest", rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")))
+    return own.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs."""
+    return classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each component, the first by doc_id (null last), then by a hash of the text.
+
+    Of rows that share doc_id and text any one stays.
+    """
     scratch = Scratch(docs.sparkSession)
-    own = scratch.table("fingerprints", fingerprints(docs))
-    prints = scratch.table("prints", own.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"))
-    linked = components(links(prints, scratch), scratch).withColumnRenamed("node", "linked")
-    classes = prints.join(linked, prints["node"] == linked["linked"], "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return own.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
+    found = classes(docs).groupBy("root").agg(F.min(place).alias("first"))
+    stay = scratch.table("stay", found.select(F.col("first.doc_id").alias("stay_doc"), F.col("first.tag").alias("stay_tag")))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumns({"own_doc": F.col("row.doc_id").cast("long"), "own_tag": F.xxhash64(F.coalesce("row.text", F.lit("")))})
+    kept = rows.join(stay, F.col("own_doc").eqNullSafe(F.col("stay_doc")) & (F.col("own_tag") == F.col("stay_tag"))).dropDuplicates(["own_doc", "own_tag"])
+    return kept.select(*(F.col(f"row.{c}") for c in docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
