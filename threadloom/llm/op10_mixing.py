@@ -16,7 +16,7 @@ Scale: sizes reduce to one row per source for the targets. Prefix sums inside a
 over as many tasks as it has buckets. Prefix length follows the row count.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, the last in
-order; repeated doc_id rows each stay and are queued one after another (ties broken by size); an empty table gives an
+order; repeated doc_id rows each stay and are queued one after another (ties broken by size); rows without a doc_id queue by a hash of their text; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -52,12 +52,13 @@ def water_fill(sources: DataFrame, max_epochs: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), slopes: tuple[float, ...] = SLOPES, max_epochs: int = 3) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, position (null if nothing is taken)."""
+    """One row per document: doc_id, source, size, source_size, target, taken, position (null if nothing is taken), row (a hash of its columns)."""
+    row = F.xxhash64(*docs.columns)
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     sized = scratch.table(
         "sized",
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"))
-        .withColumn("order_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"), row.alias("row"),
+            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary")).alias("order_key")),
     )
     digits, rows = 1, sized.count()
     while 16**digits * ROWS_PER_BUCKET < rows:
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), slopes: tuple[flo
     b = 1 - F.col("slope")
     time = F.when(F.col("slope") == 0, y).otherwise((F.sqrt(b * b + 4 * F.col("slope") * y) - b) / (2 * F.col("slope")))
     taken = (reached(end) - reached(end - F.col("size"))).cast("long")
-    return joined.select("doc_id", "d.source", "size", "source_size", "target", taken.alias("taken"), F.when(taken > 0, time).alias("position"))
+    return joined.select("doc_id", "d.source", "size", "source_size", "target", taken.alias("taken"), F.when(taken > 0, time).alias("position"), "row")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -96,16 +97,27 @@ def all_in_order(mixed: DataFrame) -> DataFrame:
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of docs in training order with size, source_size, target, taken and position, which take the place of columns so named."""
+    added = ("size", "source_size", "target", "taken", "position")
+    nth = F.row_number().over(Window.partitionBy("row").orderBy(F.lit(0)))  # of rows that are equal throughout
+    places = mix(docs, **parameters).select("row", *added).withColumn("nth", nth)
+    whole = docs.select(F.struct(*docs.columns).alias("document"), F.xxhash64(*docs.columns).alias("row")).withColumn("nth", nth)
+    joined = whole.join(places, ["row", "nth"])
+    return all_in_order(joined.withColumn("doc_id", F.col("document.doc_id"))).select(*(F.col(f"document.{c}") for c in docs.columns if c not in added), *added)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in training order. The position itself is not a column, as the query has those of its SQL."""
-    return all_in_order(mix(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
+    """Rows in training order."""
+    return all_in_order(mix(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 ORACLE_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS k FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS k FROM documents),
 ranked AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS weight FROM sized GROUP BY source),
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS weight,
+    CAST(CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0 ELSE -0.5 END AS DOUBLE) AS slope FROM sized GROUP BY source),
 levels AS (
   SELECT *, sum(source_size) OVER () AS total,
     coalesce(sum(3 * source_size) OVER (ORDER BY 3.0 * source_size / weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped_before,
@@ -113,12 +125,15 @@ levels AS (
 rate AS (
   SELECT CAST(total - capped_before AS DOUBLE) / CAST(open_weight AS DOUBLE) AS r FROM levels
   WHERE 3 * source_size * open_weight > weight * (total - capped_before) ORDER BY 3.0 * source_size / weight LIMIT 1),
-targets AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight * coalesce((SELECT r FROM rate), 0)) AS target FROM ranked),
+targets AS (SELECT source, source_size, slope, least(CAST(3 * source_size AS DOUBLE), weight * coalesce((SELECT r FROM rate), 0)) AS target FROM ranked),
 queued AS (
   SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS UNBOUNDED PRECEDING) AS e FROM sized),
 rated AS (
-  SELECT q.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS ratio
-  FROM queued q JOIN targets t ON q.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CAST(floor(ratio * CAST(e AS DOUBLE) + 0.5) - floor(ratio * CAST(e - size AS DOUBLE) + 0.5) AS BIGINT) AS taken FROM rated
+  SELECT q.*, t.source_size, t.target, t.slope, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS ratio
+  FROM queued q JOIN targets t ON q.source IS NOT DISTINCT FROM t.source),
+placed AS (
+  SELECT *, CAST(floor(ratio * CAST(e AS DOUBLE) + 0.5) - floor(ratio * CAST(e - size AS DOUBLE) + 0.5) AS BIGINT) AS taken,
+    ratio * CAST(e - size AS DOUBLE) / target AS y, 1 - slope AS b, CAST(4 AS DOUBLE) * slope AS s FROM rated)
+SELECT doc_id, size, source_size, target, taken,
+  CASE WHEN taken > 0 THEN CASE WHEN slope = 0 THEN y ELSE (sqrt(b * b + s * y) - b) / (CAST(2 AS DOUBLE) * slope) END END AS position FROM placed
 """
