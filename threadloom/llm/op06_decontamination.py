@@ -16,7 +16,7 @@ per document, go back to the texts. A text is split again there instead of its w
 Defined cases: null texts and texts without words have no words, hits or items and are not contaminated; null items
 are none; items with equal text each count; without benchmark rows
 nothing is hit; an empty documents table gives an empty result; other columns pass through ``decontaminate``. Rows that
-share a doc_id count as one document: their hits are united. A row without a doc_id is not looked up and not contaminated.
+share a doc_id count as one document: their hits are united. A row without a doc_id is not looked up and not contaminated. (``decontaminate`` judges each row by itself.)
 """
 
 from __future__ import annotations
@@ -122,10 +122,13 @@ def with_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated."""
-    sizes = docs.select("doc_id", F.size(item_words(F.col("text"))).alias("n_words"))
-    hit = contamination(docs, benchmark).join(sizes, "doc_id").filter(is_contaminated(F.col("n_hit"), F.col("n_words")))
-    return docs.join(hit.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that are not contaminated, each judged by its own text, whatever doc_id it has or shares."""
+    row = F.xxhash64("doc_id", "text")
+    texts = docs.select(row.alias("doc_id"), "text").filter("text IS NOT NULL")
+    sizes = texts.select("doc_id", F.size(item_words(F.col("text"))).alias("n_words"))
+    hit = contamination(texts, benchmark).join(sizes, "doc_id").filter(is_contaminated(F.col("n_hit"), F.col("n_words")))
+    gone = hit.select(F.col("doc_id").alias("row")).distinct()
+    return docs.select(row.alias("row"), F.struct(*docs.columns).alias("columns")).join(gone, "row", "left_anti").select(*(F.col(f"columns.{c}") for c in docs.columns))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
