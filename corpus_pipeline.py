@@ -1,8 +1,13 @@
 """A training corpus from raw documents in five stages, each but the last written as Parquet and read back by the next.
 
 Quality rules clean lines and reject documents; line dedup removes repeated three-line windows and the documents it
-empties; SimHash keeps the smallest doc_id of each near-duplicate group; decontamination drops documents with too much of a
-benchmark; mixing assigns each document its words and its training position and returns them in training order.
+empties; SimHash keeps the first document of each near-duplicate group; decontamination drops documents with too much of a
+benchmark; mixing returns the documents with their words to take and their training position, in training order.
+
+Defined cases: null and empty texts fail the first stage. Rows that share a doc_id are cleaned, judged for contamination and mixed each by itself;
+line dedup takes them for one document's; one row of a near-duplicate group stays, whatever ids its rows share. Rows without a doc_id
+take part in all stages but line dedup, which leaves them as they are. Empty tables give empty tables; extra columns pass through, but for those
+that the last stage adds.
 """
 
 from __future__ import annotations
@@ -28,9 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = op09_simhash.near_duplicates(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return op09_simhash.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op10_mixing.all_in_order(op10_mixing.mix(docs))
+    return op10_mixing.mixed_documents(docs)
 
 
 STAGES = [
