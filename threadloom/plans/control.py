@@ -150,20 +150,20 @@ def segment_next_id(spark, sf_dir):
     return _segments(spark, sf_dir).select("segment_id", sizing.next_id(start, cursor).alias("next_id"), sizing.valid_segment(start, end, cursor).alias("valid"))
 
 
-@query(oracle("""WITH ids AS (SELECT segment_id, unnest(range(coalesce(scan_cursor_id + 1, start_id), end_id + 1)) AS id FROM fx_segments WHERE segment_id <= 400),
+@query(oracle("""WITH ids AS (SELECT segment_id, unnest(range(coalesce(scan_cursor_id + 1, start_id), end_id + 1)) AS id FROM fx_segments),
 r AS (SELECT segment_id, i.id, CASE WHEN h.item_id IS NULL OR i.id % 41 = 6 THEN 'missing' WHEN i.id % 113 = 50 THEN 'retryable' WHEN i.id % 131 = 50 THEN 'fatal' ELSE 'found' END AS result FROM ids i LEFT JOIN fx_http h ON h.item_id = i.id),
 f AS (SELECT *, min(CASE WHEN result IN ('retryable', 'fatal') THEN id END) OVER (PARTITION BY segment_id) AS fail FROM r),
 w AS (SELECT *, count(*) FILTER (result = 'missing') OVER (PARTITION BY segment_id ORDER BY id) AS run FROM f WHERE fail IS NULL OR id <= fail),
 x AS (SELECT *, count(*) FILTER (result = 'found') OVER (PARTITION BY segment_id, run ORDER BY id) AS fill FROM w),
 g AS (SELECT segment_id, max(fail) AS failed_id, max(CASE WHEN result = 'missing' OR (result = 'found' AND fill % 6 = 0) THEN id END) AS durable, max(CASE WHEN id = fail THEN result END) AS res,
   count(*) FILTER (result = 'found') AS n_found, count(*) FILTER (result = 'missing') AS n_missing FROM x GROUP BY segment_id),
-o AS (SELECT s.*, failed_id, coalesce(res, 'completed') AS outcome, CASE WHEN res IS NULL THEN end_id ELSE coalesce(durable, scan_cursor_id) END AS last, coalesce(n_found, 0) AS n_found, coalesce(n_missing, 0) AS n_missing FROM fx_segments s LEFT JOIN g USING (segment_id) WHERE segment_id <= 400)
+o AS (SELECT s.*, failed_id, coalesce(res, 'completed') AS outcome, CASE WHEN res IS NULL THEN end_id ELSE coalesce(durable, scan_cursor_id) END AS last, coalesce(n_found, 0) AS n_found, coalesce(n_missing, 0) AS n_missing FROM fx_segments s LEFT JOIN g USING (segment_id))
 SELECT segment_id, outcome, last AS last_durable_id, CASE WHEN outcome = 'completed' THEN 0 ELSE greatest(end_id - coalesce(last + 1, start_id) + 1, 0) END AS unresolved, failed_id, n_found, n_missing FROM o""", "fx_segments", "fx_http"))
 def segment_attempt(spark, sf_dir):
     i = F.col("item_id")
     result = F.when(i % 41 == 6, "missing").when(i % 113 == 50, "retryable").when(i % 131 == 50, "fatal").otherwise("found")
     items = frame(spark, sf_dir, "fx_http").select(i.alias("id"), result.alias("result"))
-    return attempts.segment_attempts(_segments(spark, sf_dir).filter("segment_id <= 400"), items, 6)
+    return attempts.segment_attempts(_segments(spark, sf_dir), items, 6)
 
 
 @query(oracle("""WITH t AS (SELECT item_id, [status, 429, CAST(CASE WHEN item_id % 2 = 0 THEN 200 ELSE 404 END AS INT), 500] AS s FROM fx_http),

@@ -32,10 +32,11 @@ def explode_kids(spark, sf_dir):
     return item_source.kid_rows(item_source.decode_items(frame(spark, sf_dir, "fx_json")))
 
 
-@query(oracle("SELECT r.id, e.event_id IS NULL AS missing, CASE WHEN e.event_id % 17 <> 3 THEN e.event_id % 100 END AS score FROM (SELECT unnest(range(50, 400)) AS id) r LEFT JOIN (SELECT * FROM events WHERE event_id % 9 <> 4) e ON e.event_id = r.id"))
+@query(oracle("SELECT r.id, e.event_id IS NULL AS missing, CASE WHEN e.event_id % 17 <> 3 THEN e.event_id % 100 END AS score FROM (SELECT unnest(range((SELECT min(event_id) FROM events), (SELECT max(event_id) FROM events) + 1)) AS id) r LEFT JOIN (SELECT * FROM events WHERE event_id % 9 <> 4) e ON e.event_id = r.id"))
 def src_items_json(spark, sf_dir):
     stored = frame(spark, sf_dir, "fx_json").filter("event_id % 9 <> 4").select(F.col("event_id").alias("id"), "payload")
-    found = item_source.decode_items(item_source.fetched(spark, 50, 399, stored))
+    first, last = frame(spark, sf_dir, "events").agg(F.min("event_id"), F.max("event_id")).first()
+    found = item_source.decode_items(item_source.fetched(spark, first, last, stored))
     return found.select("id", F.col("payload").isNull().alias("missing"), "item.score")
 
 
