@@ -17,15 +17,17 @@ class Scratch:
     is an error, because executors could not see each other's files. Tables go when the driver ends.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, keep: str | None = None):
+        """Tables of one run, or those of ``keep``, a name under which they outlive the driver and a later run finds them."""
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.gettempdir()
-        self.root = f"{root.rstrip('/')}/threadloom-{uuid.uuid4().hex}"
-        atexit.register(self.clear)
+        self.root = f"{root.rstrip('/')}/threadloom-{keep or uuid.uuid4().hex}"
+        if not keep:
+            atexit.register(self.clear)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

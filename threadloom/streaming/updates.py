@@ -24,21 +24,31 @@ def run_to_table(stream: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def latest_by_key(stream: DataFrame, scratch: Scratch, name: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Applies a stream of changes to a snapshot, micro-batch by micro-batch: within a batch the last change wins, and a
-    replayed batch changes nothing. The snapshot of each batch is a table of its own, named by its id."""
-    columns = stream.columns
-    last = {"id": None}
+    """Applies a stream of changes to a snapshot, micro-batch by micro-batch, and the snapshot: within a batch the last change wins.
+
+    Each batch's snapshot is a table named by the batch's id, made from the one with the highest id below it. That one is found in the folder and not
+    remembered, so a run after a restart goes on where the last one ended, and a replayed batch is made from what it was made from before. Snapshots
+    older than that are deleted; two are kept.
+    """
+    columns, spark = stream.columns, scratch.spark
+
+    def stored() -> list[int]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch.path(f"{name}-*/_SUCCESS"))
+        found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+        ends = (x.getPath().getParent().getName().removeprefix(f"{name}-") for x in found or [])
+        return sorted(int(x) for x in ends if x.isdigit())
+
+    def snapshot(batch_id: int) -> DataFrame:
+        return spark.read.schema(stream.schema).parquet(scratch.path(f"{name}-{batch_id}"))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = last_per_key(batch, keys, order)
-        if last["id"] is not None and last["id"] != batch_id:
-            old = scratch.spark.read.schema(stream.schema).parquet(scratch.path(f"{name}-{last['id']}"))
-            rows = upsert(old, rows, keys)
+        rows, before = last_per_key(batch, keys, order), [x for x in stored() if x < batch_id]
+        if before:
+            rows = upsert(snapshot(before[-1]), rows, keys)
         rows.select(*columns).write.mode("overwrite").parquet(scratch.path(f"{name}-{batch_id}"))
-        last["id"] = batch_id
+        scratch.drop(*(f"{name}-{x}" for x in before[:-1]))
 
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", scratch.path(f"{name}-progress")).trigger(availableNow=True).start()
     query.awaitTermination()
-    if last["id"] is None:
-        return scratch.spark.createDataFrame([], stream.schema)
-    return scratch.spark.read.schema(stream.schema).parquet(scratch.path(f"{name}-{last['id']}"))
+    done = stored()
+    return snapshot(done[-1]) if done else spark.createDataFrame([], stream.schema)
