@@ -20,17 +20,23 @@ def parent_refs(batch: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _follow(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, label) from ``nodes(id, label, pointer)``: label of the first labelled node along the pointers, or null."""
+    """(id, label) from ``nodes(id, label, pointer)``: label of the first labelled node along the pointers, or null.
+
+    Each round writes the labels it finds and the pointers that go on, and drops the pointers before. After a round in which none of those left
+    found a label or an end, and with at least as many steps taken as nodes were open at first, only cycles are left.
+    """
     done = scratch.table("labelled", nodes.filter("label IS NOT NULL").select("id", "label"))
     open_, k = scratch.table("open0", nodes.filter("label IS NULL AND pointer IS NOT NULL").select("id", "pointer")), 0
-    while not open_.isEmpty():
+    left = first = open_.count()
+    while left:
         found = open_.join(done.select(F.col("id").alias("pointer"), "label"), "pointer", "left")
         onward = open_.select(F.col("id").alias("pointer"), F.col("pointer").alias("next"))
         state = scratch.table(f"round{k}", found.join(onward, "pointer", "left").select("id", "label", "next"))
-        done = scratch.table(f"done{k}", done.unionByName(state.filter("label IS NOT NULL").select("id", "label")))
+        done = done.unionByName(scratch.table(f"done{k}", state.filter("label IS NOT NULL").select("id", "label")))
         open_ = scratch.table(f"open{k + 1}", state.filter("label IS NULL AND next IS NOT NULL AND next <> id").select("id", F.col("next").alias("pointer")))
-        k += 1
-        if k > 64:  # a cycle of parents never meets a story, and 2^64 steps exceed any chain
+        scratch.drop(f"open{k}", f"round{k}")
+        k, before, left = k + 1, left, open_.count()
+        if left == before and 2**k > first:  # pointers that have gone further than any chain is long go round in a cycle
             break
     return done
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from threadloom.operators import intervals
 from threadloom.sources.schemas import FAILURE_CLASSES, SEGMENT_STATUSES
 
+NUMBERED = 10_000_000
+
+
 def checks() -> dict[str, Column]:
     return {
         "start_before_end": F.col("start_id") <= F.col("end_id"),
@@ -29,10 +32,16 @@ def pending_in_window(segments: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def enqueue(segments: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Segments and new pending ones for the ranges, numbered on from the largest segment_id in order of start."""
+    """Segments and new pending ones for the ranges, numbered on from the largest segment_id in order of start.
+
+    Numbers are dealt in two steps: how many ranges each ``NUMBERED``-wide stretch of ids holds, then the order inside a stretch, so only one row a stretch is ordered globally.
+    """
     top = segments.agg(F.coalesce(F.max("segment_id"), F.lit(0)).alias("top"))
-    nth = F.row_number().over(Window.orderBy("start_id", "end_id"))
-    new = ranges.withColumn("nth", nth).join(F.broadcast(top), F.lit(True)).select((F.col("top") + F.col("nth")).cast("long").alias("segment_id"), "start_id", "end_id")
+    placed = ranges.withColumn("stretch", F.floor(F.col("start_id") / NUMBERED))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = placed.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).select("stretch", before.alias("before"))
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("stretch").orderBy("start_id", "end_id"))
+    new = placed.join(offsets, "stretch").withColumn("nth", nth).join(F.broadcast(top), F.lit(True)).select((F.col("top") + F.col("nth")).cast("long").alias("segment_id"), "start_id", "end_id")
     filled = {"status": F.lit("pending"), "attempts": F.lit(0), "unresolved_count": (F.col("end_id") - F.col("start_id") + 1).cast("int")}
     new = new.withColumns(filled)
     return segments.unionByName(new, allowMissingColumns=True)
