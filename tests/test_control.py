@@ -1,3 +1,7 @@
+import random
+import uuid
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +9,8 @@ from threadloom.functions import classify, sizing, text
 from threadloom.operators import attempts, intervals, lineage, segments, upsert
 from threadloom.sources import items as item_source
 from threadloom.sources.schemas import EXCEPTIONS, SEGMENTS
+from threadloom.sources.scratch import Scratch
+from threadloom.streaming import updates
 
 
 def one(spark, column):
@@ -19,32 +25,62 @@ def pairs(df):
     return sorted((r["start_id"], r["end_id"]) for r in df.collect())
 
 
-def test_frontier_stops_at_the_first_hole(spark):
-    done = states(spark, (1, 1000, "done"), (1001, 2000, "done"), (2001, 2500, "done"))
-    assert intervals.frontier(done).first()[0] == 2500
-    assert intervals.frontier(done.filter("start_id <> 1001")).first()[0] == 1000
-    assert intervals.frontier(done.filter("start_id > 1")).first()[0] == 0
-    assert intervals.frontier(done.limit(0)).first()[0] == 0
+STATUSES = ("pending", "in_progress", "retry_wait", "done", "dead_letter")
+
+
+def random_segments(seed):
+    """Segments cut at random from a stretch of ids, some left out, each with a status."""
+    rng = random.Random(seed)
+    cuts = sorted({0, *rng.sample(range(1, 90), rng.randint(0, 9)), 90})
+    return [(a + 1, b, rng.choice(STATUSES)) for a, b in zip(cuts, cuts[1:], strict=False) if rng.random() < 0.8]
+
+
+def covered(rows, *statuses):
+    return {i for a, b, status in rows if status in (statuses or STATUSES) for i in range(a, b + 1)}
 
 
-def test_plan_on_a_fresh_table(spark):
-    start, plan = segments.prepare(spark.createDataFrame([], SEGMENTS), 2500, 1000)
-    assert start == 1 and pairs(plan) == [(1, 1000), (1001, 2000), (2001, 2500)]
+def frontier_of(rows):
+    done, last = covered(rows, "done"), 0
+    while last + 1 in done:
+        last += 1
+    return last
 
 
-def test_plan_from_a_cold_start_keeps_done_coverage(spark):
-    start, plan = segments.prepare(states(spark, (1, 1000, "done"), (1001, 2000, "done")), 3200, 1000, cold_start=500)
-    assert start == 500 and pairs(plan) == [(2001, 3000), (3001, 3200)]
+def plan_of(rows, target, width, start):
+    """What is pending once unfinished segments are requeued and each hole is cut into pieces of the width."""
+    plan = [(a, b) for a, b, status in rows if status in ("pending", "in_progress", "retry_wait") and b >= start and a <= target]
+    free = [i for i in range(start, target + 1) if i not in covered(rows)]
+    while free:
+        size = 1
+        while size < min(width, len(free)) and free[size] == free[0] + size:
+            size += 1
+        plan.append((free[0], free[size - 1]))
+        free = free[size:]
+    return sorted(plan)
 
 
-def test_plan_recovers_unfinished_segments(spark):
-    start, plan = segments.prepare(states(spark, (1, 1000, "done"), (1001, 2000, "in_progress"), (3001, 4000, "retry_wait")), 4000, 1000)
-    assert start == 1001 and pairs(plan) == [(1001, 2000), (2001, 3000), (3001, 4000)]
+@pytest.mark.parametrize("seed", range(6))
+def test_frontier_and_plan_equal_a_walk_over_ids(spark, seed):
+    rng, rows = random.Random(100 + seed), random_segments(seed)
+    table = states(spark, *rows) if rows else spark.createDataFrame([], SEGMENTS)
+    assert intervals.frontier(table.filter("status = 'done'")).first()[0] == frontier_of(rows)
+    target, width, cold = rng.randint(60, 120), rng.randint(1, 40), rng.choice([None, rng.randint(1, 50)])
+    start, plan = segments.prepare(table, target, width, cold_start=cold)
+    assert start == (cold or frontier_of(rows) + 1) and pairs(plan) == plan_of(rows, target, width, start)
 
 
-def test_dead_letters_block_the_frontier_and_new_segments(spark):
-    start, plan = segments.prepare(states(spark, (1, 1000, "done"), (1001, 2000, "dead_letter")), 2000, 1000)
-    assert start == 1001 and pairs(plan) == []
+def test_plan_of_an_empty_table_and_of_dead_letters_alone(spark):
+    start, plan = segments.prepare(spark.createDataFrame([], SEGMENTS), 7, 3)
+    assert start == 1 and pairs(plan) == [(1, 3), (4, 6), (7, 7)]
+    start, plan = segments.prepare(states(spark, (1, 7, "dead_letter")), 7, 3)
+    assert start == 1 and pairs(plan) == []
+
+
+def test_new_segments_are_numbered_in_order_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(segments, "NUMBERED", 10)
+    ranges = spark.createDataFrame([(k, k) for k in random.Random(0).sample(range(100, 200), 60)], "start_id long, end_id long")
+    new = segments.enqueue(states(spark, (1, 5, "done"), (6, 9, "done")), ranges).filter("start_id >= 100").orderBy("segment_id").collect()
+    assert [r["segment_id"] for r in new] == list(range(3, 63)) and [r["start_id"] for r in new] == sorted(r["start_id"] for r in new)
 
 
 @pytest.mark.parametrize("arguments", [(0, 10, None), (10, 0, None), (10, 10, 0)])
@@ -54,12 +90,16 @@ def test_plan_rejects_bad_input(spark, arguments):
         segments.prepare(spark.createDataFrame([], SEGMENTS), target, width, cold)
 
 
-def test_forced_replay_resets_the_window(spark):
-    own = states(spark, (1, 1000, "done"), (1001, 2000, "done"), (2001, 3000, "done"))
-    exceptions = spark.createDataFrame([(2, 1500, "dead_letter", 3, "x", "http_4xx"), (3, 2500, "dead_letter", 3, "x", "http_4xx")], EXCEPTIONS)
-    after, failed = segments.reset_window(own, exceptions, 1, 2000)
-    assert pairs(after.filter("status = 'pending'")) == [(1, 1000), (1001, 2000)]
-    assert sorted((r["segment_id"], r["state"], r["attempts"]) for r in failed.collect()) == [(2, "pending", 0), (3, "dead_letter", 3)]
+@pytest.mark.parametrize("seed", range(3))
+def test_replay_resets_what_touches_the_window(spark, seed):
+    rng, rows = random.Random(seed), [(k, k + 4, STATUSES[k % 5]) for k in range(1, 60, 6)]
+    low = rng.randint(1, 40)
+    high = low + rng.randint(0, 15)
+    failed = [(k + 1, a + 2, rng.choice(["retry_wait", "dead_letter"]), 3, "x", "http_4xx") for k, (a, _, _) in enumerate(rows) if rng.random() < 0.6]
+    hit = {k + 1 for k, (a, b, _) in enumerate(rows) if b >= low and a <= high}
+    after, exceptions = segments.reset_window(states(spark, *rows), spark.createDataFrame(failed, EXCEPTIONS), low, high)
+    assert {r["segment_id"]: (r["status"], r["unresolved_count"]) for r in after.collect()} == {k + 1: ("pending" if k + 1 in hit else s, 5) for k, (_, _, s) in enumerate(rows)}
+    assert {r["segment_id"]: (r["state"], r["attempts"], r["last_error"]) for r in exceptions.collect()} == {f[0]: ("pending", 0, None) if f[0] in hit else (f[2], 3, "x") for f in failed}
 
 
 def test_claim_counts_attempts_and_clears_errors(spark):
@@ -85,19 +125,36 @@ def attempt(spark, start, end, results, batch=2, cursor=None):
     return attempts.segment_attempts(work, spark.createDataFrame(results, "id long, result string"), batch).first().asDict()
 
 
-def test_attempt_with_a_missing_item_completes(spark):
-    got = attempt(spark, 100, 102, [(100, "found"), (101, "missing"), (102, "found")])
-    assert (got["outcome"], got["last_durable_id"], got["unresolved"], got["n_missing"]) == ("completed", 102, 0, 1)
-
-
-def test_attempt_that_fails_at_once_keeps_no_progress(spark):
-    got = attempt(spark, 900, 902, [(900, "retryable"), (901, "found"), (902, "found")])
-    assert (got["outcome"], got["last_durable_id"], got["unresolved"], got["failed_id"]) == ("retryable", None, 3, 900)
-
-
-def test_attempt_failure_does_not_advance_past_full_batches(spark):
-    got = attempt(spark, 1, 9, [(k, "found") for k in range(1, 6)] + [(6, "fatal")])
-    assert (got["outcome"], got["last_durable_id"], got["unresolved"]) == ("fatal", 4, 5)
+def folded(start, end, result_of, batch, cursor):
+    """One attempt, an id at a time."""
+    next_id = start if cursor is None or cursor < start else cursor + 1
+    last, fill, seen = cursor if cursor is not None and cursor >= start else None, 0, Counter()
+    for i in range(next_id, end + 1):
+        result = result_of.get(i, "missing")
+        if result in ("retryable", "fatal"):
+            return result, last, end - (last + 1 if last is not None else start) + 1, i, seen["found"], seen["missing"]
+        seen[result] += 1
+        if result == "missing":
+            last, fill = i, 0
+        else:
+            fill += 1
+            if fill == batch:
+                last, fill = i, 0
+    return "completed", end, 0, None, seen["found"], seen["missing"]
+
+
+def test_attempts_equal_a_fold_over_ids(spark):
+    rng = random.Random(4)
+    kinds = ["found"] * 12 + ["missing"] * 3 + ["retryable", "fatal"]
+    items = {i: rng.choice(kinds) for i in range(1, 700) if rng.random() < 0.9}
+    work = []
+    for k in range(60):
+        start = 1 + 11 * k
+        work.append((k, start, start + rng.randint(0, 10), rng.choice([None, None, start - 1, start])))
+    for batch in (1, 3):
+        got = attempts.segment_attempts(spark.createDataFrame(work, "segment_id long, start_id long, end_id long, scan_cursor_id long"), spark.createDataFrame(list(items.items()), "id long, result string"), batch)
+        found = {r["segment_id"]: tuple(r)[1:] for r in got.collect()}
+        assert found == {k: folded(a, b, items, batch, c) for k, a, b, c in work}
 
 
 def test_malformed_and_finished_segments(spark):
@@ -125,21 +182,46 @@ def test_batches_of_edges_alone_are_an_error(spark):
         upsert.check_batch(none, some)
 
 
-@pytest.mark.parametrize(
-    ("batch", "stored", "expected"),
-    [
-        ([(10, "story", None, None)], [], {10: 10}),
-        ([(20, "comment", 10, None)], [(10, "story", None, 10)], {20: 10}),
-        ([(21, "comment", 10, None), (22, "comment", 21, None)], [(10, "story", None, 10)], {21: 10, 22: 10}),
-        ([(30, "comment", 999999, None)], [], {30: None}),
-        ([(40, "comment", 41, None), (41, "comment", 40, None)], [], {40: None, 41: None}),
-        ([(50, "poll", None, 7), (51, "comment", 50, None)], [], {50: None, 51: None}),
-    ],
-)
-def test_lineage_inside_a_batch(spark, batch, stored, expected):
+def story_of(i, batch, stored):
+    """Follows parents within the batch; a stored parent helps once."""
+    seen = set()
+    while i not in seen:
+        seen.add(i)
+        if i not in batch:
+            kind, _, story = stored.get(i, (None, None, None))
+            return i if kind == "story" else story
+        kind, parent, story = batch[i]
+        if kind == "story":
+            return i
+        if kind != "comment":
+            return None
+        if story is not None:
+            return story
+        if parent is None:
+            return None
+        i = parent
+    return None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lineage_inside_a_batch_equals_following_parents(spark, seed):
+    rng = random.Random(seed)
+
+    def row(i):
+        kind = rng.choices(["story", "comment", "poll"], [2, 9, 1])[0]
+        return kind, rng.choice([None, *range(1, 41)]) if kind == "comment" else None, rng.choice([None] * 6 + [rng.randint(1, 40)])
+
+    batch, stored = ({i: row(i) for i in rng.sample(range(1, 41), 22)} for _ in range(2))
     schema = "id long, type string, parent long, story_id long"
-    got = lineage.resolve(spark.createDataFrame(batch, schema), spark.createDataFrame(stored, schema))
-    assert {r["id"]: r["story_id"] for r in got.collect()} == expected
+    frames = (spark.createDataFrame([(i, *r) for i, r in rows.items()], schema) for rows in (batch, stored))
+    got = {r["id"]: r["story_id"] for r in lineage.resolve(*frames).collect()}
+    assert got == {i: story_of(i, batch, stored) for i in batch}
+
+
+def test_cycles_of_parents_end_the_rounds(spark):
+    rows = [(1, "story", None, None), (2, "comment", 1, None), (3, "comment", 5, None), (4, "comment", 3, None), (5, "comment", 4, None), (6, "comment", 5, None)]
+    got = lineage.backfill(spark.createDataFrame(rows, "id long, type string, parent long, story_id long"))
+    assert {r["id"]: r["story_id"] for r in got.collect()} == {1: 1, 2: 1, 3: None, 4: None, 5: None, 6: None}
 
 
 def test_backfill_follows_long_chains(spark):
@@ -193,6 +275,29 @@ def test_texts(spark):
     assert one(spark, classify.default_class(F.lit("RateLimited"))) == "network_transient"
 
 
+def test_a_change_stream_survives_restart_and_replay(spark, tmp_path):
+    """Three runs over a growing folder, each with a Scratch of its own, the second one repeated as if its progress had been lost."""
+    schema, name = "id long, value string, seq long", uuid.uuid4().hex
+    batches = [[(1, "a", 1), (2, "b", 1), (1, "c", 2)], [(2, "d", 3), (3, "e", 3)], [(4, "f", 4), (1, "g", 4)]]
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        scratch = Scratch(spark, keep=name)
+        return scratch, {r["id"]: r["value"] for r in updates.latest_by_key(stream, scratch, "latest", ["id"], ["seq"]).collect()}
+
+    expected = {}
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        expected |= {i: v for i, v, _ in sorted(rows, key=lambda r: r[2])}
+        scratch, got = run()
+        assert got == expected
+        if k == 1:  # the batch was applied, but the commit of its progress was lost
+            scratch.drop("latest-progress/commits/1", "latest-progress/commits/.1.crc")
+            assert run()[1] == expected
+    assert run()[1] == expected
+    scratch.clear()
+
+
 def test_unknown_names_raise(spark):
     with pytest.raises(Exception, match="invalid status"):
         one(spark, classify.checked(F.lit("nope"), ("done",), "status"))
