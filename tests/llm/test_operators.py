@@ -422,12 +422,11 @@ def test_scores_equal_brute_force(spark, docs, head_size, clustered):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 4), st.integers(-1, 3), st.integers(1, 5)), max_size=40), st.integers(1, 9))
-def test_contexts_add_up_over_batches(rows, size):
-    rows.sort(key=lambda x: x[0])
-    parts = [tuple(np.array([r[c] for r in rows[at : at + size]], np.int64) for c in range(3)) for at in range(0, len(rows), size)]
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(-1, 3), st.integers(1, 5)), max_size=40))
+def test_contexts_add_up(rows):
+    parts = [tuple(np.array([r[c] for r in rows if r[0] % 2 == half], np.int64) for c in range(3)) for half in range(2)]
     got = {}
-    for b in op07_lm_scoring.gathered(iter(parts), 4, lambda keys: keys + 7):
+    for b in op07_lm_scoring.gathered(iter(parts), lambda keys: keys + 7):
         for r in b.to_pylist():
             assert r["key"] not in got and r["cls"] == r["key"] + 7
             got[r["key"]] = dict(zip(r["codes"], r["ns"], strict=True))
@@ -438,13 +437,14 @@ def test_contexts_add_up_over_batches(rows, size):
     assert got == expected
 
 
-def test_turns_count_every_pair_with_a_head_word(spark, docs):
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_turns_count_every_pair_with_a_head_word(spark, docs, buckets):
     """The class table of a turn against a count over the texts, with classes dealt by hand."""
     df = spark.createDataFrame(docs[:40], "doc_id long, text string")
     counts = Counter(w for _, t in docs[:40] for w in split(ascii_lower(t)))
     head = [w.encode() for w, _ in counts.most_common(30)]
     scratch, n_head, k = Scratch(spark), len(head), 5
-    pairs = scratch.table("pairs", op07_lm_scoring.word_pairs(df, head))
+    pairs = scratch.table("pairs", op07_lm_scoring.word_pairs(df, head, buckets))
     cls = np.r_[np.arange(n_head) % 3, k - 1]
     tail = scratch.table("tail", op07_lm_scoring.tail_contexts(pairs, n_head, 1))
     around = scratch.table("around", op07_lm_scoring.head_contexts(pairs, tail, cls, k))
@@ -482,7 +482,8 @@ def test_rare_words_get_their_class_by_exchange(spark, head_size):
     m, classed = op07_lm_scoring.train(train, vocabulary, head_size, 6, 2, scratch)
     found = {w.decode(): m.classes[i] for w, i in m.index.items()} | {r["word"]: r["cls"] for r in classed.collect()}
     head = {w.decode() for w in m.index}  # a word that stands beside none of these has nothing to choose by
-    beside = {w for r in train.collect() for x, y in zip(s := r["text"].split(), s[1:], strict=False) for w, o in ((x, y), (y, x)) if o in head}
+    texts = [r["text"].split() for r in train.collect()]
+    beside = {w for s in texts for x, y in zip(s, s[1:], strict=False) for w, o in ((x, y), (y, x)) if o in head}
     sides = [{found[w] for w in own if w in beside} for own in names]
     assert len(found) > 40 and len(sides[0]) == len(sides[1]) == 1 and sides[0] != sides[1]
 
@@ -527,8 +528,9 @@ def test_forward_sum_covers_all_segmentations():
 
 def test_long_and_unknown_words_have_likelihoods():
     lattice = op08_language_id.Lattice({"▁": (0.1,), "a": (0.5,)}, 1)
-    got = lattice.log_likelihoods(["a" * 150, "ж", "ж" * 64])[:, 0]
-    assert got == pytest.approx([math.log(0.1) + 150 * math.log(0.5), math.log(0.1) + math.log(op08_language_id.FLOOR), op08_language_id.IMPOSSIBLE])
+    got = lattice.log_likelihoods(["a" * 150, "ж", "ж" * 64, "a" * 16, "aж" * 3000])[:, 0]
+    floor = math.log(op08_language_id.FLOOR)
+    assert got == pytest.approx([math.log(0.1) + x for x in (150 * math.log(0.5), floor, 64 * floor, 16 * math.log(0.5), 3000 * (math.log(0.5) + floor))])
 
 
 # 9. SimHash

@@ -38,6 +38,9 @@ HEAD, CLUSTERED, CLASSES, SWEEPS = 65_536, 1024, 48, 4
 TURNS = ("head", "tail", "even", "odd", "tail")  # who chooses: all head words, half of them, or the tail words
 FLUSH = 150_000  # distinct words that a task gathers before it hands them on
 PAIRS = 2_000_000  # adjacent words that a task combines at a time
+STRETCH = 50_000  # numbers in a packed row
+BUCKET = 4_000_000  # tail words' occurrences that a task gathers at a time, about
+GROUP = 16  # head words whose counts travel together
 CELLS = 40_000  # classes beside words that choose side by side
 
 
@@ -75,33 +78,47 @@ def split_head(vocabulary: DataFrame, size: int) -> tuple[list[bytes], np.ndarra
     return [w.encode() for w in head.column("word").to_pylist()], head.column("n").to_numpy().astype(np.int64), vocabulary.filter(level < low)
 
 
-def word_pairs(train: DataFrame, head: list[bytes]) -> DataFrame:
-    """Pairs of adjacent head words (h null, l, r, n), and the neighbours (h, l, r) of each tail word's occurrences.
+PACKED = "bucket int, a binary, b binary, c binary"
+_PACKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
-    Words are their places in the head, the end is ``len(head)``, a tail word beside a tail word is -1; h is a tail word's xxhash64. Each text
-    stands between two ends. Counts are a task's own, so a pair may have many rows.
+
+def packed(bucket: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple:
+    return bucket, a.tobytes(), b.astype(np.int32).tobytes(), c.astype(np.int32).tobytes()
+
+
+def unpacked(row: dict, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["a"], kind), np.frombuffer(row["b"], np.int32), np.frombuffer(row["c"], np.int32)
+
+
+def word_pairs(train: DataFrame, head: list[bytes], buckets: int = 1) -> DataFrame:
+    """Stretches of numbers: pairs of adjacent head words (bucket -1; first, second, count) and tail words (bucket of the hash; hash, what precedes, what follows).
+
+    Words are their places in the head, the end is ``len(head)``, a tail word beside a tail word is -1; a tail word's hash is its xxhash64. Each text
+    stands between two ends. Counts are a task's own, so a pair may be in many stretches.
     """
     shared, end = train.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(head)}), len(head)
-    schema = pa.schema([("h", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("n", pa.int32())])
 
     def out(seq: np.ndarray, hashes: list[int]) -> Iterator[pa.RecordBatch]:
         l, r = seq[:-1].astype(np.int64), seq[1:].astype(np.int64)  # noqa: E741
         both = (l >= 0) & (r >= 0)
         pair, n = np.unique(l[both] * (end + 1) + r[both], return_counts=True)
-        of = np.flatnonzero(seq < 0)
-        rows = [(None, pair // (end + 1), pair % (end + 1), n), (np.array(hashes, np.uint64).view(np.int64), seq[of - 1], seq[of + 1], np.ones(len(of)))]
-        for h, *numbers in rows:
-            for at in range(0, len(numbers[0]), 100_000):
-                cut = slice(at, at + 100_000)
-                arrays = [pa.array(x[cut].astype(np.int32)) for x in numbers]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(arrays[0]), pa.int64()) if h is None else pa.array(h[cut]), *arrays], schema=schema)
+        rows = [packed(-1, (x // (end + 1)).astype(np.int32), x % (end + 1), n[at : at + STRETCH]) for at in range(0, len(pair), STRETCH) for x in [pair[at : at + STRETCH]]]
+        of, h = np.flatnonzero(seq < 0), np.array(hashes, np.uint64)
+        bucket = (h % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        of, h, bucket = of[order], h[order].view(np.int64), bucket[order]
+        edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)] if len(bucket) else []
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            rows += [packed(int(bucket[low]), h[at : min(at + STRETCH, high)], seq[x - 1], seq[x + 1]) for at in range(low, high, STRETCH) for x in [of[at : min(at + STRETCH, high)]]]
+        for at in range(0, len(rows), 50):
+            yield to_batch(rows[at : at + 50], _PACKED_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, parts, hashes, held = shared.value.get, [np.array([end], np.int32)], [], 0
         for b in batches:
             for raw in byte_texts(b):
                 words = tokens(raw)
-                ids = np.array([*(get(w, -1) for w in words), end], np.int32)
+                ids = np.array([*map(lambda w: get(w, -1), words), end], np.int32)
                 hashes.extend(xxhash.xxh64_intdigest(words[i], 42) for i in np.flatnonzero(ids < 0).tolist())
                 parts.append(ids)
                 held += len(ids)
@@ -111,7 +128,7 @@ def word_pairs(train: DataFrame, head: list[bytes]) -> DataFrame:
         if held:
             yield from out(np.concatenate(parts), hashes)
 
-    return text_rows(train).mapInArrow(run, "h long, l int, r int, n int")
+    return text_rows(train).mapInArrow(run, PACKED)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -211,8 +228,8 @@ CONTEXTS = "key long, cls int, codes array<int>, ns array<int>"
 _CONTEXT_SCHEMA = pa.schema([("key", pa.int64()), ("cls", pa.int32()), ("codes", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32()))])
 
 
-def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, class_of: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """One row (key, cls, codes, ns) for each key of (keys, codes below ``width``, counts), which come in order of the key; a code of -1 counts nothing."""
+def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], class_of: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row (key, cls, codes, ns) for each key of (keys, codes, counts), no key being in two parts; a code of -1 counts nothing."""
 
     def rows(keys: np.ndarray, codes: np.ndarray, ns: np.ndarray) -> pa.RecordBatch:
         own, first = np.unique(keys, return_index=True)
@@ -221,72 +238,87 @@ def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], width:
         lists = [pa.ListArray.from_arrays(offsets, x[solid].astype(np.int32)) for x in (codes, ns)]
         return pa.RecordBatch.from_arrays([pa.array(own), pa.array(class_of(own), pa.int32()), *lists], schema=_CONTEXT_SCHEMA)
 
-    held = [np.zeros(0, np.int64)] * 3
-    for part in parts:
-        keys, codes, ns = (np.concatenate(x) for x in zip(held, part, strict=True))
+    for keys, codes, ns in parts:
         order = np.lexsort((codes, keys))
         keys, codes, ns = keys[order], codes[order], ns[order]
         first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (codes[1:] != codes[:-1])][: len(keys)])
         keys, codes, ns = keys[first], codes[first], np.add.reduceat(ns, first) if len(first) else ns
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if cut:
-            yield rows(keys[:cut], codes[:cut], ns[:cut])
-        held = [keys[cut:], codes[cut:], ns[cut:]]
-    if len(held[0]):
-        yield rows(*held)
+        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        cuts = np.r_[edges[::5000], len(keys)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            yield rows(keys[low:high], codes[low:high], ns[low:high])
 
 
 def tail_contexts(pairs: DataFrame, n_head: int, unclassed: int) -> DataFrame:
-    """(key, cls, codes, ns) of each tail word: what follows it (codes are places in the head) and precedes it (n_head + 1 more)."""
+    """(key, cls, codes, ns) of each tail word: what follows it (codes are places in the head) and precedes it (n_head + 1 more).
+
+    A task holds one bucket of words at a time, whose number follows the corpus.
+    """
     width = n_head + 1
 
     def parts(batches: Iterator[pa.RecordBatch]):
+        def merged(held):
+            h, l, r = (np.concatenate(x) for x in zip(*held, strict=True))  # noqa: E741
+            return np.r_[h, h], np.r_[r, np.where(l >= 0, l + width, -1)].astype(np.int64), np.ones(2 * len(h), np.int64)
+
+        bucket, held = None, []
         for b in batches:
-            h, l, r = (b.column(i).to_numpy().astype(np.int64) for i in range(3))  # noqa: E741
-            yield np.r_[h, h], np.r_[r, np.where(l >= 0, l + width, -1)], np.ones(2 * len(h), np.int64)
+            for row in b.to_pylist():
+                if held and row["bucket"] != bucket:
+                    yield merged(held)
+                    held = []
+                bucket = row["bucket"]
+                held.append(unpacked(row, np.int64))
+        if held:
+            yield merged(held)
 
-    rows = pairs.filter("h IS NOT NULL").select("h", "l", "r").repartition("h").sortWithinPartitions("h")
-    return rows.mapInArrow(lambda batches: gathered(parts(batches), 2 * width, lambda keys: np.full(len(keys), unclassed)), CONTEXTS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            yield from gathered(iter([part]), lambda keys: np.full(len(keys), unclassed))
+
+    return pairs.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, CONTEXTS)
 
 
 def head_contexts(pairs: DataFrame, tail: DataFrame, cls: np.ndarray, k: int) -> DataFrame:
     """(key, cls, codes, ns) of each head word: counts of classes after it (codes from 0), before it (from ``k``), and of itself beside it (2 * ``k``).
 
-    ``cls`` holds the classes of the head and the end.
+    ``cls`` holds the classes of the head and the end. Each task adds up its own counts; one short row per GROUP words travels.
     """
     n_head, width, shared = len(cls) - 1, 2 * k + 1, pairs.sparkSession.sparkContext.broadcast(cls)
-    schema = pa.schema([("key", pa.int64()), ("codes", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32()))])
+    schema = pa.schema([("group", pa.int32()), ("cells", pa.binary()), ("ns", pa.binary())])
 
     def counted(cells: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        """Cells key * width + code and counts, added up and sent as a row for each key."""
         total, held, size = np.zeros(n_head * width, np.int64), [], 0
+
+        def add() -> None:
+            total[:] += np.bincount(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), len(total)).astype(np.int64)
+
         for cell, n in cells:
             held.append((cell, n))
             size += len(cell)
             if size > PAIRS:
-                total += np.bincount(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), len(total)).astype(np.int64)
+                add()
                 held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), len(total)).astype(np.int64)
+            add()
         cell = np.flatnonzero(total)
-        key, first = np.unique(cell // width, return_index=True)
-        ends = np.r_[first, len(cell)]
-        for at in range(0, len(key), 5000):
-            stop = min(at + 5000, len(key))
-            own = slice(ends[at], ends[stop])
-            lists = [pa.ListArray.from_arrays((ends[at : stop + 1] - ends[at]).astype(np.int32), x.astype(np.int32)) for x in (cell[own] % width, total[cell[own]])]
-            yield pa.RecordBatch.from_arrays([pa.array(key[at:stop]), *lists], schema=schema)
+        group, first = np.unique(cell // (GROUP * width), return_index=True)
+        n, cell, ends = total[cell], (cell % (GROUP * width)).astype(np.int32), np.r_[first, len(cell)].tolist()
+        rows = [(g, cell[low:high].tobytes(), n[low:high].tobytes()) for g, low, high in zip(group.tolist(), ends[:-1], ends[1:], strict=True)]
+        for at in range(0, len(rows), 500):
+            yield to_batch(rows[at : at + 500], schema)
 
     def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
 
         def cells():
             for b in batches:
-                l, r, n = (b.column(i).to_numpy().astype(np.int64) for i in range(3))  # noqa: E741
-                a, z, same = l < n_head, r < n_head, (l == r) & (l < n_head)
-                yield l[a] * width + of[r[a]], n[a]
-                yield r[z] * width + k + of[l[z]], n[z]
-                yield l[same] * width + 2 * k, n[same]
+                for row in b.to_pylist():
+                    l, r, n = unpacked(row, np.int32)  # noqa: E741
+                    a, z, same = l < n_head, r < n_head, (l == r) & (l < n_head)
+                    yield l[a] * width + of[r[a]], n[a]
+                    yield r[z] * width + k + of[l[z]], n[z]
+                    yield l[same] * width + 2 * k, n[same]
 
         return counted(cells())
 
@@ -303,14 +335,25 @@ def head_contexts(pairs: DataFrame, tail: DataFrame, cls: np.ndarray, k: int) ->
 
         return counted(cells())
 
-    def parts(batches: Iterator[pa.RecordBatch]):
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finished(group: int, sums: np.ndarray) -> pa.RecordBatch:
+            cell = np.flatnonzero(sums)
+            return next(gathered(iter([(group * GROUP + cell // width, cell % width, sums[cell])]), lambda keys: shared.value[keys]))
+
+        group, sums = None, np.zeros(GROUP * width, np.int64)
         for b in batches:
-            codes = b.column(1)
-            yield np.repeat(b.column(0).to_numpy(), np.diff(codes.offsets.to_numpy())), codes.flatten().to_numpy().astype(np.int64), b.column(2).flatten().to_numpy().astype(np.int64)
+            for row in b.to_pylist():
+                if group is not None and row["group"] != group:
+                    yield finished(group, sums)
+                    sums = np.zeros(GROUP * width, np.int64)
+                group = row["group"]
+                sums[np.frombuffer(row["cells"], np.int32)] += np.frombuffer(row["ns"], np.int64)
+        if group is not None:
+            yield finished(group, sums)
 
-    fields = "key long, codes array<int>, ns array<int>"
-    rows = pairs.filter("h IS NULL").select("l", "r", "n").mapInArrow(of_pairs, fields).unionAll(tail.mapInArrow(of_tail, fields))
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: gathered(parts(batches), width, lambda keys: shared.value[keys]), CONTEXTS)
+    fields = "group int, cells binary, ns binary"
+    rows = pairs.filter("bucket < 0").mapInArrow(of_pairs, fields).unionAll(tail.mapInArrow(of_tail, fields))
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(total, CONTEXTS)
 
 
 def dense(b: pa.RecordBatch, columns: np.ndarray | None, width: int) -> np.ndarray:
@@ -371,16 +414,32 @@ def choose(contexts: DataFrame, shared, table: np.ndarray, classes: int, half: i
     return contexts.mapInArrow(run, CONTEXTS)
 
 
-def cluster(train: DataFrame, head: list[bytes], clustered: int, classes: int, scratch: Scratch, turns: tuple[str, ...] = TURNS) -> tuple[np.ndarray, DataFrame, int]:
-    """Class of each head word, (key, cls) of all others by their hash, and the number of classes."""
+def seed_table(pairs: DataFrame, n_head: int, clustered: int) -> np.ndarray:
+    """Counts of adjacent units: the first ``clustered`` words, then all other head words in one, then the end."""
+    rest, end = clustered, clustered + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((end + 1) ** 2, np.int64)
+        for b in batches:
+            for row in b.to_pylist():
+                l, r, n = unpacked(row, np.int32)  # noqa: E741
+                a, z = (np.where(x == n_head, end, np.minimum(x, rest)).astype(np.int64) for x in (l, r))
+                np.add.at(total, a * (end + 1) + z, n)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+
+    seen = pairs.filter("bucket < 0").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    units = np.zeros((end + 1) ** 2, np.int64)
+    units[seen.column("cell").to_numpy()] = seen.column("n").to_numpy()
+    return units.reshape(end + 1, end + 1)
+
+
+def cluster(train: DataFrame, head: list[bytes], n_others: int, clustered: int, classes: int, scratch: Scratch, turns: tuple[str, ...] = TURNS) -> tuple[np.ndarray, DataFrame, int]:
+    """Class of each head word, (key, cls) of all others by their hash, and the number of classes. All others occur ``n_others`` times."""
     sc, n_head = train.sparkSession.sparkContext, len(head)
-    pairs = scratch.table("pairs", word_pairs(train, head))
+    pairs = scratch.table("pairs", word_pairs(train, head, 1 + n_others // BUCKET))
     clustered = min(clustered, n_head)
-    rest, end = clustered, clustered + 1
-    unit = lambda c: F.when(F.col(c) == n_head, end).otherwise(F.least(F.col(c), F.lit(rest)))
-    seen = pairs.filter("h IS NULL").groupBy(unit("l").alias("a"), unit("r").alias("b")).agg(F.sum("n").alias("n")).toArrow()
-    units = np.zeros((clustered + 2, clustered + 2), np.int64)
-    units[seen.column("a").to_numpy(), seen.column("b").to_numpy()] = seen.column("n").to_numpy()
+    units = seed_table(pairs, n_head, clustered)
     seed = exchange(units, clustered, classes)
     classes = max(1, min(classes, clustered))
     k = classes + 2  # word classes, words without a class yet, the end
@@ -436,7 +495,7 @@ def train(docs: DataFrame, vocabulary: DataFrame, head_size: int, clustered: int
     """The model but for its transitions, and (word, c, cls) of every tail word. ``vocabulary`` holds (word, n) of docs."""
     n_words, n_types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     head, counts, others = split_head(vocabulary, head_size)
-    cls, tail, classes = cluster(docs, head, clustered, classes, scratch)
+    cls, tail, classes = cluster(docs, head, int(n_words - counts.sum()), clustered, classes, scratch)
     classed = scratch.table("classed", others.withColumn("key", F.xxhash64("word")).join(tail, "key").select("word", F.col("n").alias("c"), "cls"))
     mass = 1 + np.bincount(cls, counts + 1, classes)
     for r in classed.groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("types")).collect():
@@ -459,23 +518,31 @@ def encode(docs: DataFrame, classed: DataFrame, model: Model, is_held_out) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        get, held = m.index.get, []
+        get, own, words, places = m.index.get, [], [], []
         codes = np.r_[m.classes[:-1], UNKNOWN].astype(np.uint8)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            yield to_batch(own, schema)
+            doc_id, tag, is_held = (pa.array(x, schema.field(c).type).take(pa.array(np.repeat(np.arange(len(own)), [len(p) for p in places]))) for c, x in zip(("doc_id", "tag", "held_out"), [*zip(*own, strict=True)][1:4], strict=True))
+            n = len(words)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), doc_id, tag, is_held, pa.array(np.concatenate(places) + 1, pa.int32()), *(pa.nulls(n, f.type) for f in list(schema)[5:])], schema=schema)
+
         for b in batches:
             for doc_id, is_held, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), byte_texts(b), strict=True):
                 seq = tokens(raw)
                 ids = np.array([get(w, -1) for w in seq], np.int64)
-                known = ids[ids >= 0]
+                known, other = ids[ids >= 0], np.flatnonzero(ids < 0)
                 whole = np.r_[np.uint8(m.end_class), codes[ids], np.uint8(m.end_class)].astype(np.uint8).tobytes()
                 tag = xxhash.xxh3_64_intdigest(raw) >> 1
                 # The document's own row has a key that no word can equal, spread over many values.
-                held.append((f" {tag % 65_536}", doc_id, tag, is_held, None, whole, len(known) + (m.end_log_count > 0), float(m.log_counts[known].sum()) + m.end_log_count, float(m.emit[known].sum())))
-                held.extend((seq[i], doc_id, tag, is_held, i + 1, None, None, None, None) for i in np.flatnonzero(ids < 0).tolist())
-                if len(held) > 30_000:
-                    yield to_batch(held, schema)
-                    held = []
-        if held:
-            yield to_batch(held, schema)
+                own.append((f" {tag % 65_536}", doc_id, tag, is_held, None, whole, len(known) + (m.end_log_count > 0), float(m.log_counts[known].sum()) + m.end_log_count, float(m.emit[known].sum())))
+                places.append(other)
+                words.extend([seq[i] for i in other.tolist()])
+                if len(words) + len(own) > 30_000:
+                    yield from out()
+                    own, words, places = [], [], []
+        if own:
+            yield from out()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
