@@ -39,7 +39,7 @@ TURNS = ("head", "tail", "even", "odd", "tail")  # who chooses: all head words,
 FLUSH = 150_000  # distinct words that a task gathers before it hands them on
 PAIRS = 2_000_000  # adjacent words that a task combines at a time
 STRETCH = 50_000  # numbers in a packed row
-BUCKET = 4_000_000  # tail words' occurrences that a task gathers at a time, about
+BUCKET = 1_000_000  # tail words' occurrences that a task gathers at a time, about
 GROUP = 16  # head words whose counts travel together
 CELLS = 40_000  # classes beside words that choose side by side
 
