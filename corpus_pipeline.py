@@ -60,8 +60,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for k, (name, stage) in enumerate(STAGES):
         made = stage(spark, docs, sf_dir)
-        # The last stage is not written and read back, which would lose its order; its rows come from tables of its own.
-        docs = made if k == len(STAGES) - 1 else scratch.table(name, made)
+        if k == len(STAGES) - 1:  # not written and read back, which would lose its order; it reads the table before when it is asked for rows
+            return made
+        docs = scratch.table(name, made)
         if k:
             scratch.drop(STAGES[k - 1][0])
-    return docs
