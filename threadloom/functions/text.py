@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,6 +91,44 @@ def search_tokens(title: Column, url: Column) -> Column:
     return F.concat(tag(title, "A", F.lit(0)), tag(url, "B", F.size(tokens(title))))
 
 
+def run_id(service: Column, pid: Column, millis: Column) -> Column:
+    return F.concat_ws("-", service, pid.cast("string"), millis.cast("string"))
+
+
+def sorted_json(c: Column) -> Column:
+    """Compact JSON with the keys of every object in order, null for malformed text. Numbers come in their shortest decimal form."""
+    return F.to_json(F.try_parse_json(c))
+
+
+def _leaves(raw: str | None) -> list[dict] | None:
+    """Path and value of every string in a JSON text, in the text's order; None if it is null, malformed or too deep for the parser."""
+    try:
+        open_ = [("$", json.loads(raw))] if raw is not None else None
+    except (ValueError, RecursionError):
+        open_ = None
+    if open_ is None:
+        return None
+    found = []
+    while open_:
+        path, value = open_.pop()
+        if isinstance(value, str):
+            found.append({"path": path, "value": value})
+        named = [(f"{path}.{k}", x) for k, x in value.items()] if isinstance(value, dict) else [(f"{path}[{i}]", x) for i, x in enumerate(value)] if isinstance(value, list) else []
+        open_ += named[::-1]
+    return found
+
+
+def json_strings(c: Column) -> Column:
+    """Array of (path, value) of the strings anywhere in a JSON text: built-ins have no walk of unknown depth."""
+
+    @F.pandas_udf("array<struct<path: string, value: string>>")
+    def walk(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield t.map(_leaves)
+
+    return walk(c)
+
+
 def parse_parts(c: Column) -> Column:
     """Array of longs from JSON array, brace literal or comma-separated text; blank gives null, a bad element raises."""
     t = F.trim(c)

@@ -20,6 +20,28 @@ def retry_outcome(statuses: Column, max_attempts: int) -> Column:
     return F.struct(stop["n"].cast("int").alias("attempts"), stop["status"].alias("status"), result.alias("result"))
 
 
+def flush_outcome(n_items: Column, n_kids: Column, errors: Column, max_attempts: int) -> Column:
+    """Struct (attempts, result, failure_class) of writing a batch whose n-th attempt ends in the n-th error, null or absent if it works.
+
+    result: nothing (an empty batch), written, retryable (attempts exhausted) or fatal, as edges without items are before any attempt.
+    """
+    tried = F.transform(F.sequence(F.lit(1), F.lit(max(max_attempts, 1))), lambda k: F.struct(k.alias("n"), F.get(errors, k - 1).alias("error")))
+    again = lambda x: x["error"].isNotNull() & (classify.persist_outcome(x["error"]) == "retryable")
+    stop = F.coalesce(F.get(F.filter(tried, lambda x: ~again(x)), F.lit(0)), F.element_at(tried, -1))
+    result = F.when(stop["error"].isNull(), "written").otherwise(classify.persist_outcome(stop["error"]))
+    result = F.when(n_items > 0, result).when(n_kids > 0, "fatal").otherwise("nothing")
+    failure = F.when(result == "retryable", "network_transient").when(result == "fatal", "schema")
+    return F.struct(F.when(n_items > 0, stop["n"]).otherwise(0).cast("int").alias("attempts"), result.alias("result"), failure.alias("failure_class"))
+
+
+def realtime_outcome(statuses: Column, has_body: Column, max_attempts: int) -> Column:
+    """Struct (attempts, result, failure_class) of one item that a change stream names: as retry_outcome, but an item without a body is missing and success counts one attempt."""
+    r = retry_outcome(statuses, max_attempts)
+    found = r["result"] == "found"
+    result = F.when(found & has_body, "succeeded").when(found, "missing").otherwise(r["result"])
+    return F.struct(F.when(found & has_body, 1).otherwise(r["attempts"]).alias("attempts"), result.alias("result"), F.when(~found, classify.status_class(r["status"])).alias("failure_class"))
+
+
 def segment_attempts(work: DataFrame, items: DataFrame, batch_size: int) -> DataFrame:
     """One row per segment of ``work(segment_id, start_id, end_id, scan_cursor_id)`` from ``items(id, result)``.
 

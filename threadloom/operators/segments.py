@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators import intervals
+from threadloom.operators import intervals, upsert
 from threadloom.sources.schemas import FAILURE_CLASSES, SEGMENT_STATUSES
 
 NUMBERED = 10_000_000
@@ -66,6 +66,18 @@ def requeue(segments: DataFrame, status: str) -> DataFrame:
     return _set(segments, F.col("status") == status, status=F.lit("pending"))
 
 
+def set_pending(segments: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The segments of ``chosen(segment_id)`` are pending again without an error; cursors and counts stay."""
+    none = chosen.select("segment_id", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("string").alias("failure_class"))
+    return upsert.update_from(segments, none, "segment_id", ["status", "last_error", "failure_class"])
+
+
+def update_progress(segments: DataFrame, progress: DataFrame) -> DataFrame:
+    """Cursor (null clears it) and count from ``progress(segment_id, scan_cursor_id, unresolved_count)``; a negative count is an error."""
+    count = F.when(F.col("unresolved_count") < 0, F.raise_error("unresolved_count must not be negative").cast("int")).otherwise(F.col("unresolved_count"))
+    return upsert.update_from(segments, progress.withColumn("unresolved_count", count), "segment_id", ["scan_cursor_id", "unresolved_count"])
+
+
 def reset_window(segments: DataFrame, exceptions: DataFrame, start: int, end: int) -> tuple[DataFrame, DataFrame]:
     """All segments that touch the window start over, and so do their exceptions."""
     hit = (F.col("end_id") >= start) & (F.col("start_id") <= end)

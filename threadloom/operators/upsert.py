@@ -69,6 +69,27 @@ def check_batch(items: DataFrame, kids: DataFrame) -> bool:
     return False
 
 
+def changed(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of the batch that are new or differ from the stored row in any column; two nulls do not differ."""
+    old = table.select(*(F.col(c).alias(f"_{c}") for c in batch.columns), F.lit(True).alias("_old"))
+    on, differs = F.lit(True), F.col("_old").isNull()
+    for c in batch.columns:
+        if c in keys:
+            on = on & (F.col(c) == F.col(f"_{c}"))
+        else:
+            differs = differs | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return batch.join(old, on, "left").filter(differs).select(*batch.columns)
+
+
+def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table with new rows, whose keys it does not hold; columns that they lack are null."""
+    return table.unionByName(rows, allowMissingColumns=True)
+
+
+def delete(table: DataFrame, keys: DataFrame) -> DataFrame:
+    return table.join(keys, keys.columns, "left_anti")
+
+
 def update_from(table: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """UPDATE ... FROM: rows that meet a change take its values, others stay."""
     changed = changes.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in columns), F.lit(True).alias("_hit"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.functions import sizing
+from threadloom.functions import classify, sizing
 from threadloom.operators import attempts, intervals, segments, upsert
 from threadloom.plans.fixtures import frame, oracle
 from threadloom.plans.registry import query
@@ -184,3 +184,34 @@ def failure_payload(spark, sf_dir):
     c = F.col
     payload = attempts.failure_payload(F.lit("run-1"), c("segment_id"), c("item_id"), c("attempts"), c("failure_class"), c("last_error"))
     return frame(spark, sf_dir, "fx_exceptions").select("segment_id", payload.alias("payload"))
+
+
+@query(oracle("SELECT segment_id, CASE WHEN segment_id % 3 = 1 THEN 'pending' ELSE status END AS status, scan_cursor_id, unresolved_count, CASE WHEN segment_id % 3 <> 1 THEN last_error END AS last_error, CASE WHEN segment_id % 3 <> 1 THEN failure_class END AS failure_class FROM fx_segments", "fx_segments"))
+def segment_pending(spark, sf_dir):
+    rows = _segments(spark, sf_dir)
+    return segments.set_pending(rows, rows.filter("segment_id % 3 = 1")).select("segment_id", "status", "scan_cursor_id", "unresolved_count", "last_error", "failure_class")
+
+
+@query(oracle("SELECT segment_id, status, CASE segment_id % 4 WHEN 0 THEN end_id WHEN 1 THEN NULL ELSE scan_cursor_id END AS scan_cursor_id, CAST(CASE WHEN segment_id % 4 < 2 THEN segment_id % 9 ELSE unresolved_count END AS INT) AS unresolved_count FROM fx_segments", "fx_segments"))
+def segment_progress(spark, sf_dir):
+    rows, i = _segments(spark, sf_dir), F.col("segment_id")
+    progress = rows.filter(i % 4 < 2).select(i, F.when(i % 4 == 0, F.col("end_id")).alias("scan_cursor_id"), (i % 9).cast("int").alias("unresolved_count"))
+    return segments.update_progress(rows, progress).select("segment_id", "status", "scan_cursor_id", "unresolved_count")
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 11 AS items, event_id % 2 AS kids, event_id % 5 AS bad, event_id % 7 = 3 AS broken FROM events)
+SELECT event_id, CAST(CASE WHEN items = 0 THEN 0 ELSE least(bad + 1, 3) END AS INT) AS attempts,
+  CASE WHEN items = 0 AND kids = 0 THEN 'nothing' WHEN items = 0 THEN 'fatal' WHEN bad > 2 THEN 'retryable' WHEN broken THEN 'fatal' ELSE 'written' END AS result,
+  CASE WHEN items = 0 AND kids = 0 THEN NULL WHEN items = 0 THEN 'schema' WHEN bad > 2 THEN 'network_transient' WHEN broken THEN 'schema' END AS failure_class FROM e""")
+def flush_outcome(spark, sf_dir):
+    i = F.col("event_id")
+    errors = F.concat(F.array_repeat(F.lit(classify.RETRYABLE_DB[0]), (i % 5).cast("int")), F.array(F.when(i % 7 == 3, "UniqueViolation")))
+    return frame(spark, sf_dir, "events").select("event_id", attempts.flush_outcome(i % 11, i % 2, errors, 3).alias("r")).select("event_id", "r.*")
+
+
+@query(oracle("""WITH t AS (SELECT item_id, status, status = 429 OR status >= 500 AS again, item_id % 4 <> 0 AS body FROM fx_http)
+SELECT item_id, CAST(CASE WHEN again AND NOT body THEN 2 ELSE 1 END AS INT) AS attempts, CASE WHEN again OR status = 200 THEN CASE WHEN body THEN 'succeeded' ELSE 'missing' END ELSE 'fatal' END AS result,
+  CASE WHEN again OR status = 200 THEN NULL WHEN status >= 400 THEN 'http_4xx' ELSE 'schema' END AS failure_class FROM t""", "fx_http"))
+def realtime_item(spark, sf_dir):
+    outcome = attempts.realtime_outcome(F.array("status"), F.col("item_id") % 4 != 0, 3)
+    return frame(spark, sf_dir, "fx_http").select("item_id", outcome.alias("r")).select("item_id", "r.*")

@@ -39,6 +39,14 @@ VIEWS = {
           WHEN 7 THEN '[true]' WHEN 8 THEN '[]' WHEN 9 THEN '{{}}' WHEN 10 THEN '[["0"]]' ELSE 'null' END,
         ',"score":', CASE WHEN event_id % 17 = 3 THEN '"high"' ELSE CAST(event_id % 100 AS STRING) END,
         ',"kids":[', CAST(event_id + 1 AS STRING), ',', CAST(event_id + 2 AS STRING), ']}}') AS payload FROM {events}""",
+    "fx_log": """
+      SELECT event_id AS seq, CASE event_id % 5 WHEN 0 THEN 'backfill-kids.service' WHEN 1 THEN 'backfill-.service' WHEN 2 THEN 'x-catchup-worker-1.service'
+          ELSE concat('catchup-worker-', CAST(event_id % 3 AS STRING), '.service') END AS unit,
+        CASE WHEN event_id % 13 = 5 THEN 'panic: not json' ELSE concat('{{"timestamp":"2026-02-13T', lpad(CAST(CAST(floor((event_id % 1440) / 60) AS BIGINT) AS STRING), 2, '0'), ':',
+          lpad(CAST(event_id % 60 AS STRING), 2, '0'), ':30.250000Z","level":"INFO","event":"', CASE event_id % 7 WHEN 0 THEN 'segment_claimed' WHEN 1 THEN 'segment_completed'
+            WHEN 2 THEN 'segment_retry_wait' WHEN 3 THEN 'segment_dead_letter' ELSE 'progress' END, '","segment_id":', CAST(event_id % 50 AS STRING),
+          CASE WHEN event_id % 7 > 3 THEN concat(',"pending_segments":', CAST(event_id % 40 AS STRING), ',"progress_percent":', CAST(event_id % 101 AS STRING)) ELSE '' END,
+          CASE WHEN event_id % 2 = 0 THEN ',"run_id":"run-' ELSE ',"span":{{"run_id":"run-' END, CAST(event_id % 3 AS STRING), CASE WHEN event_id % 2 = 0 THEN '"}}' ELSE '"}}}}' END) END AS line FROM {events}""",
     "fx_lines": """
       SELECT l_orderkey AS item, l_partkey AS kid, CAST(l_linenumber AS BIGINT) AS display_order, l_shipdate AS shipped, l_extendedprice AS price FROM {lineitem}""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import classify, sizing, text
+from threadloom.operators import render
 from threadloom.plans.fixtures import frame, oracle
 from threadloom.plans.registry import query
 
@@ -49,10 +50,10 @@ def item_url(spark, sf_dir):
     return frame(spark, sf_dir, "events").select("event_id", text.item_url(F.lit("http://host/v0//"), F.col("event_id")).alias("url"))
 
 
-@query(r"""WITH p AS (SELECT page_id, list_filter(regexp_split_to_array(lower(coalesce(split_part(html, chr(10), 1), '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(coalesce(url, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS b FROM pages)
+@query(r"""WITH p AS (SELECT page_id, list_filter(regexp_split_to_array(lower(coalesce(html, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(coalesce(url, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS b FROM pages)
 SELECT page_id, unnest(range(1, len(a) + len(b) + 1)) AS pos, unnest(list_concat(a, b)) AS token, unnest(list_concat(list_transform(a, lambda x: 'A'), list_transform(b, lambda x: 'B'))) AS weight FROM p""")
 def search_tokens(spark, sf_dir):
-    rows = frame(spark, sf_dir, "pages").select("page_id", F.split_part(F.col("html"), F.lit("\n"), F.lit(1)).alias("title"), "url")
+    rows = frame(spark, sf_dir, "pages").select("page_id", F.col("html").alias("title"), "url")
     return rows.select("page_id", F.inline(text.search_tokens(F.col("title"), F.col("url")))).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -175,3 +176,43 @@ def derive_workers(spark, sf_dir):
 @query("SELECT event_id, CASE WHEN event_id % 10 < 9 THEN round(event_id * (1 - (event_id % 10 + 1) / 10.0::DOUBLE) / ((event_id % 10 + 1) / 10.0::DOUBLE), 6) END AS pause FROM events")
 def throttle_pause(spark, sf_dir):
     return frame(spark, sf_dir, "events").select("event_id", F.round(sizing.throttle_pause(F.col("event_id"), (F.col("event_id") % 10 + 1) / F.lit(10.0)), 6).alias("pause"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'unknown' ELSE left(md5(CAST(doc_id AS VARCHAR)), 12) END AS commit FROM documents")
+def short_hash(spark, sf_dir):
+    commit = F.when(F.col("doc_id") % 9 == 0, "unknown").otherwise(F.md5(F.col("doc_id").cast("string").cast("binary")))
+    return frame(spark, sf_dir, "documents").select("doc_id", text.short_hash(commit).alias("commit"))
+
+
+@query("SELECT event_id, event_type || CASE WHEN event_id % 3 > 0 THEN ' | caused_by: user ' || user_id ELSE '' END || CASE WHEN event_id % 3 = 2 THEN ' | caused_by: end' ELSE '' END AS message FROM events")
+def error_chain(spark, sf_dir):
+    causes = F.slice(F.array("event_type", F.concat(F.lit("user "), F.col("user_id").cast("string")), F.lit("end")), F.lit(1), (F.col("event_id") % 3 + 1).cast("int"))
+    return frame(spark, sf_dir, "events").select("event_id", text.error_chain(causes).alias("message"))
+
+
+@query("SELECT event_id, event_type || '-' || user_id || '-' || (event_id * 1000 + 7) AS run_id FROM events")
+def run_id(spark, sf_dir):
+    return frame(spark, sf_dir, "events").select("event_id", text.run_id(F.col("event_type"), F.col("user_id"), F.col("event_id") * 1000 + 7).alias("run_id"))
+
+
+@query("""SELECT page_id, md5('<div class="thread-error">Could not load story ' || page_id || ': ' || replace(replace(replace(replace(replace(coalesce(url, '') || ' <"missing" & ' || chr(39) || 'gone' || chr(39) || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') || '</div>') AS html FROM pages""")
+def render_error(spark, sf_dir):
+    message = F.concat(F.coalesce("url", F.lit("")), F.lit(" <\"missing\" & 'gone'>"))
+    return frame(spark, sf_dir, "pages").select("page_id", F.md5(render.error_fragment(F.col("page_id"), message).cast("binary")).alias("html"))
+
+
+@query("""SELECT event_id, '{"a":[' || event_id || ',{"x":null,"y":true}],"b":{"c":"' || event_type || '","d":' || user_id || '}}' AS rendered FROM events""")
+def sorted_json(spark, sf_dir):
+    raw = F.format_string('{"b": {"d": %d, "c": "%s"}, "a": [%d, {"y": true, "x": null}]}', "user_id", "event_type", "event_id")
+    return frame(spark, sf_dir, "events").select("event_id", text.sorted_json(raw).alias("rendered"))
+
+
+@query(r"""WITH d AS (SELECT event_id, '{"a":{"b":["' || event_type || '","x\u001by",' || user_id || ',{"deep":[["\u0007"]]}]},"c":"' || CASE WHEN event_id % 2 = 0 THEN '\u0001' ELSE 'fine\n' END || '"}' AS j FROM events),
+t AS (SELECT event_id, x.fullkey AS path, x.atom ->> '$' AS v FROM d, json_tree(d.j) AS x WHERE x.type = 'VARCHAR')
+SELECT event_id, path, CASE v WHEN 'x' || chr(27) || 'y' THEN 'contains control char U+001B at char index 1' WHEN chr(7) THEN 'contains control char U+0007 at char index 0' ELSE 'contains control char U+0001 at char index 0' END AS issue
+FROM t WHERE regexp_matches(v, '[\x00-\x08\x0b\x0c\x0e-\x1f]')""")
+def json_string_issues(spark, sf_dir):
+    last = F.when(F.col("event_id") % 2 == 0, r"\u0001").otherwise(r"fine\n")
+    raw = F.concat(F.lit('{"a":{"b":["'), "event_type", F.lit(r'","x\u001by",'), F.col("user_id").cast("string"), F.lit(r',{"deep":[["\u0007"]]}]},"c":"'), last, F.lit('"}'))
+    found = frame(spark, sf_dir, "events").select("event_id", F.inline(text.json_strings(raw)))
+    return found.select("event_id", "path", F.explode(text.control_issue(F.col("value"))).alias("issue"))

@@ -177,3 +177,17 @@ def failure_ratio(spark, sf_dir):
     rates = metrics.rate(_samples(spark, sf_dir)).groupBy("series", F.expr("t div 300").alias("b")).agg(F.max("rate").alias("rate"))
     own = F.coalesce(F.max(F.when(F.col("series") == "error", F.col("rate"))), F.max("rate"))
     return rates.groupBy("b").agg(F.round(metrics.floored_ratio(own, F.min("rate")), 9).alias("ratio"))
+
+
+@query(oracle("""WITH n AS (SELECT id, CASE WHEN id % 6 = 0 THEN NULL ELSE score END AS score, CASE WHEN id % 10 = 1 THEN NULL ELSE dead END AS dead, text FROM fx_all)
+SELECT n.* FROM n LEFT JOIN fx_items o USING (id) WHERE o.id IS NULL OR n.score IS DISTINCT FROM o.score OR n.dead IS DISTINCT FROM o.dead OR n.text IS DISTINCT FROM o.text""", "fx_items"))
+def changed_items(spark, sf_dir):
+    batch = frame(spark, sf_dir, "fx_all").selectExpr("id", "CASE WHEN id % 6 <> 0 THEN score END AS score", "CASE WHEN id % 10 <> 1 THEN dead END AS dead", "text")
+    return upsert.changed(frame(spark, sf_dir, "fx_items"), batch, ["id"])
+
+
+@query(oracle("SELECT item, kid, display_order FROM fx_kids WHERE kid % 100 <> 42 UNION ALL SELECT 5000000, 5000001, NULL", "fx_kids"))
+def insert_delete(spark, sf_dir):
+    kids = frame(spark, sf_dir, "fx_kids")
+    row = spark.range(1).selectExpr("5000000L AS item", "5000001L AS kid")
+    return upsert.insert(upsert.delete(kids, kids.filter("kid % 100 = 42").select("item", "kid")), row)
