@@ -14,6 +14,7 @@ DOMAIN_PATTERN = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/?#@]+@)?([^/:?#]+)"
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
 #: Fields that are cleaned of NUL characters, in the order in which changes are listed.
 TEXT_FIELDS = ("type", "by", "text", "url", "title")
+# Seconds of the units of an age; a month has 30 days and a year 365.
 MINUTE, HOUR, DAY, MONTH, YEAR = 60, 3600, 86400, 2592000, 31536000
 
 

@@ -1,4 +1,7 @@
-"""HTML fragments of threads, from columns. ``now`` is a parameter."""
+"""HTML fragments of threads, from columns. ``now`` is a parameter.
+
+Fixed values: the wording, class names and element ids below are the markup that pages and style sheets expect; they are stated as they are.
+"""
 
 from __future__ import annotations
 
