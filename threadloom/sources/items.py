@@ -14,8 +14,12 @@ TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes"), ("false", "0", "no")
 
 def tolerant_bool(payload: Column, field: str, depth: int = 4) -> Column:
     """A boolean that upstream sends in many shapes: itself, a number (not 0), a word, or an array's first element."""
+    return variant_bool(F.try_parse_json(payload), field, depth)
+
+
+def variant_bool(value: Column, field: str, depth: int = 4) -> Column:
+    """The same of a parsed payload. A column is parsed once for all fields; an expression is parsed at each use."""
     at, out = f"$.{field}", F.lit(None).cast("boolean")
-    value = F.try_parse_json(payload)
     for k in reversed(range(depth + 1)):
         here = F.try_variant_get(value, at + "[0]" * k, "variant")
         kind = F.schema_of_variant(here)
@@ -36,11 +40,11 @@ def decode_items(raw: DataFrame, payload: str = "payload") -> DataFrame:
     schema = StructType([*PAYLOAD.fields, StructField("_bad", StringType())])
     parsed = F.from_json(F.col(payload), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     missing = F.trim(F.col(payload)) == "null"
-    rows = raw.withColumn("_p", parsed)
+    rows = raw.withColumns({"_p": parsed, "_v": F.try_parse_json(payload)})
     bad = F.col("_p").isNull() | F.col("_p._bad").isNotNull() | F.col("_p.id").isNull()
-    fields = [tolerant_bool(F.col(payload), n).alias(n) for n in ("deleted", "dead")] + [F.col(f"_p.{n}").alias(n) for n in PAYLOAD.names]
+    fields = [variant_bool(F.col("_v"), n).alias(n) for n in ("deleted", "dead")] + [F.col(f"_p.{n}").alias(n) for n in PAYLOAD.names]
     rows = rows.withColumn("item", F.when(~bad & ~missing, F.struct(*fields)))
-    return rows.withColumn("failure_class", F.when(bad & ~missing, "decode")).drop("_p")
+    return rows.withColumn("failure_class", F.when(bad & ~missing, "decode")).drop("_p", "_v")
 
 
 def item_rows(decoded: DataFrame) -> DataFrame:
