@@ -11,6 +11,9 @@ from threadloom.llm import (
     op08_language_id,
     op09_simhash,
     op10_mixing,
+    op11_conversations,
+    op12_packing,
+    op13_alignment,
 )
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_language_id": op08_language_id.op8_language_id,
     "op9_simhash": op09_simhash.op9_simhash,
     "op10_mixing": op10_mixing.op10_mixing,
+    "op11_conversations": op11_conversations.op11_conversations,
+    "op12_packing": op12_packing.op12_packing,
+    "op13_alignment": op13_alignment.op13_alignment,
 }
 
 ORACLES = {
