@@ -1,18 +1,28 @@
 """Comment trees of all stories at once, with explicit reports of what does not fit.
 
-Edges are classified and completed by joins. Only the walk itself, which must attach a comment once, under whichever parent
-comes first in depth-first order, and must notice cycles, runs as a grouped function: one story at a time, with an explicit
-stack. Texts never travel there: a walk sees ids alone.
+Edges are classified and completed by joins. The depth-first walk, which attaches a comment once, under whichever parent comes to it first, and notices cycles,
+works on tables too; no task ever walks a story.
+
+A story's walk is a list: enter a comment, pass its children in order, leave it. Where a child is not attached by an edge, the list has a probe instead.
+Each entry knows the one before it, so pointer jumping gives every entry its place in as many rounds as the list's length has binary digits, each
+an equi-join of unique keys. The walk is right if each comment is entered by the first of its edges in that order. Comments that are not take that edge, and the walk
+is listed again, until nothing changes: all that precedes the first wrong entry is right, and each round mends that entry. A new parent is
+entered before its child in the walk that chose it, so attachments never form a cycle. Where every comment has one parent that can reach it, one list is enough.
+
+Comments that no edge attaches hang on the story behind its own children, by id, as edges of last priority; so extra roots need no walk of their own.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.ordering import numbered
+from threadloom.sources.scratch import Scratch
+
 LAST = 9223372036854775807
-BREAKS = "story_id long, reason string, parent_id long, child_id long"
 
 
 def stories(items: DataFrame) -> DataFrame:
@@ -63,56 +73,84 @@ def children(classified: DataFrame, fallback: DataFrame) -> DataFrame:
     return first.select("story_id", "parent", "child", "k.priority", "k.ord")
 
 
-WALK = "kind string, story_id long, id long, parent long, depth int, orphan boolean, pos int"
-
-
-def walk(edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one story's tree in depth-first order, and its cycle and orphan breaks (kind names the row)."""
-    if own.empty:
-        return pd.DataFrame([], columns=["kind", "story_id", "id", "parent", "depth", "orphan", "pos"])
-    story = int(own["story_id"].iloc[0])
-    below: dict[int, list[int]] = {}
-    if not edges.empty:
-        ordered = edges.sort_values(["parent", "priority", "ord", "child"], kind="stable")
-        for parent, child in zip(ordered["parent"].tolist(), ordered["child"].tolist(), strict=True):
-            below.setdefault(parent, []).append(child)
-    attached: set[int] = set()
-    rows: list[tuple] = []
-
-    def build(root: int, top: int | None, orphan: bool) -> None:
-        if root in attached:
-            return
-        on_path = {root}
-        tree = [[root, top, 1]]
-        stack = [(root, iter(below.get(root, ())), 1)]
-        while stack:
-            node, rest, depth = stack[-1]
-            child = next(rest, None)
-            if child is None:
-                stack.pop()
-                on_path.discard(node)
-                attached.add(node)
-            elif child in on_path:
-                rows.append(("CycleDetected", story, child, node, 0, orphan, 0))
-            elif child not in attached:
-                on_path.add(child)
-                tree.append([child, node, depth + 1])
-                stack.append((child, iter(below.get(child, ())), depth + 1))
-        for node, parent, depth in tree:
-            rows.append(("node", story, node, parent, depth, orphan, len(places)))
-            places.append(node)
-
-    places: list[int] = []
-    for root in below.get(story, ()):
-        build(root, story, False)
-    visible = own[own["visible"]]
-    parents = dict(zip(visible["id"].tolist(), visible["parent"].tolist(), strict=True))
-    for node in sorted(x for x in parents if x not in attached):
-        parent = parents[node]
-        if not pd.isna(parent) and int(parent) != story:
-            rows.append(("MissingParent", story, node, int(parent), 0, True, 0))
-        build(node, None, True)
-    return pd.DataFrame(rows, columns=["kind", "story_id", "id", "parent", "depth", "orphan", "pos"]).astype({"parent": "Int64"})
+EXTRA = 2  # priority of the edges that hang every comment on its story
+
+
+def adjacency(lists: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """(at, story_id, parent, child, extra, last, head): all edges, numbered in the order of parents and of their children.
+
+    ``last``: no edge of the parent follows; the next one's number is at + 1. ``head``: the number of the child's own first edge, null without any.
+    """
+    extra = own.filter("visible").select("story_id", F.col("story_id").alias("parent"), F.col("id").alias("child"), F.lit(EXTRA).alias("priority"), F.lit(LAST).alias("ord"))
+    # A story's own child has an edge to it already, which comes before.
+    tops = lists.filter("parent = story_id").select("story_id", "child")
+    edges = lists.unionByName(extra.join(tops, ["story_id", "child"], "left_anti"))
+    placed = scratch.table("placed", numbered(edges, ["parent", "priority", "ord", "child"], "at", scratch, "sorted"))
+    after = placed.select((F.col("at") - 1).alias("at"), F.col("parent").alias("_next"))
+    heads = placed.groupBy(F.col("parent").alias("child")).agg(F.min("at").alias("head"))
+    known = placed.join(after, "at", "left").join(heads, "child", "left")
+    last = F.coalesce(F.col("_next") != F.col("parent"), F.lit(True))
+    return scratch.table("adjacency", known.select("at", "story_id", "parent", "child", (F.col("priority") == EXTRA).alias("extra"), last.alias("last"), "head"))
+
+
+def attached_first(edges: DataFrame) -> DataFrame:
+    """(child, at): an attachment to begin with, free of cycles: to the story, or to the comment of the smallest id if that is below the child's, as parents' are."""
+    usable = edges.filter((F.col("parent") == F.col("story_id")) | (F.col("parent") < F.col("child")))
+    return usable.groupBy("child").agg(F.min_by("at", F.struct("extra", "parent")).alias("at"))
+
+
+SUMS = ("n", "entered", "left", "extras")
+
+
+def _entries(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(entry, before, n, entered, left, extras): links of the list, with what the entry before it adds. An entry is twice its edge's number, the leave of a child one
+    more. A child without edges is entered and left at once."""
+    mine = edges.join(chosen.select(F.col("at"), F.lit(True).alias("tree")), "at", "left").withColumn("tree", F.col("tree").isNotNull())
+    above = chosen.select(F.col("child").alias("parent"), F.col("at").alias("_up"), F.lit(True).alias("last"))
+    mine = mine.join(above, ["parent", "last"], "left")  # an edge that is its parent's last is followed by the parent's leave
+    enter, leave = F.col("at") * 2, F.col("at") * 2 + 1
+    following = F.when(~F.col("last"), (F.col("at") + 1) * 2).otherwise(F.col("_up") * 2 + 1)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    tree, opens = F.col("tree"), F.col("tree") & F.col("head").isNotNull()
+    first = F.struct(F.when(opens, F.col("head") * 2).otherwise(following).alias("entry"), enter.alias("before"), F.when(tree & ~opens, 2).otherwise(one).alias("n"), tree.cast("long").alias("entered"), (tree & ~opens).cast("long").alias("left"), (tree & F.col("extra")).cast("long").alias("extras"))
+    second = F.when(opens, F.struct(following.alias("entry"), leave.alias("before"), one.alias("n"), zero.alias("entered"), one.alias("left"), zero.alias("extras")))
+    return mine.select(F.inline(F.array_compact(F.array(first, second)))).filter("entry IS NOT NULL")
+
+
+def listed(edges: DataFrame, chosen: DataFrame, rounds: int, scratch: Scratch, name: str) -> DataFrame:
+    """(entry, n, entered, left, extras): for each entry but a story's first, how many entries, enters, leaves and extra roots come before it."""
+    state = scratch.table(f"{name}0", _entries(edges, chosen))
+    for k in range(rounds):
+        back = state.select(F.col("entry").alias("before"), F.col("before").alias("_before"), *(F.col(c).alias(f"_{c}") for c in SUMS))
+        sums = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in SUMS]
+        after = scratch.table(f"{name}{k + 1}", state.join(back, "before", "left").select("entry", F.col("_before").alias("before"), *sums))
+        scratch.drop(f"{name}{k}")
+        state = after
+    return state.drop("before")
+
+
+def walked(lists: DataFrame, own: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(tree, cycles). Tree: story_id, id, parent (null for an extra root), depth, orphan, pos. Cycles: story_id, parent, child of edges to a comment on the walk's path."""
+    edges = adjacency(lists, own, scratch)
+    longest = edges.groupBy("story_id").agg(F.sum(1 + F.col("head").isNotNull().cast("int")).alias("entries")).agg(F.max("entries")).first()[0] or 0
+    rounds = math.ceil(math.log2(longest)) if longest else 0
+    chosen, k = scratch.table("chosen0", attached_first(edges)), 0
+    while True:
+        times = listed(edges, chosen, rounds, scratch, f"list{k}-")
+        timed = edges.join(times, F.col("at") * 2 == F.col("entry"), "left").select(edges["*"], *(F.coalesce(c, F.lit(0)).alias(c) for c in SUMS))
+        timed = scratch.table(f"timed{k}", timed)
+        first = scratch.table(f"chosen{k + 1}", timed.groupBy("child").agg(F.min_by("at", "n").alias("at")))
+        if first.join(chosen, ["child", "at"], "left_anti").isEmpty():
+            break
+        chosen, k = first, k + 1
+    tree = timed.join(chosen.select("at"), "at", "left_semi")
+    orphan = (F.col("extras") > 0) | F.col("extra")
+    rows = tree.select("story_id", F.col("child").alias("id"), F.when(~F.col("extra"), F.col("parent")).alias("parent"), (F.col("entered") - F.col("left") + 1).cast("int").alias("depth"), orphan.alias("orphan"), F.col("entered").cast("int").alias("pos"))
+    # An edge that was passed while its child was entered and not yet left leads back to the path.
+    probes = timed.filter(~F.col("extra")).select("at", "story_id", "parent", "child", "n").join(chosen.select("at"), "at", "left_anti")
+    left = chosen.select("child", (F.col("at") * 2 + 1).alias("entry")).join(times.select("entry", F.col("n").alias("end")), "entry")
+    cycles = probes.join(left, "child").filter("n < end").select("story_id", "parent", "child")
+    return rows, cycles
 
 
 def assemble(items: DataFrame, kids: DataFrame, include_deleted: bool = True, include_dead: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -120,16 +158,16 @@ def assemble(items: DataFrame, kids: DataFrame, include_deleted: bool = True, in
 
     Tree rows: story_id, id, parent (null for an extra root), depth (1 at the top), orphan, pos (depth-first). Breaks are a multiset.
     """
-    own = nodes(items, include_deleted, include_dead)
-    classified, fallback = classify_edges(story_edges(items, kids), own), fallback_edges(own)
-    lists = children(classified, fallback)
-    walked = lists.groupBy("story_id").cogroup(own.groupBy("story_id")).applyInPandas(walk, WALK)
-    tree = walked.filter("kind = 'node'").drop("kind")
-    breaks = (
-        classified.filter("outcome LIKE 'Missing%'").select("story_id", F.col("outcome").alias("reason"), F.col("item").alias("parent_id"), F.col("kid").alias("child_id"))
-        .unionByName(fallback.filter("outcome = 'MissingParent'").select("story_id", F.col("outcome").alias("reason"), F.col("parent").alias("parent_id"), F.col("id").alias("child_id")))
-        .unionByName(walked.filter("kind <> 'node'").select("story_id", F.col("kind").alias("reason"), F.col("parent").alias("parent_id"), F.col("id").alias("child_id")))
-    )
+    scratch = Scratch(items.sparkSession)
+    own = scratch.table("own", nodes(items, include_deleted, include_dead))
+    classified = scratch.table("classified", classify_edges(story_edges(items, kids), own))
+    fallback = scratch.table("fallback", fallback_edges(own))
+    tree, cycles = walked(children(classified, fallback), own, scratch)
+    lost = tree.filter("orphan").select("story_id", "id").join(own.filter("parent <> story_id").select("story_id", "id", "parent"), ["story_id", "id"])
+    named = lambda df, reason, parent, child: df.select("story_id", reason.alias("reason"), F.col(parent).alias("parent_id"), F.col(child).alias("child_id"))
+    breaks = named(classified.filter("outcome NOT IN ('kept', 'silent')"), F.col("outcome"), "item", "kid")
+    breaks = breaks.unionByName(named(fallback.filter("outcome NOT IN ('kept', 'silent')"), F.col("outcome"), "parent", "id"))
+    breaks = breaks.unionByName(named(lost, F.lit("MissingParent"), "parent", "id")).unionByName(named(cycles, F.lit("CycleDetected"), "parent", "child"))
     return tree, breaks
 
 
