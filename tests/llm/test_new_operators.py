@@ -261,7 +261,8 @@ def plain_alignment(given):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_alignment_equals_whole_texts(spark, tmp_path, monkeypatch, seed):
-    monkeypatch.setattr(op13, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(op13, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(op13, "CHUNK_NUMBERS", 300)
     given = [(k % 90 if k % 7 else None, t) for k, t in enumerate(texts(seed))]
     sf_dir = documents(spark, tmp_path, [(d, t, "en", "s", 0) for d, t in given], lambda df: df.withColumns({"block": F.lit("x"), "nth": F.lit(1), "pair": F.lit(2)}))
     assert Counter(map(tuple, op13.op13_alignment(spark, sf_dir).collect())) == Counter(plain_alignment(given))

@@ -6,11 +6,11 @@ those of its segments. Each distinct segment is tokenised and aligned once, wher
 
 A group ends where tokens of both end. Its A tokens and B tokens are linked, all with all. A pair's count is the number of documents that hold it linked.
 
-Scale: documents are gathered into blocks of about ``BLOCK_BYTES`` as they are read. A block is written as its documents, each a list of numbers, and its
+Scale: documents are gathered into blocks of about ``BLOCK_CHARS`` as they are read. A block is written as its documents, lists of numbers, and its
 distinct segments. Segments meet by one shuffle on the segment, streamed in order, so the first of equals is tokenised and the others take its
-alignment; a segment occurs once a block, so none is hot. Alignments return to their blocks, where numpy composes the documents: once for the
-documents of each pair, which leave the block as sums, and, with the counts of the block's pairs, once for the results. Counts of pairs also meet
-by (block, pair). A task holds one block, or one document if that is longer.
+alignment; a segment occurs once a block, so none is hot. Alignments return to their blocks, packed, where numpy composes the documents. Each leaves its digest and its
+linked pairs with their links; the block leaves the number of its documents for each pair. Those are summed, and come back by (block, pair) to be multiplied
+with the documents' links. A task holds one block, or one document if that is longer.
 
 Defined cases: null and empty texts, and texts whose joined token bytes are not the space and the text (the piece vocabulary writes spaces as U+2581, so
 such a character is lost), have no tokens, zeros and an empty string; rows that share a doc_id, or have none, are each a document; an empty
@@ -20,7 +20,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import tokens
-from threadloom.llm.common import Scratch, arrow_rows, documents, to_batch
+from threadloom.llm.common import Scratch, documents
 
-BLOCK_BYTES = 24_000_000
-ENCODED = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("nth", pa.int32()), ("segment", pa.string())])
-ENCODED_DDL = "block long, doc_id long, numbers binary, nth int, segment string"
-ALIGNED_DDL = "block long, nth int, alignment binary, pair long, n long, best boolean"
+BLOCK_CHARS = 12_000_000
+CHUNK_NUMBERS, CHUNK_ALIGNMENTS = 200_000, 300_000
+ENCODED = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("numbers", pa.list_(pa.binary())), ("nth", pa.int32()), ("segment", pa.string())])
+ENCODED_DDL = "block long, doc_ids array<long>, numbers array<binary>, nth int, segment string"
 
 
 def segments(text: str) -> list[str]:
@@ -47,68 +47,83 @@ def segments(text: str) -> list[str]:
     return [s[1:] for s in tokens.CUT.split(" " + text)]
 
 
-def _pack(numbers: list[int]) -> bytes:
-    """Low halves, then high halves, which are mostly zeros and compress away."""
-    a = np.array(numbers, dtype=np.uint32)
-    return (a & 0xFFFF).astype("<u2").tobytes() + (a >> 16).astype("<u2").tobytes()
+def _pack(*arrays: np.ndarray) -> list[bytes]:
+    """32-bit numbers, their lowest bytes first and their highest, which are mostly zeros, last; compressed."""
+    return [zlib.compress(np.ascontiguousarray(x, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in arrays]
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    halves = np.frombuffer(data, dtype="<u2").reshape(2, -1).astype(np.int64)
-    return halves[0] | halves[1] << 16
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """Blocks of documents: rows (block, doc_id, numbers) of documents, and (block, nth, segment) of their distinct segments."""
+    """Blocks of documents: rows (block, doc_ids, numbers) of some documents each, and (block, nth, segment) of the distinct segments."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), 0
+        task, made, size = TaskContext.get().partitionId(), 0, 0
         known: dict[str, int] = {}
-        held, size = [], 0
+        ids, lengths, numbers = [], [], []
+        none = lambda n, k: pa.nulls(n, ENCODED.field(k).type)
 
-        def close() -> Iterator[pa.RecordBatch]:
-            block = (task << 32) + made
-            rows = [(block, doc_id, numbers, None, None) for doc_id, numbers in held]
-            rows += [(block, None, None, nth, segment) for segment, nth in known.items()]
-            for at in range(0, len(rows), 20_000):
-                yield to_batch(rows[at : at + 20_000], ENCODED)
+        def chunk() -> pa.RecordBatch:
+            row = [pa.array([(task << 32) + made]), pa.array([ids], ENCODED.field(1).type), pa.array([_pack(np.array(lengths), np.array(numbers))], ENCODED.field(2).type)]
+            return pa.RecordBatch.from_arrays([*row, none(1, 3), none(1, 4)], schema=ENCODED)
+
+        def dictionary() -> Iterator[pa.RecordBatch]:
+            words = list(known)
+            for at in range(0, len(words), 20_000):
+                part = words[at : at + 20_000]
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + made] * n), none(n, 1), none(n, 2), pa.array(range(at, at + n), pa.int32()), pa.array(part)], schema=ENCODED)
 
         for batch in batches:
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append((doc_id, _pack([known.setdefault(s, len(known)) for s in segments(text)]) if text else b""))
+                own = [known.setdefault(s, len(known)) for s in segments(text)] if text else []
+                ids.append(doc_id)
+                lengths.append(len(own))
+                numbers += own
                 size += len(text or "")
-                if size >= BLOCK_BYTES:
-                    yield from close()
-                    made, size, held = made + 1, 0, []
-                    known.clear()
-        if held:
-            yield from close()
+                if len(numbers) >= CHUNK_NUMBERS or len(ids) >= CHUNK_NUMBERS or size >= BLOCK_CHARS:
+                    yield chunk()
+                    ids, lengths, numbers = [], [], []
+                if size >= BLOCK_CHARS:
+                    yield from dictionary()
+                    made, size, known = made + 1, 0, {}
+        if ids:
+            yield chunk()
+        yield from dictionary()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, ENCODED_DDL)
 
 
 class Aligner:
-    """Alignments of segments as bytes: the width of a number, then for each group how many A and B tokens it has, and their ids; empty if bytes differ."""
+    """Alignments of segments as lists: for each group how many A and B tokens it has, and their ids; empty if bytes differ."""
 
     def __init__(self, byte_path: str, ranks_path: str, piece_path: str):
         if not tokens.cuts_are_safe(byte_path, piece_path):
             raise ValueError("a vocabulary has entries across the cuts")
-        self.paths, self.model = (byte_path, ranks_path), tokens.piece_bpe(piece_path)
+        self.paths, self.encode = (byte_path, ranks_path), tokens.piece_bpe(piece_path).encode
         self.a_bytes, self.b_bytes = tokens.byte_bpe_bytes(byte_path), tokens.piece_bpe_bytes(piece_path)
+        self.plain = tokens.byte_ranks(ranks_path).encode_ordinary
+
+    def byte_ids(self, text: str) -> list[int]:
+        if len(text) < 1000 and not tokens.UNSETTLED.search(text):
+            return self.plain(text)
+        return tokens.byte_ids(text, *self.paths, special_as_text=True).tolist()
 
     def piece_ids(self, segment: str) -> list[int]:
         """The library puts the space in front itself, but not before nothing."""
         if segment:
-            return self.model.encode(segment)
-        return self.model.encode("a ")[len(self.model.encode("a")) :]
+            return self.encode(segment)
+        return self.encode("a ")[len(self.encode("a")) :]
 
-    def align(self, segment: str) -> bytes:
-        text = (" " + segment).encode()
-        a = tokens.byte_ids(" " + segment, *self.paths, special_as_text=True).tolist()
-        b = self.piece_ids(segment)
+    def align(self, segment: str) -> list[int]:
+        text = " " + segment
+        a, b, whole = self.byte_ids(text), self.piece_ids(segment), text.encode()
         a_parts, b_parts = [self.a_bytes[x] for x in a], [self.b_bytes[x] for x in b]
-        if b"".join(a_parts) != text or b"".join(b_parts) != text:
-            return b""
+        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
+            return []
         out: list[int] = []
         i = j = 0
         while i < len(a):
@@ -120,128 +135,158 @@ class Aligner:
                 else:
                     j_end, j = j_end + len(b_parts[j]), j + 1
             out += (i - i0, j - j0, *a[i0:i], *b[j0:j])
-        width = 2 if max(out) <= 0xFFFF else 4
-        return bytes([width]) + np.array(out, dtype=f"<u{width}").tobytes()
+        return out
 
 
 def alignments(dictionary: DataFrame, byte_path: str, ranks_path: str, piece_path: str) -> DataFrame:
-    """(block, nth, alignment) of (block, nth, segment): equal segments follow one another, and the first is aligned for all."""
-    schema = pa.schema([("block", pa.int64()), ("nth", pa.int32()), ("alignment", pa.binary())])
+    """(block, packed) of (block, nth, segment): numbers of segments, lengths and contents of their alignments. Equal segments follow one another, and the first is aligned for all."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, last, made = Aligner(byte_path, ranks_path, piece_path), None, b""
+        aligner, last, made = Aligner(byte_path, ranks_path, piece_path), None, []
+        held: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for block, arrays in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_pack(*map(np.array, arrays))], pa.list_(pa.binary()))], names=["block", "packed"])
+
         for batch in batches:
-            out = []
-            for segment in batch.column("segment").to_pylist():
+            for block, nth, segment in zip(*(batch.column(c).to_pylist() for c in ("block", "nth", "segment")), strict=True):
                 if segment != last:
                     last, made = segment, aligner.align(segment)
-                out.append(made)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("nth"), pa.array(out, type=pa.binary())], schema=schema)
+                numbers, lengths, contents = held.setdefault(block, ([], [], []))
+                numbers.append(nth)
+                lengths.append(len(made))
+                contents += made
+                count += 1 + len(made) // 16
+            if count >= CHUNK_ALIGNMENTS:
+                yield from flush()
+                held, count = {}, 0
+        yield from flush()
 
     ordered = dictionary.select("block", "nth", "segment").repartition("segment").sortWithinPartitions("segment")
-    return ordered.mapInArrow(align, "block long, nth int, alignment binary")
-
-
-def _flat(alignment: bytes) -> tuple[int, int, int, dict[int, int], bytes]:
-    """(A tokens, B tokens, groups, links of each pair a << 16 | b, groups as text)."""
-    x = np.frombuffer(alignment, dtype=f"<u{alignment[0]}", offset=1).tolist()
-    n_a = n_b = at = 0
-    links: dict[int, int] = {}
-    said = []
-    while at < len(x):
-        k, m = x[at : at + 2]
-        a, b = x[at + 2 : at + 2 + k], x[at + 2 + k : at + 2 + k + m]
-        at += 2 + k + m
-        n_a, n_b = n_a + k, n_b + m
-        said.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-        if k * m == 1:
-            pair = a[0] << 16 | b[0]
-            links[pair] = links.get(pair, 0) + 1
-        else:
-            of_b = Counter(b).items()
-            for p, i in Counter(a).items():
-                for q, j in of_b:
-                    links[p << 16 | q] = links.get(p << 16 | q, 0) + i * j
-    return n_a, n_b, len(said), links, ";".join(said).encode()
+    return ordered.mapInArrow(align, "block long, packed array<binary>")
 
 
 class Block:
-    """The alignments of a block's segments as arrays by number: tokens, groups and links, and the pairs of segment k, with their links, at starts[k]:starts[k + 1]."""
-
-    def __init__(self, nth: np.ndarray, alignment: list[bytes]):
-        count = int(nth.max()) + 1 if len(nth) else 0
-        self.ok = np.zeros(count, dtype=bool)
-        self.sizes = np.zeros((count, 4), dtype=np.int64)
-        self.said: list[bytes] = [b""] * count
-        of: list[dict[int, int]] = [{}] * count
-        for k, data in zip(nth.tolist(), alignment, strict=True):
-            if data:
-                n_a, n_b, n_groups, of[k], self.said[k] = _flat(data)
-                self.ok[k], self.sizes[k] = True, (n_a, n_b, n_groups, sum(of[k].values()))
-        self.n_pairs = np.array([len(x) for x in of], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.n_pairs)])
-        self.pairs = np.array([p for x in of for p in x], dtype=np.int64)
-        self.times = np.array([n for x in of for n in x.values()], dtype=np.int64)
-
-    def pairs_of(self, numbers: np.ndarray) -> np.ndarray:
-        """The distinct pairs of the segments with these numbers."""
-        numbers = np.unique(numbers)
+    """The alignments of a block's segments by number: tokens, groups and links, and the pairs of segment k, with their links, at starts[k]:starts[k + 1]."""
+
+    def __init__(self, packed: list[list[bytes]]):
+        parts = [[_unpack(x) for x in row] for row in packed]
+        numbers, lengths, self.contents = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for i in range(3))
+        count = len(numbers)
+        self.begin, self.length = np.zeros(count, dtype=np.int64), np.zeros(count, dtype=np.int64)
+        self.begin[numbers], self.length[numbers] = np.cumsum(lengths) - lengths, lengths
+        self.ok = self.length > 0
+
+        # The first groups of all segments, then the second ones, and so on.
+        segment = np.flatnonzero(self.ok)
+        head, found = self.begin[segment], []
+        while len(segment):
+            found.append((segment, head, self.contents[head], self.contents[head + 1]))
+            head = head + 2 + found[-1][2] + found[-1][3]
+            more = head < self.begin[segment] + self.length[segment]
+            segment, head = segment[more], head[more]
+        segment, head, k, m = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, dtype=np.int64)] * 4
+        sums = [np.bincount(segment, weights=x, minlength=count) for x in (k, m, np.ones(len(k)), k * m)]
+        self.sizes = np.stack(sums, axis=1).astype(np.int64)
+        self._links(segment, head, k, m, count)
+
+    def _links(self, segment: np.ndarray, head: np.ndarray, k: np.ndarray, m: np.ndarray, count: int) -> None:
+        small = k * m <= 4096
+        links = (k * m)[small]
+        group = np.repeat(np.flatnonzero(small), links)
+        nth = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
+        a = self.contents[head[group] + 2 + nth // m[group]]
+        b = self.contents[head[group] + 2 + k[group] + nth % m[group]]
+        of, pairs, times = [segment[group]], [a << 16 | b], [np.ones(len(a), dtype=np.int64)]
+        for g in np.flatnonzero(~small):  # distinct ids alone, however often they repeat
+            a, n_a = np.unique(self.contents[head[g] + 2 : head[g] + 2 + k[g]], return_counts=True)
+            b, n_b = np.unique(self.contents[head[g] + 2 + k[g] : head[g] + 2 + k[g] + m[g]], return_counts=True)
+            pairs.append((a[:, None] << 16 | b).ravel())
+            times.append((n_a[:, None] * n_b).ravel())
+            of.append(np.full(len(pairs[-1]), segment[g]))
+        of, pairs, times = map(np.concatenate, (of, pairs, times))
+        order = np.argsort(of, kind="stable")
+        self.n_pairs = np.bincount(of, minlength=count)
+        self.starts = np.cumsum(self.n_pairs) - self.n_pairs
+        self.times = times[order]
+        self.pairs, self.ranks = np.unique(pairs[order], return_inverse=True)
+
+    def linked(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ranks of the distinct pairs, links of each) of a document's segments."""
         lengths = self.n_pairs[numbers]
-        at = np.repeat(self.starts[numbers] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        return np.unique(self.pairs[at])
-
+        at = np.repeat(self.starts[numbers] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        distinct, which = np.unique(self.ranks[at], return_inverse=True)
+        return distinct, np.bincount(which, weights=self.times[at]).astype(np.int64)
 
-def _block(table: pa.Table) -> Block:
-    rows = table.filter(pa.compute.is_valid(table.column("nth")))
-    return Block(rows.column("nth").to_numpy(), rows.column("alignment").to_pylist())
+    def said(self) -> list[bytes]:
+        """Groups of each segment as text."""
+        out = []
+        for begin, length in zip(self.begin.tolist(), self.length.tolist(), strict=True):
+            x, at, groups = list(map(str, self.contents[begin : begin + length].tolist())), 0, []
+            while at < length:
+                k, m = int(x[at]), int(x[at + 1])
+                groups.append(",".join(x[at + 2 : at + 2 + k]) + "|" + ",".join(x[at + 2 + k : at + 2 + k + m]))
+                at += 2 + k + m
+            out.append(";".join(groups).encode())
+        return out
 
 
-def _documents(table: pa.Table, block: Block) -> Iterator[tuple[int | None, np.ndarray | None]]:
-    """(doc_id, numbers) of a block's documents, numbers None where there are no tokens."""
-    for doc_id, data in zip(table.column("doc_id").to_pylist(), table.column("numbers").to_pylist(), strict=True):
-        numbers = _unpack(data) if data else None
-        yield doc_id, numbers if numbers is not None and block.ok[numbers].all() else None
-
-
-def count_block(docs: pa.Table, found: pa.Table) -> pa.Table:
-    """(block, pair, n): how many documents of the block hold each pair."""
-    block, name = _block(found), docs.column("block")[0].as_py() if docs.num_rows else None
-    ids, ranks = np.unique(block.pairs, return_inverse=True)
-    block.pairs, counts = ranks.astype(np.int64), np.zeros(len(ids), dtype=np.int64)
-    for _, numbers in _documents(docs, block):
-        if numbers is not None:
-            counts[block.pairs_of(numbers)] += 1
-    held = counts > 0
-    return pa.table({"block": pa.array([name] * int(held.sum()), pa.int64()), "pair": pa.array(ids[held], pa.int64()), "n": pa.array(counts[held], pa.int64())})
-
-
-RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+COMPOSED_DDL = "block long, doc_ids array<long>, sizes array<binary>, digests array<string>, links array<binary>, pair long, n long"
+COMPOSED = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.binary())), ("digests", pa.list_(pa.string())), ("links", pa.list_(pa.binary())), ("pair", pa.int64()), ("n", pa.int64())])
 
 
 def compose_block(docs: pa.Table, found: pa.Table) -> pa.Table:
-    """The results of a block's documents."""
-    block = _block(found)
-    counted = found.filter(pa.compute.is_valid(found.column("pair")))
-    ids, n, best = (counted.column(c).to_numpy() for c in ("pair", "n", "best"))
-    order = np.argsort(ids)
-    at = order[np.minimum(np.searchsorted(ids, block.pairs, sorter=order), len(ids) - 1)] if len(ids) else np.zeros(0, dtype=np.int64)
-    total = np.zeros((len(block.n_pairs), 2), dtype=np.int64)
-    if len(at):
-        # Pairs of segments whose documents all lack tokens have no count, and no document asks for them.
-        value = np.stack([best[at], n[at]], axis=1).astype(np.int64) * ((ids[at] == block.pairs) * block.times)[:, None]
-        sums = np.concatenate([np.zeros((1, 2), dtype=np.int64), np.cumsum(value, axis=0)])
-        total = sums[block.starts[1:]] - sums[block.starts[:-1]]
-    values = np.concatenate([block.sizes, total], axis=1)
+    """Rows of documents (their sizes, digests, and linked pairs as ranks among the block's), and (pair, n) in the order of ranks: how many documents hold each."""
+    block = Block(found.column("packed").to_pylist())
+    said, counts = block.said(), np.zeros(len(block.pairs), dtype=np.int64)
     rows = []
-    for doc_id, numbers in _documents(docs, block):
-        if numbers is None:
-            rows.append((doc_id, 0, 0, 0, 0, 0, 0, ""))
-        else:
-            said = hashlib.sha256(b";".join([block.said[k] for k in numbers.tolist()])).hexdigest()
-            rows.append((doc_id, *values[numbers].sum(axis=0).tolist(), said))
-    columns = list(zip(*rows, strict=True)) or [()] * 8
-    kinds = [pa.int64()] * 7 + [pa.string()]
-    return pa.table({f.split()[0]: pa.array(c, t) for f, c, t in zip(RESULT.split(", "), columns, kinds, strict=True)})
+    for name, ids, packed in zip(*(docs.column(c).to_pylist() for c in ("block", "doc_ids", "numbers")), strict=True):
+        lengths, numbers = map(_unpack, packed)
+        ends = np.cumsum(lengths)
+        sizes, digests, distinct, links = [], [], [], []
+        for end, length in zip(ends.tolist(), lengths.tolist(), strict=True):
+            own = numbers[end - length : end]
+            whole = length > 0 and bool(block.ok[own].all())
+            own = own if whole else own[:0]
+            pairs, n = block.linked(own)
+            counts[pairs] += 1
+            sizes.append(block.sizes[own].sum(axis=0))
+            digests.append(hashlib.sha256(b";".join([said[k] for k in own.tolist()])).hexdigest() if whole else "")
+            distinct.append(np.diff(pairs, prepend=0))
+            links.append(n)
+        wide = np.array(sizes, dtype=np.int64)
+        halves = _pack(wide & 0xFFFFFFFF, wide >> 32)
+        n_pairs = np.array([len(x) for x in distinct])
+        rows.append((name, ids, halves, digests, _pack(n_pairs, np.concatenate(distinct), np.concatenate(links)), None, None))
+    name = rows[0][0] if rows else None
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, COMPOSED, strict=True)]
+    n = len(counts)
+    held = [pa.array([name] * n, pa.int64()), *(pa.nulls(n, COMPOSED.field(k).type) for k in range(1, 5)), pa.array(block.pairs, pa.int64()), pa.array(counts, pa.int64())]
+    return pa.concat_tables([pa.Table.from_arrays(columns, schema=COMPOSED), pa.Table.from_arrays(held, schema=COMPOSED)])
+
+
+RESULT = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), ("groups_sha256", pa.string())])
+RESULT_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+
+
+def weigh_block(docs: pa.Table, counted: pa.Table) -> pa.Table:
+    """The results of a block's documents, from the counts of its pairs."""
+    order = np.argsort(counted.column("pair").to_numpy())
+    weight = np.stack([counted.column(c).to_numpy()[order].astype(np.int64) for c in ("best", "n")], axis=1) if len(order) else np.zeros((0, 2), dtype=np.int64)
+    out = []
+    for ids, halves, digests, packed in zip(*(docs.column(c).to_pylist() for c in ("doc_ids", "sizes", "digests", "links")), strict=True):
+        low, high = map(_unpack, halves)
+        n_pairs, steps, links = map(_unpack, packed)
+        ends = np.cumsum(n_pairs)
+        # Ranks begin anew with each document: take away what the steps before it add up to.
+        total = np.concatenate([[0], np.cumsum(steps)])
+        ranks = total[1:] - np.repeat(total[ends - n_pairs], n_pairs)
+        sums = np.concatenate([np.zeros((1, 2), dtype=np.int64), np.cumsum(weight[ranks] * links[:, None], axis=0)])
+        values = np.concatenate([(low | high << 32).reshape(-1, 4), sums[ends] - sums[ends - n_pairs]], axis=1)
+        out.append(pa.Table.from_arrays([pa.array(ids, pa.int64()), *(pa.array(values[:, k]) for k in range(6)), pa.array(digests, pa.string())], schema=RESULT))
+    return pa.concat_tables(out) if out else RESULT.empty_table()
 
 
 def align_documents(docs: DataFrame, byte_path: str | None = None, ranks_path: str | None = None, piece_path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -250,21 +295,20 @@ def align_documents(docs: DataFrame, byte_path: str | None = None, ranks_path: s
     given = zip((byte_path, ranks_path, piece_path), (tokens.BYTE_BPE, tokens.BYTE_BPE_RANKS, tokens.PIECE_BPE), strict=True)
     paths = [path or public_tokenizers.path(name) for path, name in given]
     made = scratch.table("encoded", encoded(docs))
-    texts = made.filter("nth IS NULL").select("block", "doc_id", "numbers")
     found = scratch.table("alignments", alignments(made.filter("nth IS NOT NULL"), *paths))
+    texts = made.filter("nth IS NULL").select("block", "doc_ids", "numbers")
+    composed = scratch.table("composed", texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(compose_block, COMPOSED_DDL))
+    scratch.drop("encoded", "alignments")
 
-    by_block = texts.groupBy("block")
-    held = scratch.table("held", by_block.cogroup(found.groupBy("block")).applyInArrow(count_block, "block long, pair long, n long"))
+    held = composed.filter("pair IS NOT NULL").select("block", "pair", "n")
     a = F.shiftright("pair", 16)
     counts = held.groupBy("pair").agg(F.sum("n").alias("n"))
     best = counts.groupBy(a.alias("a")).agg(F.max("n").alias("most"))
     counts = scratch.table("counts", counts.withColumn("a", a).join(best, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best")))
-
-    nothing = lambda kinds: [F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]
-    known = found.select("block", "nth", "alignment", *nothing({"pair": "long", "n": "long", "best": "boolean"}))
-    wanted = held.select("block", "pair").join(counts, "pair").select("block", *nothing({"nth": "int", "alignment": "binary"}), "pair", "n", "best")
-    result = by_block.cogroup(known.unionByName(wanted).groupBy("block")).applyInArrow(compose_block, RESULT)
-    pairs = counts.select(F.shiftright("pair", 16).cast("int").alias("a"), F.col("pair").bitwiseAND(0xFFFF).cast("int").alias("b"), "n", "best")
+    rows = composed.filter("pair IS NULL").select("block", "doc_ids", "sizes", "digests", "links")
+    wanted = held.select(F.col("block").alias("of"), "pair").join(counts, "pair")
+    result = rows.groupBy("block").cogroup(wanted.groupBy("of")).applyInArrow(weigh_block, RESULT_DDL)
+    pairs = counts.filter("n > 0").select(F.shiftright("pair", 16).cast("int").alias("a"), F.col("pair").bitwiseAND(0xFFFF).cast("int").alias("b"), "n", "best")
     return result, pairs
 
 
