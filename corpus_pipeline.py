@@ -4,9 +4,8 @@ Quality rules clean lines and reject documents; line dedup removes repeated thre
 empties; SimHash keeps the first document of each near-duplicate group; decontamination drops documents with too much of a
 benchmark; mixing returns the documents with their words to take and their training position, in training order.
 
-Defined cases: null and empty texts fail the first stage. Rows that share a doc_id are cleaned, judged for contamination and mixed each by itself;
-line dedup takes them for one document's; one row of a near-duplicate group stays, whatever ids its rows share. Rows without a doc_id
-take part in all stages but line dedup, which leaves them as they are. Empty tables give empty tables; extra columns pass through, but for those
+Defined cases: null and empty texts fail the first stage. Rows that share a doc_id, or have none, are documents of their own in every stage, but that copies
+of a row count as one for line dedup; one row of a near-duplicate group stays, whatever ids its rows share. Empty tables give empty tables; extra columns pass through, but for those
 that the last stage adds.
 """
 

@@ -206,3 +206,23 @@ def test_trigram_postings_equal_substring_search():
     names = {"api", "key", "AKI", "KIA", "i k"}
     got = op05_secrets.post(texts, names)
     assert {t: list(x) for t, x in got.items()} == {t: [t in v for v in texts.to_pylist()] for t in names}
+
+
+def test_rows_that_share_an_id_lose_no_unrepeated_lines(spark):
+    """Documents are told apart by their text too; rows without an id come first."""
+    a, b, c = ("\n".join(f"{x} line {k}" for k in range(5)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (None, c), (3, c + "\n" + "own"), (None, b[:0]), (2, a)]
+    got = {(r["doc_id"], r["text"], r["n_removed"]) for r in op04_line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, a, 0), (2, "", 5), (2, b, 0), (None, c, 0), (3, "own", 5), (None, "", 0)}
+
+
+def test_contamination_is_each_row_s_own(spark, tmp_path):
+    """A clean row with the id of a contaminated one, and contaminated rows without an id."""
+    passage = " ".join(f"w{k}" for k in range(14))
+    clean = " ".join(f"c{k}" for k in range(14))
+    rows = [(1, passage), (1, clean), (None, passage + " more"), (None, clean), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in op06_decontamination.op6_decontamination(spark, str(tmp_path)).collect())
+    assert got == [(0, 14, 0, 0, False), (0, 15, 14, 1, True), (1, 14, 0, 0, False), (1, 14, 14, 1, True), (2, 0, 0, 0, False)]
+    assert sorted(r["text"] or "" for r in op06_decontamination.decontaminate(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()) == ["", clean, clean]

@@ -2,17 +2,17 @@
 
 Lines are a text's \n-split lines, trimmed of ASCII white space for comparison; blank lines take no part and always
 stay. A window is three consecutive lines that are not blank, a document's k-th window beginning at its k-th such
-line. Windows are compared by two 64-bit hashes of the three lines. A window is repeated if an equal one begins earlier: in a smaller doc_id, or earlier in the same
-document. Every line that a repeated window covers is removed, windows being judged on the input. The first
+line. Windows are compared by two 64-bit hashes of the three lines. A document is a row, known by its doc_id and a hash of its text. A window is repeated if an equal
+one begins earlier: in a smaller doc_id, in a text of the same doc_id with a smaller hash, or earlier in the same document. Every line that a repeated window covers is removed, windows being judged on the input. The first
 occurrence stays, so a passage of three or more lines is left once.
 
 Scale: only window hashes and places are shuffled to find repeats, the count and the first place per hash being
 combined on the map side; places of hashes seen once never go further. Hashes that hold a ``HOT``-th of all windows or more are ``HOT`` at most, so
 they are broadcast and meet their windows where those are; the join of all others has no key above that share. Covered places are merged per document.
 
-Defined cases: null text gives n_lines 0 and stays null; fewer than three lines are never removed; rows of one
-doc_id are told apart by nothing but their text, so copies of a row count as one document and each gets its result;
-rows without a doc_id keep their text and take nothing from others;
+Defined cases: null text gives n_lines 0 and stays null; fewer than three lines are never removed; rows that share a doc_id
+are documents of their own if their texts differ, while copies of a row count as one document and each gets its result;
+rows without a doc_id come before all others;
 an empty table gives an empty result; extra columns pass through ``dedup_lines``, whose n_lines and n_removed take the place of
 columns so named.
 """
@@ -42,22 +42,22 @@ def _solid(text: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, covered): sorted indexes, among lines that are not blank, which repeated windows cover."""
-    lines = docs.select("doc_id", _solid(F.col("text")).alias("lines")).filter(F.size("lines") >= WINDOW)
+    """(doc_id, hash, covered): sorted indexes, among lines that are not blank, which repeated windows cover in the text of that hash."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("hash"), _solid(F.col("text")).alias("lines")).filter(F.size("lines") >= WINDOW)
     at = lambda i, j: F.get(F.col("lines"), i + j)
     keys = F.transform(
         F.sequence(F.lit(0), F.size("lines") - WINDOW),
         lambda i: F.struct(F.xxhash64(*(at(i, j) for j in range(WINDOW))).alias("h"), F.xxhash64(F.lit("second"), *(at(i, j) for j in range(WINDOW))).alias("g"), i.cast("int").alias("line")),
     )
     scratch = Scratch(docs.sparkSession)
-    windows = scratch.table("windows", lines.select("doc_id", F.inline(keys)))
-    place = F.struct("doc_id", "line")
+    windows = scratch.table("windows", lines.select("doc_id", "hash", F.inline(keys)))
+    place = F.struct("doc_id", "hash", "line")  # a null orders first, in min and in the comparison below
     first = scratch.table("first", windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     hot = first.filter(F.col("n") * HOT >= windows.count())
     later = windows.join(F.broadcast(hot), ["h", "g"]).unionByName(windows.join(F.broadcast(hot), ["h", "g"], "left_anti").join(first, ["h", "g"]))
-    later = later.filter((F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") > F.col("first.line")))).select("doc_id", "line")
+    later = later.filter(place > F.col("first")).select("doc_id", "hash", "line")
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_list("line"), lambda i: F.sequence(i, i + WINDOW - 1)))))
-    return later.groupBy("doc_id").agg(covered.alias("covered"))
+    return later.groupBy("doc_id", "hash").agg(covered.alias("covered"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -65,7 +65,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     cut = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     whole, raw = docs.select(F.struct(*docs.columns).alias("row")), F.col("raw")  # one name, so that no other column's can clash
     # Hashing the cuts, a few numbers a document, spares a sort of whole texts.
-    joined = whole.join(cut.hint("shuffle_hash"), F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "covered", F.split(F.col("row.text"), "\n", -1).alias("raw"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("hash"))
+    joined = whole.join(cut.hint("shuffle_hash"), same, "left").select("row", "covered", F.split(F.col("row.text"), "\n", -1).alias("raw"))
     # Places of the lines that are not blank, then what remains of all places: linear in the lines of a text.
     marked = F.transform(raw, lambda x, i: F.when(~_blank(x), i))
     joined = joined.withColumn("places", F.when(F.col("covered").isNotNull(), F.filter(marked, lambda i: i.isNotNull())))

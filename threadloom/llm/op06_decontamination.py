@@ -15,8 +15,8 @@ per document, go back to the texts. A text is split again there instead of its w
 
 Defined cases: null texts and texts without words have no words, hits or items and are not contaminated; null items
 are none; items with equal text each count; without benchmark rows
-nothing is hit; an empty documents table gives an empty result; other columns pass through ``decontaminate``. Rows that
-share a doc_id count as one document: their hits are united. A row without a doc_id is not looked up and not contaminated. (``decontaminate`` judges each row by itself.)
+nothing is hit; an empty documents table gives an empty result; other columns pass through ``decontaminate``. Each row is judged by its own text, whatever doc_id it
+has, shares or lacks: rows are known by two hashes of doc_id and text, and copies of a row get the same result.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from threadloom.llm.common import Scratch, documents
 SPAN, GRAM = 13, 5
 KEEP = SPAN - GRAM + 1
 BROADCAST_WINDOWS = 200_000
+KEY = ("row1", "row2")
 #: The complement of the contract's word class, once A-Z are lower-cased.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -76,38 +77,44 @@ def every_gram(k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(gram_hash(F.col("w"), i, k).alias("h"), i.alias("place")))
 
 
+def row_key() -> list[Column]:
+    """Two hashes that tell rows apart by doc_id and text. A null is not hashed, so a mark stands for it."""
+    parts = (F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("text"))
+    return [F.xxhash64(*parts).alias(KEY[0]), F.xxhash64(F.lit("second"), *parts).alias(KEY[1])]
+
+
 def document_grams(texts: DataFrame, short: list[int]) -> DataFrame:
-    """(doc_id, h, k, place): winnowed 5-grams (k = 0), and all k-grams for each k in ``short``."""
-    split = texts.select("doc_id", item_words(F.col("text")).alias("w"))
-    hashed = split.filter(F.size("w") >= SPAN).select("doc_id", placed_hashes(F.col("w"), F.size("w") - GRAM).alias("g"))
+    """(row1, row2, h, k, place): winnowed 5-grams (k = 0), and all k-grams for each k in ``short``."""
+    split = texts.select(*KEY, item_words(F.col("text")).alias("w"))
+    hashed = split.filter(F.size("w") >= SPAN).select(*KEY, placed_hashes(F.col("w"), F.size("w") - GRAM).alias("g"))
     chosen = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("g") - KEEP + 1), lambda i: F.array_min(F.slice(F.col("g"), i, KEEP))))
-    kept = hashed.select("doc_id", F.explode(chosen).alias("m"))
-    grams = kept.select("doc_id", F.shiftright("m", 32).alias("h"), F.lit(0).alias("k"), place(F.col("m")).alias("place"))
+    kept = hashed.select(*KEY, F.explode(chosen).alias("m"))
+    grams = kept.select(*KEY, F.shiftright("m", 32).alias("h"), F.lit(0).alias("k"), place(F.col("m")).alias("place"))
     for k in short:
-        grams = grams.unionByName(split.filter(F.size("w") >= k).select("doc_id", F.inline(every_gram(k))).select("doc_id", "h", F.lit(k).alias("k"), "place"))
+        grams = grams.unionByName(split.filter(F.size("w") >= k).select(*KEY, F.inline(every_gram(k))).select(*KEY, "h", F.lit(k).alias("k"), "place"))
     return grams
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_hit, items): documents with benchmark windows, the words hit, and the sorted ids of the items."""
+    """(row1, row2, n_hit, items): rows with benchmark windows, the words hit, and the sorted ids of the items."""
     scratch = Scratch(docs.sparkSession)
     of_item = scratch.table("windows", windows(benchmark).select("item_id", "words", F.struct(F.xxhash64("words", F.lit(1)).alias("w1"), F.xxhash64("words", F.lit(2)).alias("w2")).alias("window")))
     keyed = scratch.table("keyed", keyed_windows(of_item.select("words", "window").distinct()))
     n_windows, short = keyed.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("k"))).first()
     side = F.broadcast(keyed) if n_windows <= BROADCAST_WINDOWS else keyed
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(*row_key(), "text")
     found = document_grams(texts, [k for k in short if k]).join(side, ["h", "k"]).filter(F.col("place") >= F.col("at"))
-    hits = scratch.table("hits", found.select("doc_id", F.struct((F.col("place") - F.col("at")).alias("start"), "words", "window").alias("hit")))
-    per_doc = hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
-    compared = texts.join(per_doc, "doc_id").select("doc_id", "hits", item_words(F.col("text")).alias("w"))
+    hits = scratch.table("hits", found.select(*KEY, F.struct((F.col("place") - F.col("at")).alias("start"), "words", "window").alias("hit")))
+    per_doc = hits.groupBy(*KEY).agg(F.collect_set("hit").alias("hits"))
+    compared = texts.join(per_doc, list(KEY)).select(*KEY, "hits", item_words(F.col("text")).alias("w"))
     same = F.filter("hits", lambda x: (x["start"] + F.size(x["words"]) <= F.size("w")) & (F.slice(F.col("w"), x["start"] + 1, F.size(x["words"])) == x["words"]))
-    true = scratch.table("true", compared.select("doc_id", F.inline(same)).select("doc_id", "start", F.size("words").alias("n"), "window"))
-    covered = true.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    covered = covered.select("doc_id", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))).cast("long").alias("n_hit"))
-    items = true.select("doc_id", "window").distinct().join(of_item.select("item_id", "window"), "window")
-    items = items.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return scratch.table("contamination", covered.join(items, "doc_id"))
+    true = scratch.table("true", compared.select(*KEY, F.inline(same)).select(*KEY, "start", F.size("words").alias("n"), "window"))
+    covered = true.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    covered = covered.select(*KEY, F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))).cast("long").alias("n_hit"))
+    items = true.select(*KEY, "window").distinct().join(of_item.select("item_id", "window"), "window")
+    items = items.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    return scratch.table("contamination", covered.join(items, list(KEY)))
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -115,26 +122,24 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def with_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs with ``found``'s columns, zero or empty where it has no row."""
-    found = found.withColumnRenamed("doc_id", "hit_doc")
-    joined = docs.join(found, docs["doc_id"] == found["hit_doc"], "left").drop("hit_doc")
+    """The rows of docs (row1, row2, ...) with ``found``'s columns, zero or empty where it has no row."""
+    joined = docs.join(found, list(KEY), "left")
     return joined.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, each judged by its own text, whatever doc_id it has or shares."""
-    row = F.xxhash64("doc_id", "text")
-    texts = docs.select(row.alias("doc_id"), "text").filter("text IS NOT NULL")
-    sizes = texts.select("doc_id", F.size(item_words(F.col("text"))).alias("n_words"))
-    hit = contamination(texts, benchmark).join(sizes, "doc_id").filter(is_contaminated(F.col("n_hit"), F.col("n_words")))
-    gone = hit.select(F.col("doc_id").alias("row")).distinct()
-    return docs.select(row.alias("row"), F.struct(*docs.columns).alias("columns")).join(gone, "row", "left_anti").select(*(F.col(f"columns.{c}") for c in docs.columns))
+    """The rows of docs that are not contaminated."""
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    sizes = texts.select(*row_key(), F.size(item_words(F.col("text"))).alias("n_words"))
+    hit = contamination(texts, benchmark).join(sizes, list(KEY)).filter(is_contaminated(F.col("n_hit"), F.col("n_words")))
+    keyed = docs.select(*row_key(), F.struct(*docs.columns).alias("columns"))
+    return keyed.join(hit.select(*KEY).distinct(), list(KEY), "left_anti").select(*(F.col(f"columns.{c}") for c in docs.columns))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.col("n_hit")
     return with_hits(sizes, found).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
