@@ -1,5 +1,4 @@
 import random
-import uuid
 from collections import Counter
 
 import pytest
@@ -9,8 +8,6 @@ from threadloom.functions import classify, sizing, text
 from threadloom.operators import attempts, intervals, lineage, segments, upsert
 from threadloom.sources import items as item_source
 from threadloom.sources.schemas import EXCEPTIONS, SEGMENTS
-from threadloom.sources.scratch import Scratch
-from threadloom.streaming import updates
 
 
 def one(spark, column):
@@ -107,6 +104,12 @@ def test_claim_counts_attempts_and_clears_errors(spark):
     assert (claimed["start_id"], claimed["status"], claimed["attempts"]) == (1, "in_progress", 2)
 
 
+def test_missing_ranges_and_their_neighbours(spark):
+    ids = spark.createDataFrame([(3,), (4,), (9,)], "id long")
+    found = lambda **options: sorted(map(tuple, intervals.missing_ranges(ids, bucket=4, **options).collect()))
+    assert found() == [(1, 2), (5, 8)] and found(legacy_expand=True) == [(0, 3), (4, 9)]
+
+
 def test_limits_must_be_positive(spark):
     with pytest.raises(ValueError):
         segments.by_status(states(spark, (1, 2, "done")), "done", 0)
@@ -157,6 +160,28 @@ def test_attempts_equal_a_fold_over_ids(spark):
         assert found == {k: folded(a, b, items, batch, c) for k, a, b, c in work}
 
 
+def test_wide_segments_fold_over_stretches(spark, monkeypatch):
+    """Stretches of seven ids: batches, missing runs and failures cross them."""
+    monkeypatch.setattr(attempts, "STRETCH", 7)
+    rng, work, items = random.Random(9), [], {}
+    for k in range(24):
+        start = 1 + 200 * k
+        work.append((k, start, start + rng.randint(60, 180), rng.choice([None, start + 20])))
+        kinds = rng.choice([["found"], ["found"] * 30 + ["missing"], ["found"] * 60 + ["missing", "fatal"], ["found"] * 5 + ["missing"]])
+        items |= {i: rng.choice(kinds) for i in range(start, start + 200)}
+    for batch in (4, 11, 50):
+        got = attempts.segment_attempts(spark.createDataFrame(work, "segment_id long, start_id long, end_id long, scan_cursor_id long"), spark.createDataFrame(list(items.items()), "id long, result string"), batch)
+        assert {r["segment_id"]: tuple(r)[1:] for r in got.collect()} == {k: folded(a, b, items, batch, c) for k, a, b, c in work}
+
+
+def test_one_segment_of_a_million_ids_is_many_tasks(spark):
+    work = spark.createDataFrame([(1, 1, 1_000_000, None)], "segment_id long, start_id long, end_id long, scan_cursor_id long")
+    items = spark.range(1, 1_000_001).selectExpr("id", "CASE WHEN id = 777777 THEN 'fatal' WHEN id = 500000 THEN 'missing' ELSE 'found' END AS result")
+    got = attempts.segment_attempts(work, items, 64).first()
+    durable = 500_000 + (777_776 - 500_000) // 64 * 64
+    assert tuple(got) == (1, "fatal", durable, 1_000_000 - durable, 777_777, 777_775, 1)
+
+
 def test_malformed_and_finished_segments(spark):
     assert attempt(spark, 10, 5, [])["outcome"] == "fatal"
     assert attempt(spark, 1, 5, [(1, "found")], cursor=5) | {"failed_id": None} == {"segment_id": 1, "outcome": "completed", "last_durable_id": 5, "unresolved": 0, "failed_id": None, "n_found": 0, "n_missing": 0}
@@ -275,29 +300,6 @@ def test_texts(spark):
     assert one(spark, classify.default_class(F.lit("RateLimited"))) == "network_transient"
 
 
-def test_a_change_stream_survives_restart_and_replay(spark, tmp_path):
-    """Three runs over a growing folder, each with a Scratch of its own, the second one repeated as if its progress had been lost."""
-    schema, name = "id long, value string, seq long", uuid.uuid4().hex
-    batches = [[(1, "a", 1), (2, "b", 1), (1, "c", 2)], [(2, "d", 3), (3, "e", 3)], [(4, "f", 4), (1, "g", 4)]]
-
-    def run():
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        scratch = Scratch(spark, keep=name)
-        return scratch, {r["id"]: r["value"] for r in updates.latest_by_key(stream, scratch, "latest", ["id"], ["seq"]).collect()}
-
-    expected = {}
-    for k, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        expected |= {i: v for i, v, _ in sorted(rows, key=lambda r: r[2])}
-        scratch, got = run()
-        assert got == expected
-        if k == 1:  # the batch was applied, but the commit of its progress was lost
-            scratch.drop("latest-progress/commits/1", "latest-progress/commits/.1.crc")
-            assert run()[1] == expected
-    assert run()[1] == expected
-    scratch.clear()
-
-
 def test_unknown_names_raise(spark):
     with pytest.raises(Exception, match="invalid status"):
         one(spark, classify.checked(F.lit("nope"), ("done",), "status"))

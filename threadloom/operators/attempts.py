@@ -42,24 +42,43 @@ def realtime_outcome(statuses: Column, has_body: Column, max_attempts: int) -> C
     return F.struct(F.when(found & has_body, 1).otherwise(r["attempts"]).alias("attempts"), result.alias("result"), F.when(~found, classify.status_class(r["status"])).alias("failure_class"))
 
 
+STRETCH = 10_000
+
+
 def segment_attempts(work: DataFrame, items: DataFrame, batch_size: int) -> DataFrame:
     """One row per segment of ``work(segment_id, start_id, end_id, scan_cursor_id)`` from ``items(id, result)``.
 
     result: found, missing, retryable or fatal; an id without a row is missing. Ids are walked in order up to the first failure. The last
     durable id moves to each id at which a full batch is flushed and to each missing id; a failure leaves it where it was, and a
     clean end moves it to end_id. A batch restarts after a flush, so its fill is the number of found ids since the last missing one, modulo the size.
+
+    The walk is a fold of stretches of ``STRETCH`` ids: each gives its first failure, whether an id is missing, and how many were found since. Stretches in order say
+    how full the batch is where the next one begins, so a segment of any width is many tasks, and only one row a stretch is ordered over all of it.
     """
-    size = max(batch_size, 1)
+    size, key = max(batch_size, 1), ["segment_id", "_stretch"]
     first = F.when(F.col("scan_cursor_id").isNull() | (F.col("scan_cursor_id") < F.col("start_id")), F.col("start_id")).otherwise(F.col("scan_cursor_id") + 1)
-    ids = work.withColumn("next_id", first).filter("next_id <= end_id").select("segment_id", F.explode(F.sequence("next_id", "end_id")).alias("id"))
+    of = lambda c: F.floor(F.col(c) / STRETCH).cast("long")
+    cut = work.withColumn("next_id", first).filter("next_id <= end_id").select("segment_id", "next_id", "end_id", F.explode(F.sequence(of("next_id"), of("end_id"))).alias("_stretch"))
+    low = F.greatest("next_id", F.col("_stretch") * STRETCH)
+    high = F.least("end_id", (F.col("_stretch") + 1) * STRETCH - 1)
+    ids = cut.repartition(*key).select(*key, F.explode(F.sequence(low, high)).alias("id"))
     walked = ids.join(items, "id", "left").withColumn("result", F.coalesce("result", F.lit("missing")))
-    order = Window.partitionBy("segment_id").orderBy("id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*key).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     failed = F.col("result").isin("retryable", "fatal")
-    walked = walked.withColumn("_fail", F.min(F.when(failed, F.col("id"))).over(Window.partitionBy("segment_id"))).withColumn("_run", F.count_if(F.col("result") == "missing").over(so_far))
-    in_run = Window.partitionBy("segment_id", "_run").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    walked = walked.filter(F.col("_fail").isNull() | (F.col("id") <= F.col("_fail"))).withColumn("_fill", F.count_if(F.col("result") == "found").over(in_run))
-    durable = (F.col("result") == "missing") | ((F.col("result") == "found") & (F.col("_fill") % size == 0))
+    walked = walked.withColumn("_run", F.count_if(F.col("result") == "missing").over(order))
+    in_run = Window.partitionBy(*key, "_run").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    walked = walked.withColumn("_fill", F.count_if(F.col("result") == "found").over(in_run))
+
+    parts = walked.groupBy(*key).agg(F.min(F.when(failed, F.col("id"))).alias("_fail"), F.max("_run").alias("_runs"), F.max_by("_fill", "id").alias("_tail"))
+    across = Window.partitionBy("segment_id").orderBy("_stretch")
+    parts = parts.withColumn("_since", F.count_if(F.col("_runs") > 0).over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    filled = F.sum("_tail").over(Window.partitionBy("segment_id", "_since").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("_filled", filled).withColumn("_carried", F.coalesce(F.lag("_filled").over(across), F.lit(0)))
+    parts = parts.select(*key, "_carried", F.min("_fail").over(Window.partitionBy("segment_id")).alias("_fail"))
+
+    walked = walked.join(parts, key).filter(F.col("_fail").isNull() | (F.col("id") <= F.col("_fail")))
+    fill = F.col("_fill") + F.when(F.col("_run") == 0, F.col("_carried")).otherwise(0)
+    durable = (F.col("result") == "missing") | ((F.col("result") == "found") & (fill % size == 0))
     folded = walked.groupBy("segment_id").agg(
         F.max(F.when(durable, F.col("id"))).alias("_durable"), F.first("_fail").alias("failed_id"), F.max(F.when(F.col("id") == F.col("_fail"), F.col("result"))).alias("_result"),
         F.count_if(F.col("result") == "found").alias("n_found"), F.count_if(F.col("result") == "missing").alias("n_missing"),

@@ -55,6 +55,12 @@ def seed_stories(items: DataFrame) -> DataFrame:
     return items.withColumn("story_id", F.when((F.col("type") == "story") & F.col("story_id").isNull(), F.col("id")).otherwise(F.col("story_id")))
 
 
+def changed_count(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row (n_changed): how many rows of a table an update changed, by (id, story_id) before and after it."""
+    both = before.select("id", F.col("story_id").alias("_before")).join(after.select("id", "story_id"), "id")
+    return both.agg(F.count_if(~F.col("_before").eqNullSafe(F.col("story_id"))).alias("n_changed"))
+
+
 def backfill_batch(items: DataFrame, limit: int) -> DataFrame:
     """(id, story_id) of one pass: the first ``limit`` unresolved comments by id whose parent is resolved or a story."""
     c, p = items.alias("c"), items.alias("p")

@@ -114,6 +114,25 @@ def prepare(segments: DataFrame, target_max: int, width: int, cold_start: int |
     return start, pending_in_window(enqueue(state, holes), start, target_max).select("segment_id", "start_id", "end_id")
 
 
+def run_report(segments: DataFrame, results: DataFrame, target_max: int, width: int, cold_start: int | None = None) -> DataFrame:
+    """One row: what a catchup run found, planned and did, from the segments before it and the ``results(segment_id, outcome)`` of those it claimed.
+
+    The frontier is that of the plan, before anything was claimed. A dead letter is a fatal failure.
+    """
+    was = lambda status: F.count_if(F.col("status") == status)
+    requeued, reactivated = segments.agg(was("in_progress"), was("retry_wait")).first()
+    reached = intervals.frontier(segments.filter("status = 'done'")).first()[0]
+    start = cold_start if cold_start is not None else reached + 1
+    created = intervals.split_ranges(intervals.uncovered(segments, start, target_max), width).count()
+    ended = lambda outcome: F.count_if(F.col("outcome") == outcome)
+    numbers = [F.lit(x).cast("long") for x in (reached, start, target_max, created)]
+    names = ("frontier_id", "planning_start_id", "target_max_id", "created_segments")
+    return results.agg(
+        *(x.alias(name) for x, name in zip(numbers, names, strict=True)), F.count(F.lit(1)).alias("claimed_segments"), ended("done").alias("completed_segments"), ended("retry_wait").alias("retry_wait_segments"),
+        ended("dead_letter").alias("dead_letter_segments"), F.lit(requeued).alias("requeued_in_progress"), F.lit(reactivated).alias("reactivated_retry_wait"), (ended("dead_letter") > 0).alias("had_fatal_failures"),
+    )
+
+
 def run_summary(segments: DataFrame) -> DataFrame:
     n = lambda status: F.count_if(F.col("status") == status)
     return segments.agg(n("done").alias("n_done"), n("retry_wait").alias("n_retry_wait"), n("dead_letter").alias("n_dead_letter"), n("pending").alias("n_pending"), F.coalesce(F.sum("unresolved_count"), F.lit(0)).alias("n_unresolved"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.ordering import numbered
@@ -29,40 +29,62 @@ def stories(items: DataFrame) -> DataFrame:
     return items.filter(F.col("type") == "story").select(F.col("id").alias("story_id"))
 
 
-def nodes(items: DataFrame, include_deleted: bool = True, include_dead: bool = True) -> DataFrame:
-    """(story_id, id, parent, visible): comments of the stories that exist."""
+OUTSIDE = "EdgePointsOutsideStory"
+
+
+def linked_members(items: DataFrame, kids: DataFrame) -> DataFrame:
+    """(story_id, id): a snapshot of each story that follows edges: its comments, and the comments, of any story, that edges of it or of its comments name."""
+    own = nodes(items)
+    named = story_edges(items, kids).select("story_id", F.col("kid").alias("id")).join(items.filter("type = 'comment'").select("id"), "id", "left_semi")
+    return own.select("story_id", "id").unionByName(named).distinct()
+
+
+def nodes(items: DataFrame, include_deleted: bool = True, include_dead: bool = True, members: DataFrame | None = None) -> DataFrame:
+    """(story_id, id, parent, visible, outside): comments of the stories that exist, or those of a snapshot ``members(story_id, id)``, which may be outside their story."""
     hidden = F.lit(False)
     for name, shown in (("deleted", include_deleted), ("dead", include_dead)):
         if not shown:
             hidden = hidden | F.coalesce(F.col(name), F.lit(False))
-    comments = items.filter((F.col("type") == "comment") & (F.col("id") != F.col("story_id")))
-    return comments.select("story_id", "id", "parent", (~hidden).alias("visible")).join(stories(items), "story_id", "left_semi")
+    comments = items.filter(F.col("type") == "comment").select(F.col("story_id").alias("_own"), "id", "parent", hidden.alias("_hidden"))
+    if members is None:
+        taken = comments.withColumn("story_id", F.col("_own"))
+    else:
+        taken = members.select("story_id", "id").join(comments, "id")
+    outside = ~F.col("_own").eqNullSafe(F.col("story_id"))
+    rows = taken.filter(F.col("id") != F.col("story_id")).select("story_id", "id", "parent", (~F.col("_hidden") & ~outside).alias("visible"), outside.alias("outside"))
+    return rows.join(stories(items), "story_id", "left_semi")
+
+
+def story_edges(items: DataFrame, kids: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """(story_id, item, kid, display_order): edges whose parent is a story or one of its comments, or of the snapshot's ``own``."""
+    comments = nodes(items) if own is None else own
+    members = stories(items).select(F.col("story_id"), F.col("story_id").alias("item")).unionByName(comments.select("story_id", F.col("id").alias("item")))
+    return kids.join(members, "item").select("story_id", "item", "kid", "display_order")
 
 
-def story_edges(items: DataFrame, kids: DataFrame) -> DataFrame:
-    """(story_id, item, kid, display_order): edges whose parent is a story or one of its comments."""
-    members = stories(items).select(F.col("story_id"), F.col("story_id").alias("item")).unionByName(nodes(items).select("story_id", F.col("id").alias("item")))
-    return kids.join(members, "item").select("story_id", "item", "kid", "display_order")
+def _ends(own: DataFrame, mark: str) -> DataFrame:
+    return own.select(*(F.col(c).alias(f"{mark}_{c}") for c in ("story_id", "id", "visible", "outside")))
+
+
+def _broken(mark: str, missing: str, known: Column) -> Column:
+    """Why an end is no comment to show, null if it is one: a reason of breaks, or silent where it is hidden. ``known`` ends need no row."""
+    outcome = F.when(known, None).when(F.col(f"{mark}_id").isNull(), missing).when(F.col(f"{mark}_outside"), OUTSIDE)
+    return outcome.when(~F.col(f"{mark}_visible"), "silent")
 
 
 def classify_edges(edges: DataFrame, own: DataFrame) -> DataFrame:
     """Adds ``outcome``: kept, silent (a hidden end), or the reason of the break."""
-    p = own.select(F.col("story_id").alias("ps"), F.col("id").alias("pid"), F.col("visible").alias("p_visible"))
-    c = own.select(F.col("story_id").alias("cs"), F.col("id").alias("cid"), F.col("visible").alias("c_visible"))
-    joined = edges.join(p, (F.col("story_id") == F.col("ps")) & (F.col("item") == F.col("pid")), "left")
-    joined = joined.join(c, (F.col("story_id") == F.col("cs")) & (F.col("kid") == F.col("cid")), "left")
-    root = F.col("item") == F.col("story_id")
-    outcome = F.when(~root & F.col("p_visible").isNull(), "MissingParent").when(~root & ~F.col("p_visible"), "silent")
-    outcome = outcome.when(F.col("c_visible").isNull(), "MissingChild").when(~F.col("c_visible"), "silent").otherwise("kept")
+    joined = edges.join(_ends(own, "p"), (F.col("story_id") == F.col("p_story_id")) & (F.col("item") == F.col("p_id")), "left")
+    joined = joined.join(_ends(own, "c"), (F.col("story_id") == F.col("c_story_id")) & (F.col("kid") == F.col("c_id")), "left")
+    outcome = F.coalesce(_broken("p", "MissingParent", F.col("item") == F.col("story_id")), _broken("c", "MissingChild", F.lit(False)), F.lit("kept"))
     return joined.select(*edges.columns, outcome.alias("outcome"))
 
 
 def fallback_edges(own: DataFrame) -> DataFrame:
-    """(story_id, parent, id, outcome) of visible comments' own parent field: kept, silent or MissingParent."""
-    p = own.select(F.col("story_id").alias("ps"), F.col("id").alias("pid"), F.col("visible").alias("p_visible"))
-    joined = own.filter("visible").select("story_id", "parent", "id").join(p, (F.col("story_id") == F.col("ps")) & (F.col("parent") == F.col("pid")), "left")
-    outcome = F.when(F.col("parent") == F.col("story_id"), "kept").when(F.col("parent").isNull() | F.col("p_visible").isNull(), "MissingParent")
-    return joined.select("story_id", "parent", "id", outcome.when(~F.col("p_visible"), "silent").otherwise("kept").alias("outcome"))
+    """(story_id, parent, id, outcome) of visible comments' own parent field: kept, silent, or the reason of the break."""
+    joined = own.filter("visible").select("story_id", "parent", "id").join(_ends(own, "p"), (F.col("story_id") == F.col("p_story_id")) & (F.col("parent") == F.col("p_id")), "left")
+    outcome = F.coalesce(_broken("p", "MissingParent", F.coalesce(F.col("parent") == F.col("story_id"), F.lit(False))), F.lit("kept"))
+    return joined.select("story_id", "parent", "id", outcome.alias("outcome"))
 
 
 def children(classified: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -153,14 +175,14 @@ def walked(lists: DataFrame, own: DataFrame, scratch: Scratch) -> tuple[DataFram
     return rows, cycles
 
 
-def assemble(items: DataFrame, kids: DataFrame, include_deleted: bool = True, include_dead: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(tree rows, breaks) of every story.
+def assemble(items: DataFrame, kids: DataFrame, include_deleted: bool = True, include_dead: bool = True, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tree rows, breaks) of every story, or of the snapshot ``members(story_id, id)`` of each, whose comments of other stories are breaks.
 
     Tree rows: story_id, id, parent (null for an extra root), depth (1 at the top), orphan, pos (depth-first). Breaks are a multiset.
     """
     scratch = Scratch(items.sparkSession)
-    own = scratch.table("own", nodes(items, include_deleted, include_dead))
-    classified = scratch.table("classified", classify_edges(story_edges(items, kids), own))
+    own = scratch.table("own", nodes(items, include_deleted, include_dead, members))
+    classified = scratch.table("classified", classify_edges(story_edges(items, kids, own), own))
     fallback = scratch.table("fallback", fallback_edges(own))
     tree, cycles = walked(children(classified, fallback), own, scratch)
     lost = tree.filter("orphan").select("story_id", "id").join(own.filter("parent <> story_id").select("story_id", "id", "parent"), ["story_id", "id"])
@@ -168,6 +190,7 @@ def assemble(items: DataFrame, kids: DataFrame, include_deleted: bool = True, in
     breaks = named(classified.filter("outcome NOT IN ('kept', 'silent')"), F.col("outcome"), "item", "kid")
     breaks = breaks.unionByName(named(fallback.filter("outcome NOT IN ('kept', 'silent')"), F.col("outcome"), "parent", "id"))
     breaks = breaks.unionByName(named(lost, F.lit("MissingParent"), "parent", "id")).unionByName(named(cycles, F.lit("CycleDetected"), "parent", "child"))
+    breaks = breaks.unionByName(named(own.filter("outside"), F.lit(OUTSIDE), "parent", "id"))
     return tree, breaks
 
 

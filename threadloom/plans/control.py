@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import classify, sizing
-from threadloom.operators import attempts, intervals, segments, upsert
+from threadloom.operators import attempts, intervals, metrics, segments, upsert
 from threadloom.plans.fixtures import frame, oracle
 from threadloom.plans.registry import query
 
@@ -86,10 +86,16 @@ def frontier(spark, sf_dir):
     return intervals.frontier(_segments(spark, sf_dir).filter("status = 'done'"))
 
 
-@query(oracle(SWEEP.format(where="end_id >= 501 AND start_id <= 310000") + """SELECT greatest(coalesce(reached, 500), 500) + 1 AS start_id, start_id - 1 AS end_id FROM swept WHERE greatest(coalesce(reached, 500), 500) + 1 <= start_id - 1
-UNION ALL SELECT m + 1, 310000 FROM (SELECT greatest(coalesce(max(end_id), 500), 500) AS m FROM swept) WHERE m + 1 <= 310000""", "fx_segments"))
+def _target(spark, sf_dir):
+    """Some ids beyond the last segment."""
+    return _segments(spark, sf_dir).agg(F.max("end_id")).first()[0] + 5000
+
+
+@query(oracle(SWEEP.format(where="end_id >= 501") + """, top AS (SELECT max(end_id) + 5000 AS target FROM fx_segments)
+SELECT greatest(coalesce(reached, 500), 500) + 1 AS start_id, start_id - 1 AS end_id FROM swept WHERE greatest(coalesce(reached, 500), 500) + 1 <= start_id - 1
+UNION ALL SELECT m + 1, target FROM (SELECT greatest(coalesce(max(end_id), 500), 500) AS m FROM swept), top WHERE m + 1 <= target""", "fx_segments"))
 def uncovered_ranges(spark, sf_dir):
-    return intervals.uncovered(_segments(spark, sf_dir), 501, 310000)
+    return intervals.uncovered(_segments(spark, sf_dir), 501, _target(spark, sf_dir))
 
 
 @query("WITH i AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 7 <> 3), l AS (SELECT id, coalesce(lag(id) OVER (ORDER BY id), 0) + 1 AS s FROM i) SELECT s AS start_id, id - 1 AS end_id FROM l WHERE s <= id - 1")
@@ -97,19 +103,61 @@ def missing_ranges(spark, sf_dir):
     return intervals.missing_ranges(frame(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 3").select(F.col("o_orderkey").alias("id")), bucket=4000)
 
 
-PLAN = """WITH state AS (SELECT segment_id, start_id, end_id, CASE WHEN status IN ('in_progress', 'retry_wait') THEN 'pending' ELSE status END AS status FROM fx_segments),
+PLAN = """WITH state AS (SELECT segment_id, start_id, end_id, scan_cursor_id, CASE WHEN status IN ('in_progress', 'retry_wait') THEN 'pending' ELSE status END AS status FROM fx_segments),
 swept AS (SELECT start_id, end_id, max(end_id) OVER (ORDER BY start_id, end_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM state WHERE status = 'done'),
-f AS (SELECT coalesce((SELECT max(end_id) FROM swept WHERE start_id < coalesce((SELECT min(start_id) FROM swept WHERE start_id > coalesce(reached, 0) + 1), 9223372036854775807)), 0) + 1 AS first, 310000 AS target),
+f AS (SELECT coalesce((SELECT max(end_id) FROM swept WHERE start_id < coalesce((SELECT min(start_id) FROM swept WHERE start_id > coalesce(reached, 0) + 1), 9223372036854775807)), 0) + 1 AS first, (SELECT max(end_id) + 5000 FROM state) AS target),
 c AS (SELECT start_id, end_id, max(end_id) OVER (ORDER BY start_id, end_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM state, f WHERE end_id >= first AND start_id <= target),
 holes AS (SELECT greatest(coalesce(reached, first - 1), first - 1) + 1 AS lo, start_id - 1 AS hi FROM c, f UNION ALL SELECT greatest(coalesce((SELECT max(end_id) FROM c), first - 1), first - 1) + 1, target FROM f),
 pieces AS (SELECT s AS start_id, least(s + 1999, hi) AS end_id FROM (SELECT unnest(range(lo, hi + 1, 2000)) AS s, hi FROM holes WHERE lo <= hi)),
-full_state AS (SELECT segment_id, start_id, end_id, status FROM state UNION ALL SELECT (SELECT max(segment_id) FROM state) + row_number() OVER (ORDER BY start_id, end_id), start_id, end_id, 'pending' FROM pieces)
-SELECT segment_id, start_id, end_id FROM full_state, f WHERE status = 'pending' AND end_id >= first AND start_id <= target"""
+full_state AS (SELECT segment_id, start_id, end_id, status, scan_cursor_id FROM state UNION ALL SELECT (SELECT max(segment_id) FROM state) + row_number() OVER (ORDER BY start_id, end_id), start_id, end_id, 'pending', NULL FROM pieces),
+plan AS (SELECT segment_id, start_id, end_id, scan_cursor_id FROM full_state, f WHERE status = 'pending' AND end_id >= first AND start_id <= target)
+"""
 
 
-@query(oracle(PLAN, "fx_segments"))
+@query(oracle(PLAN + "SELECT segment_id, start_id, end_id FROM plan", "fx_segments"))
 def prepare_plan(spark, sf_dir):
-    return segments.prepare(_segments(spark, sf_dir), 310000, 2000)[1]
+    return segments.prepare(_segments(spark, sf_dir), _target(spark, sf_dir), 2000)[1]
+
+
+#: What became of the plan's segments, and the numbers of the run.
+RUN = PLAN + """, results AS (SELECT *, CASE segment_id % 7 WHEN 0 THEN 'retry_wait' WHEN 1 THEN 'dead_letter' ELSE 'done' END AS outcome FROM plan WHERE segment_id % 10 <> 3),
+attempts AS (SELECT *, CASE WHEN outcome = 'done' THEN end_id WHEN segment_id % 2 = 0 THEN start_id + 4 END AS last_durable_id FROM results),
+report AS (SELECT (SELECT first - 1 FROM f) AS frontier_id, (SELECT first FROM f) AS planning_start_id, (SELECT target FROM f) AS target_max_id, (SELECT count(*) FROM pieces) AS created_segments, count(*) AS claimed_segments,
+  count(*) FILTER (outcome = 'done') AS completed_segments, count(*) FILTER (outcome = 'retry_wait') AS retry_wait_segments, count(*) FILTER (outcome = 'dead_letter') AS dead_letter_segments,
+  (SELECT count(*) FROM fx_segments WHERE status = 'in_progress') AS requeued_in_progress, (SELECT count(*) FROM fx_segments WHERE status = 'retry_wait') AS reactivated_retry_wait, count(*) FILTER (outcome = 'dead_letter') > 0 AS had_fatal_failures FROM results)
+"""
+
+
+def _run(spark, sf_dir):
+    """(plan, attempts, report) of a run over the whole table."""
+    before, target = _segments(spark, sf_dir), _target(spark, sf_dir)
+    plan = segments.prepare(before, target, 2000)[1]
+    i = F.col("segment_id")
+    outcome = F.when(i % 7 == 0, "retry_wait").when(i % 7 == 1, "dead_letter").otherwise("done")
+    last = F.when(F.col("outcome") == "done", F.col("end_id")).when(i % 2 == 0, F.col("start_id") + 4)
+    claimed = plan.filter(i % 10 != 3).withColumn("outcome", outcome).withColumn("last_durable_id", last).join(before.select("segment_id", "scan_cursor_id"), "segment_id", "left")
+    return plan, claimed, segments.run_report(before, claimed, target, 2000)
+
+
+@query(oracle(RUN + "SELECT * FROM report", "fx_segments"))
+def run_report(spark, sf_dir):
+    return _run(spark, sf_dir)[2]
+
+
+@query(oracle(RUN + """, d AS (SELECT CAST(coalesce(sum(greatest(coalesce(last_durable_id - coalesce(scan_cursor_id + 1, start_id) + 1, 0), 0)), 0) AS BIGINT) AS durable FROM attempts),
+m AS (SELECT r.*, durable, (SELECT count(*) FROM plan) AS planned, greatest(target_max_id - planning_start_id + 1, 0) AS total, (SELECT count(*) FROM fx_exceptions WHERE state = 'terminal_missing') AS missing FROM report r, d)
+SELECT x.metric, x.kind, x.labels, CAST(x.value AS BIGINT) AS value FROM m, LATERAL (VALUES ('catchup_segments_claimed_total', 'counter', '', claimed_segments), ('catchup_segments_completed_total', 'counter', '', completed_segments), ('catchup_segments_retry_wait_total', 'counter', '', retry_wait_segments),
+  ('catchup_segments_dead_letter_total', 'counter', '', dead_letter_segments), ('catchup_terminal_missing_items_total', 'counter', '', missing), ('catchup_durable_items_total', 'counter', '', durable), ('catchup_frontier_id', 'gauge', '', frontier_id),
+  ('catchup_target_max_id', 'gauge', '', target_max_id), ('catchup_pending_segments', 'gauge', '', planned), ('catchup_target_total_items', 'gauge', '', total), ('catchup_durable_items_completed', 'gauge', '', durable),
+  ('catchup_progress_percent', 'gauge', '', least(durable, total) * 100 // total), ('catchup_target_is_full_history', 'gauge', '', 0), ('catchup_target_is_updater', 'gauge', '', 1), ('catchup_target_is_bounded', 'gauge', '', 0),
+  ('realtime_batch_size', 'gauge', '', 5), ('realtime_records_processed_total', 'counter', '', (SELECT count(*) FROM fx_http WHERE status = 200)), ('realtime_records_failed_total', 'counter', '', (SELECT count(*) FROM fx_http WHERE status <> 200)),
+  ('build_info', 'gauge', 'service="worker",version="1.0",commit="unknown"', 1)) AS x(metric, kind, labels, value)""", "fx_segments", "fx_exceptions", "fx_http"))
+def metric_registry(spark, sf_dir):
+    plan, attempted, report = _run(spark, sf_dir)
+    missing = frame(spark, sf_dir, "fx_exceptions").filter("state = 'terminal_missing'")
+    processed, failed = frame(spark, sf_dir, "fx_http").agg(F.count_if(F.col("status") == 200), F.count_if(F.col("status") != 200)).first()
+    realtime = {"batch_size": 5, "records_processed": processed, "records_failed": failed}
+    return metrics.registry(report, attempted, plan, missing, "updater", realtime, {"service": "worker", "version": "1.0", "commit": "unknown"})
 
 
 @query(oracle("SELECT segment_id, start_id, end_id, 'in_progress' AS status, attempts + 1 AS attempts, scan_cursor_id FROM fx_segments WHERE status = 'pending' ORDER BY start_id, segment_id LIMIT 1", "fx_segments"))

@@ -17,6 +17,8 @@ VIEWS = {
       SELECT parent AS item, id AS kid, CAST(row_number() OVER (PARTITION BY parent ORDER BY score DESC, id) - 1 AS BIGINT) AS display_order
       FROM {fx_all} WHERE parent IS NOT NULL AND id % 11 <> 4
       UNION ALL SELECT id, id + 1000000, CAST(0 AS BIGINT) FROM {fx_all} WHERE id % 101 = 1""",
+    "fx_cross": """
+      SELECT item, kid, display_order FROM {fx_kids} UNION ALL SELECT id, id + 53, CAST(7 AS BIGINT) FROM {fx_all} WHERE id % 29 = 3""",
     "fx_bare": "SELECT id, type, parent, CASE WHEN id % 400 < 50 AND type = 'story' THEN id END AS story_id FROM {fx_items}",
     "fx_segments": """
       SELECT o_orderkey + 1 AS segment_id, o_orderkey * 20 + 1 AS start_id, o_orderkey * 20 + 20 - CASE WHEN o_orderkey % 37 = 30 THEN 3 ELSE 0 END AS end_id,

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import logs
+from threadloom.operators import logs, metrics
 from threadloom.plans.fixtures import frame, oracle
 from threadloom.plans.registry import query
+from threadloom.plans.tables import RATES
 
 LOG = r"""WITH k AS (SELECT seq, unit, CASE WHEN json_valid(line) THEN line END AS line FROM fx_log WHERE regexp_full_match(unit, '(catchup-worker-.+|backfill-.+)\.service')),
 x AS (SELECT seq, unit, line ->> '$.event' AS event, coalesce(line ->> '$.run_id', line ->> '$.span.run_id') AS run_id,
@@ -46,3 +47,18 @@ def gauge_last(spark, sf_dir):
 SELECT CAST(floor(batch_id / 60) AS BIGINT) AS "window", count(*) AS n_batches, max(size) AS largest, CAST(sum(ok) AS BIGINT) AS records_pulled, CAST(sum(size - ok) AS BIGINT) AS records_failed FROM b GROUP BY 1""", "fx_http"))
 def realtime_counters(spark, sf_dir):
     return logs.realtime_counters(frame(spark, sf_dir, "fx_http").select(F.floor(F.col("item_id") / 7).alias("batch_id"), (F.col("status") == 200).alias("ok")), 60)
+
+
+RATIOS = STEPS + """, c AS (SELECT run_id, t, sum(claimed) OVER w AS claimed, sum(retry_wait) OVER w AS retry_wait, sum(dead_letter) OVER w AS dead_letter FROM n WINDOW w AS (PARTITION BY run_id ORDER BY t)),
+s AS (SELECT run_id || '/' || name AS series, t, CAST(value AS DOUBLE) AS value FROM (UNPIVOT c ON claimed, retry_wait, dead_letter INTO NAME name VALUE value))
+"""
+
+
+@query(oracle(RATIOS + RATES + """, rated AS (SELECT split_part(series, '/', 1) AS run_id, split_part(series, '/', 2) AS name, t, rate FROM r)
+SELECT a.run_id, a.name, a.t, round(a.rate / greatest(b.rate, 1), 9) AS ratio FROM rated a JOIN rated b ON a.run_id = b.run_id AND a.t = b.t AND b.name = 'claimed' WHERE a.name <> 'claimed'""", "fx_log"))
+def failure_ratio(spark, sf_dir):
+    """Retries and dead letters a second over claims a second, by run."""
+    series = logs.counters(_log(spark, sf_dir)).unpivot(["run_id", "t"], ["claimed", "retry_wait", "dead_letter"], "name", "value")
+    rates = metrics.rate(series, by=("run_id", "name"))
+    ratios = metrics.rate_ratio(rates.filter("name <> 'claimed'"), rates.filter("name = 'claimed'"), ("run_id",))
+    return ratios.select("run_id", "name", "t", F.round("ratio", 9).alias("ratio"))

@@ -22,4 +22,4 @@ def query(oracle: str | None = None) -> Callable:
     return add
 
 
-from threadloom.plans import control, monitoring, scalar, tables, thread  # noqa: E402, F401  registration by import
+from threadloom.plans import control, monitoring, scalar, streams, tables, thread  # noqa: E402, F401  registration by import

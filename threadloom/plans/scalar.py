@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import classify, sizing, text
-from threadloom.operators import render
+from threadloom.operators import jsonwalk, render
 from threadloom.plans.fixtures import frame, oracle
 from threadloom.plans.registry import query
 
@@ -207,6 +207,13 @@ def sorted_json(spark, sf_dir):
     return frame(spark, sf_dir, "events").select("event_id", text.sorted_json(raw).alias("rendered"))
 
 
+@query("""SELECT event_id, '{' || chr(10) || '  "a": [' || chr(10) || '    ' || event_id || ',' || chr(10) || '    {' || chr(10) || '      "x": null,' || chr(10) || '      "y": []' || chr(10) || '    }' || chr(10) || '  ],' || chr(10)
+  || '  "b": {' || chr(10) || '    "c": "' || event_type || ': [1,{2}]",' || chr(10) || '    "d": ' || user_id || chr(10) || '  }' || chr(10) || '}' AS rendered FROM events""")
+def pretty_json(spark, sf_dir):
+    raw = F.format_string('{"b": {"d": %d, "c": "%s: [1,{2}]"}, "a": [%d, {"y": [], "x": null}]}', "user_id", "event_type", "event_id")
+    return frame(spark, sf_dir, "events").select("event_id", text.pretty_json(raw).alias("rendered"))
+
+
 @query(r"""WITH d AS (SELECT event_id, '{"a":{"b":["' || event_type || '","x\u001by",' || user_id || ',{"deep":[["\u0007"]]}]},"c":"' || CASE WHEN event_id % 2 = 0 THEN '\u0001' ELSE 'fine\n' END || '"}' AS j FROM events),
 t AS (SELECT event_id, x.fullkey AS path, x.atom ->> '$' AS v FROM d, json_tree(d.j) AS x WHERE x.type = 'VARCHAR')
 SELECT event_id, path, CASE v WHEN 'x' || chr(27) || 'y' THEN 'contains control char U+001B at char index 1' WHEN chr(7) THEN 'contains control char U+0007 at char index 0' ELSE 'contains control char U+0001 at char index 0' END AS issue
@@ -214,5 +221,5 @@ FROM t WHERE regexp_matches(v, '[\x00-\x08\x0b\x0c\x0e-\x1f]')""")
 def json_string_issues(spark, sf_dir):
     last = F.when(F.col("event_id") % 2 == 0, r"\u0001").otherwise(r"fine\n")
     raw = F.concat(F.lit('{"a":{"b":["'), "event_type", F.lit(r'","x\u001by",'), F.col("user_id").cast("string"), F.lit(r',{"deep":[["\u0007"]]}]},"c":"'), last, F.lit('"}'))
-    found = frame(spark, sf_dir, "events").select("event_id", F.inline(text.json_strings(raw)))
+    found = jsonwalk.json_strings(frame(spark, sf_dir, "events").select("event_id", raw.alias("raw")), ["event_id"], "raw")
     return found.select("event_id", "path", F.explode(text.control_issue(F.col("value"))).alias("issue"))

@@ -1,4 +1,4 @@
-"""Queries on sources, sinks, upserts, streams and metrics."""
+"""Queries on sources, sinks, upserts and metrics."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from threadloom.plans.fixtures import frame, oracle
 from threadloom.plans.registry import query
 from threadloom.sources import items as item_source
 from threadloom.sources.scratch import Scratch
-from threadloom.streaming import updates
 
 TRUTH = """CASE event_id % 12 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN TRUE WHEN 3 THEN FALSE WHEN 4 THEN TRUE WHEN 5 THEN FALSE WHEN 7 THEN TRUE WHEN 10 THEN FALSE END"""
 LAST = "row_number() OVER (PARTITION BY item, kid ORDER BY shipped DESC, display_order DESC, price DESC) = 1"
@@ -32,14 +31,6 @@ def explode_kids(spark, sf_dir):
     return item_source.kid_rows(item_source.decode_items(frame(spark, sf_dir, "fx_json")))
 
 
-@query(oracle("SELECT r.id, e.event_id IS NULL AS missing, CASE WHEN e.event_id % 17 <> 3 THEN e.event_id % 100 END AS score FROM (SELECT unnest(range((SELECT min(event_id) FROM events), (SELECT max(event_id) FROM events) + 1)) AS id) r LEFT JOIN (SELECT * FROM events WHERE event_id % 9 <> 4) e ON e.event_id = r.id"))
-def src_items_json(spark, sf_dir):
-    stored = frame(spark, sf_dir, "fx_json").filter("event_id % 9 <> 4").select(F.col("event_id").alias("id"), "payload")
-    first, last = frame(spark, sf_dir, "events").agg(F.min("event_id"), F.max("event_id")).first()
-    found = item_source.decode_items(item_source.fetched(spark, first, last, stored))
-    return found.select("id", F.col("payload").isNull().alias("missing"), "item.score")
-
-
 @query("SELECT max(event_id) AS max_id FROM events")
 def src_max_id(spark, sf_dir):
     return frame(spark, sf_dir, "events").agg(F.max("event_id").alias("max_id"))
@@ -121,62 +112,40 @@ def duplicate_count(spark, sf_dir):
     return upsert.duplicates(frame(spark, sf_dir, "fx_lines"), ["item", "kid"])
 
 
-def _exported(spark, sf_dir, name):
+def _exported(spark, sf_dir, name, order):
+    """The export's rows, from shards of 200 kB."""
     scratch = Scratch(spark)
-    export.export(frame(spark, sf_dir, name), scratch.path(name))
-    return spark.read.parquet(scratch.path(name))
+    table = frame(spark, sf_dir, name)
+    export.export(table, scratch.path(name), order, shard_bytes=200_000)
+    return spark.read.parquet(scratch.path(name)).select(*table.columns)
 
 
 @query(oracle("SELECT * FROM fx_items", "fx_items"))
 def export_items(spark, sf_dir):
-    return _exported(spark, sf_dir, "fx_items")
+    return _exported(spark, sf_dir, "fx_items", ["id"])
 
 
 @query(oracle("SELECT * FROM fx_kids", "fx_kids"))
 def export_kids(spark, sf_dir):
-    return _exported(spark, sf_dir, "fx_kids")
-
-
-UPDATE = "CASE event_id % 10 WHEN 3 THEN 'null' WHEN 7 THEN 'not json' ELSE concat('{{\"path\":\"/\",\"data\":{{\"items\":[', CAST(event_id AS STRING), ',', CAST(event_id + 7 AS STRING), '],\"profiles\":[\"x\"]}}}}') END"
-
-
-def _events(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, since a stream's plain path must be a folder
-
+    return _exported(spark, sf_dir, "fx_kids", ["item", "kid"])
 
-@query("SELECT event_id, event_id + o AS item_id FROM events, (SELECT unnest([0, 7]) AS o) WHERE event_id % 10 NOT IN (3, 7)")
-def stream_updates_explode(spark, sf_dir):
-    payloads = _events(spark, sf_dir).selectExpr("event_id", UPDATE.replace("{{", "{").replace("}}", "}") + " AS payload")
-    return updates.run_to_table(updates.changed_ids(payloads).select("event_id", "item_id"), Scratch(spark), "ids")
 
-
-@query("SELECT user_id AS id, event_id AS seq, event_type AS state FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
-def stream_upsert_latest(spark, sf_dir):
-    changes = _events(spark, sf_dir).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
-    return updates.latest_by_key(changes, Scratch(spark), "items", ["id"], ["seq"])
-
-
-SAMPLES = """WITH s AS (SELECT event_type AS series, event_id * 20 AS t, sum(floor(value) % 10) OVER (PARTITION BY event_type, event_id // 500 ORDER BY event_id) AS value FROM events),
-d AS (SELECT *, CASE WHEN lag(value) OVER w IS NULL THEN 0 WHEN value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END AS step FROM s WINDOW w AS (PARTITION BY series ORDER BY t)),
-r AS (SELECT series, t, value, (sum(step) OVER w - first(step) OVER w) / nullif(t - first(t) OVER w, 0) AS rate FROM d WINDOW w AS (PARTITION BY series ORDER BY t RANGE BETWEEN 300 PRECEDING AND CURRENT ROW))
+#: Rates of samples s(series, t, value) at each minute, from all pairs of samples and ranges.
+RATES = """, grid AS (SELECT series, unnest(range((min(t) // 60) * 60, max(t) + 361, 60)) AS "at" FROM s GROUP BY series),
+inside AS (SELECT g.series, g."at", s.t, s.value, lag(s.value) OVER (PARTITION BY g.series, g."at" ORDER BY s.t) AS prev FROM grid g JOIN s ON s.series = g.series AND s.t > g."at" - 300 AND s.t <= g."at"),
+seen AS (SELECT series, "at", count(*) AS n, min(t) AS t0, max(t) AS t1, arg_min(value, t) AS v0, arg_max(value, t) - arg_min(value, t) + sum(CASE WHEN prev > value THEN prev ELSE 0 END) AS inc FROM inside GROUP BY ALL HAVING count(*) >= 2),
+gaps AS (SELECT *, CAST(t1 - t0 AS DOUBLE) AS d, CAST(t1 - t0 AS DOUBLE) / (n - 1) AS gap, CAST(t0 - "at" + 300 AS DOUBLE) AS s0, CAST("at" - t1 AS DOUBLE) AS e0 FROM seen),
+edged AS (SELECT *, CASE WHEN s0 >= gap * 1.1 THEN gap / 2 ELSE s0 END AS s1, CASE WHEN e0 >= gap * 1.1 THEN gap / 2 ELSE e0 END AS e1 FROM gaps),
+r AS (SELECT series, "at" AS t, inc * (d + CASE WHEN inc > 0 AND v0 >= 0 THEN least(s1, d * v0 / inc) ELSE s1 END + e1) / d / 300 AS rate FROM edged WHERE d > 0)
 """
+SAMPLES = """WITH s AS (SELECT event_type AS series, event_id * 20 + (event_id * 7) % 15 AS t, CAST(sum(floor(value) % 10) OVER (PARTITION BY event_type, event_id // 500 ORDER BY event_id) AS DOUBLE) AS value
+  FROM events WHERE event_id % 400 < 300 AND (event_type <> 'click' OR event_id % 7 = 0))"""
 
 
-def _samples(spark, sf_dir):
-    return spark.sql("SELECT event_type AS series, event_id * 20 AS t, sum(CAST(floor(value) AS DOUBLE) % 10) OVER (PARTITION BY event_type, event_id div 500 ORDER BY event_id) AS value FROM {events}", events=frame(spark, sf_dir, "events"))
-
-
-@query(SAMPLES + "SELECT series, t, value, round(rate, 9) AS rate FROM r")
+@query(SAMPLES + RATES + "SELECT series, t, round(rate, 9) AS rate FROM r")
 def rate_5m(spark, sf_dir):
-    return metrics.rate(_samples(spark, sf_dir)).withColumn("rate", F.round("rate", 9))
-
-
-@query(SAMPLES + ", types AS (SELECT DISTINCT series FROM s), k AS (SELECT series, t // 300 AS b, max(rate) AS rate FROM r GROUP BY ALL) SELECT b, round(coalesce(max(rate) FILTER (series = 'error'), max(rate)) / greatest(min(rate), 1), 9) AS ratio FROM k GROUP BY b")
-def failure_ratio(spark, sf_dir):
-    rates = metrics.rate(_samples(spark, sf_dir)).groupBy("series", F.expr("t div 300").alias("b")).agg(F.max("rate").alias("rate"))
-    own = F.coalesce(F.max(F.when(F.col("series") == "error", F.col("rate"))), F.max("rate"))
-    return rates.groupBy("b").agg(F.round(metrics.floored_ratio(own, F.min("rate")), 9).alias("ratio"))
+    samples = spark.sql(SAMPLES.removeprefix("WITH s AS (").removesuffix(")").replace("//", "div").replace("FROM events", "FROM {events}"), events=frame(spark, sf_dir, "events"))
+    return metrics.rate(samples).withColumn("rate", F.round("rate", 9))
 
 
 @query(oracle("""WITH n AS (SELECT id, CASE WHEN id % 6 = 0 THEN NULL ELSE score END AS score, CASE WHEN id % 10 = 1 THEN NULL ELSE dead END AS dead, text FROM fx_all)

@@ -143,6 +143,12 @@ def seed_story_rows(spark, sf_dir):
     return lineage.seed_stories(frame(spark, sf_dir, "fx_bare")).select("id", "story_id")
 
 
+@query(oracle("SELECT count(*) AS n_changed FROM fx_bare WHERE type = 'story' AND story_id IS NULL", "fx_bare"))
+def seeded_count(spark, sf_dir):
+    bare = frame(spark, sf_dir, "fx_bare")
+    return lineage.changed_count(bare, lineage.seed_stories(bare))
+
+
 @query(oracle("SELECT count(*) AS n_unresolved FROM fx_bare WHERE type = 'comment' AND story_id IS NULL", "fx_bare"))
 def unresolved_comments(spark, sf_dir):
     return lineage.unresolved_comments(frame(spark, sf_dir, "fx_bare"))
@@ -209,17 +215,71 @@ def render_story_header(spark, sf_dir):
     return rows.select("id", html.alias("html"))
 
 
-@query(oracle("SELECT id, CASE WHEN " + HIDDEN + " THEN '[deleted]' ELSE coalesce(text, '[no text]') END AS body FROM fx_items WHERE type = 'comment'", "fx_items"))
+MUTED = '<span class="comment-muted">{}</span>'
+BODY = "CASE WHEN " + HIDDEN + " THEN '" + MUTED.format("[deleted]") + "' ELSE coalesce(text, '" + MUTED.format("[no text]") + "') END"
+
+
+@query(oracle("SELECT id, " + BODY + " AS body FROM fx_items WHERE type = 'comment'", "fx_items"))
 def render_comment_body(spark, sf_dir):
     return frame(spark, sf_dir, "fx_items").filter("type = 'comment'").select("id", render.comment_body(F.col("deleted"), F.col("dead"), F.col("text")).alias("body"))
 
 
-@query(oracle(TREE.format(hidden="FALSE") + """, nested AS (SELECT *, lead(depth) OVER (PARTITION BY story_id ORDER BY pos) AS nd FROM placed),
-body AS (SELECT n.story_id, n.pos, '<article class="comment" id="comment-' || n.id || '"><p class="comment-meta">' || coalesce(author, 'unknown') || ' ' || """ + AGE.format(t="time", n=NOW) + """
-  || '</p><div class="comment-text">' || CASE WHEN """ + HIDDEN + """ THEN '[deleted]' ELSE coalesce(text, '[no text]') END || '</div>'
+BROKEN = """, broken AS (
+  SELECT coalesce(c.story_id, k.item) AS story_id, 'MissingChild' AS reason, k.item AS parent_id, k.kid AS child_id FROM fx_kids k JOIN fx_items c ON c.id = k.item
+    LEFT JOIN own x ON x.id = k.kid AND x.story_id = c.story_id WHERE x.id IS NULL
+  UNION ALL SELECT c.story_id, 'MissingParent', c.parent, c.id FROM own c LEFT JOIN own p ON p.id = c.parent AND p.story_id = c.story_id WHERE p.id IS NULL AND c.parent IS DISTINCT FROM c.story_id
+  UNION ALL SELECT t.story_id, 'MissingParent', o.parent, t.id FROM placed t JOIN own o ON o.id = t.id WHERE t.orphan AND o.parent IS NOT NULL AND o.parent <> o.story_id)
+"""
+
+
+def _titled(items):
+    """Items with a title, which stories have."""
+    return items.withColumn("title", F.when(F.col("type") == "story", F.col("text")))
+
+
+@query(oracle(TREE.format(hidden="FALSE") + BROKEN + """, nested AS (SELECT *, lead(depth) OVER (PARTITION BY story_id ORDER BY pos) AS nd FROM placed),
+body AS (SELECT n.story_id, n.pos, '<article class="comment" id="comment-' || n.id || '"><p class="comment-meta"><span class="comment-author">' || coalesce(author, 'unknown') || '</span> <span class="comment-muted">' || """ + AGE.format(t="time", n=NOW) + """
+  || '</span>' || CASE WHEN nd > depth THEN '<button type="button" class="comment-toggle" aria-expanded="true" aria-controls="comment-' || n.id || '-children">[-]</button>' ELSE '' END || '</p><div class="comment-text">' || """ + BODY + """ || '</div>'
   || CASE WHEN nd > depth THEN '<section class="comment-children" id="comment-' || n.id || '-children">' ELSE '</article>' || repeat('</section></article>', CAST(depth - coalesce(nd, 1) AS BIGINT)) END AS html
-  FROM nested n JOIN fx_items i ON i.id = n.id)
-SELECT story_id, string_agg(html, '' ORDER BY pos) AS html FROM body GROUP BY story_id""", *VIEWS))
+  FROM nested n JOIN fx_items i ON i.id = n.id),
+streams AS (SELECT story_id, string_agg(html, '' ORDER BY pos) AS html, count(*) AS n FROM body GROUP BY story_id), b AS (SELECT story_id, count(*) AS n FROM broken GROUP BY story_id)
+SELECT i.id AS story_id, '<section class="story"><h1 class="story-title">' || coalesce(""" + ESCAPE.format(x="i.text") + """, 'Untitled story') || '</h1><p class="story-meta">by ' || coalesce(author, 'unknown') || ' | ' || """ + AGE.format(t="i.time", n=NOW) + """
+  || ' | ' || coalesce(s.n, 0) || CASE WHEN s.n = 1 THEN ' comment' ELSE ' comments' END || ' | item ' || i.id || '</p>'
+  || CASE WHEN b.n > 0 THEN '<p class="story-meta">' || b.n || CASE WHEN b.n = 1 THEN ' graph break' ELSE ' graph breaks' END || ' detected while reconstructing thread</p>' ELSE '' END || '</section>'
+  || CASE WHEN s.n > 0 THEN '<section class="comment-stream">' || s.html || '</section>' ELSE '<p class="empty-thread">No comments yet.</p>' END AS html
+FROM fx_items i LEFT JOIN streams s ON s.story_id = i.id LEFT JOIN b ON b.story_id = i.id WHERE i.type = 'story'""", *VIEWS))
 def render_thread(spark, sf_dir):
     items, kids = _data(spark, sf_dir)
-    return render.thread_fragments(threads.assemble(items, kids)[0], items, F.lit(NOW))
+    return render.thread_fragments(*threads.assemble(items, kids), _titled(items), F.lit(NOW))
+
+
+ITEM_JSON = "to_json({{'id': {x}.id, 'parent': {x}.parent, 'type_': {x}.type, 'by': {x}.author, 'time': {x}.time, 'text': {x}.text, 'title': CASE WHEN {x}.type = 'story' THEN {x}.text END, 'deleted': {x}.deleted, 'dead': {x}.dead, 'story_id': {x}.story_id}})"
+
+
+@query(oracle(TREE.format(hidden="FALSE") + BROKEN + """, nested AS (SELECT *, lead(depth) OVER w AS nd, lag(depth) OVER w AS pd FROM placed WINDOW w AS (PARTITION BY story_id ORDER BY pos)),
+body AS (SELECT n.story_id, n.pos, CASE WHEN pd >= depth THEN ',' ELSE '' END || '{"item":' || """ + ITEM_JSON.format(x="i") + """ || ',"children":[' || CASE WHEN nd > depth THEN '' ELSE repeat(']}', CAST(depth - coalesce(nd, 1) + 1 AS BIGINT)) END AS piece
+  FROM nested n JOIN fx_items i ON i.id = n.id),
+r AS (SELECT story_id, string_agg(piece, '' ORDER BY pos) AS roots FROM body GROUP BY story_id),
+b AS (SELECT story_id, string_agg(to_json({'reason': reason, 'parent_id': parent_id, 'child_id': child_id}), ',' ORDER BY reason, parent_id, child_id) AS broken FROM broken GROUP BY story_id)
+SELECT s.id AS story_id, '{"story":' || """ + ITEM_JSON.format(x="s") + """ || ',"roots":[' || coalesce(roots, '') || '],"graph_breaks":[' || coalesce(broken, '') || ']}' AS json
+FROM fx_items s LEFT JOIN r ON r.story_id = s.id LEFT JOIN b ON b.story_id = s.id WHERE s.type = 'story'""", *VIEWS))
+def thread_json(spark, sf_dir):
+    items, kids = _data(spark, sf_dir)
+    return render.thread_json(*threads.assemble(items, kids), _titled(items))
+
+
+@query(oracle("""WITH roots AS (SELECT id AS story_id FROM fx_items WHERE type = 'story'), comments AS (SELECT id, story_id, parent FROM fx_items WHERE type = 'comment'),
+k AS (SELECT item, kid FROM fx_cross),
+direct AS (SELECT r.story_id, k.item, k.kid FROM k JOIN roots r ON r.story_id = k.item UNION ALL SELECT c.story_id, k.item, k.kid FROM k JOIN comments c ON c.id = k.item JOIN roots r ON r.story_id = c.story_id),
+member AS (SELECT story_id, id FROM comments WHERE story_id IN (SELECT story_id FROM roots) UNION SELECT d.story_id, c.id FROM direct d JOIN comments c ON c.id = d.kid),
+known AS (SELECT m.story_id, m.id, c.parent, c.story_id <> m.story_id AS outside FROM member m JOIN comments c ON c.id = m.id WHERE m.id <> m.story_id),
+edges AS (SELECT m.story_id, k.item, k.kid FROM k JOIN (SELECT story_id, story_id AS id FROM roots UNION ALL SELECT story_id, id FROM known) m ON m.id = k.item),
+judged AS (SELECT e.*, CASE WHEN e.item <> e.story_id AND p.outside THEN 'EdgePointsOutsideStory' WHEN c.id IS NULL THEN 'MissingChild' WHEN c.outside THEN 'EdgePointsOutsideStory' END AS reason
+  FROM edges e LEFT JOIN known p ON p.story_id = e.story_id AND p.id = e.item LEFT JOIN known c ON c.story_id = e.story_id AND c.id = e.kid)
+SELECT story_id, reason, item AS parent_id, kid AS child_id FROM judged WHERE reason IS NOT NULL
+UNION ALL SELECT story_id, 'EdgePointsOutsideStory', parent, id FROM known WHERE outside""", "fx_items", "fx_cross"))
+def thread_breaks_linked(spark, sf_dir):
+    """Breaks of snapshots that follow edges into other stories, but for missing parents, which thread_breaks has."""
+    scratch = Scratch(spark)
+    items, kids = scratch.table("items", frame(spark, sf_dir, "fx_items")), scratch.table("kids", frame(spark, sf_dir, "fx_cross"))
+    return threads.assemble(items, kids, members=threads.linked_members(items, kids))[1].filter("reason <> 'MissingParent'")
