@@ -226,3 +226,20 @@ def test_contamination_is_each_row_s_own(spark, tmp_path):
     got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in op06_decontamination.op6_decontamination(spark, str(tmp_path)).collect())
     assert got == [(0, 14, 0, 0, False), (0, 15, 14, 1, True), (1, 14, 0, 0, False), (1, 14, 14, 1, True), (2, 0, 0, 0, False)]
     assert sorted(r["text"] or "" for r in op06_decontamination.decontaminate(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()) == ["", clean, clean]
+
+
+def test_mixing_spreads_one_id(spark):
+    """Rows of one id, or of none, lie in many tasks, each source meets its target, and the result is that of a queue in order."""
+    rows = [(5 if k % 2 else None, "w " * (k % 7), "ab"[k % 3 > 0]) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")  # the rows are few
+    mixed = op10_mixing.mix(docs)
+    got = mixed.collect()
+    spark.conf.unset(merging)
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 and all(r["taken"] <= 3 * r["size"] for r in own)
+    assert len(got) == 4000 and sum(r["size"] for r in got) == sum(k % 7 for k in range(4000))
+    tasks = mixed.sparkSession.read.parquet(next(f for f in mixed.inputFiles() if "/queue/" in f).rsplit("/", 1)[0]).groupBy("task").count().collect()
+    assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 2000

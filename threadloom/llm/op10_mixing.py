@@ -11,12 +11,11 @@ Documents queue in the order of md5(doc_id), so reruns agree and the order owes
 document takes ``round(ratio * end) - round(ratio * start)`` words of its span [start, end) in the queue: whole passes
 and, at most once, a part of one. So taken words add up to the rounded target and never exceed max_epochs * size.
 
-Scale: sizes reduce to one row per source for the targets. Prefix sums inside a source are two-level: sums per
-(source, md5 prefix) first, then sums inside each bucket, so that a source with a third of all rows is spread
-over as many tasks as it has buckets. Prefix length follows the row count.
+Scale: sizes reduce to one row per source for the targets. Queues come from one range sort of short rows (no texts), whose last key is unique, so a source with a third of
+all rows, and a doc_id with as many, are spread over tasks. Prefix sums are two-level: sums per (source, task of the sort) first, then sums inside each.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, the last in
-order; repeated doc_id rows each stay and are queued one after another (ties broken by size); rows without a doc_id queue by a hash of their text; an empty table gives an
+order; repeated doc_id rows each stay and are queued one after another (by size, then by a hash of their columns); rows without a doc_id queue by a hash of their text; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import Scratch, documents, words
 
 SLOPES = (0.5, 0.0, -0.5)  # of sources 1, 2, 3, repeating: late, level, early
-ROWS_PER_BUCKET = 2000
 
 
 def water_fill(sources: DataFrame, max_epochs: int) -> DataFrame:
@@ -53,31 +51,27 @@ def water_fill(sources: DataFrame, max_epochs: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), slopes: tuple[float, ...] = SLOPES, max_epochs: int = 3) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, position (null if nothing is taken), row (a hash of its columns)."""
-    row = F.xxhash64(*docs.columns)
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    sized = scratch.table(
-        "sized",
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"), row.alias("row"),
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary")).alias("order_key")),
-    )
-    digits, rows = 1, sized.count()
-    while 16**digits * ROWS_PER_BUCKET < rows:
-        digits += 1
-    sized = sized.withColumn("bucket", F.substring("order_key", 1, digits))
+    row, scratch = F.xxhash64(*docs.columns), Scratch(docs.sparkSession)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"), row.alias("row"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary")).alias("order_key"), F.monotonically_increasing_id().alias("nth"))
+    order = ("source", "order_key", "size", "row", "nth")
+    queue = sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).drop("order_key", "nth")
+    queue = scratch.table("queue", queue.withColumn("task", F.shiftright("at", 33)))
+    sums = scratch.table("sums", queue.groupBy("source", "task").agg(F.sum("size").alias("task_size")))
 
     # One row per source: the ranking below handles the table of sources, not the documents.
-    ranked = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("nth", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranked = sums.groupBy("source").agg(F.sum("task_size").alias("source_size")).withColumn("nth", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("nth") % len(values) + 1).cast("int"))
     sources = water_fill(scratch.table("sources", ranked.withColumns({"weight": pick(weights), "slope": pick(slopes)})), max_epochs)
 
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")).withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
-    offsets = offsets.alias("o").join(sources.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source"))).select("o.source", "o.bucket", "offset", "source_size", "target", "slope")
-    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = sized.withColumn("end_in_bucket", F.sum("size").over(inside)).alias("d")
-    joined = queued.join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket")))
+    before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("source", "task", F.coalesce(F.sum("task_size").over(before), F.lit(0)).alias("offset"))
+    offsets = offsets.alias("o").join(sources.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source"))).select("o.source", "o.task", "offset", "source_size", "target", "slope")
+    inside = Window.partitionBy("source", "task").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    queued = queue.withColumn("end_in_task", F.sum("size").over(inside)).alias("d")
+    joined = queued.join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.task") == F.col("o.task")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    end = F.col("offset") + F.col("end_in_bucket")
+    end = F.col("offset") + F.col("end_in_task")
     reached = lambda at: F.floor(ratio * at + 0.5)
     y = (ratio * (end - F.col("size"))) / F.col("target")
     b = 1 - F.col("slope")
