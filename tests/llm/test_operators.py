@@ -61,6 +61,7 @@ def empty(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{root}/conversations.parquet")
     return root
 
 
@@ -86,7 +87,7 @@ def test_empty_table_gives_no_rows(name, spark, empty):
     assert queries.QUERIES[name](spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op11_conversations", "op12_packing")])  # a row each conversation, and each piece
 def test_each_row_gives_a_row(name, spark, odd):
     got = queries.QUERIES[name](spark, odd).select("doc_id").collect()
     assert Counter(r[0] for r in got) == Counter(r[0] for r in ROWS)

@@ -2,9 +2,9 @@
 
 A window is 20 consecutive words. A word is removed if it lies in a window whose word sequence also starts earlier.
 
-Copies come first: a document of 20 words or more whose whole word sequence (a 128-bit hash of it) has an earlier place is a candidate copy, whose
-windows need no counting, as no first start lies in it. It is compared word for word with the first such document before it loses its words; were
-they to differ, the job would fail rather than remove them.
+Copies come first: a document of 20 words or more whose whole word sequence (its SHA-256) has an earlier place is a candidate copy, whose
+windows need no counting, as no first start lies in it. It is compared word for word with the first such document before it loses its words, and would keep them
+if they differed.
 
 1. Anchors narrow the search: of the 15 six-word grams of each window the one with the least hash, the leftmost of equals, is its anchor.
    The choice depends on the window's words alone, so equal windows have equal anchors, and windows whose anchor is found
@@ -171,25 +171,24 @@ def keyed(texts: DataFrame) -> DataFrame:
 
 
 def digest_rows(texts: DataFrame) -> DataFrame:
-    """(doc_id, tag, d1, d2, n_words) of each document that has a window."""
-    names = ("doc_id", "tag", "d1", "d2", "n_words")
+    """(doc_id, tag, digest) of each document that has a window: the SHA-256 of its words joined by spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            words = Words(b.column(1))
-            n = np.diff(words.bounds)
-            some = np.flatnonzero(n >= WINDOW)
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (b.column(0).to_numpy(), b.column(2).to_numpy(), *words.digests(words.hashes()), n)], names=names)
+            tokens = [raw.split() for raw in byte_texts(b)]
+            some = [i for i, words in enumerate(tokens) if len(words) >= WINDOW]
+            digests = pa.array([hashlib.sha256(b" ".join(tokens[i])).digest() for i in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(some, pa.int64())) for c in (0, 2)), digests], names=["doc_id", "tag", "digest"])
 
-    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return texts.mapInArrow(run, "doc_id long, tag long, digest binary")
 
 
 def later_copies(texts: DataFrame) -> DataFrame:
-    """(doc_id, tag, first): each document whose whole sequence of words, 20 or more, seems to be that of an earlier one, its first such (doc_id, tag)."""
-    rows, key = digest_rows(texts), ["d1", "d2", "n_words"]
+    """(doc_id, tag, first): each document whose whole sequence of words, 20 or more, is that of an earlier one, its first such (doc_id, tag)."""
+    rows = digest_rows(texts)
     place = F.struct(*KEY)
-    first = rows.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
-    return rows.join(first, key).filter(place > F.col("first")).select(*KEY, "first")
+    first = rows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
+    return rows.join(first, "digest").filter(place > F.col("first")).select(*KEY, "first")
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
@@ -383,9 +382,7 @@ class Shard:
     def removed(self, document: tuple[int, int], tokens: list[bytes], first: tuple[int, int] | None) -> np.ndarray:
         """Mask of the words inside occurrences that are not the first one; all of them in a copy of ``first``."""
         if first is not None:
-            if self.whole[first] != tokens:
-                raise ValueError(f"documents {document[0]} and {first[0]} have equal hashes and different words")
-            return np.ones(len(tokens), bool)
+            return np.full(len(tokens), self.whole[first] == tokens)
         mask = np.zeros(len(tokens), bool)
         if self.anchors:
             if self.automaton is None:
