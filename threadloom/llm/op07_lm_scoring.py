@@ -3,8 +3,9 @@
 P(word | previous) = P(class | previous class) * P(word | class). Every training word has a class by the exchange algorithm, which
 moves a word to the class that most raises the mutual information of adjacent classes. It is seeded on the ``CLUSTERED`` most
 frequent words, one after another, in ``SWEEPS`` sweeps; then all words of the vocabulary choose in ``TURNS`` against the class table of
-the turn before: the head words (the most frequent, ``HEAD`` at most) all at once, then the tail words, then each half of the head, then the tail again; turns that
-do not raise the information end the exchange and are taken back. The table counts every pair of adjacent words but those of two tail words.
+the turn before: the head words (the ``HEAD`` most frequent, equal counts in the order of the words) all at once, then the tail words, then each half of the head, then the
+tail again. A half whose choices do not raise the information of adjacent classes is taken back before the next turn; the other turns stay as they fall. The table
+counts every pair of adjacent words but those of two tail words.
 The end of a text is a class of its own, also serving as the context of a first word. Each class keeps a count of one for words
 that training lacks; such a word has the sum of these over all classes, and what follows it has class unigrams. Transitions count all
 training tokens and are interpolated with class unigrams by a weight that leaving one out makes most likely; emissions have one added to each count, so
@@ -67,15 +68,26 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def split_head(vocabulary: DataFrame, size: int) -> tuple[list[bytes], np.ndarray, DataFrame]:
-    """The words above the least count that at most ``size`` words reach, their counts in descending order, and (word, n) of all others."""
+    """The ``size`` most frequent words, equal counts in the order of the words, their counts in descending order, and (word, n) of all others."""
+    # Counts, of which there are far fewer than words, say where the head ends; the words of its last count are sorted apart.
     level = F.floor(F.log2("n") * 64).cast("int")
-    low, total = 64 * 64, 0
+    above, cut = 0, None
     for r in sorted(vocabulary.groupBy(level.alias("level")).count().collect(), reverse=True):
-        if total + r["count"] > size:
+        if above + r["count"] > size:
+            cut = r["level"]
             break
-        low, total = r["level"], total + r["count"]
-    head = vocabulary.filter(level >= low).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    return [w.encode() for w in head.column("word").to_pylist()], head.column("n").to_numpy().astype(np.int64), vocabulary.filter(level < low)
+        above += r["count"]
+    if cut is None:
+        head = vocabulary.toArrow()
+    else:
+        part = vocabulary.filter(level == cut).orderBy(F.col("n").desc(), "word").limit(size - above)
+        head = vocabulary.filter(level > cut).unionByName(part).toArrow()
+    head = head.sort_by([("n", "descending"), ("word", "ascending")])
+    words, counts = [w.encode() for w in head.column("word").to_pylist()], head.column("n").to_numpy().astype(np.int64)
+    if not words:
+        return words, counts, vocabulary
+    last = (F.col("n") == int(counts[-1])) & (F.col("word") > words[-1].decode())
+    return words, counts, vocabulary.filter((F.col("n") < int(counts[-1])) | last)
 
 
 PACKED = "bucket int, a binary, b binary, c binary"
@@ -623,7 +635,9 @@ def score(encoded: DataFrame, model: Model, pairs: np.ndarray) -> DataFrame:
 
 
 def score_by_classes(docs: DataFrame, is_held_out, head_size: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> DataFrame:
-    """Scores of all documents by a model of those that are not held out."""
+    """Scores of all documents by a model of those that are not held out. Classes are numbers of a byte, of which three are taken."""
+    if classes > 253:
+        raise ValueError("at most 253 classes")
     scratch, known = Scratch(docs.sparkSession), docs.filter(~is_held_out)
     vocabulary = scratch.table("vocabulary", word_counts(known))
     model, classed = train(known, vocabulary, head_size, clustered, classes, scratch)
