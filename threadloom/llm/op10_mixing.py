@@ -54,7 +54,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), slopes: tuple[flo
     row, scratch = F.xxhash64(*docs.columns), Scratch(docs.sparkSession)
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"), row.alias("row"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary")).alias("order_key"), F.monotonically_increasing_id().alias("nth"))
-    order = ("source", "order_key", "size", "row", "nth")
+    order, sized = ("source", "order_key", "size", "row", "nth"), scratch.table("sized", sized)  # once, as the sort reads its input twice
     queue = sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).drop("order_key", "nth")
     queue = scratch.table("queue", queue.withColumn("task", F.shiftright("at", 33)))
     sums = scratch.table("sums", queue.groupBy("source", "task").agg(F.sum("size").alias("task_size")))
