@@ -78,16 +78,6 @@ def error_chain(causes: Column) -> Column:
     return F.array_join(causes, " | caused_by: ")
 
 
-def search_tokens(title: Column, url: Column) -> Column:
-    """Weighted tokens of a title (A) and a URL (B): lower-cased runs of letters and digits with running positions.
-
-    An approximation of a text-search vector: host, path and hyphen compounds are not emitted in addition.
-    """
-    tokens = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    tag = lambda c, weight, offset: F.transform(tokens(c), lambda x, i: F.struct(x.alias("token"), F.lit(weight).alias("weight"), (i + 1 + offset).alias("pos")))
-    return F.concat(tag(title, "A", F.lit(0)), tag(url, "B", F.size(tokens(title))))
-
-
 def run_id(service: Column, pid: Column, millis: Column) -> Column:
     return F.concat_ws("-", service, pid.cast("string"), millis.cast("string"))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.functions import classify, sizing, text
-from threadloom.operators import jsonwalk, render
+from threadloom.functions import classify, search, sizing, text
+from threadloom.operators import jsonwalk, postings, render
 from threadloom.plans.fixtures import frame, oracle
 from threadloom.plans.registry import query
+from threadloom.sources.scratch import Scratch
 
 
 @query(rf"SELECT page_id, CASE WHEN trim(url) <> '' THEN nullif(lower(regexp_extract(url, '{text.DOMAIN_PATTERN}', 1)), '') END AS domain FROM pages")
@@ -50,11 +51,41 @@ def item_url(spark, sf_dir):
     return frame(spark, sf_dir, "events").select("event_id", text.item_url(F.lit("http://host/v0//"), F.col("event_id")).alias("url"))
 
 
-@query(r"""WITH p AS (SELECT page_id, list_filter(regexp_split_to_array(lower(coalesce(html, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(coalesce(url, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS b FROM pages)
-SELECT page_id, unnest(range(1, len(a) + len(b) + 1)) AS pos, unnest(list_concat(a, b)) AS token, unnest(list_concat(list_transform(a, lambda x: 'A'), list_transform(b, lambda x: 'B'))) AS weight FROM p""")
+def _lexed(column: str) -> str:
+    """DuckDB's lexemes of a column."""
+    host, url = search.HOST, f"{search.HOST}{search.PATH}"
+    return f"""flatten(list_transform(list_filter(regexp_extract_all(lower(coalesce({column}, '')), '{search.TOKEN}'), lambda x: NOT regexp_matches(x, '{search.PASSED}')), lambda x:
+      CASE WHEN regexp_full_match(x, '{url}') THEN [x, regexp_extract(x, '^{host}'), regexp_replace(x, '^{host}', '')] WHEN regexp_full_match(x, '{search.COMPOUND}') THEN list_concat([x], string_split(x, '-')) ELSE [x] END))"""
+
+
+LEXED = f"""WITH p AS (SELECT page_id, {_lexed("html")} AS a, {_lexed("url")} AS b FROM pages),
+t AS (SELECT page_id, unnest(a) AS token, 'A' AS weight, generate_subscripts(a, 1) AS pos FROM p UNION ALL SELECT page_id, unnest(b), 'B', generate_subscripts(b, 1) + len(a) FROM p),
+v AS (SELECT page_id, token, weight, CAST(least(pos, 16383) AS BIGINT) AS pos FROM t)
+"""
+
+
+@query(LEXED + "SELECT page_id, token, weight, pos FROM v")
 def search_tokens(spark, sf_dir):
-    rows = frame(spark, sf_dir, "pages").select("page_id", F.col("html").alias("title"), "url")
-    return rows.select("page_id", F.inline(text.search_tokens(F.col("title"), F.col("url")))).withColumn("pos", F.col("pos").cast("long"))
+    rows = frame(spark, sf_dir, "pages").select("page_id", F.inline(search.search_tokens(F.col("html"), F.col("url"))))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(LEXED + """, w AS (SELECT page_id, token, string_agg(pos || weight, ',' ORDER BY pos) AS places FROM v GROUP BY page_id, token)
+SELECT p.page_id, coalesce(string_agg('''' || replace(token, '''', '''''') || ''':' || places, ' ' ORDER BY encode(token)), '') AS vector FROM p LEFT JOIN w USING (page_id) GROUP BY p.page_id""")
+def search_vector(spark, sf_dir):
+    tokens = search.search_tokens(F.col("html"), F.col("url"))
+    return frame(spark, sf_dir, "pages").select("page_id", tokens.alias("tokens")).select("page_id", search.vector_text(F.col("tokens")).alias("vector"))
+
+
+@query(LEXED + """, one AS (SELECT page_id, count(*) AS n FROM v WHERE token = 'the' AND weight = 'A' GROUP BY 1), two AS (SELECT page_id, count(*) AS n FROM v WHERE token = 'that' AND weight = 'A' GROUP BY 1)
+SELECT 'the that' AS asked, page_id AS id, one.n + two.n AS n_places FROM one JOIN two USING (page_id) UNION ALL SELECT 'host', page_id, count(*) FROM v WHERE token = 'www.therst.example.com' GROUP BY page_id""")
+def search_postings(spark, sf_dir):
+    """Titles with two words, and URLs of a host, from the index of all pages."""
+    path = Scratch(spark).path("index")
+    postings.build(frame(spark, sf_dir, "pages").withColumnRenamed("page_id", "id"), path, title="html")
+    asked = {"the that": postings.search(spark, path, ["The", "that"], "A"), "host": postings.search(spark, path, ["www.therst.example.com"])}
+    one, two = (found.select(F.lit(name).alias("asked"), "id", F.col("n_places").cast("long").alias("n_places")) for name, found in asked.items())
+    return one.unionByName(two)
 
 
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id || ',2' WHEN 1 THEN event_id || ',3' WHEN 2 THEN event_id || ',4' WHEN 3 THEN NULL ELSE '' END AS parts FROM events")
