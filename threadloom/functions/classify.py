@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Kinds of errors that are tried again, words that mark a failure as passing, database errors that are tried again, and the class of each kind.
 RETRYABLE_KINDS = ("Network", "RateLimited", "UpstreamUnavailable")
 TRANSIENT_WORDS = ("timeout", "temporar", "deadlock", "connection reset", "broken pipe", "connection")
 RETRYABLE_DB = ("SerializationFailure", "ClosedConnection", "UnableToSendCommand", "RollbackTransaction")

@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INT_MAX, LONG_MAX, POOL_MAX, LATENCY_MS = 2147483647, 9223372036854775807, 64, 50
+INT_MAX, LONG_MAX = 2147483647, 9223372036854775807
+# The largest pool, the assumed latency of a request, the largest exponent of a backoff, and the factors of the jitter's mixing.
+POOL_MAX, LATENCY_MS, LAST_DOUBLING = 64, 50, 20
+JITTER_STEP, JITTER_FACTORS = 0x9E3779B97F4A7C15, (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 
 def unresolved_count(start: Column, end: Column, last: Column) -> Column:
@@ -54,7 +57,7 @@ def durable_advance(next_: Column, last: Column) -> Column:
 
 def backoff_ms(initial: int, cap: int, attempt: Column) -> Column:
     """Doubling delay without jitter: initial * 2^min(attempt - 1, 20), at most the cap."""
-    doubled = F.lit(initial).cast("long") * F.pow(F.lit(2), F.least(F.greatest(attempt - 1, F.lit(0)), F.lit(20))).cast("long")
+    doubled = F.lit(initial).cast("long") * F.pow(F.lit(2), F.least(F.greatest(attempt - 1, F.lit(0)), F.lit(LAST_DOUBLING))).cast("long")
     return F.least(doubled, F.lit(cap).cast("long"))
 
 
@@ -64,8 +67,8 @@ def jitter(cap: int):
     @F.pandas_udf("long")
     def mixed(item_id: pd.Series, attempt: pd.Series) -> pd.Series:
         with np.errstate(over="ignore"):
-            x = item_id.to_numpy(np.int64).view(np.uint64) ^ (attempt.to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = item_id.to_numpy(np.int64).view(np.uint64) ^ (attempt.to_numpy(np.int64).view(np.uint64) * np.uint64(JITTER_STEP))
+            for factor in JITTER_FACTORS:
                 x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
             x ^= x >> np.uint64(33)
         return pd.Series((x % np.uint64(cap + 1)).astype(np.int64))
@@ -73,6 +76,13 @@ def jitter(cap: int):
     return mixed
 
 
+def retry_delay_ms(initial: int, cap: int, jitter_cap: int, item_id: Column, attempt: Column) -> Column:
+    """How long an item waits after its n-th attempt: the doubling delay and its jitter; nothing if both are switched off."""
+    if not initial and not jitter_cap:
+        return F.lit(0).cast("long")
+    return backoff_ms(initial, cap, attempt) + jitter(jitter_cap)(item_id.cast("long"), attempt.cast("long"))
+
+
 def ceil_div(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("long")
 

@@ -9,7 +9,8 @@ an equi-join of unique keys. The walk is right if each comment is entered by the
 is listed again, until nothing changes: all that precedes the first wrong entry is right, and each round mends that entry. A new parent is
 entered before its child in the walk that chose it, so attachments never form a cycle. Where every comment has one parent that can reach it, one list is enough.
 
-Comments that no edge attaches hang on the story behind its own children, by id, as edges of last priority; so extra roots need no walk of their own.
+Comments that no edge attaches hang on the story behind its own children, by id, as edges of last priority; so extra roots need no walk of their own. The first
+list has such edges only for comments without a usable one: below the parents that it begins with, ids grow, so no other comment could come before its extra root.
 """
 
 from __future__ import annotations
@@ -96,16 +97,18 @@ def children(classified: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 EXTRA = 2  # priority of the edges that hang every comment on its story
+USABLE = "parent = story_id OR parent < child"  # edges to begin with, which form no cycle
 
 
-def adjacency(lists: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+def adjacency(lists: DataFrame, own: DataFrame, scratch: Scratch, every: bool = True) -> DataFrame:
     """(at, story_id, parent, child, extra, last, head): all edges, numbered in the order of parents and of their children.
 
     ``last``: no edge of the parent follows; the next one's number is at + 1. ``head``: the number of the child's own first edge, null without any.
+    ``every`` comment that is no child of its story has an extra edge, or only those whose other edges cannot be begun with.
     """
     extra = own.filter("visible").select("story_id", F.col("story_id").alias("parent"), F.col("id").alias("child"), F.lit(EXTRA).alias("priority"), F.lit(LAST).alias("ord"))
     # A story's own child has an edge to it already, which comes before.
-    tops = lists.filter("parent = story_id").select("story_id", "child")
+    tops = lists.filter("parent = story_id" if every else USABLE).select("story_id", "child")
     edges = lists.unionByName(extra.join(tops, ["story_id", "child"], "left_anti"))
     placed = scratch.table("placed", numbered(edges, ["parent", "priority", "ord", "child"], "at", scratch, "sorted"))
     after = placed.select((F.col("at") - 1).alias("at"), F.col("parent").alias("_next"))
@@ -117,8 +120,7 @@ def adjacency(lists: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
 
 def attached_first(edges: DataFrame) -> DataFrame:
     """(child, at): an attachment to begin with, free of cycles: to the story, or to the comment of the smallest id if that is below the child's, as parents' are."""
-    usable = edges.filter((F.col("parent") == F.col("story_id")) | (F.col("parent") < F.col("child")))
-    return usable.groupBy("child").agg(F.min_by("at", F.struct("extra", "parent")).alias("at"))
+    return edges.filter(USABLE).groupBy("child").agg(F.min_by("at", F.struct("extra", "parent")).alias("at"))
 
 
 SUMS = ("n", "entered", "left", "extras")
@@ -153,18 +155,23 @@ def listed(edges: DataFrame, chosen: DataFrame, rounds: int, scratch: Scratch, n
 
 def walked(lists: DataFrame, own: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(tree, cycles). Tree: story_id, id, parent (null for an extra root), depth, orphan, pos. Cycles: story_id, parent, child of edges to a comment on the walk's path."""
-    edges = adjacency(lists, own, scratch)
-    longest = edges.groupBy("story_id").agg(F.sum(1 + F.col("head").isNotNull().cast("int")).alias("entries")).agg(F.max("entries")).first()[0] or 0
-    rounds = math.ceil(math.log2(longest)) if longest else 0
-    chosen, k = scratch.table("chosen0", attached_first(edges)), 0
+    own = own.filter("visible").select("story_id", "id", "visible")
+    edges, k = adjacency(lists, own, scratch, every=False), 0
+    chosen, every = scratch.table("chosen", attached_first(edges)), False
     while True:
-        times = listed(edges, chosen, rounds, scratch, f"list{k}-")
+        longest = edges.groupBy("story_id").agg(F.sum(1 + F.col("head").isNotNull().cast("int")).alias("entries")).agg(F.max("entries")).first()[0] or 1
+        times = listed(edges, chosen, math.ceil(math.log2(longest)), scratch, f"list{k}-")
         timed = edges.join(times, F.col("at") * 2 == F.col("entry"), "left").select(edges["*"], *(F.coalesce(c, F.lit(0)).alias(c) for c in SUMS))
         timed = scratch.table(f"timed{k}", timed)
-        first = scratch.table(f"chosen{k + 1}", timed.groupBy("child").agg(F.min_by("at", "n").alias("at")))
+        first = scratch.table(f"chosen{k}", timed.groupBy("child").agg(F.min_by("at", "n").alias("at")))
         if first.join(chosen, ["child", "at"], "left_anti").isEmpty():
             break
-        chosen, k = first, k + 1
+        if every:
+            chosen = first
+        else:
+            edges, every = adjacency(lists, own, scratch), True
+            chosen = scratch.table("chosen", attached_first(edges))
+        k += 1
     tree = timed.join(chosen.select("at"), "at", "left_semi")
     orphan = (F.col("extras") > 0) | F.col("extra")
     rows = tree.select("story_id", F.col("child").alias("id"), F.when(~F.col("extra"), F.col("parent")).alias("parent"), (F.col("entered") - F.col("left") + 1).cast("int").alias("depth"), orphan.alias("orphan"), F.col("entered").cast("int").alias("pos"))

@@ -157,6 +157,14 @@ def jitter(spark, sf_dir):
     return frame(spark, sf_dir, "events").select("event_id", sizing.jitter(250)(F.col("event_id"), F.col("event_id") % 6 + 1).alias("delay"))
 
 
+@query(oracle(f"""WITH a AS (SELECT segment_id, item_id, attempts, xor(item_id::UBIGINT, CAST((greatest(attempts, 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)) AS x FROM fx_exceptions),
+b AS (SELECT * EXCLUDE (x), {_mix('x', '18397679294719823053')} AS x FROM a), c AS (SELECT * EXCLUDE (x), {_mix('x', '14181476777654086739')} AS x FROM b)
+SELECT segment_id, item_id, least(250 * CAST(pow(2, greatest(attempts, 1) - 1) AS BIGINT), 1500) + CAST(xor(x, x // 8589934592) % 101 AS BIGINT) AS delay FROM c""", "fx_exceptions"))
+def retry_delay(spark, sf_dir):
+    delay = sizing.retry_delay_ms(250, 1500, 100, F.col("item_id"), F.greatest("attempts", F.lit(1)))
+    return frame(spark, sf_dir, "fx_exceptions").select("segment_id", "item_id", delay.alias("delay"))
+
+
 @query(oracle("SELECT segment_id, CAST(least(greatest(end_id - coalesce(scan_cursor_id + 1, start_id) + 1, 0), 2147483647) AS INT) AS n FROM fx_segments", "fx_segments"))
 def unresolved_count(spark, sf_dir):
     return frame(spark, sf_dir, "fx_segments").select("segment_id", sizing.unresolved_count(F.col("start_id"), F.col("end_id"), F.col("scan_cursor_id")).alias("n"))

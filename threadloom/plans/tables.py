@@ -28,7 +28,7 @@ def decode_items(spark, sf_dir):
 
 @query(oracle("SELECT event_id AS item, event_id + o + 1 AS kid, CAST(o AS BIGINT) AS display_order FROM fx_json, (SELECT unnest([0, 1]) AS o) WHERE event_id % 17 <> 3", "fx_json"))
 def explode_kids(spark, sf_dir):
-    return item_source.kid_rows(item_source.decode_items(frame(spark, sf_dir, "fx_json")))
+    return item_source.kid_rows(item_source.decode_items(frame(spark, sf_dir, "fx_json"), only=("id", "kids")))
 
 
 @query("SELECT max(event_id) AS max_id FROM events")

@@ -31,8 +31,11 @@ def variant_bool(value: Column, field: str, depth: int = 4) -> Column:
     return out
 
 
-def decode_items(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """Adds ``item`` (struct, null if the payload is rejected) and ``failure_class``.
+FLAGS = ("deleted", "dead")
+
+
+def decode_items(raw: DataFrame, payload: str = "payload", only: tuple[str, ...] = (*FLAGS, *PAYLOAD.names)) -> DataFrame:
+    """Adds ``item`` (struct of the fields in ``only``, null if the payload is rejected) and ``failure_class``. The tolerant flags cost a second parse, where they are asked for.
 
     Unknown fields are dropped and absent ones null. A field of the wrong type rejects the whole item, as does a missing id; unparseable
     text is of class decode. A payload of JSON null is a missing item: neither item nor failure.
@@ -42,7 +45,7 @@ def decode_items(raw: DataFrame, payload: str = "payload") -> DataFrame:
     missing = F.trim(F.col(payload)) == "null"
     rows = raw.withColumns({"_p": parsed, "_v": F.try_parse_json(payload)})
     bad = F.col("_p").isNull() | F.col("_p._bad").isNotNull() | F.col("_p.id").isNull()
-    fields = [variant_bool(F.col("_v"), n).alias(n) for n in ("deleted", "dead")] + [F.col(f"_p.{n}").alias(n) for n in PAYLOAD.names]
+    fields = [(variant_bool(F.col("_v"), n) if n in FLAGS else F.col(f"_p.{n}")).alias(n) for n in only]
     rows = rows.withColumn("item", F.when(~bad & ~missing, F.struct(*fields)))
     return rows.withColumn("failure_class", F.when(bad & ~missing, "decode")).drop("_p", "_v")
 
