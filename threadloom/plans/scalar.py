@@ -34,7 +34,10 @@ def escape_html(spark, sf_dir):
     return frame(spark, sf_dir, "pages").select("page_id", F.md5(text.escape_html(F.col("html")).cast("binary")).alias("escaped"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'contains NUL byte,contains control char U+0000 at char index 3' WHEN 1 THEN 'contains control char U+001B at char index 1' ELSE '' END AS issues FROM documents""")
+@query(r"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'abc' || chr(0) || chr(7) WHEN 1 THEN 'a' || chr(27) || 'b' WHEN 2 THEN 'a' || chr(9) || 'b' || chr(10) || chr(13) ELSE text END AS v FROM documents),
+f AS (SELECT doc_id, v, regexp_extract(v, '[\x00-\x08\x0b\x0c\x0e-\x1f]') AS c FROM d)
+SELECT doc_id, concat_ws(',', CASE WHEN contains(v, chr(0)) THEN 'contains NUL byte' END,
+  CASE WHEN c <> '' THEN 'contains control char U+' || format('{:04X}', unicode(c)) || ' at char index ' || (strpos(v, c) - 1) END) AS issues FROM f""")
 def string_issues(spark, sf_dir):
     kind = F.col("doc_id") % 4
     value = F.when(kind == 0, F.lit("abc\0\x07")).when(kind == 1, F.lit("a\x1bb")).when(kind == 2, F.lit("a\tb\n\r")).otherwise(F.col("text"))
@@ -88,7 +91,8 @@ def search_postings(spark, sf_dir):
     return one.unionByName(two)
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id || ',2' WHEN 1 THEN event_id || ',3' WHEN 2 THEN event_id || ',4' WHEN 3 THEN NULL ELSE '' END AS parts FROM events")
+@query("""WITH r AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '[' || event_id || ', 2]' WHEN 1 THEN '{' || event_id || ',3}' WHEN 2 THEN event_id || ' , 4' WHEN 3 THEN '  ' ELSE '{}' END AS raw FROM events)
+SELECT event_id, CASE WHEN trim(raw) <> '' THEN array_to_string(list_transform(list_filter(string_split(translate(raw, '[]{}', ''), ','), lambda x: trim(x) <> ''), lambda x: CAST(CAST(trim(x) AS BIGINT) AS VARCHAR)), ',') END AS parts FROM r""")
 def parse_parts(spark, sf_dir):
     n = F.col("event_id").cast("string")
     kind = F.col("event_id") % 5
@@ -125,14 +129,23 @@ def _named(names):
     return F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 4 THEN 'fatal' ELSE 'retryable' END AS outcome FROM events")
+def _listed(names) -> str:
+    """The same for DuckDB."""
+    return f"([{', '.join(repr(x) for x in names)}])[event_id % {len(names)} + 1]"
+
+
+DB_ERRORS = (*classify.RETRYABLE_DB, "UniqueViolation")
+MESSAGES = ("Statement TIMEOUT", "Broken pipe (os error 32)", "server closed the Connection", "syntax error", "temporarily out of memory", "connect failed")
+
+
+@query(f"""SELECT event_id, CASE WHEN {_listed(DB_ERRORS)} IN ('SerializationFailure', 'ClosedConnection', 'UnableToSendCommand', 'RollbackTransaction') THEN 'retryable' ELSE 'fatal' END AS outcome FROM events""")
 def classify_persist_error(spark, sf_dir):
-    return frame(spark, sf_dir, "events").select("event_id", classify.persist_outcome(_named((*classify.RETRYABLE_DB, "UniqueViolation"))).alias("outcome"))
+    return frame(spark, sf_dir, "events").select("event_id", classify.persist_outcome(_named(DB_ERRORS)).alias("outcome"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'permanent' ELSE 'transient' END AS outcome FROM events")
+@query(f"""SELECT event_id, CASE WHEN regexp_matches(lower({_listed(MESSAGES)}), 'timeout|temporar|deadlock|connection reset|broken pipe|connection') THEN 'transient' ELSE 'permanent' END AS outcome FROM events""")
 def classify_backend_error(spark, sf_dir):
-    return frame(spark, sf_dir, "events").select("event_id", classify.backend_outcome(_named(("Statement TIMEOUT", "Broken pipe (os error 32)", "server closed the Connection", "syntax error"))).alias("outcome"))
+    return frame(spark, sf_dir, "events").select("event_id", classify.backend_outcome(_named(MESSAGES)).alias("outcome"))
 
 
 @query("SELECT event_id, CAST([404, 404, 503, 500, 503, 200][event_id % 6 + 1] AS INT) AS status FROM events")

@@ -10,7 +10,17 @@ from threadloom.plans.registry import query
 from threadloom.sources import items as item_source
 from threadloom.sources.scratch import Scratch
 
-TRUTH = """CASE event_id % 12 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN TRUE WHEN 3 THEN FALSE WHEN 4 THEN TRUE WHEN 5 THEN FALSE WHEN 7 THEN TRUE WHEN 10 THEN FALSE END"""
+def _truth(path: str, depth: int = 4) -> str:
+    """DuckDB's reading of a tolerant boolean in the payload."""
+    word = f"lower(trim(payload ->> '{path}'))"
+    inner = f"WHEN 'ARRAY' THEN {_truth(path + '[0]', depth - 1)}" if depth else ""
+    return f"""(CASE json_type(payload, '{path}') WHEN 'BOOLEAN' THEN payload ->> '{path}' = 'true' WHEN 'UBIGINT' THEN CAST(payload ->> '{path}' AS DOUBLE) <> 0 WHEN 'BIGINT' THEN CAST(payload ->> '{path}' AS DOUBLE) <> 0
+      WHEN 'DOUBLE' THEN CAST(payload ->> '{path}' AS DOUBLE) <> 0 WHEN 'VARCHAR' THEN CASE WHEN {word} IN ('true', '1', 'yes') THEN TRUE WHEN {word} IN ('false', '0', 'no') THEN FALSE END {inner} END)"""
+
+
+TRUTH = _truth("$.deleted")
+#: Whether an item's score is a number or absent, without which it is rejected.
+SOUND = "coalesce(json_type(payload, '$.score'), 'NULL') IN ('UBIGINT', 'BIGINT', 'NULL')"
 LAST = "row_number() OVER (PARTITION BY item, kid ORDER BY shipped DESC, display_order DESC, price DESC) = 1"
 ORDER = ["shipped", "display_order", "price"]
 
@@ -20,13 +30,14 @@ def tolerant_bool(spark, sf_dir):
     return frame(spark, sf_dir, "fx_json").select("event_id", item_source.tolerant_bool(F.col("payload"), "deleted").alias("deleted"))
 
 
-@query(oracle("SELECT event_id, CASE WHEN event_id % 17 = 3 THEN NULL ELSE event_id END AS id, CASE WHEN event_id % 17 <> 3 THEN " + TRUTH + """ END AS deleted,
-  CASE WHEN event_id % 17 <> 3 THEN event_id % 100 END AS score, CASE WHEN event_id % 17 = 3 THEN 'decode' END AS failure_class FROM fx_json""", "fx_json"))
+@query(oracle(f"""SELECT event_id, CASE WHEN {SOUND} THEN CAST(payload ->> '$.id' AS BIGINT) END AS id, CASE WHEN {SOUND} THEN {TRUTH} END AS deleted,
+  CASE WHEN {SOUND} THEN CAST(payload ->> '$.score' AS BIGINT) END AS score, CASE WHEN NOT {SOUND} THEN 'decode' END AS failure_class FROM fx_json""", "fx_json"))
 def decode_items(spark, sf_dir):
     return item_source.decode_items(frame(spark, sf_dir, "fx_json")).select("event_id", "item.id", "item.deleted", "item.score", "failure_class")
 
 
-@query(oracle("SELECT event_id AS item, event_id + o + 1 AS kid, CAST(o AS BIGINT) AS display_order FROM fx_json, (SELECT unnest([0, 1]) AS o) WHERE event_id % 17 <> 3", "fx_json"))
+@query(oracle(f"""WITH k AS (SELECT CAST(payload ->> '$.id' AS BIGINT) AS item, CAST(json_extract(payload, '$.kids') AS BIGINT[]) AS kids FROM fx_json WHERE {SOUND})
+SELECT item, unnest(kids) AS kid, CAST(generate_subscripts(kids, 1) - 1 AS BIGINT) AS display_order FROM k""", "fx_json"))
 def explode_kids(spark, sf_dir):
     return item_source.kid_rows(item_source.decode_items(frame(spark, sf_dir, "fx_json"), only=("id", "kids")))
 
