@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType, VariantType
 
 from threadloom.functions import text
 from threadloom.sources.schemas import PAYLOAD
@@ -14,12 +14,12 @@ TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes"), ("false", "0", "no")
 
 def tolerant_bool(payload: Column, field: str, depth: int = 4) -> Column:
     """A boolean that upstream sends in many shapes: itself, a number (not 0), a word, or an array's first element."""
-    return variant_bool(F.try_parse_json(payload), field, depth)
+    return variant_bool(F.try_parse_json(payload), f"$.{field}", depth)
 
 
-def variant_bool(value: Column, field: str, depth: int = 4) -> Column:
-    """The same of a parsed payload. A column is parsed once for all fields; an expression is parsed at each use."""
-    at, out = f"$.{field}", F.lit(None).cast("boolean")
+def variant_bool(value: Column, at: str = "$", depth: int = 4) -> Column:
+    """The same of a parsed value at a path. A column is parsed once for all uses; an expression is parsed at each."""
+    out = F.lit(None).cast("boolean")
     for k in reversed(range(depth + 1)):
         here = F.try_variant_get(value, at + "[0]" * k, "variant")
         kind = F.schema_of_variant(here)
@@ -35,19 +35,20 @@ FLAGS = ("deleted", "dead")
 
 
 def decode_items(raw: DataFrame, payload: str = "payload", only: tuple[str, ...] = (*FLAGS, *PAYLOAD.names)) -> DataFrame:
-    """Adds ``item`` (struct of the fields in ``only``, null if the payload is rejected) and ``failure_class``. The tolerant flags cost a second parse, where they are asked for.
+    """Adds ``item`` (struct of the fields in ``only``, null if the payload is rejected) and ``failure_class``.
 
     Unknown fields are dropped and absent ones null. A field of the wrong type rejects the whole item, as does a missing id; unparseable
     text is of class decode. A payload of JSON null is a missing item: neither item nor failure.
     """
-    schema = StructType([*PAYLOAD.fields, StructField("_bad", StringType())])
+    flags = [StructField(n, VariantType()) for n in FLAGS if n in only]  # parsed in the same pass, whatever their shape
+    schema = StructType([*PAYLOAD.fields, *flags, StructField("_bad", StringType())])
     parsed = F.from_json(F.col(payload), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     missing = F.trim(F.col(payload)) == "null"
-    rows = raw.withColumns({"_p": parsed, "_v": F.try_parse_json(payload)})
+    rows = raw.withColumn("_p", parsed)
     bad = F.col("_p").isNull() | F.col("_p._bad").isNotNull() | F.col("_p.id").isNull()
-    fields = [(variant_bool(F.col("_v"), n) if n in FLAGS else F.col(f"_p.{n}")).alias(n) for n in only]
+    fields = [(variant_bool(F.col(f"_p.{n}")) if n in FLAGS else F.col(f"_p.{n}")).alias(n) for n in only]
     rows = rows.withColumn("item", F.when(~bad & ~missing, F.struct(*fields)))
-    return rows.withColumn("failure_class", F.when(bad & ~missing, "decode")).drop("_p", "_v")
+    return rows.withColumn("failure_class", F.when(bad & ~missing, "decode")).drop("_p")
 
 
 def item_rows(decoded: DataFrame) -> DataFrame:
