@@ -110,7 +110,7 @@ def adjacency(lists: DataFrame, own: DataFrame, scratch: Scratch, every: bool =
     # A story's own child has an edge to it already, which comes before.
     tops = lists.filter("parent = story_id" if every else USABLE).select("story_id", "child")
     edges = lists.unionByName(extra.join(tops, ["story_id", "child"], "left_anti"))
-    placed = scratch.table("placed", numbered(edges, ["parent", "priority", "ord", "child"], "at", scratch, "sorted"))
+    placed = numbered(edges, ["parent", "priority", "ord", "child"], "at", scratch, "sorted")
     after = placed.select((F.col("at") - 1).alias("at"), F.col("parent").alias("_next"))
     heads = placed.groupBy(F.col("parent").alias("child")).agg(F.min("at").alias("head"))
     known = placed.join(after, "at", "left").join(heads, "child", "left")
