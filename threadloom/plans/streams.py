@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.plans.fixtures import frame, oracle
+from threadloom.plans.fixtures import frame
 from threadloom.plans.registry import query
 from threadloom.sources import events, item_source
 from threadloom.sources import items as decoding
@@ -47,7 +47,7 @@ def _updates(spark, sf_dir, scratch):
     rows = frame(spark, sf_dir, "events").selectExpr("event_id AS id", "CASE WHEN event_id % 10 = 3 THEN 'keep-alive' ELSE 'put' END AS event", UPDATE + " AS data")
     path = scratch.path("recorded")
     events.record(rows.repartition(2, "id"), path)
-    size = sum(info.size for files, root in [events.opened(path)] for info in files.get_file_info(events.pyarrow.fs.FileSelector(root)))
+    size = events.recorded_bytes(path)
     return updates.changed_ids(events.events(spark, path, max_bytes=size // 4 + 1, task_bytes=size // 16 + 1), "data")
 
 

@@ -10,6 +10,7 @@ from threadloom.plans.registry import query
 from threadloom.sources import items as item_source
 from threadloom.sources.scratch import Scratch
 
+
 def _truth(path: str, depth: int = 4) -> str:
     """DuckDB's reading of a tolerant boolean in the payload."""
     word = f"lower(trim(payload ->> '{path}'))"

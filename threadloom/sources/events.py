@@ -26,6 +26,17 @@ def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path) if ":/" in path else (pyarrow.fs.LocalFileSystem(), path)
 
 
+def recorded(path: str) -> list[pyarrow.fs.FileInfo]:
+    """The folder's files of events by name; hidden files and marks of completed jobs are none."""
+    files, root = opened(path)
+    found = files.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
+    return sorted((x for x in found if x.is_file and not x.base_name.startswith(("_", "."))), key=lambda x: x.base_name)
+
+
+def recorded_bytes(path: str) -> int:
+    return sum(info.size for info in recorded(path))
+
+
 @dataclass
 class Span(InputPartition):
     path: str
@@ -101,12 +112,10 @@ class EventReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """What has been read and the next events, file by file, within the bound. Only an event that is longer than the bound by itself exceeds it."""
-        files, path = opened(self.path)
-        left, offset = self.max_bytes, dict(self.reached)
-        found = files.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True))
-        for info in sorted(found, key=lambda x: x.base_name):
+        files, left, offset = opened(self.path)[0], self.max_bytes, dict(self.reached)
+        for info in recorded(self.path):
             start = offset.get(info.base_name, 0)
-            if info.is_file and not info.base_name.startswith(("_", ".")) and info.size > start and left > 0:
+            if info.size > start and left > 0:
                 end = self._last_end(files, info.path, start, min(info.size, start + left), info.size if left == self.max_bytes else 0)
                 if end > start:
                     offset[info.base_name] = end

@@ -18,12 +18,11 @@ from urllib.error import HTTPError
 from urllib.request import urlopen
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from threadloom.sources.events import opened
+from threadloom.sources.events import opened, recorded
 
 SCHEMA = "id long, status string, payload string, http_status int, error string"
 ROW = pa.schema([("id", pa.int64()), ("status", pa.string()), ("payload", pa.string()), ("http_status", pa.int32()), ("error", pa.string())])
@@ -59,8 +58,7 @@ def from_service(url: str, seconds: float, ids: Sequence[int]) -> Iterator[tuple
 
 def from_shards(path: str, width: int, ids: Sequence[int]) -> Iterator[tuple]:
     """Ids in order; of lines with the same id the last one read counts, files being read by name. One shard is held at a time, and of it only what is asked for."""
-    files, root = opened(path)
-    at = 0
+    files, at = opened(path)[0], 0
     while at < len(ids):
         shard = ids[at] // width
         own = []
@@ -68,13 +66,12 @@ def from_shards(path: str, width: int, ids: Sequence[int]) -> Iterator[tuple]:
             own.append(ids[at])
             at += 1
         wanted, held = set(own), {}
-        for info in sorted(files.get_file_info(pyarrow.fs.FileSelector(f"{root}/shard={shard}", allow_not_found=True)), key=lambda x: x.base_name):
-            if info.is_file and not info.base_name.startswith(("_", ".")):
-                with files.open_input_stream(info.path) as file:
-                    for line in io.BufferedReader(file):
-                        number, _, payload = line.decode("utf-8", "replace").rstrip("\n").partition("\t")
-                        if int(number) in wanted:
-                            held[int(number)] = payload
+        for info in recorded(f"{path}/shard={shard}"):
+            with files.open_input_stream(info.path) as file:
+                for line in io.BufferedReader(file):
+                    number, _, payload = line.decode("utf-8", "replace").rstrip("\n").partition("\t")
+                    if int(number) in wanted:
+                        held[int(number)] = payload
         for item in own:
             yield (item, *(answered(held[item]) if item in held else ("missing", None, None, None)))
 
