@@ -89,6 +89,7 @@ def test_conversations_equal_every_repair(spark, tmp_path):
         role = lambda k: rng.choice(["user", "assistant", "system", "tool", None]) if rng.random() < 0.4 else ("user", "assistant")[k % 2]
         conversations[conv] = [(t, role(k), rng.choice(["Yes.", "No!", "cut", " \n", None, "Why? \t", "é…", "Ok.", "Fine."]) if rng.random() < 0.5 else f"Turn {k}.") for k, t in enumerate(turns)]
     conversations[None] = [(None, "user", "Hello."), (3, "assistant", "Hi.")]
+    conversations[500] = [(1, r, t) for r in ("user", "assistant") for t in ("B.", "a.", "Ü!", "z" * 80 + ".")]  # rows of one turn: by role, then by text
     assert run_op11(spark, tmp_path, conversations) == expected_reports(conversations)
 
 

@@ -1,6 +1,6 @@
 """Operator 11: conversation structure repair by A* on the edit lattice.
 
-A conversation is its rows by turn (null turns first; rows of one turn by role, then by two hashes of the text). A row's first fault counts: blank (nothing but ASCII
+A conversation is its rows by turn (null turns first; rows of one turn by role, then by the text's first ``OPENING`` characters, then by two hashes of it). A row's first fault counts: blank (nothing but ASCII
 white space), duplicate (a row before it has its role and text), truncated (its last character but white space is none of ``.!?``).
 
 The lattice's nodes are (rows consumed, state of the grammar ``(s?(ua)+)?`` over role initials). Edges are edits: Keep 0, Rerole to user
@@ -10,7 +10,7 @@ deletion, and 2 for each truncated row, which costs at least its deletion. It ne
 An audit fixes the state and the cost, and of two audits that reach a node at equal cost neither begins the other, so
 the first visit of a node has its cheapest, ASCII-least audit.
 
-Scale: rows without their texts are range-sorted by their place, so a conversation with a third of all rows lies in many tasks. Their place is cut
+Scale: rows without their texts (but for the openings, which order ties) are range-sorted by their place, so a conversation with a third of all rows lies in many tasks. Their place is cut
 into blocks of ``BLOCK`` rows; each (conversation, block) is searched by itself, from each of the four states, for the best way to each of the four. The ways of a
 conversation's blocks are then put together in order, one string of edits a block; what goes to one task is of the size of the audit, which the result holds in
 one cell. Duplicates are found as rows that are not the first of their (conversation, role, text), by an aggregate and a join on the place, which is unique. Texts move once,
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import Scratch, arrow_rows
 
-BLOCK = 512
+BLOCK, OPENING = 512, 64
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5
 SPACES = " \t\n\x0b\f\r"
 #: States of the grammar: nothing yet, after the system turn, after a user's, after an assistant's. The role that each lets follow, and its state.
@@ -64,11 +64,11 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 
 def ordered_keys(rows: DataFrame) -> DataFrame:
-    """Adds the two hashes that order rows of one turn and role, and tell texts apart."""
-    return rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), F.col("text"))})
+    """Adds what orders rows of one turn and role: the text's opening, and two hashes, which also tell texts apart."""
+    return rows.withColumns({"opening": F.substring("text", 1, OPENING), "h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), F.col("text"))})
 
 
-PLACE = ("conv_id", "turn", "role", "h1", "h2")
+PLACE = ("conv_id", "turn", "role", "opening", "h1", "h2")
 
 
 def lattice_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -218,10 +218,10 @@ def _edited(rows: Iterator[tuple]) -> Iterator[tuple[str, str]]:
 
 def repaired(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """(conv_id, place, role, text): the repaired rows, each partition in the order of its conversations and their places."""
-    nothing = {"turn": "long", "role": "string", "text": "string", "h1": "long", "h2": "long"}
+    nothing = {"turn": "long", "role": "string", "text": "string", "opening": "string", "h1": "long", "h2": "long"}
     heads = plan.select("conv_id", F.lit(0).alias("kind"), "audit", *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
     bodies = ordered_keys(rows).select("conv_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("audit"), *nothing)
-    ordered = heads.unionByName(bodies).repartition("conv_id").sortWithinPartitions("conv_id", "kind", "turn", "role", "h1", "h2").select("conv_id", "audit", "role", "text")
+    ordered = heads.unionByName(bodies).repartition("conv_id").sortWithinPartitions("conv_id", "kind", *PLACE[1:]).select("conv_id", "audit", "role", "text")
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = ((conv, place, *row) for conv, rows in groupby(_rows(batches), key=lambda row: row[0]) for place, row in enumerate(_edited(rows)))
