@@ -38,7 +38,13 @@ def search_tokens(title: Column, url: Column) -> Column:
 
 
 def vector_text(tokens: Column) -> Column:
-    """The vector as text: lexemes in order, quoted, each with its positions and weights, as in ``'a':1A,3B 'b':2A``."""
-    words = F.array_sort(F.array_distinct(F.transform(tokens, lambda x: x["token"])))
-    places = lambda w: F.array_join(F.transform(F.array_distinct(F.filter(tokens, lambda x: x["token"] == w)), lambda x: F.concat(x["pos"].cast("string"), x["weight"])), ",")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.lit("'"), F.replace(w, F.lit("'"), F.lit("''")), F.lit("':"), places(w))), " ")
+    """The vector as text: lexemes in order, quoted, each with its positions and weights, as in ``'a':1A,3B 'b':2A``.
+
+    Every token has its place in it: those past ``LAST_POSITION`` share that position and are each listed. One sort, so the work grows with the tokens, not with their square.
+    """
+    opened = lambda x: F.concat(F.lit("'"), F.replace(x["token"], F.lit("'"), F.lit("''")), F.lit("':"))
+    head = lambda s, x, i: F.when(i == 0, opened(x)).when(F.get(s, i - 1)["token"] != x["token"], F.concat(F.lit(" "), opened(x))).otherwise(",")
+    text = lambda s: F.array_join(F.transform(s, lambda x, i: F.concat(head(s, x, i), x["pos"].cast("string"), x["weight"])), "")
+    in_order = F.array_sort(F.transform(tokens, lambda x: F.struct(x["token"].alias("token"), x["pos"].alias("pos"), x["weight"].alias("weight"))))
+    # The sorted array is bound to a name; written twice, it would be sorted again for each token.
+    return F.element_at(F.transform(F.array(in_order), text), 1)
