@@ -182,6 +182,14 @@ def test_one_segment_of_a_million_ids_is_many_tasks(spark):
     assert tuple(got) == (1, "fatal", durable, 1_000_000 - durable, 777_777, 777_775, 1)
 
 
+def test_ids_without_a_row_are_counted_and_not_listed(spark):
+    """Two thousand million ids, of which three have a row: listing them would not end."""
+    work = spark.createDataFrame([(1, 1, 2_000_000_000, None), (2, 5, 30, 9)], "segment_id long, start_id long, end_id long, scan_cursor_id long")
+    items = spark.createDataFrame([(12, "found"), (1_500_000_000, "found"), (1_500_000_001, "fatal")], "id long, result string")
+    got = sorted(map(tuple, attempts.segment_attempts(work, items, 1).collect()))
+    assert got == [(1, "fatal", 1_500_000_000, 500_000_000, 1_500_000_001, 2, 1_499_999_998), (2, "completed", 30, 0, None, 1, 20)]
+
+
 def test_malformed_and_finished_segments(spark):
     assert attempt(spark, 10, 5, [])["outcome"] == "fatal"
     assert attempt(spark, 1, 5, [(1, "found")], cursor=5) | {"failed_id": None} == {"segment_id": 1, "outcome": "completed", "last_durable_id": 5, "unresolved": 0, "failed_id": None, "n_found": 0, "n_missing": 0}

@@ -52,38 +52,38 @@ def segment_attempts(work: DataFrame, items: DataFrame, batch_size: int) -> Data
     durable id moves to each id at which a full batch is flushed and to each missing id; a failure leaves it where it was, and a
     clean end moves it to end_id. A batch restarts after a flush, so its fill is the number of found ids since the last missing one, modulo the size.
 
-    The walk is a fold of stretches of ``STRETCH`` ids: each gives its first failure, whether an id is missing, and how many were found since. Stretches in order say
-    how full the batch is where the next one begins, so a segment of any width is many tasks, and only one row a stretch is ordered over all of it.
+    Ids without a row are counted, not listed: a segment is cut into pieces as wide as itself, to a power of two, at most ``STRETCH``, and items are dealt to pieces of the widths
+    in use (fifteen at most). A piece gives its first failure, its found ids before that, and its last missing one. The last durable id follows from the last missing id before a segment's first
+    failure, since all ids from there to the failure, or the end, are found. So a segment of any width is many tasks, and one row a piece is brought together by segment. Ids of items are unique.
     """
-    size, key = max(batch_size, 1), ["segment_id", "_stretch"]
+    size, whole = max(batch_size, 1), ["segment_id", "start_id", "end_id", "scan_cursor_id"]
     first = F.when(F.col("scan_cursor_id").isNull() | (F.col("scan_cursor_id") < F.col("start_id")), F.col("start_id")).otherwise(F.col("scan_cursor_id") + 1)
-    of = lambda c: F.floor(F.col(c) / STRETCH).cast("long")
-    cut = work.withColumn("next_id", first).filter("next_id <= end_id").select("segment_id", "next_id", "end_id", F.explode(F.sequence(of("next_id"), of("end_id"))).alias("_stretch"))
-    low = F.greatest("next_id", F.col("_stretch") * STRETCH)
-    high = F.least("end_id", (F.col("_stretch") + 1) * STRETCH - 1)
-    ids = cut.repartition(*key).select(*key, F.explode(F.sequence(low, high)).alias("id"))
-    walked = ids.join(items, "id", "left").withColumn("result", F.coalesce("result", F.lit("missing")))
-    order = Window.partitionBy(*key).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    started = work.select(*whole, first.alias("next_id"))
+    step = F.least(F.pow(F.lit(2), F.ceil(F.log2(F.col("end_id") - F.col("next_id") + 1))).cast("long"), F.lit(STRETCH).cast("long"))
+    base = lambda c: F.col(c) - F.pmod(F.col(c), F.col("_step"))
+    cut = started.filter("next_id <= end_id").withColumn("_step", step)
+    steps = sorted(r[0] for r in cut.select("_step").distinct().collect())
+    cut = cut.withColumn("_base", F.explode(F.sequence(base("next_id"), base("end_id"), F.col("_step"))))
+    cut = cut.withColumn("_low", F.greatest("next_id", "_base")).withColumn("_high", F.least(F.col("end_id"), F.col("_base") + F.col("_step") - 1))
+    dealt = items.filter(F.col("result").isin("found", "retryable", "fatal")).select("id", "result", F.explode(F.array(*(F.lit(x) for x in steps)).cast("array<bigint>")).alias("_step"))
+    dealt = dealt.withColumn("_base", base("id"))
+    met = cut.join(dealt, (cut["_step"] == dealt["_step"]) & (cut["_base"] == dealt["_base"]) & F.col("id").between(F.col("_low"), F.col("_high")), "left").drop(dealt["_step"]).drop(dealt["_base"])
     failed = F.col("result").isin("retryable", "fatal")
-    walked = walked.withColumn("_run", F.count_if(F.col("result") == "missing").over(order))
-    in_run = Window.partitionBy(*key, "_run").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    walked = walked.withColumn("_fill", F.count_if(F.col("result") == "found").over(in_run))
-
-    parts = walked.groupBy(*key).agg(F.min(F.when(failed, F.col("id"))).alias("_fail"), F.max("_run").alias("_runs"), F.max_by("_fill", "id").alias("_tail"))
-    across = Window.partitionBy("segment_id").orderBy("_stretch")
-    parts = parts.withColumn("_since", F.count_if(F.col("_runs") > 0).over(across.rowsBetween(Window.unboundedPreceding, 0)))
-    filled = F.sum("_tail").over(Window.partitionBy("segment_id", "_since").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, 0))
-    parts = parts.withColumn("_filled", filled).withColumn("_carried", F.coalesce(F.lag("_filled").over(across), F.lit(0)))
-    parts = parts.select(*key, "_carried", F.min("_fail").over(Window.partitionBy("segment_id")).alias("_fail"))
-
-    walked = walked.join(parts, key).filter(F.col("_fail").isNull() | (F.col("id") <= F.col("_fail")))
-    fill = F.col("_fill") + F.when(F.col("_run") == 0, F.col("_carried")).otherwise(0)
-    durable = (F.col("result") == "missing") | ((F.col("result") == "found") & (fill % size == 0))
-    folded = walked.groupBy("segment_id").agg(
-        F.max(F.when(durable, F.col("id"))).alias("_durable"), F.first("_fail").alias("failed_id"), F.max(F.when(F.col("id") == F.col("_fail"), F.col("result"))).alias("_result"),
-        F.count_if(F.col("result") == "found").alias("n_found"), F.count_if(F.col("result") == "missing").alias("n_missing"),
-    )
-    rows = work.select("segment_id", "start_id", "end_id", "scan_cursor_id").join(folded, "segment_id", "left")
+    pieces = met.groupBy(*whole, "next_id", "_step", "_base", "_low", "_high").agg(
+        F.array_sort(F.collect_set(F.when(~failed, F.col("id")))).alias("_found"), F.min(F.when(failed, F.struct("id", "result"))).alias("_end")
+    )
+    pieces = pieces.withColumn("_last", F.coalesce(F.col("_end.id") - 1, F.col("_high")))
+    pieces = pieces.withColumn("_found", F.filter("_found", lambda x: x <= F.col("_last"))).withColumn("_n", F.size("_found").cast("long"))
+    run = F.size(F.filter("_found", lambda x, i: x + F.col("_n") - 1 - i == F.col("_last")))  # found ids without a gap up to the last
+    missing = F.col("_last") - F.col("_low") + 1 - F.col("_n")
+    pieces = pieces.select(*whole, "next_id", "_low", "_end", "_n", missing.alias("_missing"), F.when(missing > 0, F.col("_last") - run).alias("_gap"))
+    pieces = pieces.withColumn("_stop", F.min("_end").over(Window.partitionBy("segment_id"))).filter(F.col("_stop").isNull() | (F.col("_low") <= F.col("_stop.id")))
+
+    rows = pieces.groupBy(*whole, "next_id").agg(F.first("_stop").alias("_stop"), F.sum("_n").alias("n_found"), F.sum("_missing").alias("n_missing"), F.max("_gap").alias("_gap"))
+    begun = F.coalesce(F.col("_gap"), F.col("next_id") - 1)
+    flushed = begun + F.floor((F.coalesce(F.col("_stop.id") - 1, F.col("end_id")) - begun) / size) * size
+    rows = rows.withColumn("_durable", F.when(flushed > begun, flushed).otherwise(F.col("_gap"))).withColumn("failed_id", F.col("_stop.id")).withColumn("_result", F.col("_stop.result"))
+    rows = rows.unionByName(started.filter("NOT coalesce(next_id <= end_id, FALSE)"), allowMissingColumns=True)
     valid = (F.col("start_id") > 0) & (F.col("start_id") <= F.col("end_id")) & (F.col("scan_cursor_id").isNull() | F.col("scan_cursor_id").between(F.col("start_id") - 1, F.col("end_id")))
     outcome = F.when(~valid, "fatal").otherwise(F.coalesce("_result", F.lit("completed")))
     resumed = F.when(F.col("scan_cursor_id") >= F.col("start_id"), F.col("scan_cursor_id"))
