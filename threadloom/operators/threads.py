@@ -11,12 +11,17 @@ entered before its child in the walk that chose it, so attachments never form a
 
 Comments that no edge attaches hang on the story behind its own children, by id, as edges of last priority; so extra roots need no walk of their own. The first
 list has such edges only for comments without a usable one: below the parents that it begins with, ids grow, so no other comment could come before its extra root.
+
+Lists cost a shuffle of all entries a round. Stories of up to ``SHORT`` edges, which is nearly all of them, are dealt out whole instead, many to a task, and walked there with a stack,
+which gives the same rows; only longer ones are walked as lists.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,14 +93,23 @@ def fallback_edges(own: DataFrame) -> DataFrame:
     return joined.select("story_id", "parent", "id", outcome.alias("outcome"))
 
 
-def children(classified: DataFrame, fallback: DataFrame) -> DataFrame:
-    """(story_id, parent, child, priority, ord, rank): explicit edges before fallback ones, each pair once."""
+def kept_edges(classified: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(story_id, parent, child, priority, ord): explicit edges, and fallback ones behind them; a pair may be in both."""
     explicit = classified.filter("outcome = 'kept'").select("story_id", F.col("item").alias("parent"), F.col("kid").alias("child"), F.lit(0).alias("priority"), F.coalesce("display_order", F.lit(LAST)).alias("ord"))
     implied = fallback.filter("outcome = 'kept'").select("story_id", "parent", F.col("id").alias("child"), F.lit(1).alias("priority"), F.lit(LAST).alias("ord"))
-    first = explicit.unionByName(implied).groupBy("story_id", "parent", "child").agg(F.min(F.struct("priority", "ord")).alias("k"))
+    return explicit.unionByName(implied)
+
+
+def _first_of_pairs(edges: DataFrame) -> DataFrame:
+    first = edges.groupBy("story_id", "parent", "child").agg(F.min(F.struct("priority", "ord")).alias("k"))
     return first.select("story_id", "parent", "child", "k.priority", "k.ord")
 
 
+def children(classified: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(story_id, parent, child, priority, ord): explicit edges before fallback ones, each pair once."""
+    return _first_of_pairs(kept_edges(classified, fallback))
+
+
 EXTRA = 2  # priority of the edges that hang every comment on its story
 USABLE = "parent = story_id OR parent < child"  # edges to begin with, which form no cycle
 
@@ -182,6 +196,84 @@ def walked(lists: DataFrame, own: DataFrame, scratch: Scratch) -> tuple[DataFram
     return rows, cycles
 
 
+SHORT = 20_000  # edges of a story that is walked whole
+WALKED = "story_id long, id long, parent long, depth int, orphan boolean, pos int, cycle boolean"
+
+
+def _walk(story: int, parents: list[int], childs: list[int], extras: list[bool]) -> Iterator[tuple]:
+    """Rows of ``WALKED`` of one story, from edges in the order of parents and of their children."""
+    first, end = {}, {}
+    for at, parent in enumerate(parents):
+        first.setdefault(parent, at)
+        end[parent] = at + 1
+    entered, path, cycles, pos = set(), set(), set(), 0
+    stack = [[story, first.get(story, 0), end.get(story, 0), False]]
+    while stack:
+        top = stack[-1]
+        item, at, stop, orphan = top
+        if at == stop:
+            path.discard(item)
+            stack.pop()
+            continue
+        top[1] = at + 1
+        child, extra = childs[at], extras[at]
+        if child not in entered:
+            entered.add(child)
+            path.add(child)
+            orphan = orphan or extra
+            yield story, child, None if extra else item, len(stack), orphan, pos, False
+            pos += 1
+            stack.append([child, first.get(child, 0), end.get(child, 0), orphan])
+        elif child in path and not extra and (item, child) not in cycles:
+            cycles.add((item, child))
+            yield story, child, item, None, None, None, True
+
+
+def _walks(batches: Iterable[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Stories, which lie together, one after another; a batch may end inside one."""
+    schema = pa.schema([("story_id", pa.int64()), ("id", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("orphan", pa.bool_()), ("pos", pa.int32()), ("cycle", pa.bool_())])
+    made, story, edges = [], None, ([], [], [])
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), schema)], schema=schema)
+
+    for batch in batches:
+        stories, *columns = (c.to_pylist() for c in batch.columns)
+        ends = [k for k in range(1, len(stories)) if stories[k] != stories[k - 1]]
+        for low, high in zip([0, *ends], [*ends, len(stories)]):
+            if low == high:
+                continue
+            if stories[low] != story:
+                made.extend(_walk(story, *edges) if story is not None else ())
+                story, edges = stories[low], ([], [], [])
+            for held, new in zip(edges, columns):
+                held.extend(new[low:high])
+            if len(made) >= rows:
+                yield out()
+                made.clear()
+    if story is not None:
+        made.extend(_walk(story, *edges))
+    if made:
+        yield out()
+
+
+def walked_by_length(edges: DataFrame, own: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What ``walked`` gives for ``kept_edges``: short stories are walked whole, long ones as lists."""
+    shown = own.filter("visible").select("story_id", "id", "visible")
+    extra = shown.select("story_id", F.col("story_id").alias("parent"), F.col("id").alias("child"), F.lit(EXTRA).alias("priority"), F.lit(LAST).alias("ord"))
+    every = edges.unionByName(extra)
+    long = scratch.table("long", every.groupBy("story_id").count().filter(F.col("count") > SHORT).select("story_id"))
+    some = not long.isEmpty()
+    short = every.join(long, "story_id", "left_anti") if some else every
+    dealt = short.repartition("story_id").sortWithinPartitions("story_id", "parent", "priority", "ord", "child")
+    made = scratch.table("walked", dealt.select("story_id", "parent", "child", (F.col("priority") == EXTRA).alias("extra")).mapInArrow(_walks, WALKED))
+    tree, cycles = made.filter("NOT cycle").drop("cycle"), made.filter("cycle").select("story_id", "parent", F.col("id").alias("child"))
+    if some:
+        rows, back = walked(_first_of_pairs(edges.join(long, "story_id", "left_semi")), shown.join(long, "story_id", "left_semi"), scratch)
+        tree, cycles = tree.unionByName(rows), cycles.unionByName(back)
+    return tree, cycles
+
+
 def assemble(items: DataFrame, kids: DataFrame, include_deleted: bool = True, include_dead: bool = True, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(tree rows, breaks) of every story, or of the snapshot ``members(story_id, id)`` of each, whose comments of other stories are breaks.
 
@@ -191,7 +283,7 @@ def assemble(items: DataFrame, kids: DataFrame, include_deleted: bool = True, in
     own = scratch.table("own", nodes(items, include_deleted, include_dead, members))
     classified = scratch.table("classified", classify_edges(story_edges(items, kids, own), own))
     fallback = scratch.table("fallback", fallback_edges(own))
-    tree, cycles = walked(children(classified, fallback), own, scratch)
+    tree, cycles = walked_by_length(kept_edges(classified, fallback), own, scratch)
     lost = tree.filter("orphan").select("story_id", "id").join(own.filter("parent <> story_id").select("story_id", "id", "parent"), ["story_id", "id"])
     named = lambda df, reason, parent, child: df.select("story_id", reason.alias("reason"), F.col(parent).alias("parent_id"), F.col(child).alias("child_id"))
     breaks = named(classified.filter("outcome NOT IN ('kept', 'silent')"), F.col("outcome"), "item", "kid")
