@@ -204,3 +204,12 @@ def test_items_that_a_stream_names(spark, tmp_path):
         run(scratch)
     answers[5] = "found"
     assert run(scratch) == [1, 2, 3, 4, 5, 7, 8, 9]
+
+
+def test_ids_are_fetched_in_as_many_tasks_as_shuffles_have(spark, tmp_path):
+    """Few bytes of ids are much work: sizes must not merge their tasks."""
+    item_source.store(spark.range(0, 400).selectExpr("id", "concat('{\"id\":', id, '}') AS payload"), str(tmp_path), 10)
+    got = item_source.items_of(spark.range(0, 400), path=str(tmp_path), width=10)
+    got.write.parquet(str(tmp_path / "got"))
+    files = spark.read.parquet(str(tmp_path / "got")).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in files) == 400

@@ -18,6 +18,8 @@ from threadloom.streaming.snapshot import Snapshot
 STORED = "event_id % 9 <> 4"
 PAYLOADS = "CASE event_id % 25 WHEN 3 THEN substr(payload, 1, 20) WHEN 8 THEN 'null' ELSE payload END"
 WIDTH = 20_000
+#: A quarter of the events is at least four tasks, and more where that would make a task longer than this.
+TASK_BYTES = 1 << 24
 
 
 def _stored(spark, sf_dir, scratch):
@@ -48,7 +50,7 @@ def _updates(spark, sf_dir, scratch):
     path = scratch.path("recorded")
     events.record(rows.repartition(2, "id"), path)
     size = events.recorded_bytes(path)
-    return updates.changed_ids(events.events(spark, path, max_bytes=size // 4 + 1, task_bytes=size // 16 + 1), "data")
+    return updates.changed_ids(events.events(spark, path, max_bytes=size // 4 + 1, task_bytes=min(size // 16 + 1, TASK_BYTES)), "data")
 
 
 @query("SELECT event_id, event_id + o AS item_id FROM events, (SELECT unnest([0, 7]) AS o) WHERE event_id % 10 NOT IN (3, 7)")

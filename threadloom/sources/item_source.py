@@ -69,9 +69,9 @@ def from_shards(path: str, width: int, ids: Sequence[int]) -> Iterator[tuple]:
         for info in recorded(f"{path}/shard={shard}"):
             with files.open_input_stream(info.path) as file:
                 for line in io.BufferedReader(file):
-                    number, _, payload = line.decode("utf-8", "replace").rstrip("\n").partition("\t")
+                    number, _, payload = line.partition(b"\t")
                     if int(number) in wanted:
-                        held[int(number)] = payload
+                        held[int(number)] = payload.decode("utf-8", "replace").rstrip("\n")
         for item in own:
             yield (item, *(answered(held[item]) if item in held else ("missing", None, None, None)))
 
@@ -119,7 +119,7 @@ def items_between(spark: SparkSession, start: int, end: int, **options) -> DataF
 
 
 def items_of(ids: DataFrame, ids_per_shard: int = 10_000, **options) -> DataFrame:
-    """The same for a table of distinct ids, those of a shard's width in one task."""
+    """The same for a table of distinct ids, those of a shard's width in one task. As many tasks as shuffles have: ids are few bytes, whose fetch is the work, so sizes must not merge them."""
     fetch = reader({k: str(v) for k, v in options.items()})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,8 @@ def items_of(ids: DataFrame, ids_per_shard: int = 10_000, **options) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ROW)], schema=ROW)
 
     width = int(options.get("width", ids_per_shard))
-    near = ids.select(F.col("id").cast("long").alias("id"), F.floor(F.col("id") / width).alias("shard")).repartition("shard").sortWithinPartitions("id")
+    tasks = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = ids.select(F.col("id").cast("long").alias("id"), F.floor(F.col("id") / width).alias("shard")).repartition(tasks, "shard").sortWithinPartitions("id")
     return near.select("id").mapInArrow(read, SCHEMA)
 
 
