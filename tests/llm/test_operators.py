@@ -438,6 +438,17 @@ def test_contexts_add_up(rows):
     assert got == expected
 
 
+def test_contexts_travel_many_words_to_a_row():
+    rng = np.random.default_rng(5)
+    keys, codes = rng.integers(0, 3000, 20_000), rng.integers(-1, 50, 20_000)
+    made = list(op07_lm_scoring.gathered(iter([(keys, codes, np.ones(20_000, np.int64))]), lambda keys: keys % 9))
+    stored = [op07_lm_scoring.closed(b) for b in made]
+    assert sum(b.num_rows for b in stored) < 10 and max(len(x) for b in stored for x in b.column("codes").to_pylist()) < 4 * 4200
+    again = [row for b in op07_lm_scoring.opened(iter(stored)) for part in op07_lm_scoring.slices(b) for row in part.to_pylist()]
+    assert again == [row for b in made for row in b.to_pylist()]
+    assert [row for b in op07_lm_scoring.opened(op07_lm_scoring.closed(x) for b in made for x in (b.slice(0, 7), b.slice(7))) for row in b.to_pylist()] == again
+
+
 @pytest.mark.parametrize("buckets", [1, 7])
 def test_turns_count_every_pair_with_a_head_word(spark, docs, buckets):
     """The class table of a turn against a count over the texts, with classes dealt by hand."""

@@ -15,7 +15,7 @@ Scale: word counts cover all training texts and are combined per batch before th
 counted; a turn adds them up per word and class, so what is shuffled is one short row per word and task. Each tail word's neighbours are gathered once, at most
 2 * HEAD + 2 different ones for a word, so no task holds an unbounded group. The tail grows with the corpus and stays a table throughout; the
 head is found by a histogram of counts and broadcast. The driver sees the head, its classes, class tables and the seed's table, (1024 + 2)^2.
-In scoring, counts and classes of tail words come from a join on the word.
+In scoring, counts and classes of tail words are looked up in shuffled buckets of words.
 
 Defined cases: null texts are empty and have the end token alone; with no training documents all counts are
 0; a word with tail words alone beside it has the first class; equal rows of a doc_id get a row each; an empty table gives an empty result; other columns are not read.
@@ -23,6 +23,7 @@ Defined cases: null texts are empty and have the end token alone; with no traini
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -30,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +41,9 @@ HEAD, CLUSTERED, CLASSES, SWEEPS = 65_536, 1024, 48, 4
 TURNS = ("head", "tail", "even", "odd", "tail")  # who chooses: all head words, half of them, or the tail words
 FLUSH = 150_000  # distinct words that a task gathers before it hands them on
 PAIRS = 2_000_000  # adjacent words that a task combines at a time
-STRETCH = 50_000  # numbers in a packed row
+STRETCH = 5_000  # numbers in a packed row; Parquet holds 100 rows before it looks at their size
 BUCKET = 1_000_000  # tail words' occurrences that a task gathers at a time, about
-GROUP = 16  # head words whose counts travel together
+GROUP = 64  # head words whose counts travel together
 CELLS = 40_000  # classes beside words that choose side by side
 
 
@@ -236,10 +238,52 @@ def information(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
 
 
-CONTEXTS = "key long, cls int, codes array<int>, ns array<int>"
+STORED = 4000
+CONTEXTS = "keys binary, cls binary, sizes binary, codes binary, ns binary"  # a stretch of words a row, so that few rows pass between Spark and Python
+_CONTEXTS_SCHEMA = pa.schema([(c, pa.binary()) for c in ("keys", "cls", "sizes", "codes", "ns")])
 _CONTEXT_SCHEMA = pa.schema([("key", pa.int64()), ("cls", pa.int32()), ("codes", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32()))])
 
 
+def closed(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Contexts of words as rows of ``CONTEXTS`` with about STORED entries."""
+    codes, n = b.column("codes"), b.column("ns").flatten().to_numpy()
+    keys, cls, sizes, flat = b.column("key").to_numpy(), b.column("cls").to_numpy(), np.diff(codes.offsets.to_numpy()), codes.flatten().to_numpy()
+    ends = np.r_[0, np.cumsum(sizes)]
+    cuts = np.r_[0, 1 + np.flatnonzero(np.diff((ends[1:] + np.arange(len(sizes))) // STORED)), len(sizes)].tolist()
+    rows = [(*(x[low:high].tobytes() for x in (keys, cls, sizes)), *(x[ends[low] : ends[high]].tobytes() for x in (flat, n))) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+    return to_batch(rows, _CONTEXTS_SCHEMA)
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``CONTEXTS``, short ones together, as batches (key, cls, codes, ns)."""
+
+    def out(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        keys, cls, sizes, codes, ns = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*held, strict=True))
+        offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(cls), *(pa.ListArray.from_arrays(offsets, x) for x in (codes, ns))], schema=_CONTEXT_SCHEMA)
+
+    held, size = [], 0
+    for b in batches:
+        for row in range(b.num_rows):
+            held.append([np.frombuffer(b.column(i)[row].as_buffer(), np.int64 if i == 0 else np.int32) for i in range(5)])
+            size += len(held[-1][3])
+            if size > CELLS:
+                yield out(held)
+                held, size = [], 0
+    if held:
+        yield out(held)
+
+
+def classes_of(contexts: DataFrame) -> DataFrame:
+    """(key, cls) of each word of contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in opened(batches):
+            yield b.select(["key", "cls"])
+
+    return contexts.mapInArrow(run, "key long, cls int")
+
+
 def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], class_of: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
     """One row (key, cls, codes, ns) for each key of (keys, codes, counts), no key being in two parts; a code of -1 counts nothing."""
 
@@ -262,7 +306,7 @@ def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], class_o
 
 
 def tail_contexts(pairs: DataFrame, n_head: int, unclassed: int) -> DataFrame:
-    """(key, cls, codes, ns) of each tail word: what follows it (codes are places in the head) and precedes it (n_head + 1 more).
+    """Contexts of each tail word: what follows it (codes are places in the head) and precedes it (n_head + 1 more).
 
     A task holds one bucket of words at a time, whose number follows the corpus.
     """
@@ -286,13 +330,13 @@ def tail_contexts(pairs: DataFrame, n_head: int, unclassed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
-            yield from gathered(iter([part]), lambda keys: np.full(len(keys), unclassed))
+            yield from map(closed, gathered(iter([part]), lambda keys: np.full(len(keys), unclassed)))
 
     return pairs.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, CONTEXTS)
 
 
 def head_contexts(pairs: DataFrame, tail: DataFrame, cls: np.ndarray, k: int) -> DataFrame:
-    """(key, cls, codes, ns) of each head word: counts of classes after it (codes from 0), before it (from ``k``), and of itself beside it (2 * ``k``).
+    """Contexts of each head word: counts of classes after it (codes from 0), before it (from ``k``), and of itself beside it (2 * ``k``).
 
     ``cls`` holds the classes of the head and the end. Each task adds up its own counts; one short row per GROUP words travels.
     """
@@ -336,7 +380,7 @@ def head_contexts(pairs: DataFrame, tail: DataFrame, cls: np.ndarray, k: int) ->
 
     def of_tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cells():
-            for b in batches:
+            for b in opened(batches):
                 codes = b.column("codes")
                 own = np.repeat(b.column("cls").to_numpy(), np.diff(codes.offsets.to_numpy())).astype(np.int64)
                 flat, n = codes.flatten().to_numpy().astype(np.int64), b.column("ns").flatten().to_numpy().astype(np.int64)
@@ -350,7 +394,7 @@ def head_contexts(pairs: DataFrame, tail: DataFrame, cls: np.ndarray, k: int) ->
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finished(group: int, sums: np.ndarray) -> pa.RecordBatch:
             cell = np.flatnonzero(sums)
-            return next(gathered(iter([(group * GROUP + cell // width, cell % width, sums[cell])]), lambda keys: shared.value[keys]))
+            return closed(next(gathered(iter([(group * GROUP + cell // width, cell % width, sums[cell])]), lambda keys: shared.value[keys])))
 
         group, sums = None, np.zeros(GROUP * width, np.int64)
         for b in batches:
@@ -370,10 +414,10 @@ def head_contexts(pairs: DataFrame, tail: DataFrame, cls: np.ndarray, k: int) ->
 
 def dense(b: pa.RecordBatch, columns: np.ndarray | None, width: int) -> np.ndarray:
     """Counts of classes beside each word of contexts; ``columns`` gives the cell of each code."""
-    codes, out = b.column("codes"), np.zeros((b.num_rows, width))
+    codes, n = b.column("codes"), b.num_rows
     flat = codes.flatten().to_numpy()
-    np.add.at(out, (np.repeat(np.arange(b.num_rows), np.diff(codes.offsets.to_numpy())), flat if columns is None else columns[flat]), b.column("ns").flatten().to_numpy())
-    return out
+    cell = np.repeat(np.arange(n) * width, np.diff(codes.offsets.to_numpy())) + (flat if columns is None else columns[flat])
+    return np.bincount(cell, b.column("ns").flatten().to_numpy(), n * width).reshape(n, width)
 
 
 def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -389,14 +433,16 @@ def class_table(contexts: list[tuple[DataFrame, object]], k: int) -> np.ndarray:
 
     def adder(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((k, k))
-            for b in batches:
-                for part in slices(b):
-                    counts, cls = dense(part, shared and shared.value, 2 * k + 1), part.column("cls").to_numpy()
-                    np.add.at(total, cls, counts[:, :k])
-                    np.add.at(total[k - 1], cls, counts[:, 2 * k - 1])
+            total = np.zeros(k * k)
+            for b in opened(batches):
+                codes, n = b.column("codes"), b.column("ns").flatten().to_numpy()
+                own, flat = np.repeat(b.column("cls").to_numpy().astype(np.int64), np.diff(codes.offsets.to_numpy())), codes.flatten().to_numpy()
+                beside = flat if shared is None else shared.value[flat]
+                after, first = beside < k, beside == 2 * k - 1  # what follows the word, and the end before it
+                total += np.bincount(own[after] * k + beside[after], n[after], k * k)
+                total[(k - 1) * k :] += np.bincount(own[first], n[first], k)
             cell = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total.ravel()[cell].astype(np.int64))], names=["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell].astype(np.int64))], names=["cell", "n"])
 
         return run
 
@@ -415,13 +461,13 @@ def choose(contexts: DataFrame, shared, table: np.ndarray, classes: int, half: i
     k, seen = len(table), contexts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in opened(batches):
             for b in slices(whole):
                 cls, counts = b.column("cls").to_numpy().astype(np.int64), dense(b, shared and shared.value, 2 * k + 1)
                 best = best_classes(seen.value, cls, counts[:, :k], counts[:, k : 2 * k], counts[:, 2 * k], classes)
                 if half is not None:
                     best = np.where(b.column("key").to_numpy() % 2 == half, best, cls)
-                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(best, pa.int32()), b.column("codes"), b.column("ns")], schema=_CONTEXT_SCHEMA)
+                yield closed(b.set_column(1, "cls", pa.array(best, pa.int32())))
 
     return contexts.mapInArrow(run, CONTEXTS)
 
@@ -464,7 +510,7 @@ def cluster(train: DataFrame, head: list[bytes], n_others: int, clustered: int,
         columns = sc.broadcast(np.r_[cls, k + cls])
         return around, columns, class_table([(around, None), (tail, columns)], k)
 
-    before, old = None, []
+    before, old = None, ["tail"]
     for turn, who in enumerate(turns):
         around, columns, table = read(turn)
         if before is not None and turns[turn - 1] in ("even", "odd") and information(table) <= before[0]:
@@ -478,14 +524,14 @@ def cluster(train: DataFrame, head: list[bytes], n_others: int, clustered: int,
             old = [name]
         else:
             half = {"even": 0, "odd": 1}.get(who)
-            moved = choose(around, None, table, classes, half).select("key", "cls").toArrow()
+            moved = classes_of(choose(around, None, table, classes, half)).toArrow()
             cls = cls.copy()
             cls[moved.column("key").to_numpy()] = moved.column("cls").to_numpy()
             cls[:n_head][cls[:n_head] >= classes] = 0
         scratch.drop(f"head{turn}")
         sc._jvm.System.gc()
     scratch.drop("pairs")
-    return cls[:n_head], tail.select("key", "cls"), classes
+    return cls[:n_head], classes_of(tail), classes
 
 
 @dataclass(frozen=True)
@@ -522,22 +568,61 @@ def train(docs: DataFrame, vocabulary: DataFrame, head_size: int, clustered: int
 UNKNOWN = 255  # in a document's class sequence, a word outside the head
 
 
+SPELLED = 50_000  # tail words that a task looks up in at a time, about
+BLOCK = 60_000  # words outside the head in a block of texts, about
+LOOKUP = "bucket int, kind int, block long, words binary, a binary, b binary"
+_LOOKUP_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+
+
+def dealt(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """(bucket, places, words with a space between) of each bucket of words."""
+    of = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+    order = np.argsort(of, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        if len(places):
+            yield int(of[places[0]]), places, b" ".join([words[i] for i in places.tolist()])
+
+
 def encode(docs: DataFrame, classed: DataFrame, model: Model, is_held_out) -> DataFrame:
-    """(doc_id, held_out, copies, n_tokens, n_known, count_log, emit_log, seq): each text's classes, and the sums that need no transitions."""
+    """(doc_id, held_out, n_tokens, n_known, count_log, emit_log, seq): each text's classes, and the sums that need no transitions.
+
+    Words outside the head are looked up by bucket: each block of texts sends the words of a bucket in one row, and gets their counts and classes back in one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = "word string, doc_id long, tag long, held_out boolean, pos int, seq binary, known long, head_log double, emit_log double"
-    schema = pa.schema([("word", pa.string()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("held_out", pa.bool_()), ("pos", pa.int32()), ("seq", pa.binary()), ("known", pa.int64()), ("head_log", pa.float64()), ("emit_log", pa.float64())])
+    # As many buckets as the words to spell and their places need, so that neither a bucket nor a task's share grows with the corpus.
+    n_tail = max(0, model.n_tokens - round(float((10**model.log_counts - 1).sum())))
+    buckets = 1 + max((model.n_types - len(model.index)) // SPELLED, n_tail // BUCKET)
+    own_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("seq", pa.binary()), ("known", pa.int64()), ("head_log", pa.float64()), ("emit_log", pa.float64())])
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, c, cls = [], [], []
+
+        def out() -> pa.RecordBatch:
+            n, of = np.concatenate(c), np.concatenate(cls)
+            return to_batch([(bucket, 0, None, text, n[at].tobytes(), of[at].tobytes()) for bucket, at, text in dealt(words, buckets)], _LOOKUP_SCHEMA)
+
+        for b in batches:
+            words.extend(b.column(0).cast(pa.binary()).to_pylist())
+            c.append(b.column(1).to_numpy())
+            cls.append(b.column(2).to_numpy())
+            if len(words) > BLOCK:
+                yield out()
+                words, c, cls = [], [], []
+        if words:
+            yield out()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        get, own, words, places = m.index.get, [], [], []
+        m, task, made = shared.value, TaskContext.get().partitionId(), 0
+        get, own, words, places, size = m.index.get, [], [], [], 0
         codes = np.r_[m.classes[:-1], UNKNOWN].astype(np.uint8)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            yield to_batch(own, schema)
-            doc_id, tag, is_held = (pa.array(x, schema.field(c).type).take(pa.array(np.repeat(np.arange(len(own)), [len(p) for p in places]))) for c, x in zip(("doc_id", "tag", "held_out"), [*zip(*own, strict=True)][1:4], strict=True))
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), doc_id, tag, is_held, pa.array(np.concatenate(places) + 1, pa.int32()), *(pa.nulls(n, f.type) for f in list(schema)[5:])], schema=schema)
+        def out() -> pa.RecordBatch:
+            texts, at = to_batch(own, own_schema), np.concatenate(places).astype(np.int32)
+            whole = texts.serialize().to_pybytes()
+            # Named by place and content: should a task that is run again read its rows in another order, blocks would lack their words, which is an error.
+            block = xxhash.xxh3_64_intdigest(whole, (task << 32) + made) >> 1
+            rows = [(bucket, 1, block, text, at[x].tobytes(), None) for bucket, x, text in dealt(words, buckets)]
+            return to_batch([(block % buckets, 2, block, None, whole, np.int64(len(words)).tobytes()), *rows], _LOOKUP_SCHEMA)
 
         for b in batches:
             for doc_id, is_held, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), byte_texts(b), strict=True):
@@ -545,45 +630,77 @@ def encode(docs: DataFrame, classed: DataFrame, model: Model, is_held_out) -> Da
                 ids = np.array([get(w, -1) for w in seq], np.int64)
                 known, other = ids[ids >= 0], np.flatnonzero(ids < 0)
                 whole = np.r_[np.uint8(m.end_class), codes[ids], np.uint8(m.end_class)].astype(np.uint8).tobytes()
-                tag = xxhash.xxh3_64_intdigest(raw) >> 1
-                # The document's own row has a key that no word can equal, spread over many values.
-                own.append((f" {tag % 65_536}", doc_id, tag, is_held, None, whole, len(known) + (m.end_log_count > 0), float(m.log_counts[known].sum()) + m.end_log_count, float(m.emit[known].sum())))
-                places.append(other)
+                own.append((doc_id, is_held, whole, len(known) + (m.end_log_count > 0), float(m.log_counts[known].sum()) + m.end_log_count, float(m.emit[known].sum())))
+                places.append(other + 1 + size)
                 words.extend([seq[i] for i in other.tolist()])
-                if len(words) + len(own) > 30_000:
-                    yield from out()
-                    own, words, places = [], [], []
+                size += len(whole)
+                if len(words) > BLOCK or size > 20 * BLOCK:
+                    yield out()
+                    own, words, places, size, made = [], [], [], 0, made + 1
         if own:
-            yield from out()
+            yield out()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, places, c, cls = None, {}, [], []
+        for b in batches:
+            for i in range(b.num_rows):
+                of, kind, block, words, first, second = (column[i] for column in b.columns)
+                if of.as_py() != bucket:
+                    bucket, places, c, cls = of.as_py(), {}, [np.zeros(1, np.int64)], [np.full(1, -1, np.int32)]
+                if kind.as_py() == 0:
+                    named = words.as_py().split(b" ")
+                    places.update(zip(named, range(len(places) + 1, len(places) + len(named) + 1), strict=True))
+                    c.append(np.frombuffer(first.as_buffer(), np.int64))
+                    cls.append(np.frombuffer(second.as_buffer(), np.int32))
+                elif kind.as_py() == 1:
+                    c, cls = [np.concatenate(c)], [np.concatenate(cls)]  # place 0 is that of a word that training lacks
+                    at = np.array([places.get(w, 0) for w in words.as_py().split(b" ")], np.int64)
+                    yield to_batch([(bucket, 1, block.as_py(), c[0][at].tobytes(), first.as_py(), cls[0][at].tobytes())], _LOOKUP_SCHEMA)
+                else:
+                    yield to_batch([(bucket, 0, block.as_py(), None, first.as_py(), second.as_py())], _LOOKUP_SCHEMA)
+
+    def finished(whole: bytes, n: int, found: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        m, b = shared.value, pa.ipc.read_record_batch(pa.py_buffer(whole), own_schema)
+        log_mass, n_docs, seq = np.r_[np.log10(m.mass), 0.0, 0.0], b.num_rows, b.column("seq")
+        lengths = np.array([len(x) for x in seq.to_pylist()], np.int64)
+        c, at, own = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*found, strict=True) if found else ((), (), ()), (np.int64, np.int32, np.int32), strict=True))
+        if len(at) != n:
+            raise RuntimeError("a block of texts lacks words: its rows came in another order when a task was run again")
+        order = np.argsort(at)
+        c, at, own = c[order], at[order], own[order]
+        cls, ends = np.frombuffer(b"".join(seq.to_pylist()), np.uint8).copy(), np.cumsum(lengths)
+        of = np.searchsorted(ends, at, side="right")
+        cls[at] = np.where(own < 0, m.classes[-1], own)
+        added = lambda values: np.bincount(of, values, n_docs)
+        rest_log, known = added(np.log10(c + 1.0)), b.column("known").to_numpy() + added(c > 0).astype(np.int64)
+        emit_log = b.column("emit_log").to_numpy() + rest_log - added(log_mass[cls[at]])
+        text = cls.tobytes()
+        return pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("held_out"), pa.array(lengths - 1), pa.array(known, pa.int64()), pa.array(b.column("head_log").to_numpy() + rest_log), pa.array(emit_log), pa.array([text[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.binary())],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "count_log", "emit_log", "seq"],
+        )
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        log_mass = np.r_[np.log10(m.mass), 0.0, 0.0]
+        block, whole, n, found = None, None, 0, []
         for b in batches:
-            n_docs, seqs, rest = b.num_rows, b.column("seq").to_pylist(), b.column("rest")
-            lengths = np.array([len(x) for x in seqs], np.int64)
-            cls = np.frombuffer(b"".join(seqs), np.uint8).copy()
-            of = np.repeat(np.arange(n_docs), np.diff(rest.offsets.to_numpy()))
-            pos, c, own = (rest.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            # Equal rows of a document give the same entries, so each place is filled alike however often.
-            at, once = np.unique((np.cumsum(lengths) - lengths)[of] + pos, return_index=True)
-            of, c, own = of[once], c[once], own[once]
-            cls[at] = np.where(own < 0, m.classes[-1], own)
-            logs = np.log10(c + 1.0)
-            added = lambda values: np.bincount(of, values, n_docs)
-            rest_log, known = added(logs), b.column("known").to_numpy() + added(c > 0).astype(np.int64)
-            emit_log = b.column("emit_log").to_numpy() + rest_log - added(log_mass[cls[at]])
-            whole, ends = cls.tobytes(), np.cumsum(lengths)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), b.column("copies"), pa.array(lengths - 1), pa.array(known, pa.int64()), pa.array(b.column("head_log").to_numpy() + rest_log), pa.array(emit_log), pa.array([whole[e - n : e] for e, n in zip(ends, lengths, strict=True)], pa.binary())],
-                names=["doc_id", "held_out", "copies", "n_tokens", "n_known", "count_log", "emit_log", "seq"],
-            )
-
-    rows = text_rows(docs).withColumn("held_out", is_held_out).mapInArrow(run, fields).join(classed, "word", "left")
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.coalesce("cls", F.lit(-1)).cast("int").alias("cls")))
-    own = [F.max(x).alias(x) for x in ("seq", "known", "head_log", "emit_log")]  # alike in equal rows
-    by_text = rows.groupBy("doc_id", "tag", "held_out").agg(F.count("seq").alias("copies"), *own, F.collect_list(entry).alias("rest"))
-    return by_text.mapInArrow(finish, "doc_id long, held_out boolean, copies long, n_tokens long, n_known long, count_log double, emit_log double, seq binary")
+            for i in range(b.num_rows):
+                _, kind, of, counts, first, second = (column[i].as_py() for column in b.columns)
+                if kind == 0:
+                    if block is not None:
+                        yield finished(whole, n, found)
+                    block, whole, n, found = of, first, int(np.frombuffer(second, np.int64)[0]), []
+                elif of != block:
+                    raise RuntimeError("words of a block whose texts are not there")
+                else:
+                    found.append((counts, first, second))
+        if block is not None:
+            yield finished(whole, n, found)
+
+    blocks = text_rows(docs).withColumn("held_out", is_held_out).mapInArrow(run, LOOKUP)
+    rows = classed.select("word", F.col("c").cast("long"), F.col("cls").cast("int")).mapInArrow(spelled, LOOKUP).unionAll(blocks)
+    known = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(look_up, LOOKUP)
+    by_block = known.repartition(buckets, "block").sortWithinPartitions("block", "kind")
+    return by_block.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, count_log double, emit_log double, seq binary")
 
 
 def transitions(encoded: DataFrame, classes: int) -> np.ndarray:
@@ -593,13 +710,13 @@ def transitions(encoded: DataFrame, classes: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k)
         for b in batches:
-            for seq, copies in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for seq in b.column(0).to_pylist():
                 cls = np.frombuffer(seq, np.uint8).astype(np.int64)
-                total += copies * np.bincount(cls[:-1] * k + cls[1:], minlength=k * k)
+                total += np.bincount(cls[:-1] * k + cls[1:], minlength=k * k)
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell].astype(np.int64))], names=["cell", "n"])
 
-    found = encoded.filter("NOT held_out").select("seq", "copies").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = encoded.filter("NOT held_out").select("seq").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(k * k)
     table[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return table.reshape(k, k)
@@ -616,7 +733,7 @@ def smoothed(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score(encoded: DataFrame, model: Model, pairs: np.ndarray) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity), a row for each copy."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)."""
     chance, prior = smoothed(pairs)
     after = np.vstack([chance, prior])  # what follows a word that training lacks has class unigrams
     steps = np.c_[np.log10(after), np.log10((after[:, :-1] / model.mass).sum(1))]  # the last column is such a word itself
@@ -626,12 +743,11 @@ def score(encoded: DataFrame, model: Model, pairs: np.ndarray) -> DataFrame:
         for b in batches:
             of = [np.frombuffer(x, np.uint8) for x in b.column("seq").to_pylist()]
             moved = np.array([shared.value[x[:-1], x[1:]].sum() for x in of])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(b.column("emit_log").to_numpy() + moved, pa.float64())], names=["doc_id", "held_out", "copies", "n_tokens", "n_known", "count_log", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(b.column("emit_log").to_numpy() + moved, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "count_log", "score"])
 
-    sums = encoded.mapInArrow(run, "doc_id long, held_out boolean, copies long, n_tokens long, n_known long, count_log double, score double")
+    sums = encoded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, count_log double, score double")
     base = F.col("count_log") - F.col("n_tokens") * F.log10(F.lit(float(model.n_tokens + model.n_types + 1)))
-    one_each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return one_each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def score_by_classes(docs: DataFrame, is_held_out, head_size: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> DataFrame:
