@@ -26,6 +26,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,9 +43,22 @@ TURNS = ("head", "tail", "even", "odd", "tail")  # who chooses: all head words,
 FLUSH = 150_000  # distinct words that a task gathers before it hands them on
 PAIRS = 2_000_000  # adjacent words that a task combines at a time
 STRETCH = 5_000  # numbers in a packed row; Parquet holds 100 rows before it looks at their size
-BUCKET = 1_000_000  # tail words' occurrences that a task gathers at a time, about
+BUCKET = 400_000  # tail words' occurrences that a task gathers at a time, about
 GROUP = 64  # head words whose counts travel together
-CELLS = 40_000  # classes beside words that choose side by side
+CELLS = 20_000  # classes beside words that choose side by side
+BATCH = "4m"  # of rows that pass between Spark and Python at a time, which both hold several times over; packed rows would fill Spark's own 64m
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of at most BATCH, and a row, for the tables written meanwhile."""
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -315,7 +329,7 @@ def tail_contexts(pairs: DataFrame, n_head: int, unclassed: int) -> DataFrame:
     def parts(batches: Iterator[pa.RecordBatch]):
         def merged(held):
             h, l, r = (np.concatenate(x) for x in zip(*held, strict=True))  # noqa: E741
-            return np.r_[h, h], np.r_[r, np.where(l >= 0, l + width, -1)].astype(np.int64), np.ones(2 * len(h), np.int64)
+            return np.r_[h, h], np.r_[r, np.where(l >= 0, l + width, -1)].astype(np.int32), np.ones(2 * len(h), np.int32)
 
         bucket, held = None, []
         for b in batches:
@@ -344,25 +358,19 @@ def head_contexts(pairs: DataFrame, tail: DataFrame, cls: np.ndarray, k: int) ->
     schema = pa.schema([("group", pa.int32()), ("cells", pa.binary()), ("ns", pa.binary())])
 
     def counted(cells: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(n_head * width, np.int64), [], 0
-
-        def add() -> None:
-            total[:] += np.bincount(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), len(total)).astype(np.int64)
-
+        total, rows = np.zeros(n_head * width, np.int64), []  # the one large array that a task holds
         for cell, n in cells:
-            held.append((cell, n))
-            size += len(cell)
-            if size > PAIRS:
-                add()
-                held, size = [], 0
-        if held:
-            add()
-        cell = np.flatnonzero(total)
-        group, first = np.unique(cell // (GROUP * width), return_index=True)
-        n, cell, ends = total[cell], (cell % (GROUP * width)).astype(np.int32), np.r_[first, len(cell)].tolist()
-        rows = [(g, cell[low:high].tobytes(), n[low:high].tobytes()) for g, low, high in zip(group.tolist(), ends[:-1], ends[1:], strict=True)]
-        for at in range(0, len(rows), 500):
-            yield to_batch(rows[at : at + 500], schema)
+            np.add.at(total, cell.astype(np.int64), n.astype(np.int64))
+        for group, low in enumerate(range(0, len(total), GROUP * width)):
+            own = total[low : low + GROUP * width]
+            cell = np.flatnonzero(own)
+            if len(cell):
+                rows.append((group, cell.astype(np.int32).tobytes(), own[cell].tobytes()))
+            if len(rows) == 100:
+                yield to_batch(rows, schema)
+                rows = []
+        if rows:
+            yield to_batch(rows, schema)
 
     def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
@@ -569,6 +577,7 @@ UNKNOWN = 255  # in a document's class sequence, a word outside the head
 
 
 SPELLED = 50_000  # tail words that a task looks up in at a time, about
+ASKED = 1_000_000  # occurrences of tail words that a bucket looks up, about
 BLOCK = 60_000  # words outside the head in a block of texts, about
 LOOKUP = "bucket int, kind int, block long, words binary, a binary, b binary"
 _LOOKUP_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
@@ -591,7 +600,7 @@ def encode(docs: DataFrame, classed: DataFrame, model: Model, is_held_out) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
     # As many buckets as the words to spell and their places need, so that neither a bucket nor a task's share grows with the corpus.
     n_tail = max(0, model.n_tokens - round(float((10**model.log_counts - 1).sum())))
-    buckets = 1 + max((model.n_types - len(model.index)) // SPELLED, n_tail // BUCKET)
+    buckets = 1 + max((model.n_types - len(model.index)) // SPELLED, n_tail // ASKED)
     own_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("seq", pa.binary()), ("known", pa.int64()), ("head_log", pa.float64()), ("emit_log", pa.float64())])
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -755,10 +764,11 @@ def score_by_classes(docs: DataFrame, is_held_out, head_size: int = HEAD, cluste
     if classes > 253:
         raise ValueError("at most 253 classes")
     scratch, known = Scratch(docs.sparkSession), docs.filter(~is_held_out)
-    vocabulary = scratch.table("vocabulary", word_counts(known))
-    model, classed = train(known, vocabulary, head_size, clustered, classes, scratch)
-    encoded = scratch.table("encoded", encode(docs, classed, model, is_held_out))
-    return score(encoded, model, transitions(encoded, model.end_class))
+    with short_batches(docs.sparkSession):
+        vocabulary = scratch.table("vocabulary", word_counts(known))
+        model, classed = train(known, vocabulary, head_size, clustered, classes, scratch)
+        encoded = scratch.table("encoded", encode(docs, classed, model, is_held_out))
+        return score(encoded, model, transitions(encoded, model.end_class))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
