@@ -449,6 +449,23 @@ def test_contexts_travel_many_words_to_a_row():
     assert [row for b in op07_lm_scoring.opened(op07_lm_scoring.closed(x) for b in made for x in (b.slice(0, 7), b.slice(7))) for row in b.to_pylist()] == again
 
 
+def test_rows_pass_in_short_batches_while_the_model_is_made(spark, sf_dir, monkeypatch):
+    seen, conf, table = {}, "spark.sql.execution.arrow.maxBytesPerBatch", Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, name, df: (seen.update({name: spark.conf.get(conf)}), table(self, name, df))[1])
+    before = spark.conf.get(conf)
+    op07_lm_scoring.op7_lm_scoring(spark, sf_dir)
+    assert {"pairs", "tail", "head0", "encoded"} <= seen.keys() and set(seen.values()) == {op07_lm_scoring.BATCH} and spark.conf.get(conf) == before
+
+
+def test_words_are_split_in_arrow_as_bytes_split_them():
+    texts = ["", None, "  \n\t ", " a\x0bB\x0c c\rÉ\x85x\xa0y \x1cz\x00 ", "q"]
+    for low, high in ((0, 5), (3, 5), (1, 1)):
+        found, at = op07_lm_scoring.tokens(pa.record_batch([pa.array(texts, pa.string())], names=["text"]).slice(low, high - low))
+        words = op07_lm_scoring.listed(found)
+        assert [words[x:y] for x, y in zip(at[:-1], at[1:], strict=True)] == [(t or "").encode().lower().split() for t in texts[low:high]]
+        assert op07_lm_scoring.places(found, pa.array([b"q", b"b"])).tolist() == [{b"q": 0, b"b": 1}.get(w, -1) for w in words]
+
+
 @pytest.mark.parametrize("buckets", [1, 7])
 def test_turns_count_every_pair_with_a_head_word(spark, docs, buckets):
     """The class table of a turn against a count over the texts, with classes dealt by hand."""

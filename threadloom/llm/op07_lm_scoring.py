@@ -24,23 +24,23 @@ Defined cases: null texts are empty and have the end token alone; with no traini
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Scratch, byte_texts, documents, held_out, text_rows, to_batch
+from threadloom.llm.common import Scratch, documents, held_out, text_rows, to_batch
 
 HEAD, CLUSTERED, CLASSES, SWEEPS = 65_536, 1024, 48, 4
 TURNS = ("head", "tail", "even", "odd", "tail")  # who chooses: all head words, half of them, or the tail words
-FLUSH = 150_000  # distinct words that a task gathers before it hands them on
+FLUSH = 600_000  # words with counts that a task gathers before it adds them up, and hands them on if more than half are distinct
 PAIRS = 2_000_000  # adjacent words that a task combines at a time
 STRETCH = 5_000  # numbers in a packed row; Parquet holds 100 rows before it looks at their size
 BUCKET = 400_000  # tail words' occurrences that a task gathers at a time, about
@@ -61,8 +61,23 @@ def short_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH_CONF, before)
 
 
-def tokens(raw: bytes) -> list[bytes]:
-    return raw.lower().split()
+def tokens(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """Words of a batch's texts, one after another, and where those of each text begin and the last ends."""
+    text = b.column(b.schema.get_field_index("text"))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    words, at = lists.flatten(), lists.offsets.to_numpy()
+    solid = pc.binary_length(words).to_numpy() > 0  # space at an end of a text leaves an empty word there
+    return words.filter(pa.array(solid)).cast(pa.binary()), np.r_[0, np.cumsum(solid)][at - at[0]]
+
+
+def listed(words: pa.Array) -> list[bytes]:
+    """Words in Python, by one split of all, several times as fast as ``to_pylist``."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b" ")[0].as_py().split()
+
+
+def places(words: pa.Array, head: pa.Array) -> np.ndarray:
+    """Place of each word in the head, -1 for others."""
+    return pc.fill_null(pc.index_in(words, value_set=head), -1).to_numpy()
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -70,15 +85,23 @@ def word_counts(train: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        held, size = [], 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
         for b in batches:
-            for raw in byte_texts(b):
-                found.update(tokens(raw))
-                if len(found) > FLUSH:
-                    yield to_batch(list(found.items()), schema)
-                    found = Counter()
-        if found:
-            yield to_batch(list(found.items()), schema)
+            found = pc.value_counts(tokens(b)[0])
+            held.append(pa.table([found.field("values"), found.field("counts")], names=["word", "n"]))
+            size += len(found)
+            if size > FLUSH:
+                held = [summed()]
+                size = held[0].num_rows
+                if size > FLUSH // 2:
+                    yield from held[0].cast(schema).to_batches(50_000)
+                    held, size = [], 0
+        if size:
+            yield from summed().cast(schema).to_batches(50_000)
 
     return text_rows(train).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -124,7 +147,7 @@ def word_pairs(train: DataFrame, head: list[bytes], buckets: int = 1) -> DataFra
     Words are their places in the head, the end is ``len(head)``, a tail word beside a tail word is -1; a tail word's hash is its xxhash64. Each text
     stands between two ends. Counts are a task's own, so a pair may be in many stretches.
     """
-    shared, end = train.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(head)}), len(head)
+    shared, end = train.sparkSession.sparkContext.broadcast(pa.array(head, pa.binary())), len(head)
 
     def out(seq: np.ndarray, hashes: list[int]) -> Iterator[pa.RecordBatch]:
         l, r = seq[:-1].astype(np.int64), seq[1:].astype(np.int64)  # noqa: E741
@@ -142,17 +165,16 @@ def word_pairs(train: DataFrame, head: list[bytes], buckets: int = 1) -> DataFra
             yield to_batch(rows[at : at + 50], _PACKED_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, parts, hashes, held = shared.value.get, [np.array([end], np.int32)], [], 0
+        parts, hashes, held = [np.array([end], np.int32)], [], 0
         for b in batches:
-            for raw in byte_texts(b):
-                words = tokens(raw)
-                ids = np.array([*map(lambda w: get(w, -1), words), end], np.int32)
-                hashes.extend(xxhash.xxh64_intdigest(words[i], 42) for i in np.flatnonzero(ids < 0).tolist())
-                parts.append(ids)
-                held += len(ids)
-                if held > PAIRS:
-                    yield from out(np.concatenate(parts), hashes)
-                    parts, hashes, held = [np.array([end], np.int32)], [], 0
+            words, at = tokens(b)
+            ids = places(words, shared.value)
+            hashes.extend(xxhash.xxh64_intdigest(w, 42) for w in listed(words.filter(pa.array(ids < 0))))
+            parts.append(np.insert(ids, at[1:], end))
+            held += len(parts[-1])
+            if held > PAIRS:
+                yield from out(np.concatenate(parts), hashes)
+                parts, hashes, held = [np.array([end], np.int32)], [], 0
         if held:
             yield from out(np.concatenate(parts), hashes)
 
@@ -611,7 +633,7 @@ def encode(docs: DataFrame, classed: DataFrame, model: Model, is_held_out) -> Da
             return to_batch([(bucket, 0, None, text, n[at].tobytes(), of[at].tobytes()) for bucket, at, text in dealt(words, buckets)], _LOOKUP_SCHEMA)
 
         for b in batches:
-            words.extend(b.column(0).cast(pa.binary()).to_pylist())
+            words.extend(listed(b.column(0).cast(pa.binary())))
             c.append(b.column(1).to_numpy())
             cls.append(b.column(2).to_numpy())
             if len(words) > BLOCK:
@@ -622,11 +644,11 @@ def encode(docs: DataFrame, classed: DataFrame, model: Model, is_held_out) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, task, made = shared.value, TaskContext.get().partitionId(), 0
-        get, own, words, places, size = m.index.get, [], [], [], 0
+        head, own, words, spots, size = pa.array(list(m.index), pa.binary()), [], [], [], 0
         codes = np.r_[m.classes[:-1], UNKNOWN].astype(np.uint8)
 
         def out() -> pa.RecordBatch:
-            texts, at = to_batch(own, own_schema), np.concatenate(places).astype(np.int32)
+            texts, at = to_batch(own, own_schema), np.concatenate(spots).astype(np.int32)
             whole = texts.serialize().to_pybytes()
             # Named by place and content: should a task that is run again read its rows in another order, blocks would lack their words, which is an error.
             block = xxhash.xxh3_64_intdigest(whole, (task << 32) + made) >> 1
@@ -634,18 +656,21 @@ def encode(docs: DataFrame, classed: DataFrame, model: Model, is_held_out) -> Da
             return to_batch([(block % buckets, 2, block, None, whole, np.int64(len(words)).tobytes()), *rows], _LOOKUP_SCHEMA)
 
         for b in batches:
-            for doc_id, is_held, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), byte_texts(b), strict=True):
-                seq = tokens(raw)
-                ids = np.array([get(w, -1) for w in seq], np.int64)
+            found, at = tokens(b)
+            placed = places(found, head)
+            rest, gone = listed(found.filter(pa.array(placed < 0))), 0
+            for doc_id, is_held, low, high in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids = placed[low:high]
                 known, other = ids[ids >= 0], np.flatnonzero(ids < 0)
                 whole = np.r_[np.uint8(m.end_class), codes[ids], np.uint8(m.end_class)].astype(np.uint8).tobytes()
                 own.append((doc_id, is_held, whole, len(known) + (m.end_log_count > 0), float(m.log_counts[known].sum()) + m.end_log_count, float(m.emit[known].sum())))
-                places.append(other + 1 + size)
-                words.extend([seq[i] for i in other.tolist()])
+                spots.append(other + 1 + size)
+                words.extend(rest[gone : gone + len(other)])
+                gone += len(other)
                 size += len(whole)
                 if len(words) > BLOCK or size > 20 * BLOCK:
                     yield out()
-                    own, words, places, size, made = [], [], [], 0, made + 1
+                    own, words, spots, size, made = [], [], [], 0, made + 1
         if own:
             yield out()
 
