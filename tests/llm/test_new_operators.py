@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +281,42 @@ def test_pairs_name_the_best(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, "one three")], "doc_id long, text string")
     pairs = op13.align_documents(docs)[1].collect()
     assert {r["n"] for r in pairs} == {1, 2} and all(r["best"] for r in pairs if r["n"] == 2)
+
+
+def alignment_block(rng, n):
+    """(documents, alignments) of a block with n segments of up to four groups, one of them a long group."""
+    groups = lambda: [x for _ in range(rng.integers(1, 5)) for k, m in [rng.integers(1, 4, 2)] for x in (k, m, *rng.integers(0, 300, k + m))]
+    made = [groups() for _ in range(n - 1)] + [[70, 80, *rng.integers(0, 300, 150)]]
+    numbers = rng.permutation(n)
+    packed = op13._pack(numbers, np.array([len(made[k]) for k in numbers]), np.concatenate([made[k] for k in numbers]))
+    lengths = np.full(n // 10, 15)
+    docs = pa.table({"block": [7], "doc_ids": [list(range(len(lengths)))], "numbers": [op13._pack(lengths, rng.integers(0, n, lengths.sum()))]})
+    return made, docs, pa.table({"block": [7], "packed": [packed]})
+
+
+def test_alignment_block_by_stretches(monkeypatch):
+    made, docs, found = alignment_block(np.random.default_rng(3), 400)
+    whole = op13.compose_block(docs, found)
+    monkeypatch.setattr(op13, "STRETCH_NUMBERS", 40)
+    assert op13.compose_block(docs, found).equals(whole)
+    numbers = op13._unpack(docs.column("numbers")[0].as_py()[1])[:15]
+    said = []
+    for x in (made[k] for k in numbers.tolist()):
+        at = 0
+        while at < len(x):
+            k, m = x[at : at + 2]
+            said.append(",".join(map(str, x[at + 2 : at + 2 + k])) + "|" + ",".join(map(str, x[at + 2 + k : at + 2 + k + m])))
+            at += 2 + k + m
+    assert whole.column("digests")[0].as_py()[0] == hashlib.sha256(";".join(said).encode()).hexdigest()
+
+
+def test_alignment_block_holds_little():
+    """All numbers of a block's alignments at once, several times over, took an executor's memory."""
+    _, docs, found = alignment_block(np.random.default_rng(3), 60_000)
+    tracemalloc.start()
+    try:
+        op13.compose_block(docs, found)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 75e6, peak

@@ -10,7 +10,7 @@ Scale: documents are gathered into blocks of about ``BLOCK_CHARS`` as they are r
 distinct segments. Segments meet by one shuffle on the segment, streamed in order, so the first of equals is tokenised and the others take its
 alignment; a segment occurs once a block, so none is hot. Alignments return to their blocks, packed, where numpy composes the documents. Each leaves its digest and its
 linked pairs with their links; the block leaves the number of its documents for each pair. Those are summed, and come back by (block, pair) to be multiplied
-with the documents' links. A task holds one block, or one document if that is longer.
+with the documents' links. A task holds one block, or one document if that is longer; of its alignments only what each document needs is kept, worked out for a stretch of segments at a time.
 
 Defined cases: null and empty texts, and texts whose joined token bytes are not the space and the text (the piece vocabulary writes spaces as U+2581, so
 such a character is lost), have no tokens, zeros and an empty string; rows that share a doc_id, or have none, are each a document; an empty
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ from threadloom.llm.common import Scratch, documents
 
 BLOCK_CHARS = 12_000_000
 CHUNK_NUMBERS, CHUNK_ALIGNMENTS = 200_000, 300_000
+STRETCH_NUMBERS = 200_000  # of alignments that a block works out at a time
 ENCODED = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("numbers", pa.list_(pa.binary())), ("nth", pa.int32()), ("segment", pa.string())])
 ENCODED_DDL = "block long, doc_ids array<long>, numbers array<binary>, nth int, segment string"
 
@@ -54,7 +56,7 @@ def _pack(*arrays: np.ndarray) -> list[bytes]:
 
 def _unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
 def encoded(docs: DataFrame) -> DataFrame:
@@ -169,49 +171,43 @@ def alignments(dictionary: DataFrame, byte_path: str, ranks_path: str, piece_pat
 
 
 class Block:
-    """The alignments of a block's segments by number: tokens, groups and links, and the pairs of segment k, with their links, at starts[k]:starts[k + 1]."""
+    """The alignments of a block's segments by number: tokens, groups and links, groups as text, and the pairs of segment k, with their links, at starts[k]:starts[k + 1].
+
+    Worked out for a stretch of segments at a time, so that only what is kept grows with the block.
+    """
 
     def __init__(self, packed: list[list[bytes]]):
         parts = [[_unpack(x) for x in row] for row in packed]
-        numbers, lengths, self.contents = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for i in range(3))
-        count = len(numbers)
-        self.begin, self.length = np.zeros(count, dtype=np.int64), np.zeros(count, dtype=np.int64)
-        self.begin[numbers], self.length[numbers] = np.cumsum(lengths) - lengths, lengths
-        self.ok = self.length > 0
+        numbers, lengths, contents = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=np.uint32) for i in range(3))
+        del parts
+        begin, length = np.zeros((2, len(numbers)), dtype=np.int64)
+        begin[numbers], length[numbers] = np.cumsum(lengths, dtype=np.int64) - lengths, lengths
+        self.ok = length > 0
+        made = [self._stretch(contents, begin[low:high], length[low:high]) for low, high in _stretches(length)]
+        sizes, said, n_pairs, times, pairs, ranks = zip(*made, strict=True) if made else [[]] * 6
+        self.sizes = np.concatenate([np.zeros((0, 4), dtype=np.int64), *sizes])
+        self.said = pa.concat_arrays([pa.array([], pa.large_binary()), *said])
+        self.n_pairs, self.times = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (n_pairs, times))
+        self.starts = np.cumsum(self.n_pairs) - self.n_pairs
+        self.pairs = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *pairs]))
+        self.ranks = np.concatenate([np.zeros(0, dtype=np.int32), *(np.searchsorted(self.pairs, x).astype(np.int32)[y] for x, y in zip(pairs, ranks, strict=True))])
+
+    def _stretch(self, contents: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple:
+        """(sizes, groups as text, numbers of pairs, links of each, distinct pairs, which of them each is) of consecutive segments."""
+        count, starts = len(length), np.cumsum(length) - length
+        contents = contents[np.repeat(begin - starts, length) + np.arange(length.sum())].astype(np.int64)
 
         # The first groups of all segments, then the second ones, and so on.
-        segment = np.flatnonzero(self.ok)
-        head, found = self.begin[segment], []
+        segment = np.flatnonzero(length)
+        head, found = starts[segment], []
         while len(segment):
-            found.append((segment, head, self.contents[head], self.contents[head + 1]))
+            found.append((segment, head, contents[head], contents[head + 1]))
             head = head + 2 + found[-1][2] + found[-1][3]
-            more = head < self.begin[segment] + self.length[segment]
+            more = head < starts[segment] + length[segment]
             segment, head = segment[more], head[more]
         segment, head, k, m = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, dtype=np.int64)] * 4
         sums = [np.bincount(segment, weights=x, minlength=count) for x in (k, m, np.ones(len(k)), k * m)]
-        self.sizes = np.stack(sums, axis=1).astype(np.int64)
-        self._links(segment, head, k, m, count)
-
-    def _links(self, segment: np.ndarray, head: np.ndarray, k: np.ndarray, m: np.ndarray, count: int) -> None:
-        small = k * m <= 4096
-        links = (k * m)[small]
-        group = np.repeat(np.flatnonzero(small), links)
-        nth = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
-        a = self.contents[head[group] + 2 + nth // m[group]]
-        b = self.contents[head[group] + 2 + k[group] + nth % m[group]]
-        of, pairs, times = [segment[group]], [a << 16 | b], [np.ones(len(a), dtype=np.int64)]
-        for g in np.flatnonzero(~small):  # distinct ids alone, however often they repeat
-            a, n_a = np.unique(self.contents[head[g] + 2 : head[g] + 2 + k[g]], return_counts=True)
-            b, n_b = np.unique(self.contents[head[g] + 2 + k[g] : head[g] + 2 + k[g] + m[g]], return_counts=True)
-            pairs.append((a[:, None] << 16 | b).ravel())
-            times.append((n_a[:, None] * n_b).ravel())
-            of.append(np.full(len(pairs[-1]), segment[g]))
-        of, pairs, times = map(np.concatenate, (of, pairs, times))
-        order = np.argsort(of, kind="stable")
-        self.n_pairs = np.bincount(of, minlength=count)
-        self.starts = np.cumsum(self.n_pairs) - self.n_pairs
-        self.times = times[order]
-        self.pairs, self.ranks = np.unique(pairs[order], return_inverse=True)
+        return np.stack(sums, axis=1).astype(np.int64), _said(contents, starts, head, k, m), *_links(contents, segment, head, k, m, count)
 
     def linked(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ranks of the distinct pairs, links of each) of a document's segments."""
@@ -220,17 +216,50 @@ class Block:
         distinct, which = np.unique(self.ranks[at], return_inverse=True)
         return distinct, np.bincount(which, weights=self.times[at]).astype(np.int64)
 
-    def said(self) -> list[bytes]:
-        """Groups of each segment as text."""
-        out = []
-        for begin, length in zip(self.begin.tolist(), self.length.tolist(), strict=True):
-            x, at, groups = list(map(str, self.contents[begin : begin + length].tolist())), 0, []
-            while at < length:
-                k, m = int(x[at]), int(x[at + 1])
-                groups.append(",".join(x[at + 2 : at + 2 + k]) + "|" + ",".join(x[at + 2 + k : at + 2 + k + m]))
-                at += 2 + k + m
-            out.append(";".join(groups).encode())
-        return out
+    def digest(self, numbers: np.ndarray) -> str:
+        """Of a document's groups as text; what each segment ends with is between it and the next, but goes after the last."""
+        own = self.said.take(pa.array(numbers))
+        end = int(np.frombuffer(own.buffers()[1], dtype=np.int64)[len(own)])
+        return hashlib.sha256(own.buffers()[2][: end - 1]).hexdigest()
+
+
+def _stretches(length: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of segments with about STRETCH_NUMBERS numbers, or one longer segment."""
+    at = np.cumsum(length + 1) // STRETCH_NUMBERS
+    edges = [0, *(1 + np.flatnonzero(np.diff(at))).tolist(), len(length)]
+    return [(low, high) for low, high in zip(edges[:-1], edges[1:], strict=True) if high > low]
+
+
+def _said(contents: np.ndarray, starts: np.ndarray, head: np.ndarray, k: np.ndarray, m: np.ndarray) -> pa.LargeBinaryArray:
+    """Groups of each segment as text, each with a semicolon after it."""
+    after, is_id = np.zeros(len(contents), dtype=np.int8), np.ones(len(contents), dtype=bool)
+    after[head + 1 + k], after[head + 1 + k + m] = 1, 2
+    is_id[head] = is_id[head + 1] = False
+    marks = pa.DictionaryArray.from_arrays(pa.array(after[is_id]), pa.array([",", "|", ";"])).dictionary_decode()
+    written = pc.binary_join_element_wise(pa.array(contents[is_id]).cast(pa.string()), marks, "")
+    ids = np.concatenate([[0], np.cumsum(is_id)])[np.append(starts, len(contents))]
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ids), written.cast(pa.large_binary())), pa.scalar(b"", pa.large_binary()))
+
+
+def _links(contents: np.ndarray, segment: np.ndarray, head: np.ndarray, k: np.ndarray, m: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of pairs of each segment, links of each pair, distinct pairs, which of them each is)."""
+    small = k * m <= 4096
+    links = (k * m)[small]
+    group = np.repeat(np.flatnonzero(small), links)
+    nth = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
+    a = contents[head[group] + 2 + nth // m[group]]
+    b = contents[head[group] + 2 + k[group] + nth % m[group]]
+    of, pairs, times = [segment[group]], [a << 16 | b], [np.ones(len(a), dtype=np.int64)]
+    for g in np.flatnonzero(~small):  # distinct ids alone, however often they repeat
+        a, n_a = np.unique(contents[head[g] + 2 : head[g] + 2 + k[g]], return_counts=True)
+        b, n_b = np.unique(contents[head[g] + 2 + k[g] : head[g] + 2 + k[g] + m[g]], return_counts=True)
+        pairs.append((a[:, None] << 16 | b).ravel())
+        times.append((n_a[:, None] * n_b).ravel())
+        of.append(np.full(len(pairs[-1]), segment[g]))
+    of, pairs, times = map(np.concatenate, (of, pairs, times))
+    order = np.argsort(of, kind="stable")
+    distinct, which = np.unique(pairs[order], return_inverse=True)
+    return np.bincount(of, minlength=count), times[order], distinct, which.astype(np.int32)
 
 
 COMPOSED_DDL = "block long, doc_ids array<long>, sizes array<binary>, digests array<string>, links array<binary>, pair long, n long"
@@ -240,11 +269,11 @@ COMPOSED = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
 def compose_block(docs: pa.Table, found: pa.Table) -> pa.Table:
     """Rows of documents (their sizes, digests, and linked pairs as ranks among the block's), and (pair, n) in the order of ranks: how many documents hold each."""
     block = Block(found.column("packed").to_pylist())
-    said, counts = block.said(), np.zeros(len(block.pairs), dtype=np.int64)
+    counts = np.zeros(len(block.pairs), dtype=np.int64)
     rows = []
     for name, ids, packed in zip(*(docs.column(c).to_pylist() for c in ("block", "doc_ids", "numbers")), strict=True):
         lengths, numbers = map(_unpack, packed)
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         sizes, digests, distinct, links = [], [], [], []
         for end, length in zip(ends.tolist(), lengths.tolist(), strict=True):
             own = numbers[end - length : end]
@@ -253,7 +282,7 @@ def compose_block(docs: pa.Table, found: pa.Table) -> pa.Table:
             pairs, n = block.linked(own)
             counts[pairs] += 1
             sizes.append(block.sizes[own].sum(axis=0))
-            digests.append(hashlib.sha256(b";".join([said[k] for k in own.tolist()])).hexdigest() if whole else "")
+            digests.append(block.digest(own) if whole else "")
             distinct.append(np.diff(pairs, prepend=0))
             links.append(n)
         wide = np.array(sizes, dtype=np.int64)
@@ -277,8 +306,8 @@ def weigh_block(docs: pa.Table, counted: pa.Table) -> pa.Table:
     weight = np.stack([counted.column(c).to_numpy()[order].astype(np.int64) for c in ("best", "n")], axis=1) if len(order) else np.zeros((0, 2), dtype=np.int64)
     out = []
     for ids, halves, digests, packed in zip(*(docs.column(c).to_pylist() for c in ("doc_ids", "sizes", "digests", "links")), strict=True):
-        low, high = map(_unpack, halves)
-        n_pairs, steps, links = map(_unpack, packed)
+        low, high = (_unpack(x).astype(np.int64) for x in halves)
+        n_pairs, steps, links = (_unpack(x).astype(np.int64) for x in packed)
         ends = np.cumsum(n_pairs)
         # Ranks begin anew with each document: take away what the steps before it add up to.
         total = np.concatenate([[0], np.cumsum(steps)])
