@@ -141,6 +141,17 @@ def unpacked(row: dict, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.frombuffer(row["a"], kind), np.frombuffer(row["b"], np.int32), np.frombuffer(row["c"], np.int32)
 
 
+def pair_counts(seq: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct first * width + second of adjacent places, none of them negative, and their counts; one array is made and sorted where it is."""
+    pair = seq[:-1].astype(np.int64)
+    pair *= width
+    pair += seq[1:]
+    pair = pair[(seq[:-1] >= 0) & (seq[1:] >= 0)]
+    pair.sort()
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+    return pair[first], np.diff(first, append=len(pair))
+
+
 def word_pairs(train: DataFrame, head: list[bytes], buckets: int = 1) -> DataFrame:
     """Stretches of numbers: pairs of adjacent head words (bucket -1; first, second, count) and tail words (bucket of the hash; hash, what precedes, what follows).
 
@@ -150,9 +161,7 @@ def word_pairs(train: DataFrame, head: list[bytes], buckets: int = 1) -> DataFra
     shared, end = train.sparkSession.sparkContext.broadcast(pa.array(head, pa.binary())), len(head)
 
     def out(seq: np.ndarray, hashes: list[int]) -> Iterator[pa.RecordBatch]:
-        l, r = seq[:-1].astype(np.int64), seq[1:].astype(np.int64)  # noqa: E741
-        both = (l >= 0) & (r >= 0)
-        pair, n = np.unique(l[both] * (end + 1) + r[both], return_counts=True)
+        pair, n = pair_counts(seq, end + 1)
         rows = [packed(-1, (x // (end + 1)).astype(np.int32), x % (end + 1), n[at : at + STRETCH]) for at in range(0, len(pair), STRETCH) for x in [pair[at : at + STRETCH]]]
         of, h = np.flatnonzero(seq < 0), np.array(hashes, np.uint64)
         bucket = (h % np.uint64(buckets)).astype(np.int32)
@@ -486,20 +495,24 @@ def class_table(contexts: list[tuple[DataFrame, object]], k: int) -> np.ndarray:
     return table.reshape(k, k)
 
 
-def choose(contexts: DataFrame, shared, table: np.ndarray, classes: int, half: int | None = None) -> DataFrame:
-    """Contexts with the class that each word chooses against ``table``; with ``half``, only words whose key has that remainder move."""
+def choose(contexts: DataFrame, shared, table: np.ndarray, classes: int, half: int | None = None, whole: bool = True) -> DataFrame:
+    """Contexts (if not ``whole``, key and cls alone) with the class that each word chooses against ``table``; with ``half``, only words whose key has that remainder move.
+
+    No second Python function reads what this one returns in the same task: each would have a worker of its own, which stays and takes memory.
+    """
     k, seen = len(table), contexts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in opened(batches):
-            for b in slices(whole):
+        for stretch in opened(batches):
+            for b in slices(stretch):
                 cls, counts = b.column("cls").to_numpy().astype(np.int64), dense(b, shared and shared.value, 2 * k + 1)
                 best = best_classes(seen.value, cls, counts[:, :k], counts[:, k : 2 * k], counts[:, 2 * k], classes)
                 if half is not None:
                     best = np.where(b.column("key").to_numpy() % 2 == half, best, cls)
-                yield closed(b.set_column(1, "cls", pa.array(best, pa.int32())))
+                b = b.set_column(1, "cls", pa.array(best, pa.int32()))
+                yield closed(b) if whole else b.select(["key", "cls"])
 
-    return contexts.mapInArrow(run, CONTEXTS)
+    return contexts.mapInArrow(run, CONTEXTS if whole else "key long, cls int")
 
 
 def seed_table(pairs: DataFrame, n_head: int, clustered: int) -> np.ndarray:
@@ -554,7 +567,7 @@ def cluster(train: DataFrame, head: list[bytes], n_others: int, clustered: int,
             old = [name]
         else:
             half = {"even": 0, "odd": 1}.get(who)
-            moved = classes_of(choose(around, None, table, classes, half)).toArrow()
+            moved = choose(around, None, table, classes, half, whole=False).toArrow()
             cls = cls.copy()
             cls[moved.column("key").to_numpy()] = moved.column("cls").to_numpy()
             cls[:n_head][cls[:n_head] >= classes] = 0
